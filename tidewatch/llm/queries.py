@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash, toxicity
-from ._shared import held_out
+from . import brown, decontaminate, licences, outliers, packing, quality, simhash, toxicity, urls, warc
+from ._shared import Workspace, held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return brown.score(docs, docs.where(~held_out(F.col("doc_id"), 10)), folds=10)
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"), licences.known_table(spark))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels)
@@ -29,14 +38,57 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.select("doc_id", "expected_grade", F.col("tail")[0].alias("p_good"), (F.col("tail")[0] >= 0.5).alias("kept"))
 
 
+# The rules that the query applies, as (verdict, host, path).
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urls.fit(urls.labelled_table(spark))
+    return urls.judge(_table(spark, sf_dir, "pages"), RULES, model)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Workspace(spark, "warc")
+    archive = work.save(warc.write_chunks(_table(spark, sf_dir, "pages")), "archive")
+    found = warc.read(archive)
+    return found.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), size=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.verdicts(_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, seed=42, radius=2)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op4_quality": op4_quality, "op9_simhash": op9_simhash}
+    return {"op1_toxicity": op1_toxicity, "op2_brown": op2_brown, "op3_licenses": op3_licenses, "op4_quality": op4_quality, "op5_urls": op5_urls, "op6_warc": op6_warc, "op7_packing": op7_packing, "op8_outliers": op8_outliers, "op9_simhash": op9_simhash, "op10_decontaminate": op10_decontaminate}
+
+
+WARC_SQL = """
+with p as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+g as (select payload_digest as d, max(page_id) as first from p where payload_bytes >= 1000 group by 1)
+select page_id, payload_bytes, payload_digest, case when first is null or first = page_id then 'response' else 'revisit' end as record_type,
+case when first <> page_id then first end as refers_to
+from p left join g on p.payload_digest = g.d and p.payload_bytes >= 1000"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_licenses": licences.scan_sql(), "op6_warc": WARC_SQL}
