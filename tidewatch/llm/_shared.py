@@ -53,11 +53,12 @@ def salted_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spr
 
     ``spread``: columns of ``left`` whose hash picks the salt.  ``right`` is repeated
     ``salts`` times, so pre-aggregate it.  No key, however frequent, stays in one task.
+    The copies are never broadcast: their size isn't known.
     """
     salt = "__salt"
     dealt = left.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, [*keys, salt], "left").drop(salt)
+    return dealt.join(copies.hint("merge"), [*keys, salt], "left").drop(salt)
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Sequence[str], most: int = 20_000) -> DataFrame:
