@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import event_id
 from ..schema import Roles
+from ..sources.scratch import cut
 from .checks import Violation
 from .thresholds import threshold_lookup
 
@@ -91,11 +92,11 @@ def apply_policy(scores: DataFrame, thresholds: DataFrame, alpha: float | None,
     if m < 1 or alpha is not None and not 0 < alpha <= 1:
         raise Violation("persistence must be at least 1 and alpha in (0, 1]")
     wanted = thresholds.where((F.col("context") == context) & (F.col("rule_id") == rule_id))
-    smooth = segments(ewma(scores, [alpha], roles=roles), roles=roles)
+    smooth = cut(segments(ewma(scores, [alpha], roles=roles), roles=roles), "smoothed")
     seen = threshold_lookup(smooth, wanted, roles)
     checked = seen.withColumn("threshold", F.when(F.col("threshold").isNull(), F.raise_error(F.concat(F.lit("no threshold for mode "), F.coalesce(F.col(roles.mode).cast("string"), F.lit("null"))))).otherwise(F.col("threshold")))
     marked = checked.withColumn("threshold_violation", F.col("smoothed_score") > F.col("threshold"))
-    return state_segment_id(persistence(marked, ["detector_id"], F.lit(m), roles), roles=roles)
+    return state_segment_id(cut(persistence(marked, ["detector_id"], F.lit(m), roles), "persistence"), roles=roles)
 
 
 def alert_events(trace: DataFrame, keys: Sequence[str] = ("detector_id",), roles: Roles = Roles()) -> DataFrame:

@@ -286,13 +286,14 @@ DETECTORS: dict[str, tuple[Callable, Callable]] = {
 
 def fit_score(train: DataFrame, rows: DataFrame, cols: Sequence[str], detector: str, digits: int = 9, **params) -> DataFrame:
     """``rows`` with raw_score and alert_score: scaler, detector and calibration fitted on ``train``."""
+    from ..sources.scratch import cut
     from .calibration import ecdf
 
     scaler = fit_feature_scaler(train, cols)
     fit, score = DETECTORS[detector]
-    t, r = standardize(train, scaler), standardize(rows, scaler)
+    t, r = cut(standardize(train, scaler), "train"), standardize(rows, scaler)
     state = fit(t, cols, **params)
-    mark = lambda x: score(x, cols, state).withColumn("raw_score", F.round("raw_score", digits)).withColumn("detector_id", F.lit(detector))
+    mark = lambda x: cut(score(x, cols, state).withColumn("raw_score", F.round("raw_score", digits)).withColumn("detector_id", F.lit(detector)), "scored")
     return ecdf(mark(t), mark(r))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.order import rank_by_hash, row_rank
 from ..schema import Roles
+from ..sources.scratch import cut
 
 
 def summarize_entities(cycles: DataFrame, roles: Roles = Roles()) -> DataFrame:
@@ -19,6 +20,7 @@ def life_strata(summary: DataFrame, k: int = 5, roles: Roles = Roles()) -> DataF
 
     Bins are those of linear quantile edges over the ranks, closed on the right.
     """
+    summary = cut(summary, "summary")
     ranked = row_rank(summary, "max_cycle", [roles.entity], "__r")
     total = summary.agg(F.count("*").alias("__t"))
     bin_ = F.greatest(F.ceil((F.col("__r") - 1) * k / F.greatest(F.col("__t") - 1, F.lit(1))) - 1, F.lit(0)).cast("int")
@@ -40,7 +42,7 @@ def _quota(n: Column, ratios: list[float]) -> list[Column]:
 
 def stratified_split(summary: DataFrame, names: tuple[str, ...] = ("train", "validation", "test"), ratios: tuple[float, ...] = (0.6, 0.2, 0.2), seed: int = 42, k: int = 5, roles: Roles = Roles()) -> DataFrame:
     """``summary`` with ``stratum`` and ``split``: whole entities, dealt within strata in the order of a seeded digest."""
-    strata = life_strata(summary, k, roles).withColumn("__d", F.md5(F.concat(F.col(roles.entity).cast("string"), F.lit(f":{seed}"))))
+    strata = cut(life_strata(summary, k, roles), "strata").withColumn("__d", F.md5(F.concat(F.col(roles.entity).cast("string"), F.lit(f":{seed}"))))
     ranked = rank_by_hash(strata, ["stratum"], "__d", [roles.entity], "__i")
     sizes = strata.groupBy("stratum").agg(F.count("*").alias("__n"))
     quotas = sizes.select("stratum", *[q.alias(f"__q{i}") for i, q in enumerate(_quota(F.col("__n"), list(ratios)))])

@@ -15,7 +15,7 @@ def event_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as cycles: an engine for each user, a cycle for each event in time order."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.coalesce((F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w)) / F.lit(1e6), F.lit(0.0))
+    gap = F.coalesce(F.timestamp_diff("MICROSECOND", F.lag("ts").over(w), F.col("ts")) / F.lit(1e6), F.lit(0.0))
     return ev.select(
         F.col("user_id").alias("engine"),
         F.row_number().over(w).alias("cycle"),
