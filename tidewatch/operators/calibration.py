@@ -20,5 +20,5 @@ def ecdf(reference: DataFrame, queries: DataFrame, score: str = "raw_score", gro
     both = reference.select(*groups, score, F.lit(1).alias("__r")).unionByName(queries.select(*groups, score, F.lit(0).alias("__r")))
     at = running(both, groups, score, {"__n": "__r"})
     total = reference.groupBy(*groups).agg(F.count("*").alias("__all"))
-    share = at.join(total, groups, "left").select(*groups, score, (F.col("__n_upto") / F.col("__all")).alias(out))
+    share = (at.join(total, groups, "left") if groups else at.crossJoin(F.broadcast(total))).select(*groups, score, (F.col("__n_upto") / F.col("__all")).alias(out))
     return queries.join(share, [*groups, score], "left")

@@ -81,7 +81,16 @@ def residuals(cols: Sequence[str], model: PCA) -> list[Column]:
 
 
 def score_pca(rows: DataFrame, cols: Sequence[str], model: PCA) -> DataFrame:
-    """raw_score: mean squared reconstruction error."""
+    """raw_score: mean squared reconstruction error; expressions up to 24 features, Arrow batches beyond."""
+    if len(cols) > 24:
+        names = list(rows.columns)
+
+        def run(batches):
+            for f in batches:
+                x = f[list(cols)].to_numpy(float) - model.mean
+                yield f[names].assign(raw_score=((x - x @ model.components.T @ model.components) ** 2).mean(axis=1))
+
+        return rows.mapInPandas(run, _schema(rows))
     named = rows.withColumns({f"{Z}{i}": r for i, r in enumerate(residuals(cols, model))})
     out = named.withColumn("raw_score", mean_square([F.col(f"{Z}{i}") for i in range(len(cols))]))
     return out.drop(*[f"{Z}{i}" for i in range(len(cols))])

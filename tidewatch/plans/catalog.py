@@ -627,9 +627,9 @@ def a27_sensor_histogram(s, d):
     return profile.histogram(_cycles(s, d), 20, ["op_mode"])
 
 
-@query("select op_mode, sensor, min(value) as least, round(quantile_cont(value, 0.25), 6) as q1, round(quantile_cont(value, 0.5), 6) as median, round(quantile_cont(value, 0.75), 6) as q3, max(value) as greatest from (unpivot (select op_mode, s1, s2, s3 from cyc) on s1, s2, s3 into name sensor value value) group by 1, 2")
+@query("select op_mode, sensor, min(value) as least, round(quantile_cont(value, 0.25), 4) as q1, round(quantile_cont(value, 0.5), 4) as median, round(quantile_cont(value, 0.75), 4) as q3, max(value) as greatest from (unpivot (select op_mode, s1, s2, s3 from cyc) on s1, s2, s3 into name sensor value value) group by 1, 2")
 def a27_regime_boxplot_stats(s, d):
-    return profile.boxplot_stats(_cycles(s, d), ["op_mode"]).select("op_mode", "sensor", "least", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3")], "greatest")
+    return profile.boxplot_stats(_cycles(s, d), ["op_mode"]).select("op_mode", "sensor", "least", *[F.round(c, 4).alias(c) for c in ("q1", "median", "q3")], "greatest")
 
 
 @query("select count(*) as fit_rows, count(*) filter (healthy) as healthy_rows from cs where split = 'train'")
