@@ -981,7 +981,7 @@ def ml19_evaluate_detector(s, d):
 @query()
 def ml20_infer(s, d):
     c = _split(s, d)
-    timeline, _ = study.infer(c.where("split = 'test'"), study.fit_inference(c, MODES, m=3, rule_id="q95"))
+    timeline, _ = study.infer(c.where("split = 'validation'"), study.fit_inference(c, MODES, m=3, rule_id="q95"))
     return timeline.select("window_id", "engine", "start_cycle", "end_cycle", "op_mode", "raw_score", "alert_score", "smoothed_score", "threshold", "threshold_violation", "persistence_count", "alert_active", "event_start", "event_status", F.to_json("top_three").alias("top_three"))
 
 
@@ -1009,7 +1009,7 @@ def str1_stream_alerts(s, d):
     from ..streaming.alerts import stream_to_table
 
     c = _split(s, d)
-    return stream_to_table(c.where("split = 'test'"), study.fit_inference(c, MODES, m=3, rule_id="q95"), R)
+    return stream_to_table(c.where("split = 'validation'"), study.fit_inference(c, MODES, m=3, rule_id="q95"), R)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
