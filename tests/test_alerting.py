@@ -75,8 +75,8 @@ def test_policies_label_windows(spark):
     w = spark.createDataFrame([("a", 1, 30, 100), ("b", 52, 81, 100), ("c", 71, 100, 100)], "window_id string, start_cycle int, end_cycle int, max_cycle int")
     got = proxies.apply_policies(w, proxies.policy_table(spark))
     pick = lambda p: [(r.onset_cycle, r.label_state) for r in got.where(F.col("policy_id") == p).orderBy("window_id").collect()]
-    assert pick("endpoint_20") == [(81, "healthy"), (81, "anomalous"), (81, "anomalous")]
-    assert pick("full_30") == [(71, "healthy"), (71, "ambiguous"), (71, "anomalous")]
+    assert pick("normalized_life_last_20pct_endpoint") == [(81, "healthy"), (81, "anomalous"), (81, "anomalous")]
+    assert pick("normalized_life_last_30pct_full_window") == [(71, "healthy"), (71, "ambiguous"), (71, "anomalous")]
 
 
 def test_selection_needs_feasibility_and_breaks_ties_by_id(spark):
@@ -115,6 +115,6 @@ def test_factored_grid_equals_row_wise_evaluation(spark):
     for context, alpha, m in (("per_mode", 0.5, 3), ("global", None, 1)):
         trace = alerts.apply_policy(scores, fitted, alpha, m, context, "q")
         for r in study.evaluate_policy(trace, proxies.policy_table(spark))["metrics"].collect():
-            g = got[context, "off" if alpha is None else "0.5", m, r.policy_id]
+            g = got[context, "off" if alpha is None else "alpha_0.50", m, r.policy_id]
             for c in ("tp", "fp", "tn", "fn", "false_events", "crossing_events", "detected_engines", "median_delay", "median_lead", "event_count", "median_event_duration", "fragmentation"):
                 assert getattr(g, c) == getattr(r, c), (context, m, r.policy_id, c)

@@ -30,7 +30,7 @@ def test_stream_equals_batch(spark):
     from tidewatch.streaming.alerts import stream_to_table
 
     c = catalog._split(spark, D)
-    state, rows = study.fit_inference(c, 5, m=3, rule_id="q95"), c.where("split = 'validation'")
+    state, rows = study.fit_inference(c, 5, m=3, rule_id="quantile_0.950"), c.where("split = 'validation'")
     timeline, _ = study.infer(rows, state)
     batch = {(r.engine, r.end_cycle): (r.alert_active, r.persistence_count, round(r.smoothed_score, 6)) for r in timeline.collect()}
     stream = {(r.engine, r.end_cycle): (r.alert_active, r.persistence_count, round(r.smoothed_score, 6)) for r in stream_to_table(rows, state).collect()}

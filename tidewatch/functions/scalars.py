@@ -17,7 +17,7 @@ def event_id(entity: Column, number: Column) -> Column:
 
 def policy_id(semantics: Column, fraction: Column) -> Column:
     """Id of an onset policy from its rounded percentage."""
-    return F.concat(semantics, F.lit("_"), F.round(fraction * 100).cast("int").cast("string"))
+    return F.concat(F.lit("normalized_life_last_"), F.round(fraction * 100).cast("int").cast("string"), F.lit("pct_"), semantics)
 
 
 def undefined(x: Column) -> Column:

@@ -60,7 +60,7 @@ def ewma(scores: DataFrame, alphas: Sequence[float | None], score: str = "alert_
                 state = a * x + (1 - a) * state if follows else np.full(len(a), x)
                 made[i], last = state, mark
             for k, alpha in enumerate(factors):
-                yield frame.assign(ewma_id="off" if alpha is None else f"{alpha:.1f}", ewma_alpha=alpha, smoothed_score=frame[score].to_numpy() if alpha is None else made[:, k]).astype({"ewma_alpha": "float64"})
+                yield frame.assign(ewma_id="off" if alpha is None else f"alpha_{alpha:.2f}", ewma_alpha=alpha, smoothed_score=frame[score].to_numpy() if alpha is None else made[:, k]).astype({"ewma_alpha": "float64"})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + ", ewma_id string, ewma_alpha double, smoothed_score double"
     dealt = out.repartition(*keys, roles.entity).sortWithinPartitions(*names)

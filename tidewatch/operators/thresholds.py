@@ -45,7 +45,7 @@ def fit_thresholds(scores: DataFrame, rules: Sequence[Rule] = RULES, contexts: S
             assert_empty(missing.select(F.lit("mode_without_reference"), F.array_join(F.array_except(wanted, "m"), ",")))
         q = higher_quantiles(scores, groups, table.where("kind = 'quantile'").select("rule_id", "value"))
         stats = scores.groupBy(*groups).agg(F.avg("alert_score").alias("__m"), F.stddev_pop("alert_score").alias("__s"), F.count("*").alias("reference_count"))
-        m = stats.crossJoin(F.broadcast(table.where("kind = 'mean_std'").select("rule_id", "value"))).select(*groups, "rule_id", (F.col("__m") + F.col("value") * F.col("__s")).alias("threshold"), "reference_count")
+        m = stats.crossJoin(F.broadcast(table.where("kind = 'mean_plus_std'").select("rule_id", "value"))).select(*groups, "rule_id", (F.col("__m") + F.col("value") * F.col("__s")).alias("threshold"), "reference_count")
         both = q.select(*groups, "rule_id", "threshold", "reference_count").unionByName(m)
         mode = F.col(roles.mode).cast("int") if context == "per_mode" else F.lit(None).cast("int")
         parts.append(both.select("detector_id", F.lit(context).alias("context"), "rule_id", mode.alias(roles.mode), "threshold", F.col("reference_count").cast("long").alias("reference_count")))
@@ -74,16 +74,16 @@ def candidate_grid(spark: SparkSession, grid: Grid) -> DataFrame:
     out = axis("detector_id", "string", grid.detectors)
     for name, kind, values in (("context", "string", grid.contexts), ("rule_id", "string", [r.rule_id for r in grid.rules]), ("ewma_alpha", "double", grid.ewma), ("persistence", "int", grid.persistence)):
         out = out.crossJoin(axis(name, kind, values))
-    ewma = F.when(F.col("ewma_alpha").isNull(), "off").otherwise(F.format_string("%.1f", "ewma_alpha"))
+    ewma = F.when(F.col("ewma_alpha").isNull(), "off").otherwise(F.format_string("alpha_%.2f", "ewma_alpha"))
     sizes = {"__detector_id": len(grid.contexts) * len(grid.rules) * len(grid.ewma) * len(grid.persistence), "__context": len(grid.rules) * len(grid.ewma) * len(grid.persistence), "__rule_id": len(grid.ewma) * len(grid.persistence), "__ewma_alpha": len(grid.persistence), "__persistence": 1}
     rank = sum((F.col(k) * v for k, v in sizes.items()), F.lit(0))
     out = out.withColumn("ewma_id", ewma).withColumn("candidate_rank", rank)
-    return out.select(F.concat_ws("__", "detector_id", "context", "rule_id", F.concat(F.lit("ewma_"), "ewma_id"), F.format_string("m%02d", "persistence")).alias("candidate_id"), "candidate_rank", "detector_id", "context", "rule_id", "ewma_id", "ewma_alpha", "persistence")
+    return out.select(F.concat_ws("__", "detector_id", "context", "rule_id", F.concat(F.lit("ewma_"), "ewma_id"), F.format_string("persistence_%d", "persistence")).alias("candidate_id"), "candidate_rank", "detector_id", "context", "rule_id", "ewma_id", "ewma_alpha", "persistence")
 
 
 def detector_grid(spark: SparkSession) -> DataFrame:
     """(detector_id, parameter_set, params map): three sets for each detector."""
     # The registered parameter sets.
-    sets = {"pca": [{"variance": v} for v in (0.9, 0.95, 0.99)], "isolation_forest": [{"max_samples": v} for v in (256.0, 1024.0, 5000.0)], "lof": [{"n_neighbors": v} for v in (20.0, 35.0, 50.0)], "one_class": [{"nu": v} for v in (0.01, 0.05, 0.1)]}
+    sets = {"pca": [{"n_components": v} for v in (0.90, 0.95, 0.99)], "one_class_svm": [{"nu": v} for v in (0.01, 0.05, 0.10)], "isolation_forest": [{"max_samples": v, "n_estimators": 300.0} for v in (256.0, 1024.0, 5000.0)], "lof": [{"n_neighbors": v} for v in (20.0, 35.0, 50.0)]}
     rows = [(d, f"{d}_{k}", p) for d, ps in sets.items() for k, p in enumerate(ps)]
     return spark.createDataFrame(rows, "detector_id string, parameter_set string, params map<string,double>")

@@ -183,20 +183,20 @@ def src10_write_report_tables(s, d):
 @query()
 def src11_write_timeline(s, d):
     c, path = _split(s, d), scratch(s, "timeline")
-    timeline, _ = study.infer(c.where("split = 'validation'"), study.fit_inference(c, MODES, m=3, rule_id="q95"))
+    timeline, _ = study.infer(c.where("split = 'validation'"), study.fit_inference(c, MODES, m=3, rule_id="quantile_0.950"))
     tables.write_timeline(timeline.select("window_id", "engine", "end_cycle", "alert_score", "alert_active", "event_status", "top_three"), path)
     return s.read.json(path)
 
 
-@query("select distinct 'user' || user_id as run_id, event_type as stage from events")
+@query("select distinct 'user' || user_id as run_id, event_type as model from events")
 def src12_run_ledger(s, d):
     path = scratch(s, "ledger")
-    runs = s.read.parquet(f"{d}/events.parquet").groupBy(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("run_id"), F.col("event_type").alias("stage")).count()
-    maps = ("parameters", "metrics", "evidence_boundary", "provenance")
-    rest = [F.create_map(F.lit("n"), F.col("count").cast("string")).alias(f) if f in maps else F.lit("x").alias(f) for f in tables.LEDGER_FIELDS if f not in ("run_id", "stage")]
-    one = runs.withColumn("run_id", F.concat_ws("/", "run_id", "stage")).select("run_id", "stage", *rest)
+    runs = s.read.parquet(f"{d}/events.parquet").groupBy(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("run_id"), F.col("event_type").alias("model")).count()
+    maps = ("parameters", "evidence_boundary", "provenance")
+    rest = [F.create_map(F.lit("n"), F.col("count").cast("string")).alias(f) if f in maps else F.lit("x").alias(f) for f in tables.LEDGER_FIELDS if f not in ("run_id", "model")]
+    one = runs.withColumn("run_id", F.concat_ws("/", "run_id", "model")).select("run_id", "model", *rest)
     one.write.json(path)
-    return tables.read_ledger(s, path).select(F.split("run_id", "/")[0].alias("run_id"), "stage")
+    return tables.read_ledger(s, path).select(F.split("run_id", "/")[0].alias("run_id"), "model")
 
 
 @query("select op_mode, fit_rows, fallback, round(m1, 9) as mean_s1, round(d1, 9) as scale_s1 from mscal")
@@ -304,9 +304,9 @@ def prj4_filter_entities(s, d):
     return _cycles(s, d).join(_assigned(s, d).where("split = 'validation'"), "engine", "left_semi").select("engine", "cycle")
 
 
-@query("select window_id, onset_cycle, label_state, proxy_label from lab where policy_id = 'full_30'")
+@query("select window_id, onset_cycle, label_state, proxy_label from lab where policy_id = 'normalized_life_last_30pct_full_window'")
 def prj5_apply_onset_policy(s, d):
-    return _labelled(s, d).where("policy_id = 'full_30'").select("window_id", "onset_cycle", "label_state", "proxy_label")
+    return _labelled(s, d).where("policy_id = 'normalized_life_last_30pct_full_window'").select("window_id", "onset_cycle", "label_state", "proxy_label")
 
 
 @query("select window_id, policy_id, onset_cycle, label_state, proxy_label from lab")
@@ -328,8 +328,8 @@ def prj8_threshold_rules(s, d):
 GRID = Grid(detectors=("energy", "peak"))
 
 
-@query("""select c.detector_id || '__' || c.context || '__' || r.rule_id || '__ewma_' || e.ewma_id || '__m' || lpad(m.m::varchar, 2, '0') as candidate_id, n.windows
-from (select distinct detector_id, context from lists) c cross join rules r cross join (values ('off'), ('0.2'), ('0.5'), ('0.8')) e(ewma_id) cross join (values (1), (3), (5), (8)) m(m) join (select detector_id, count(*) as windows from sc group by 1) n using (detector_id)""")
+@query("""select c.detector_id || '__' || c.context || '__' || r.rule_id || '__ewma_' || e.ewma_id || '__persistence_' || m.m as candidate_id, n.windows
+from (select distinct detector_id, context from lists) c cross join rules r cross join (values ('off'), ('alpha_0.20'), ('alpha_0.50'), ('alpha_0.80')) e(ewma_id) cross join (values (1), (3), (5), (8)) m(m) join (select detector_id, count(*) as windows from sc group by 1) n using (detector_id)""")
 def prj9_alert_candidate_grid(s, d):
     n = _scores(s, d).groupBy("detector_id").agg(F.count("*").alias("windows"))
     return thresholds.candidate_grid(s, GRID).join(F.broadcast(n), "detector_id").select("candidate_id", "windows")
@@ -457,9 +457,9 @@ def a5_quantile_thresholds(s, d):
     return fitted.withColumn("threshold", F.round("threshold", 9))
 
 
-@query("select detector_id, context, t.rule_id, op_mode, round(threshold, 9) as threshold, reference_count from thr t join rules using (rule_id) where kind = 'mean_std'")
+@query("select detector_id, context, t.rule_id, op_mode, round(threshold, 9) as threshold, reference_count from thr t join rules using (rule_id) where kind = 'mean_plus_std'")
 def a6_mean_std_thresholds(s, d):
-    fitted = thresholds.fit_thresholds(study.eligible_training(_scores(s, d)), [r for r in RULES if r.kind == "mean_std"])
+    fitted = thresholds.fit_thresholds(study.eligible_training(_scores(s, d)), [r for r in RULES if r.kind == "mean_plus_std"])
     return fitted.withColumn("threshold", F.round("threshold", 9))
 
 
@@ -740,7 +740,7 @@ ge as (select detector_id, ewma_id, context, rule_id, persistence, engine, min(e
 gk as (select distinct detector_id, ewma_id, context, rule_id, persistence from ga),
 go as (select k.*, o.policy_id, o.engine, any_value(o.onset_cycle) as onset_cycle, any_value(o.max_cycle) as max_cycle, min(case when es >= o.onset_cycle then es end) as first_detection, count(*) filter (es < o.onset_cycle) as false_events
   from gk k cross join (select ons.* from ons join spl using (engine) where split = 'validation') o left join ge e on e.detector_id = k.detector_id and e.ewma_id = k.ewma_id and e.context = k.context and e.rule_id = k.rule_id and e.persistence = k.persistence and e.engine = o.engine group by k.detector_id, k.ewma_id, k.context, k.rule_id, k.persistence, o.policy_id, o.engine),
-gm as (select detector_id || '__' || context || '__' || rule_id || '__ewma_' || ewma_id || '__m' || lpad(persistence::varchar, 2, '0') as candidate_id, detector_id, policy_id, engine_count, detected_engines, false_events, false_alert_engines, median_delay, median_lead, tp, fp, tn, fn,
+gm as (select detector_id || '__' || context || '__' || rule_id || '__ewma_' || ewma_id || '__persistence_' || persistence as candidate_id, detector_id, policy_id, engine_count, detected_engines, false_events, false_alert_engines, median_delay, median_lead, tp, fp, tn, fn,
   100 * detected_engines::double / engine_count as coverage_percent, 1000 * fp::double / nullif(fp + tn, 0) as fp_per_1000_healthy, 1000 * false_events::double / nullif(fp + tn, 0) as false_events_per_1000_healthy, 100 * false_alert_engines::double / engine_count as false_alert_engine_percent
   from gc join (select detector_id, ewma_id, context, rule_id, persistence, policy_id, count(*) as engine_count, count(first_detection) as detected_engines, sum(false_events)::bigint as false_events, count(*) filter (false_events > 0) as false_alert_engines, quantile_cont(first_detection - onset_cycle, 0.5)::double as median_delay, quantile_cont(max_cycle - first_detection, 0.5)::double as median_lead from go group by 1, 2, 3, 4, 5, 6) using (detector_id, ewma_id, context, rule_id, persistence, policy_id)),
 gg as (select candidate_id, any_value(detector_id) as detector_id, min(coverage_percent) as min_coverage, avg(coverage_percent) as mean_coverage, max(fp_per_1000_healthy) as worst_fp, max(false_events_per_1000_healthy) as worst_fe, max(false_alert_engine_percent) as worst_en, case when count(median_delay) = 3 then median(median_delay) end as delay, case when count(median_lead) = 3 then median(median_lead) end as lead
@@ -799,7 +799,7 @@ def sc1_window_ids(s, d):
     return m.select(scalars.window_id(F.col("split"), F.col("engine"), F.col("start_cycle"), F.col("end_cycle")).alias("window_id"))
 
 
-@query("select engine, policy_semantics || '_' || round(onset_fraction * 100)::int as policy_id from life cross join pol")
+@query("select engine, 'normalized_life_last_' || round(onset_fraction * 100)::int || 'pct_' || policy_semantics as policy_id from life cross join pol")
 def sc2_policy_ids(s, d):
     p = proxies.policy_table(s)
     return splits.summarize_entities(_cycles(s, d)).crossJoin(F.broadcast(p)).select("engine", scalars.policy_id(F.col("policy_semantics"), F.col("onset_fraction")).alias("policy_id"))
@@ -981,7 +981,7 @@ def ml19_evaluate_detector(s, d):
 @query()
 def ml20_infer(s, d):
     c = _split(s, d)
-    timeline, _ = study.infer(c.where("split = 'validation'"), study.fit_inference(c, MODES, m=3, rule_id="q95"))
+    timeline, _ = study.infer(c.where("split = 'validation'"), study.fit_inference(c, MODES, m=3, rule_id="quantile_0.950"))
     return timeline.select("window_id", "engine", "start_cycle", "end_cycle", "op_mode", "raw_score", "alert_score", "smoothed_score", "threshold", "threshold_violation", "persistence_count", "alert_active", "event_start", "event_status", F.to_json("top_three").alias("top_three"))
 
 
@@ -1009,7 +1009,7 @@ def str1_stream_alerts(s, d):
     from ..streaming.alerts import stream_to_table
 
     c = _split(s, d)
-    return stream_to_table(c.where("split = 'validation'"), study.fit_inference(c, MODES, m=3, rule_id="q95"), R)
+    return stream_to_table(c.where("split = 'validation'"), study.fit_inference(c, MODES, m=3, rule_id="quantile_0.950"), R)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -39,19 +39,19 @@ ref as (select * from raws where split = 'train' and end_cycle <= floor(max_cycl
 rcum as (select detector_id, raw_score, max(k) as upto, max(t) as total from (select detector_id, raw_score, row_number() over (partition by detector_id order by raw_score) as k, count(*) over (partition by detector_id) as t from ref) group by 1, 2),
 sc as (select s.*, coalesce(r.upto, 0)::double / t.total as alert_score from raws s asof left join rcum r on s.detector_id = r.detector_id and s.raw_score >= r.raw_score join (select detector_id, count(*) as total from ref group by 1) t on s.detector_id = t.detector_id),
 scref as (select * from sc where split = 'train' and end_cycle <= floor(max_cycle::double * 0.3::double)),
-rules as (select * from (values ('q90', 'quantile', 0.9::double), ('q95', 'quantile', 0.95::double), ('q975', 'quantile', 0.975::double), ('q99', 'quantile', 0.99::double), ('q995', 'quantile', 0.995::double), ('mean_1std', 'mean_std', 1::double), ('mean_1_5std', 'mean_std', 1.5::double), ('mean_2std', 'mean_std', 2::double)) v(rule_id, kind, value)),
+rules as (select * from (values ('quantile_0.900', 'quantile', 0.9::double), ('quantile_0.950', 'quantile', 0.95::double), ('quantile_0.975', 'quantile', 0.975::double), ('quantile_0.990', 'quantile', 0.99::double), ('quantile_0.995', 'quantile', 0.995::double), ('mean_plus_1.0_std', 'mean_plus_std', 1::double), ('mean_plus_1.5_std', 'mean_plus_std', 1.5::double), ('mean_plus_2.0_std', 'mean_plus_std', 2::double)) v(rule_id, kind, value)),
 lists as (select detector_id, 'global' as context, null::int as op_mode, list(alert_score order by alert_score) as xs, avg(alert_score) as m, stddev_pop(alert_score) as d from scref group by 1
   union all select detector_id, 'per_mode', op_mode, list(alert_score order by alert_score), avg(alert_score), stddev_pop(alert_score) from scref group by 1, 3),
 thr as (select detector_id, context, rule_id, op_mode, case when kind = 'quantile' then xs[ceil((len(xs) - 1)::double * value)::int + 1] else m + value * d end as threshold, len(xs)::bigint as reference_count from lists cross join rules),
 hist as (select *, list(alert_score) over (partition by detector_id, engine order by end_cycle rows between unbounded preceding and current row) as xs from sc),
 sm as (select h.* exclude (xs), a.ewma_id, a.alpha, case when alpha is null then alert_score else list_reduce(xs, lambda s, x: a.alpha * x + (1 - a.alpha) * s) end as smoothed_score
-  from hist h cross join (values ('off', null::double), ('0.2', 0.2::double), ('0.5', 0.5::double), ('0.8', 0.8::double)) a(ewma_id, alpha)),
-viol as (select s.*, t.threshold, smoothed_score > t.threshold as v from sm s join thr t on t.detector_id = s.detector_id and t.context = 'per_mode' and t.rule_id = 'q95' and t.op_mode = s.op_mode where ewma_id = '0.2'),
+  from hist h cross join (values ('off', null::double), ('alpha_0.20', 0.2::double), ('alpha_0.50', 0.5::double), ('alpha_0.80', 0.8::double)) a(ewma_id, alpha)),
+viol as (select s.*, t.threshold, smoothed_score > t.threshold as v from sm s join thr t on t.detector_id = s.detector_id and t.context = 'per_mode' and t.rule_id = 'quantile_0.950' and t.op_mode = s.op_mode where ewma_id = 'alpha_0.20'),
 trace as (select *, case when v then row_number() over (partition by detector_id, engine, isl, v order by end_cycle) else 0 end::int as persistence_count from (select *, sum((not v)::int) over (partition by detector_id, engine order by end_cycle) as isl from viol)),
 act as (select *, persistence_count >= 3 as alert_active from trace),
 ev3 as (select detector_id, engine, min(end_cycle) as event_start_cycle, max(end_cycle) as event_end_cycle, count(*) as event_duration_endpoints from (select *, end_cycle - row_number() over (partition by detector_id, engine order by end_cycle) as g from act where alert_active) group by detector_id, engine, g),
 events3 as (select *, row_number() over (partition by detector_id, engine order by event_start_cycle)::int as event_number from ev3),
-pol as (select * from (values ('endpoint_10', 0.1::double, 'endpoint', true), ('endpoint_20', 0.2::double, 'endpoint', true), ('endpoint_30', 0.3::double, 'endpoint', true), ('full_20', 0.2::double, 'full_window', false), ('full_30', 0.3::double, 'full_window', false)) v(policy_id, onset_fraction, policy_semantics, selection_policy)),
+pol as (select * from (values ('normalized_life_last_10pct_endpoint', 0.1::double, 'endpoint', true), ('normalized_life_last_20pct_endpoint', 0.2::double, 'endpoint', true), ('normalized_life_last_30pct_endpoint', 0.3::double, 'endpoint', true), ('normalized_life_last_20pct_full_window', 0.2::double, 'full_window', false), ('normalized_life_last_30pct_full_window', 0.3::double, 'full_window', false)) v(policy_id, onset_fraction, policy_semantics, selection_policy)),
 lab as (select *, case when label_state = 'anomalous' then 1 when label_state = 'healthy' then 0 end as proxy_label from (select *, case when end_cycle < onset_cycle then 'healthy' when policy_semantics = 'full_window' and start_cycle < onset_cycle then 'ambiguous' else 'anomalous' end as label_state
   from (select m.* exclude (label_state), p.*, (floor(max_cycle::double * (1::double - onset_fraction)) + 1)::int as onset_cycle from meta m cross join pol p))),
 ons as (select policy_id, engine, any_value(onset_cycle) as onset_cycle, any_value(max_cycle) as max_cycle from lab group by 1, 2),

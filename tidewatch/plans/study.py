@@ -56,7 +56,7 @@ def score_frame(cycles: DataFrame, modes: int, roles: Roles = Roles()) -> DataFr
     return cut(calibration.ecdf(eligible_training(raw, roles), raw), "scores")
 
 
-def alert_trace(scores: DataFrame, alpha: float | None = 0.2, m: int = 3, context: str = "per_mode", rule_id: str = "q95", roles: Roles = Roles()) -> DataFrame:
+def alert_trace(scores: DataFrame, alpha: float | None = 0.2, m: int = 3, context: str = "per_mode", rule_id: str = "quantile_0.950", roles: Roles = Roles()) -> DataFrame:
     """Traces of all windows under thresholds of the eligible training windows."""
     fitted = cut(thresholds.fit_thresholds(eligible_training(scores, roles), [r for r in RULES if r.rule_id == rule_id], [context], roles=roles), "thresholds")
     return cut(alerts.apply_policy(scores, fitted, alpha, m, context, rule_id, roles), "trace")
@@ -179,7 +179,7 @@ class InferenceState:
     alpha: float = 0.2
     m: int = 8
     context: str = "per_mode"
-    rule_id: str = "q995"
+    rule_id: str = "quantile_0.995"
 
 
 def fit_inference(cycles: DataFrame, modes: int, roles: Roles = Roles(), variance: float = 0.9, **policy) -> InferenceState:

@@ -38,24 +38,24 @@ class Rule:
 
 # The registered threshold rules, onset policies and alert parameters.
 RULES = (
-    Rule("q90", "quantile", 0.90),
-    Rule("q95", "quantile", 0.95),
-    Rule("q975", "quantile", 0.975),
-    Rule("q99", "quantile", 0.99),
-    Rule("q995", "quantile", 0.995),
-    Rule("mean_1std", "mean_std", 1.0),
-    Rule("mean_1_5std", "mean_std", 1.5),
-    Rule("mean_2std", "mean_std", 2.0),
+    Rule("quantile_0.900", "quantile", 0.90),
+    Rule("quantile_0.950", "quantile", 0.95),
+    Rule("quantile_0.975", "quantile", 0.975),
+    Rule("quantile_0.990", "quantile", 0.99),
+    Rule("quantile_0.995", "quantile", 0.995),
+    Rule("mean_plus_1.0_std", "mean_plus_std", 1.0),
+    Rule("mean_plus_1.5_std", "mean_plus_std", 1.5),
+    Rule("mean_plus_2.0_std", "mean_plus_std", 2.0),
 )
 EWMA = (None, 0.2, 0.5, 0.8)
 PERSISTENCE = (1, 3, 5, 8)
 #: (policy_id, share of life after onset, semantics, used for selection)
 POLICIES = (
-    ("endpoint_10", 0.10, "endpoint", True),
-    ("endpoint_20", 0.20, "endpoint", True),
-    ("endpoint_30", 0.30, "endpoint", True),
-    ("full_20", 0.20, "full_window", False),
-    ("full_30", 0.30, "full_window", False),
+    ("normalized_life_last_10pct_endpoint", 0.10, "endpoint", True),
+    ("normalized_life_last_20pct_endpoint", 0.20, "endpoint", True),
+    ("normalized_life_last_30pct_endpoint", 0.30, "endpoint", True),
+    ("normalized_life_last_20pct_full_window", 0.20, "full_window", False),
+    ("normalized_life_last_30pct_full_window", 0.30, "full_window", False),
 )
 FEASIBLE_PER_1000 = 60.0
 DELAY_ASPIRATION = 12.0

@@ -118,11 +118,11 @@ def write_timeline(timeline: DataFrame, path: str, form: str = "json", nested: s
 
 
 # Fields that a run record must have.
-LEDGER_FIELDS = ("run_id", "stage", "status", "created_at", "dataset_id", "split_manifest_id", "preprocessing_id", "detector_id", "parameters", "metrics", "seed", "code_version", "config_path", "report_path", "evidence_boundary", "provenance", "notes", "schema_version")
+LEDGER_FIELDS = ("schema_version", "run_id", "source_run_id", "timestamp", "owner", "experiment_name", "model", "parameters", "population", "metric", "evidence_class", "result_classification", "evidence_boundary", "split", "config", "artifact", "notes", "provenance")
 
 
 def ledger_schema() -> T.StructType:
-    nested = {"parameters", "metrics", "evidence_boundary", "provenance"}
+    nested = {"parameters", "evidence_boundary", "provenance"}
     return T.StructType([T.StructField(f, T.MapType(T.StringType(), T.StringType()) if f in nested else T.StringType()) for f in LEDGER_FIELDS])
 
 
