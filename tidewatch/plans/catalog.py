@@ -654,9 +654,12 @@ def w2_window_arrays(s, d):
 FEATS = R.features
 
 
-@query(f"select window_id, {', '.join(f'round({f}, 6) as {f}' for f in FEATS)} from feat")
+W3 = ", ".join([f"round(avg(s{i}) over w, 6) as mean_s{i}, round(stddev_pop(s{i}) over w, 6) as std_s{i}, round(s{i} - first(s{i}) over w, 6) as slope_s{i}" for i in (1, 2, 3)])
+
+
+@query(f"select printf('%s:e%03d:c%04d-%04d', split, engine, end_cycle - 9, end_cycle) as window_id, {', '.join(FEATS)} from (select engine, split, cycle as end_cycle, {W3} from tr window w as (partition by engine order by cycle rows between 9 preceding and current row)) where end_cycle >= 10")
 def w3_summary_features(s, d):
-    return _features(s, d).select("window_id", *[F.round(f, 6).alias(f) for f in FEATS])
+    return windows.summary_features(_scaled(s, d), R, digits=6).select("window_id", *FEATS)
 
 
 @query("select engine, cycle, max_cycle from cs")
