@@ -105,15 +105,13 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "quality", grades: int
     return CumulativeLink(chosen, flat[: len(chosen)], theta)
 
 
-_LOOKUPS: dict[int, Lookup] = {}
-
 
 def _latents(spark, model: CumulativeLink):
     sent = spark.sparkContext.broadcast(model)
 
     def latents(column):
         m = sent.value
-        look = _LOOKUPS.get(id(m)) or _LOOKUPS.setdefault(id(m), Lookup(STYLE, m.chosen))
+        look = m.__dict__.setdefault("look", Lookup(STYLE, m.chosen))  # the cache lives as long as the model
         for t in column:
             yield m.latent(*look(t.as_py() or b""))
 

@@ -121,7 +121,7 @@ def _scorer(spark, model: FactorizationMachine):
 
     def scores(column) -> Iterator[float]:
         m = sent.value
-        look = _LOOKUPS.get(id(m)) or _LOOKUPS.setdefault(id(m), Lookup(WORDS, m.chosen))
+        look = m.__dict__.setdefault("look", Lookup(WORDS, m.chosen))  # the cache lives as long as the model
         for t in column:
             ids, _ = look(t.as_py() or b"")
             yield m.score(ids)
@@ -129,8 +129,6 @@ def _scorer(spark, model: FactorizationMachine):
     return scores
 
 
-_LOOKUPS: dict[int, Lookup] = {}
-
 
 def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
     """(id, kept expressions, score), a row for each row of ``docs``.
