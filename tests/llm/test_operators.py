@@ -245,6 +245,27 @@ def test_warc_round_trip_in_small_chunks(spark):
         warc.read(chunks.where("not (record_id = 6 and chunk = 1)")).collect()
 
 
+def test_fast_ids_equal_the_tokenizer_files(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    rng = random.Random(13)
+    tok, tokens = Tokenizer.from_file(tokenizer_path()), packing.Tokens(tokenizer_path())
+    assert tokens.fast is not None
+    signs = ["a", "B", "é", "ß", "ж", "日", "1", "²", "'s", "'LL", " ", "  ", "\n", "\t", "\u00a0", "\u180e", "\u2003", "\u200b", "!", "<|endoftext|>", "😀", "\x00", "़"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(30))) for _ in range(3000)] + [chr(c) * 3 + " " + chr(c) for c in range(1, 0x3000)] + [" " * 6000 + "a", "x" * 20_000]
+    for t, e in zip(texts, tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert tokens(t) == np.array(e.ids, "<u4").tobytes()
+    # A file that isn't plain byte-level BPE is run as it is.
+    spec = json.loads(tok.to_str())
+    spec["normalizer"] = {"type": "Lowercase"}
+    other = tmp_path / "t.json"
+    other.write_text(json.dumps(spec))
+    lower = packing.Tokens(str(other))
+    assert lower.fast is None and lower("ABC d") == tokens("abc d")
+
+
 def test_packing_holds_every_id_once(spark):
     from tokenizers import Tokenizer
 

@@ -8,7 +8,9 @@ merged in rounds, groups of partitions at a time, until one group is left.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -23,51 +25,65 @@ PIECES = "doc_id {kind}, start long, length long, ids binary, doc_tokens long, s
 
 
 class Tokens:
-    """Ids of texts by a tokenizer file, with a bounded cache of space-separated chunks.
+    """Ids of texts by a tokenizer file.
 
-    A byte-level BPE splits " word" from what stands before it wherever one space stands
-    between two other characters, so a text may be cut there and its chunks encoded one
-    by one.  Texts with other white space next to a space are encoded whole.
+    Byte-level BPE files whose ids are bytes and then merges in order (checked) are run by
+    tiktoken from the file's own vocabulary, which gives the same ids several times faster.
+    Other files, texts that hold an added token, and texts with very long runs of white
+    space go to tokenizers.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok, self.most, self.cache = Tokenizer.from_file(path), most, {}
+        self.tok, self.fast = Tokenizer.from_file(path), None
+        spec = json.loads(self.tok.to_str())
+        ranks = _ranks(spec)
+        added = [t["content"] for t in spec["added_tokens"]]
+        self.other = re.compile("|".join([*map(re.escape, added), r"\s{5000}"]))
+        if ranks:
+            import tiktoken
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+            self.fast = tiktoken.Encoding("file", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
-        chunks = text.split(" ")
-        if len(chunks) < 3:
-            return self._encode([text])[0] if text else b""
-        first, last = chunks[0], chunks[-1]
-        if not first or not last or first[-1].isspace() or last[0].isspace():
-            return self._encode([text])[0]
-        inner, cache = chunks[1:-1], self.cache
-        got = list(map(cache.get, inner))
-        if None in got:
-            new = list(dict.fromkeys(c for c, g in zip(inner, got, strict=True) if g is None))
-            for c in new:
-                if not c or c[0].isspace() or c[-1].isspace() or "᠎" in c:
-                    return self._encode([text])[0]
-            if len(cache) + len(new) > self.most:
-                cache.clear()
-            fresh = dict(zip(new, self._encode([" " + c for c in new]), strict=True))
-            cache.update((c, b) for c, b in fresh.items() if len(c) < 100)
-            got = [fresh[c] if g is None else g for c, g in zip(inner, got, strict=True)]
-        ends = self._encode([first, " " + last])
-        return b"".join([ends[0], *got, ends[1]])
+        if self.fast is None or self.other.search(text):
+            ids = self.tok.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        return np.array(ids, "<u4").tobytes()
+
+
+# Fixed value: how byte-level BPE splits a text before merging.
+PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _ranks(spec: dict) -> dict[bytes, int] | None:
+    """Ids by bytes, if the file is plain byte-level BPE with ids in order of merging; else None."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback")
+    if not plain or spec.get("normalizer") or spec.get("truncation") or any(model.get(k) for k in odd):
+        return None
+    vocab = model["vocab"]
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    # Printable bytes stand for themselves, the others for the characters from 256 on.
+    plainly = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    byte = {chr(b): b for b in plainly} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plainly)))}
+    added = {t["content"] for t in spec["added_tokens"]}
+    words = {w: i for w, i in vocab.items() if w not in added}
+    if sorted(words.values()) != list(range(len(words))) or any(words.get(w) != 256 + k for k, w in enumerate(merged)):
+        return None
+    return {bytes(map(byte.__getitem__, w)): i for w, i in words.items()}
 
 
 _TOKENS: dict[str, Tokens] = {}
 
 
 def tokens_for(path: str) -> Tokens:
-    """One tokenizer, with its cache, for each worker process and file."""
+    """One tokenizer for each worker process and file."""
     if path not in _TOKENS:
         _TOKENS[path] = Tokens(path)
     return _TOKENS[path]
