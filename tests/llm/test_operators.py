@@ -90,6 +90,40 @@ def test_simhash_equals_brute_force(spark):
     assert simhash.near_duplicates(table(spark, texts).limit(0)).count() == 0
 
 
+def test_wide_fingerprints_tell_similar_pairs():
+    rng = random.Random(14)
+    radius, lead = simhash.radius_for(0.8, 1024, 2), (4, simhash.radius_for(0.8, 256, 3))
+    near, far, n_near, n_far, spread = 0, 0, 0, 0, []
+    for _ in range(300):
+        w = [rng.choice(WORDS) for _ in range(rng.randrange(60, 400))]
+        v = list(w)
+        for _ in range(rng.randrange(0, 1 + len(w) // 12)):
+            v[rng.randrange(len(v))] = "zzz"
+        a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (w, v))
+        like = len(a & b) / len(a | b)
+        x, y = (np.frombuffer(simhash.fingerprint(simhash.shingle_hashes(" ".join(t).encode(), 5, 42), 16), ">u8").astype(np.uint64)[None] for t in (w, v))
+        hit = any(len(r) for r, _ in simhash.near_pairs(x, y, radius, lead))
+        bits = int(np.bitwise_count(x ^ y).sum())
+        spread.append((bits - simhash.radius_for(like, 1024, 0)) / 11.5)
+        assert not hit or bits <= radius
+        near, n_near = near + (hit and like >= 0.8), n_near + (like >= 0.8)
+        far, n_far = far + (hit and like < 0.68), n_far + (like < 0.68)
+    assert n_near > 50 and near >= 0.97 * n_near
+    assert n_far > 50 and far <= 0.03 * n_far
+    assert np.std(spread) < 1.5
+
+
+def test_near_pairs_are_all_pairs_within_the_radius():
+    rng = np.random.default_rng(15)
+    base = rng.integers(0, 2**64, (40, 2), dtype=np.uint64)
+    x = np.repeat(base, 10, axis=0) ^ (np.uint64(1) << rng.integers(0, 64, (400, 2), dtype=np.uint64))
+    want = {(i, j) for i in range(400) for j in range(400) if int(np.bitwise_count(x[i] ^ x[j]).sum()) <= 3}
+    got = [(a, b) for r, c in simhash.near_pairs(x, x, 3, block=64) for a, b in zip(r.tolist(), c.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want
+    led = [(a, b) for r, c in simhash.near_pairs(x, x, 3, (1, 3), block=64) for a, b in zip(r.tolist(), c.tolist(), strict=True)]
+    assert len(led) == len(set(led)) and set(led) == want
+
+
 def test_deduplicate_keeps_the_least_of_each_group(spark):
     rng = random.Random(4)
     a, b = prose(rng, 300), prose(rng, 300)
