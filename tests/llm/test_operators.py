@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewatch.llm import brown, decontaminate, licences, outliers, packing, quality, simhash, toxicity, urls, warc
+from tidewatch.llm import brown, decontaminate, licences, near_sets, outliers, packing, quality, simhash, toxicity, urls, warc
 from tidewatch.llm._shared import Workspace, held_out
 from tidewatch.llm.components import components
 from tidewatch.llm.queries import RULES, tokenizer_path
@@ -133,6 +133,39 @@ def test_deduplicate_keeps_the_least_of_each_group(spark):
     assert sorted(r.doc_id for r in got) == [0, 1, 4, 5]
 
 
+def test_near_groups_are_those_of_the_exact_similarity(spark):
+    rng = random.Random(8)
+    texts = [*ODD]
+    for n in [8, 9, 16, 24, 40, 60, 120, 300] * 6:
+        w = prose(rng, n).split()
+        texts.append(" ".join(w))
+        for _ in range(3):  # cut or edited, to similarities about 0.8
+            v = w[: n - rng.randint(0, n // 4)]
+            for _ in range(rng.randint(0, 1 + n // 60)):
+                v[rng.randrange(len(v))] = "zz"
+            texts.append(" ".join(v))
+    block = prose(rng, 200)
+    texts += [prose(rng, 30) + " " + block for _ in range(12)] + [block, block + " " + block]
+    w = prose(rng, 9).split()
+    texts += [" ".join(w), " ".join(w[:8])]  # five shingles against four: 0.8
+    sets = [set(simhash.shingle_hashes((t or "").encode(), 5, 42).tolist()) for t in texts]
+    up, close = list(range(len(texts))), []
+    for i in range(len(texts)):
+        for j in range(i):
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            close.append(both / max(1, either))
+            if 5 * both >= 4 * either:
+                a, b = sorted((up[i], up[j]))
+                up = [a if x == b else x for x in up]
+    assert sum(0.7 < s < 0.8 for s in close) > 10 and sum(0.8 <= s < 0.85 for s in close) > 10
+    for options in ({}, {"tile_sets": 3}):
+        got = {r.id: r.component_id for r in near_sets.near_groups(table(spark, texts), **options).collect()}
+        assert got == dict(enumerate(up))
+    kept = {r.doc_id for r in simhash.deduplicate(table(spark, texts)).collect()}
+    assert kept == set(up)
+    assert near_sets.near_groups(table(spark, texts).limit(0)).count() == 0
+
+
 def test_toxicity_learns_a_pair_and_scores_odd_texts(spark):
     rng = random.Random(5)
     rows, labels = [], []

@@ -195,17 +195,16 @@ def radius_for(similarity: float, bits: int, slack: float = 1.0) -> int:
     return round(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 16, lead_words: int = 4) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` less all but one document of each near-duplicate group; same columns.
 
-    Five-word shingles, 1024-bit fingerprints and the radius that stands for the given
-    similarity plus two standard deviations; only pairs within three standard deviations
-    by the first 256 bits have the others compared.  Of pairs right at the similarity one
-    in about 40 is missed, of more similar pairs fewer.  The document with the least id
-    of a group stays.  Rows with a null id stay.  Of rows that repeat an id, those of the
-    least id of a group stay.
+    Groups are those of ``near_sets.near_groups``: exact Jaccard similarity of the distinct
+    five-word shingles, no estimate.  The document with the least id of a group stays.
+    Rows with a null id stay.  Of rows that repeat an id, those of the least id of a group
+    stay.
     """
-    radius, lead = radius_for(similarity, 64 * words, 2), (lead_words, radius_for(similarity, 64 * lead_words, 3))
-    groups = near_duplicates(docs, id_col, text_col, k=5, words=words, radius=radius, parts=0, ratio=1 / similarity, tile=4096, lead=lead)
+    from .near_sets import near_groups
+
+    groups = near_groups(docs, id_col, text_col, k=5, similarity=similarity)
     gone = groups.where("component_id <> id").select("id").distinct()
     return docs.join(gone, docs[id_col].cast("long") == gone["id"], "left_anti")
