@@ -312,6 +312,14 @@ def test_warc_round_trip_in_small_chunks(spark):
         warc.read(chunks.where("not (record_id = 6 and chunk = 1)")).collect()
 
 
+def test_warc_long_urls_and_repeated_pages(spark):
+    big, far = "b" * 3000, "http://x/" + "u" * 100_000
+    given = [(1, far, "a" * 1500), (2, "u", big), (2, "u", big), (3, "u", big), (3, "u", big), (3, "v", "c" * 2500), (4, "w", None), (4, "w", None)]
+    chunks = Workspace(spark, "w").save(warc.write_chunks(spark.createDataFrame(given, "page_id long, url string, html string"), chunk=700), "chunks")
+    got = sorted((r.record_id, r.url, r.payload_digest, r.record_type, r.refers_to or 0) for r in warc.read(chunks).collect())
+    assert got == sorted((i, u, hashlib.sha1((b or "").encode()).hexdigest(), *(("revisit", 3) if i == 2 else ("response", 0))) for i, u, b in given)
+
+
 def test_fast_ids_equal_the_tokenizer_files(tmp_path):
     import json
 

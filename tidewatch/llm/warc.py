@@ -1,8 +1,9 @@
 """WARC records as a chunked table.
 
-A record is rows (record_id, chunk, data, prefix_sha1, last): the data of its rows, in
+A record is rows (record_id, chunk, data, prefix_sha1, last, record_key): the data of its rows, in
 order, are the bytes of a WARC/1.1 record, so that the rows of a shard in order of
-(record_id, chunk) are the bytes of an archive file.  Chunks are bounded: a payload is
+(record_id, record_key, chunk) are the bytes of an archive file.  record_key tells apart the
+records of rows that repeat an id.  Chunks are bounded: a payload is
 written and read as a stream of slices, with a SHA-1 carried from chunk to chunk, and no
 task joins a whole record.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from ._shared import Workspace, salted_left_join
 
 CHUNK = 1 << 20
-CHUNK_SCHEMA = "record_id long, chunk int, data binary, prefix_sha1 string, last boolean"
+CHUNK_SCHEMA = "record_id long, chunk int, data binary, prefix_sha1 string, last boolean, record_key long"
 
 
 def payload_digests(pages: DataFrame, id_col: str, body_col: str) -> DataFrame:
@@ -29,7 +30,7 @@ def payload_digests(pages: DataFrame, id_col: str, body_col: str) -> DataFrame:
 
 
 def plan_revisits(digests: DataFrame, least: int = 1000) -> DataFrame:
-    """(record_id, refers_to): of equal payloads of ``least`` bytes or more, all but the largest id refer to it.
+    """(record_id, sha1, refers_to), distinct: of equal payloads of ``least`` bytes or more, all but the largest id refer to it.
 
     Groups are pre-aggregated, and only groups of two or more are joined back, salted:
     a payload that a third of all records share doesn't gather in one task.
@@ -37,7 +38,7 @@ def plan_revisits(digests: DataFrame, least: int = 1000) -> DataFrame:
     large = digests.where(F.col("bytes") >= least)
     groups = large.groupBy("sha1", "bytes").agg(F.max("record_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     joined = salted_left_join(large, groups, ["sha1", "bytes"], ["record_id"])
-    return joined.where(F.col("first").isNotNull() & (F.col("first") != F.col("record_id"))).select("record_id", F.col("first").alias("refers_to"))
+    return joined.where(F.col("first").isNotNull() & (F.col("first") != F.col("record_id"))).select("record_id", "sha1", F.col("first").alias("refers_to")).distinct()
 
 
 def _header(record_id: int, url: str, length: int, sha1: bytes, refers_to: int | None) -> bytes:
@@ -49,7 +50,7 @@ def _header(record_id: int, url: str, length: int, sha1: bytes, refers_to: int |
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
-def record_chunks(record_id: int, url: str | None, body: memoryview, refers_to: int | None, size: int):
+def record_chunks(record_id: int, url: str | None, body: memoryview, refers_to: int | None, size: int, key: int = 0):
     """The rows of one record: its header, slices of its payload, and the closing line ends with the last."""
     full = hashlib.sha1()
     for a in range(0, len(body), size):
@@ -57,12 +58,12 @@ def record_chunks(record_id: int, url: str | None, body: memoryview, refers_to:
     head, end = _header(record_id, url or "", len(body), full.digest(), refers_to), b"\r\n\r\n"
     body = body[:0] if refers_to is not None else body
     running = hashlib.sha1()
-    yield record_id, 0, head + (end if not len(body) else b""), running.hexdigest(), not len(body)
+    yield record_id, 0, head + (end if not len(body) else b""), running.hexdigest(), not len(body), key
     for k, a in enumerate(range(0, len(body), size), 1):
         part = body[a : a + size]
         running.update(part)
         last = a + size >= len(body)
-        yield record_id, k, bytes(part) + (end if last else b""), running.hexdigest(), last
+        yield record_id, k, bytes(part) + (end if last else b""), running.hexdigest(), last, key
 
 
 def _emit(rows, most: int = 4 << 20):
@@ -79,29 +80,31 @@ def _emit(rows, most: int = 4 << 20):
 
 
 def _batch(rows):
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["record_id", "chunk", "data", "prefix_sha1", "last"])
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.bool_(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["record_id", "chunk", "data", "prefix_sha1", "last", "record_key"])
 
 
 def write_chunks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = 1000, chunk: int = CHUNK) -> DataFrame:
     """The chunk rows of one record for each row of ``pages`` whose id isn't null.
 
-    Null payloads are empty and null URLs blank.  Rows with a null id have no record.  Ids
-    must be unique; the same id twice makes two records of that id, which reading refuses.
+    Null payloads are empty and null URLs blank.  Rows with a null id have no record.  Rows
+    that repeat an id have a record each: they share its WARC-Record-ID, and their
+    record_key tells them apart.
     """
     work = Workspace(pages.sparkSession, "warc-plan")
     named = pages.where(F.col(id_col).isNotNull())
     plan = work.save(plan_revisits(payload_digests(named, id_col, body_col), least), "revisits")
     rows = named.select(F.col(id_col).cast("long").alias("record_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(body_col).cast("binary"), F.lit(b"")).alias("body"))
-    # Both sides are unique on record_id, so this join has no frequent key.
-    rows = rows.join(plan, "record_id", "left").select("record_id", "url", "body", "refers_to")
+    # The plan is unique on both keys, so a repeated row stays one row.
+    rows = rows.withColumn("sha1", F.sha1("body")).join(plan, ["record_id", "sha1"], "left")
+    rows = rows.select("record_id", "url", "body", "refers_to", F.monotonically_increasing_id().alias("record_key"))
 
     def run(batches):
         def each():
             for b in batches:
                 for i in range(b.num_rows):
                     at = b.column(3)[i].as_py()
-                    yield from record_chunks(b.column(0)[i].as_py(), b.column(1)[i].as_py(), memoryview(b.column(2)[i].as_buffer()), at, chunk)
+                    yield from record_chunks(b.column(0)[i].as_py(), b.column(1)[i].as_py(), memoryview(b.column(2)[i].as_buffer()), at, chunk, b.column(4)[i].as_py())
 
         yield from _emit(each())
 
@@ -136,16 +139,16 @@ def read(chunks: DataFrame) -> DataFrame:
         for b in batches:
             done = []
             for i in range(b.num_rows):
-                rid, k, data, prefix, last = (b.column(c)[i] for c in range(5))
-                rid, k, prefix, last = rid.as_py(), k.as_py(), prefix.as_py(), last.as_py()
+                rid, k, data, prefix, last, key = (b.column(c)[i] for c in range(6))
+                rid, k, prefix, last, key = rid.as_py(), k.as_py(), prefix.as_py(), last.as_py(), key.as_py()
                 data = memoryview(data.as_buffer())
                 if k == 0:
                     if state["id"] is not None:
                         raise ValueError(f"record {state['id']} has no last chunk")
-                    head, start = parse_header(bytes(data[: 1 << 16]))
-                    state = {"id": rid, "next": 0, "head": head, "sha1": hashlib.sha1(), "bytes": 0}
+                    head, start = parse_header(bytes(data))  # the first chunk holds no payload
+                    state = {"id": rid, "key": key, "next": 0, "head": head, "sha1": hashlib.sha1(), "bytes": 0}
                     data = data[start:]
-                if state["id"] != rid or state["next"] != k:
+                if state["id"] != rid or state["key"] != key or state["next"] != k:
                     raise ValueError(f"record {rid}: chunk {k} out of order")
                 part = data[: len(data) - 4] if last else data
                 state["sha1"].update(part)
@@ -162,7 +165,7 @@ def read(chunks: DataFrame) -> DataFrame:
         if state["id"] is not None:
             raise ValueError(f"record {state['id']} has no last chunk")
 
-    ordered = chunks.select("record_id", "chunk", "data", "prefix_sha1", "last").repartition("record_id").sortWithinPartitions("record_id", "chunk")
+    ordered = chunks.select("record_id", "chunk", "data", "prefix_sha1", "last", "record_key").repartition("record_id", "record_key").sortWithinPartitions("record_id", "record_key", "chunk")
     return ordered.mapInArrow(run, "record_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
