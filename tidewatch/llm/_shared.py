@@ -25,9 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = tempfile.mkdtemp(prefix="tidewatch-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 class Workspace:
@@ -47,6 +46,10 @@ class Workspace:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(conf).delete(path, True)
 
+    def clear(self) -> None:
+        """Delete all tables, once nothing reads them any more."""
+        self.drop("")
+
 
 def salted_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Sequence[str], salts: int = 16) -> DataFrame:
     """``left`` left-joined to ``right``, unique on ``keys``, with every key dealt to ``salts`` tasks.
