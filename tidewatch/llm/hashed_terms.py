@@ -94,17 +94,19 @@ class Lookup:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, grade: str, id_col: str, text_col: str, per_grade: int, grades: int) -> DataFrame:
-    """(text, grade) of at most ``per_grade`` labelled documents of each grade.
+    """(text, grade, key) of at most ``per_grade`` labelled documents of each grade.
 
     Those with the least hash of their id are taken: a bounded sample that no order of the
     rows changes.  The chosen ids are bounded, so they are broadcast to one scan of docs.
+    ``key``: a hash of text and grade, by which later steps order rows.
     """
     picked = None
     known = labels.select(F.col(id_col).alias("__id"), F.col(grade).cast("int").alias("grade")).where("__id is not null and grade is not null")
     for g in range(grades):
         part = known.where(F.col("grade") == g).orderBy(F.xxhash64("__id"), "__id").limit(per_grade)
         picked = part if picked is None else picked.unionByName(part)
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(picked), "__id").select("text", "grade")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(picked), "__id")
+    return rows.select("text", "grade", F.xxhash64("text", "grade").alias("key"))
 
 
 def term_counts(sample: DataFrame, how: Terms, grades: int) -> DataFrame:
@@ -134,34 +136,103 @@ def _flush(held: dict[int, list[int]], grades: int):
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), *[pa.array(n[:, g]) for g in range(grades)]], ["term", *[f"n{g}" for g in range(grades)]])
 
 
+def _gain(with_it: list, totals: list[int], log, when):
+    """Twice the sum over grades, with and without a feature, of observed times log(observed / expected)."""
+    n_all, seen, gain = float(max(1, sum(totals))), sum(with_it[1:], with_it[0]), 0.0
+    for n, total in zip(with_it, totals, strict=True):
+        for o, e in ((n, seen * (total / n_all)), (float(total) - n, (n_all - seen) * (total / n_all))):
+            gain = gain + when((o > 0) & (e > 0), o, log(o / e))
+    return 2 * gain
+
+
+def term_gains(n: np.ndarray, totals: list[int]) -> np.ndarray:
+    """Gains of features by their counts (features, grades)."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return _gain([n[:, g] for g in range(len(totals))], totals, np.log, lambda test, o, x: np.where(test, o * x, 0.0))
+
+
 def select_terms(counts: DataFrame, totals: list[int], most: int, least_gain: float) -> tuple[np.ndarray, np.ndarray]:
-    """Terms of the greatest likelihood-ratio gain and their counts by grade; at most ``most``, in order of term.
+    """Terms of the greatest likelihood-ratio gain and their counts by grade; at most ``most``, in order of term."""
+    columns = [F.col(f"n{g}").cast("double") for g in range(len(totals))]
+    gain = _gain(columns, totals, F.log, lambda test, o, x: F.when(test, o * x).otherwise(0.0))
+    return _collected(counts.withColumn("gain", gain).where(F.col("gain") >= least_gain).orderBy(F.desc("gain"), "term").limit(most).drop("gain"), len(totals))
 
-    The gain is twice the sum over grades, with and without the term, of observed times
-    log(observed / expected).
-    """
-    n_all = float(max(1, sum(totals)))
-    seen = sum(F.col(f"n{g}") for g in range(len(totals))).cast("double")
-    gain = F.lit(0.0)
-    for g, total in enumerate(totals):
-        with_it = F.col(f"n{g}").cast("double")
-        for o, e in ((with_it, seen * (total / n_all)), (F.lit(float(total)) - with_it, (F.lit(n_all) - seen) * (total / n_all))):
-            gain = gain + F.when((o > 0) & (e > 0), o * F.log(o / e)).otherwise(0.0)
-    best = counts.withColumn("gain", 2 * gain).where(F.col("gain") >= least_gain).orderBy(F.desc("gain"), "term").limit(most)
-    rows = sorted(best.drop("gain").collect())
-    if not rows:
-        return np.empty(0, np.int64), np.empty((0, len(totals)))
-    got = np.array(rows, np.int64)
+
+def frequent_terms(counts: DataFrame, totals: list[int], most: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` most frequent terms that at most ``share`` of the texts have, and their counts by grade."""
+    seen = sum((F.col(f"n{g}") for g in range(1, len(totals))), F.col("n0"))
+    return _collected(counts.withColumn("seen", seen).where(F.col("seen") <= share * sum(totals)).orderBy(F.desc("seen"), "term").limit(most).drop("seen"), len(totals))
+
+
+def _collected(counts: DataFrame, grades: int) -> tuple[np.ndarray, np.ndarray]:
+    got = np.array(sorted(map(tuple, counts.collect())), np.int64).reshape(-1, grades + 1)
     return got[:, 0], got[:, 1:].astype(float)
 
 
+def select_pairs(features: DataFrame, n: np.ndarray, totals: list[int], most: int, least_gain: float) -> list[tuple]:
+    """(a, b, n0, n1) of two-grade pairs of terms whose joint gain exceeds that of either alone by ``least_gain``.
+
+    ``features``: texts as positions of candidate terms (``sample_features``); ``n``: the
+    candidates' counts.  Tasks count joint texts as matrix products and pass on a row for
+    each term; rows of a term meet in one small group.  At most ``most`` pairs are returned.
+    """
+    size, alone = len(n), term_gains(n, totals)
+
+    def joint(batches):
+        total = np.zeros((2, size, size), np.float32)
+        for b in batches:
+            for a in range(0, b.num_rows, 1024):
+                part = b.slice(a, 1024)
+                x, y = np.zeros((part.num_rows, size), np.float32), part.column(0).to_numpy()
+                for i, ids in enumerate(part.column(1)):
+                    x[i, np.frombuffer(ids.as_buffer(), "<i4")] = 1
+                for g in (0, 1):
+                    total[g] += x[y == g].T @ x[y == g]
+        rows = total.astype("<i4").transpose(1, 0, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["a", "joint"])
+
+    def gains(table: pa.Table) -> pa.Table:
+        a = table.column("a")[0].as_py()
+        both = sum(np.frombuffer(x.as_py(), "<i4").reshape(2, size) for x in table.column("joint")).T.astype(float)
+        more = term_gains(both, totals) - np.maximum(alone[a], alone)
+        more[: a + 1] = 0
+        b = np.flatnonzero(more >= least_gain)
+        return pa.table({"a": pa.array([a] * len(b), pa.int32()), "b": pa.array(b, pa.int32()), "n0": both[b, 0], "n1": both[b, 1], "more": more[b]})
+
+    found = features.select("grade", "ids").mapInArrow(joint, "a int, joint binary").groupBy("a").applyInArrow(_named(gains), "a int, b int, n0 double, n1 double, more double")
+    return [tuple(r)[:4] for r in found.orderBy(F.desc("more"), "a", "b").limit(most).collect()]
+
+
+def _named(f):
+    return lambda table: f(table)
+
+
 def sample_features(sample: DataFrame, how: Terms, chosen: np.ndarray) -> DataFrame:
-    """(grade int, ids binary int32, words int): the sample as positions of chosen terms."""
+    """(key, grade int, ids binary int32, words int): the sample as positions of chosen terms."""
 
     def run(batches):
         look = Lookup(how, chosen)
         for b in batches:
             got = [look(t.as_py() or b"") for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([i.astype("<i4").tobytes() for i, _ in got], pa.binary()), pa.array([n for _, n in got], pa.int32())], ["grade", "ids", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(1), pa.array([i.astype("<i4").tobytes() for i, _ in got], pa.binary()), pa.array([n for _, n in got], pa.int32())], ["key", "grade", "ids", "words"])
+
+    return sample.select("text", "grade", "key").mapInArrow(run, "key long, grade int, ids binary, words int")
+
+
+def shards(features: DataFrame, n: int) -> DataFrame:
+    """(shard, rows): features dealt by key to ``n`` shards, a row for each, ordered by key and content.
+
+    What a shard holds and in which order depends on the sample alone, not on partitions,
+    files or cores.  A shard is bounded as the sample is.
+    """
+    dealt = features.withColumn("shard", F.pmod("key", F.lit(n)).cast("int"))
+    held = F.sort_array(F.collect_list(F.struct("key", "grade", "words", "ids")))
+    return dealt.groupBy("shard").agg(held.alias("rows")).repartitionByRange(n, "shard")
+
 
-    return sample.select("text", "grade").mapInArrow(run, "grade int, ids binary, words int")
+def shard_rows(batch: pa.RecordBatch):
+    """(shard, grades, words, positions of each row) of every row of a batch of ``shards``."""
+    for i in range(batch.num_rows):
+        rows = batch.column(1)[i].values
+        ids = [np.frombuffer(x.as_buffer(), "<i4") for x in rows.field("ids")]
+        yield batch.column(0)[i].as_py(), rows.field("grade").to_numpy(), rows.field("words").to_numpy(), ids

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import Workspace
-from .hashed_terms import STYLE, Lookup, labelled_sample, sample_features, select_terms, term_counts
+from .hashed_terms import STYLE, Lookup, labelled_sample, sample_features, select_terms, shard_rows, shards, term_counts
 from .toxicity import _keep
 
 
@@ -25,14 +25,14 @@ class CumulativeLink:
     theta: np.ndarray
 
     def latent(self, ids: np.ndarray, words: int) -> float:
-        return float(shares(ids, words, len(self.weights)) @ self.weights) if len(self.weights) else 0.0
+        return float(term_shares(ids, words, len(self.weights)) @ self.weights) if len(self.weights) else 0.0
 
     def tails(self, z: np.ndarray) -> np.ndarray:
         """P(grade > k) for k = 0, 1, ...: columns."""
         return 1 / (1 + np.exp(-np.clip(np.asarray(z)[:, None] - self.theta[None, :], -40, 40)))
 
 
-def shares(ids: np.ndarray, words: int, size: int) -> np.ndarray:
+def term_shares(ids: np.ndarray, words: int, size: int) -> np.ndarray:
     """Square roots of the share of each term among the text's words."""
     return np.sqrt(np.bincount(ids, minlength=size) / max(1, words))
 
@@ -52,10 +52,10 @@ def _gradient(x: np.ndarray, y: np.ndarray, weights: np.ndarray, theta: np.ndarr
     return -np.log(p).sum(), x.T @ dz, d_theta[1:-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, grade: str = "quality", grades: int = 2, id_col: str = "doc_id", text_col: str = "text", per_grade: int = 6_000, most_terms: int = 1_024, least_gain: float = 20.0, rounds: int = 40, rate: float = 0.3, decay: float = 1e-3) -> CumulativeLink:
+def fit(docs: DataFrame, labels: DataFrame, grade: str = "quality", grades: int = 2, id_col: str = "doc_id", text_col: str = "text", per_grade: int = 6_000, most_terms: int = 1_024, least_gain: float = 20.0, rounds: int = 40, rate: float = 0.3, decay: float = 1e-3, parts: int = 6) -> CumulativeLink:
     """Fit on at most ``per_grade`` labelled rows of each grade 0 .. grades-1 (least id hash).
 
-    Every round sums the gradient over the sample's partitions and takes an Adam step;
+    Every round sums the gradient over ``parts`` shards of the sample, in order, and takes an Adam step;
     thresholds stay ordered because their gaps are exponentials.  They are finally
     shifted to the grades' shares among all labels.  Rows with a null id or grade are
     ignored; with fewer than two grades present, z is 0 and thresholds give the shares.
@@ -71,8 +71,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "quality", grades: int
     sizes = {r[0]: r[1] for r in sample.groupBy("grade").count().collect()}
     totals = [sizes.get(g, 0) for g in range(grades)]
     chosen, _ = select_terms(term_counts(sample, STYLE, grades), totals, most_terms, least_gain)
-    work.save(sample_features(sample, STYLE, chosen).repartition(6), "features")
-    features = spark.read.parquet(f"{work.root}/features")
+    dealt = work.save(shards(sample_features(sample, STYLE, chosen), parts), "shards")
     start = -above(np.array(totals, float) + 0.5)
     flat = np.concatenate((np.zeros(len(chosen)), [start[0]], np.log(np.maximum(np.diff(start), 1e-3))))
     m1, m2 = np.zeros_like(flat), np.zeros_like(flat)
@@ -82,16 +81,18 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "quality", grades: int
 
         def run(batches, sent=sent):
             w, t = sent.value
-            n, loss, gw, gt = 0, 0.0, np.zeros(len(w)), np.zeros(len(t))
-            for b in batches:
-                for a in range(0, b.num_rows, 512):
-                    part = b.slice(a, 512)
-                    x = np.stack([shares(np.frombuffer(i, "<i4"), c, len(w)) for i, c in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)])
-                    one, dw, dt = _gradient(x, np.array(part.column(0).to_pylist()), w, t)
-                    n, loss, gw, gt = n + len(x), loss + one, gw + dw, gt + dt
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([np.concatenate((gw, gt)).tobytes()], pa.binary())], ["n", "gradient"])
-
-        got = [(r[0], np.frombuffer(r[1])) for r in features.mapInArrow(run, "n long, gradient binary").collect()]
+            for batch in batches:
+                for shard, y, words, rows in shard_rows(batch):
+                    total = np.zeros(len(w) + len(t))
+                    for a in range(0, len(rows), 512):
+                        x = np.stack([term_shares(i, c, len(w)) for i, c in zip(rows[a : a + 512], words[a : a + 512].tolist(), strict=True)])
+                        _, dw, dt = _gradient(x, y[a : a + 512], w, t)
+                        total += np.concatenate((dw, dt))
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(rows)], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["shard", "n", "gradient"])
+
+        got = [(r[1], np.frombuffer(r[2])) for r in sorted(dealt.mapInArrow(run, "shard int, n long, gradient binary").collect())]
+        if not got:
+            break
         n = max(1, sum(x for x, _ in got))
         g = sum(x for _, x in got) / n
         by_theta = g[len(chosen) :]
@@ -100,12 +101,12 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "quality", grades: int
         m1, m2 = 0.9 * m1 + 0.1 * step, 0.99 * m2 + 0.01 * step * step
         flat = flat - rate * (m1 / (1 - 0.9 ** (k + 1))) / (np.sqrt(m2 / (1 - 0.99 ** (k + 1))) + 1e-8)
         sent.unpersist()
+    work.clear()
     theta = np.cumsum(np.concatenate(([flat[len(chosen)]], np.exp(flat[len(chosen) + 1 :]))))
     theta = np.maximum.accumulate(theta - above(every) + above(np.array(totals, float) + 0.5))
     return CumulativeLink(chosen, flat[: len(chosen)], theta)
 
 
-
 def _latents(spark, model: CumulativeLink):
     sent = spark.sparkContext.broadcast(model)
 

@@ -15,15 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import Workspace
-from .hashed_terms import WORDS, Lookup, labelled_sample, sample_features, select_terms, term_counts
+from .hashed_terms import WORDS, Lookup, frequent_terms, labelled_sample, sample_features, select_pairs, select_terms, shard_rows, shards, term_counts
 
 
 @dataclass
 class FactorizationMachine:
-    """Weights of selected terms.  x_t is ``scale`` of the term where it stands in a text, else 0."""
+    """Weights of selected terms.  x_t is 1 where the term stands in a text, else 0."""
 
     chosen: np.ndarray
-    scale: np.ndarray
     w0: float
     w: np.ndarray
     v: np.ndarray
@@ -31,89 +30,110 @@ class FactorizationMachine:
     def raw(self, ids: np.ndarray) -> float:
         if not len(ids):
             return self.w0
-        x = self.scale[ids]
-        vx = self.v[ids] * x[:, None]
-        s = vx.sum(axis=0)
-        return float(self.w0 + self.w[ids] @ x + 0.5 * (s @ s - (vx * vx).sum()))
+        v = self.v[ids]
+        s = v.sum(axis=0)
+        return float(self.w0 + self.w[ids].sum() + 0.5 * (s @ s - (v * v).sum()))
 
     def score(self, ids: np.ndarray) -> float:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.raw(ids), -40, 40))))
 
 
-def _pass(w0, w, v, scale, docs, y, rate, decay, rng, batch=128):
+def _pass(w0, w, v, docs, y, rate, decay, rng, batch=128):
     """One AdaGrad pass over docs (lists of positions) from (w0, w, v); the moved weights."""
     w, v = w.copy(), v.copy()
-    g0, gw, gv = 1e-6, np.full_like(w, 1e-6), np.full_like(v, 1e-6)
+    g0, gw, gv = 1e-3, np.full_like(w, 1e-3), np.full_like(v, 1e-3)
     order = rng.permutation(len(docs))
     for a in range(0, len(order), batch):
         rows = [docs[i] for i in order[a : a + batch]]
         t, n = y[order[a : a + batch]], np.array([len(r) for r in rows])
-        ids, of = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), n)
-        x = scale[ids]
-        vx = v[ids] * x[:, None]
-        lin, s, q = np.zeros(len(rows)), np.zeros((len(rows), v.shape[1])), np.zeros(len(rows))
-        np.add.at(lin, of, w[ids] * x)
-        np.add.at(s, of, vx)
-        np.add.at(q, of, (vx * vx).sum(axis=1))
-        p = 1 / (1 + np.exp(-np.clip(w0 + lin + 0.5 * ((s * s).sum(axis=1) - q), -30, 30)))
+        # The batch's own terms alone are moved.
+        terms, ids = np.unique(np.concatenate(rows).astype(np.int64), return_inverse=True)
+        of = np.repeat(np.arange(len(rows)), n)
+        here = np.zeros((len(rows), len(terms)))
+        here[of, ids] = 1.0
+        wt, vt = w[terms], v[terms]
+        s = here @ vt
+        p = 1 / (1 + np.exp(-np.clip(w0 + here @ wt + 0.5 * ((s * s).sum(axis=1) - here @ (vt * vt).sum(axis=1)), -30, 30)))
         e = (p - t) / len(rows)
-        d0, dw, dv = e.sum(), np.zeros_like(w), np.zeros_like(v)
-        np.add.at(dw, ids, e[of] * x)
-        np.add.at(dv, ids, (e[of] * x)[:, None] * (s[of] - vx))
-        dw, dv = dw + decay * w, dv + decay * v
-        g0, gw, gv = g0 + d0 * d0, gw + dw * dw, gv + dv * dv
-        w0, w, v = w0 - rate * d0 / np.sqrt(g0), w - rate * dw / np.sqrt(gw), v - rate * dv / np.sqrt(gv)
+        d0, sums = e.sum(), here.T @ e
+        dw = sums + decay * wt
+        dv = here.T @ (e[:, None] * s) - sums[:, None] * vt + decay * vt
+        g0 += d0 * d0
+        gw[terms] += dw * dw
+        gv[terms] += dv * dv
+        w0 -= rate * d0 / np.sqrt(g0)
+        w[terms] -= rate * dw / np.sqrt(gw[terms])
+        v[terms] -= rate * dv / np.sqrt(gv[terms])
     return w0, w, v
 
 
-def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 15_000, most_terms: int = 20_000, least_gain: float = 15.0, factors: int = 8, rounds: int = 6, passes: int = 2, rate: float = 0.15, decay: float = 1e-4, seed: int = 7) -> FactorizationMachine:
+def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 15_000, most_terms: int = 20_000, least_gain: float = 15.0, frequent: int = 1_024, most_pairs: int = 1_000, pair_gain: float = 30.0, factors: int = 8, rounds: int = 6, passes: int = 2, rate: float = 0.15, decay: float = 1e-4, parts: int = 6, seed: int = 7) -> FactorizationMachine:
     """Fit on at most ``per_class`` labelled rows of each class (those of the least id hash).
 
-    Each round, every partition of the sample runs ``passes`` AdaGrad passes from the
-    shared weights and the weights are averaged; the intercept is then shifted to the
-    class shares among all given labels.  Rows of ``labels`` with a null id or grade are
-    ignored; without both classes every score is the share of the one there is (0.5
-    shrunk, without labels 0).
+    Terms are those that lean to a class alone, by ``least_gain``, and those of pairs that
+    lean together by ``pair_gain`` more than either does alone, wherever one or both are
+    neutral; pairs are counted among the leaning terms of greatest gain and the
+    ``frequent`` most frequent others.  Each round, every one of ``parts`` shards of the
+    sample runs ``passes`` AdaGrad passes from the shared weights and the weights are
+    averaged in order of shard, so that the model depends on the rows alone; the intercept
+    is then shifted to the class shares among all given labels.  Rows of ``labels`` with a
+    null id or grade are ignored; without both classes every score is the share of the one
+    there is (0.5 shrunk, without labels 0).
     """
     spark = docs.sparkSession
     work = Workspace(spark, "toxicity")
-    shares = {r[0]: r[1] for r in labels.where(F.col(grade).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(grade).cast("int")).count().collect()}
-    n0, n1 = shares.get(0, 0), shares.get(1, 0)
+    counted = {r[0]: r[1] for r in labels.where(F.col(grade).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(grade).cast("int")).count().collect()}
+    n0, n1 = counted.get(0, 0), counted.get(1, 0)
     if not n0 or not n1:
         flat = np.log((n1 + 0.5) / (n0 + 0.5)) if n0 + n1 else -40.0
-        return FactorizationMachine(np.empty(0, np.int64), np.empty(0), float(flat), np.empty(0), np.empty((0, factors)))
+        return FactorizationMachine(np.empty(0, np.int64), float(flat), np.empty(0), np.empty((0, factors)))
     sample = work.save(labelled_sample(docs, labels, grade, id_col, text_col, per_class, 2), "sample")
     sizes = {r[0]: r[1] for r in sample.groupBy("grade").count().collect()}
     totals = [sizes.get(0, 0), sizes.get(1, 0)]
-    chosen, n = select_terms(term_counts(sample, WORDS, 2), totals, most_terms, least_gain)
-    lean = np.log((n[:, 1] + 0.5) / (totals[1] + 1)) - np.log((n[:, 0] + 0.5) / (totals[0] + 1)) if len(chosen) else np.empty(0)
-    scale = np.minimum(np.abs(lean), 4.0) / 4.0
-    work.save(sample_features(sample, WORDS, chosen).repartition(6), "features")
-    features = spark.read.parquet(f"{work.root}/features")
+    counts = work.save(term_counts(sample, WORDS, 2), "counts")
+    leaning, _ = select_terms(counts, totals, most_terms, least_gain)
+    top, n_top = select_terms(counts, totals, frequent // 2, least_gain)
+    often, n_often = frequent_terms(counts, totals, frequent, 0.5)
+    fresh = ~np.isin(often, top)
+    places = np.concatenate((top, often[fresh]))
+    order = np.argsort(places)
+    asked, n_asked = places[order], np.concatenate((n_top, n_often[fresh]))[order]
+    pairs = select_pairs(sample_features(sample, WORDS, asked), n_asked, totals, most_pairs, pair_gain) if len(asked) else []
+    chosen = np.union1d(leaning, np.array([asked[i] for p in pairs for i in p[:2]], np.int64))
+    n = np.array(counts.where(F.col("term").isin([int(t) for t in chosen])).orderBy("term").collect(), float).reshape(-1, 3)[:, 1:]
+    lean = np.log((n[:, 1] + 0.5) / (totals[1] + 1)) - np.log((n[:, 0] + 0.5) / (totals[0] + 1))
+    dealt = work.save(shards(sample_features(sample, WORDS, chosen), parts), "shards")
     rng = np.random.default_rng(seed)
-    w0, w, v = float(np.log((totals[1] + 0.5) / (totals[0] + 0.5))), np.sign(lean) * scale, rng.normal(0, 0.02, (len(chosen), factors))
+    w0, w, v = float(np.log((totals[1] + 0.5) / (totals[0] + 0.5))), np.sign(lean) * (np.minimum(np.abs(lean), 4) / 4) ** 2, rng.normal(0, 0.02, (len(chosen), factors))
+    for k, (a, b, n_clean, n_toxic) in enumerate(pairs):
+        # A pair starts with a little of what it says, in a factor of its own as far as they go.
+        i, j = np.searchsorted(chosen, (asked[a], asked[b]))
+        sign = 1.0 if n_toxic * totals[0] > n_clean * totals[1] else -1.0
+        v[i, k % factors] = max(v[i, k % factors], 0.3)
+        v[j, k % factors] = sign * max(abs(v[j, k % factors]), 0.3)
     for k in range(rounds):
-        sent = spark.sparkContext.broadcast((w0, w, v, scale))
+        sent = spark.sparkContext.broadcast((w0, w, v))
 
         def run(batches, sent=sent, k=k):
-            docs_, y = [], []
-            for b in batches:
-                docs_ += [np.frombuffer(x, "<i4") for x in b.column(1).to_pylist()]
-                y += b.column(0).to_pylist()
-            if docs_:
-                a, b_, c, s = sent.value
-                local = np.random.default_rng((seed, k, len(docs_)))
-                for _ in range(passes):
-                    a, b_, c = _pass(a, b_, c, s, docs_, np.array(y, float), rate / (1 + k), decay, local)
-                yield pa.RecordBatch.from_arrays([pa.array([len(docs_)], pa.int64()), pa.array([np.concatenate(([a], b_, c.ravel())).tobytes()], pa.binary())], ["n", "weights"])
-
-        # A row for each of the six partitions, of a size that most_terms bounds.
-        got = [(r[0], np.frombuffer(r[1])) for r in features.select("grade", "ids").mapInArrow(run, "n long, weights binary").collect()]
+            for batch in batches:
+                for shard, y, _, rows in shard_rows(batch):
+                    a, b, c = sent.value
+                    local = np.random.default_rng((seed, k, shard))
+                    for _ in range(passes):
+                        a, b, c = _pass(a, b, c, rows, y.astype(float), rate / (1 + k), decay, local)
+                    made = np.concatenate(([a], b, c.ravel())).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(rows)], pa.int64()), pa.array([made], pa.binary())], ["shard", "n", "weights"])
+
+        # A row for each shard, of a size that most_terms and frequent bound.
+        got = [(r[1], np.frombuffer(r[2])) for r in sorted(dealt.mapInArrow(run, "shard int, n long, weights binary").collect())]
+        if not got:
+            break
         mean = sum(n_ * x for n_, x in got) / sum(n_ for n_, _ in got)
         w0, w, v = float(mean[0]), mean[1 : 1 + len(chosen)], mean[1 + len(chosen) :].reshape(v.shape)
         sent.unpersist()
+    work.clear()
     w0 += float(np.log(n1 / n0) - np.log(totals[1] / totals[0])) if min(totals) else 0.0
-    return FactorizationMachine(chosen, scale, w0, w, v)
+    return FactorizationMachine(chosen, w0, w, v)
 
 
 def _scorer(spark, model: FactorizationMachine):
@@ -129,7 +149,6 @@ def _scorer(spark, model: FactorizationMachine):
     return scores
 
 
-
 def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
     """(id, kept expressions, score), a row for each row of ``docs``.
 
