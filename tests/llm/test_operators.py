@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tidewatch.llm import brown, decontaminate, licences, near_sets, outliers, packing, quality, simhash, toxicity, urls, warc
 from tidewatch.llm._shared import Workspace, held_out
 from tidewatch.llm.components import components
+from tidewatch.llm.hashed_terms import WORDS as WORD_TERMS
+from tidewatch.llm.hashed_terms import Lookup
 from tidewatch.llm.queries import RULES, tokenizer_path
 
 WORDS = [a + b for a in ("ba", "de", "lo", "mi", "ru", "ta", "ne", "so") for b in ("ka", "lan", "mor", "nis", "per", "to", "vu", "x")]
@@ -54,6 +56,8 @@ def test_components_of_chains_hubs_and_cycles(spark):
     rows = got.collect()
     assert len(rows) == len({r.node for r in rows})
     assert {r.node: r.component for r in rows} == {k: v for k, v in want.items() if k != 5}
+    hubs = components(spark.createDataFrame(pairs, "a long, b long"), Workspace(spark, "t"), hub=8)
+    assert {r.node: r.component for r in hubs.collect()} == {k: v for k, v in want.items() if k != 5}
     assert components(spark.createDataFrame([], "a long, b long"), Workspace(spark, "t")).count() == 0
 
 
@@ -180,11 +184,36 @@ def test_toxicity_learns_a_pair_and_scores_odd_texts(spark):
     assert np.mean([(s >= 0.5) == bool(labels[i][1]) for i, s in got.items()]) > 0.95
     odd = toxicity.score(table(spark, ODD).withColumn("score", F.lit(9)), model).collect()
     assert len(odd) == len(ODD) and all(0 <= r.score <= 1 for r in odd)
+    for r in odd:
+        ids = Lookup(WORD_TERMS, model.chosen)((ODD[r.doc_id] or "").encode())[0]
+        z = model.w0 + sum(model.w[a] for a in ids) + sum(float(model.v[a] @ model.v[b]) for i, a in enumerate(ids) for b in ids[:i])
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
     assert toxicity.score(table(spark, ODD).limit(0), model).count() == 0
     none = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert none.score(np.empty(0, np.int64)) < 0.5
 
 
+def test_toxicity_learns_a_pair_of_terms_that_are_neutral_alone(spark):
+    rng = random.Random(16)
+    rows, labels = [], []
+    for i in range(1600):
+        # Each term stands in half of the texts of either class; toxic texts have both or neither.
+        kind, toxic = i % 4, i % 2
+        extra = [["grumble"], [], ["folk"], ["grumble", "folk"]][kind]
+        rows.append((i, " ".join(rng.sample(WORDS, 15) + extra)))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = spark.createDataFrame([x for x in labels if x[0] % 5], "doc_id long, toxic int")
+    model = toxicity.fit(docs, train, rounds=12)
+    got = {r.doc_id: r.score for r in toxicity.score(docs.where("doc_id % 5 = 0"), model).collect()}
+    both = [s for i, s in got.items() if i % 4 == 3]
+    one = [s for i, s in got.items() if i % 4 in (0, 2)]
+    assert np.mean([s >= 0.5 for s in both]) > 0.95 and np.mean([s < 0.5 for s in one]) > 0.95
+    # The same rows in other partitions and another order: the same model.
+    again = toxicity.fit(docs.orderBy(F.desc("doc_id")).repartition(7), train.repartition(3), rounds=12)
+    assert again.w0 == model.w0 and np.array_equal(again.w, model.w) and np.array_equal(again.v, model.v)
+
+
 def test_quality_orders_three_grades(spark):
     rng = random.Random(6)
     rows, labels = [], []
@@ -410,7 +439,7 @@ def test_edit_distance_of_stretches():
             return row[-1]
 
         best = min(dist(item, text[a:b]) for a in range(len(text) + 1) for b in range(a, len(text) + 1))
-        got = decontaminate.edit_within(item, text, 3)
+        got = decontaminate.edit_within(np.array(item), np.array(text, int), 3)
         assert (got[0] if got else None) == (best if best <= 3 else None)
         if got:
             assert dist(item, text[got[1] : got[2]]) == got[0]
@@ -433,6 +462,27 @@ def test_decontamination_recall_on_edited_passages(spark):
     bench = spark.createDataFrame([*items, (None, "x"), (99, None), (98, "too short")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.find(docs, bench).collect()}
     assert len(got & want) >= 0.97 * len(want) and not got - want
+    # Passages with as many edits as are allowed, against brute force.
+    index, at_limit, hit = decontaminate.build(items), 0, 0
+    for k, text in items * 10:
+        w = text.encode().split()
+        for _ in range(int(0.15 * len(w))):
+            at, op = rng.randrange(len(w)), rng.randrange(3)
+            w[at : at + 1] = [[b"zzz"], [], [w[at], b"yyy"]][op]
+        whole = prose(rng, 30).encode().split() + w + prose(rng, 30).encode().split()
+        ids = np.array([index.vocabulary.get(x, 1) for x in whole])
+        sure = {i for (i, n), e in zip(index.items, index.edits, strict=True) if decontaminate.edit_within(n, ids, int(e))}
+        found = {m[0] for m in index.matches(whole)}
+        assert k in sure and found <= sure
+        at_limit, hit = at_limit + len(sure), hit + len(found)
+    assert hit >= 0.98 * at_limit
+    few = decontaminate.build([(1, "lone"), (2, "two words"), (3, None), (4, " . ")])
+    assert [m[0] for m in few.matches(b"a lone one , two words".split())] == [1, 2] and not few.matches(b"two".split())
+    assert decontaminate.build([]).matches(b"two".split()) == []
+    long = prose(rng, 3000)
+    cut = long.split()
+    cut[100:150], cut[2000:2000] = [], ["zzz"] * 60
+    assert [m[0] for m in decontaminate.build([(5, long), *items]).matches(" ".join(cut).encode().split())] == [5]
     kept = {r.doc_id for r in decontaminate.keep_clean(docs.withColumn("item_id", F.lit(1)), bench).collect()}
     assert kept == set(range(len(rows) + len(clean) + len(ODD))) - {i for i, _ in got}
     assert decontaminate.find(docs, bench.limit(0)).count() == 0

@@ -7,15 +7,16 @@ randomly sampled steps finds them; enough repetitions reach the target recall.
 of a document that are as long as an item are embedded and looked up; what is found is
 verified by exact edit distance over words.
 
-Windows that can't be near an item are passed over without loss: an item within e edits
-of some passage has, cut into e + 1 runs of words, at least one run there unchanged
-(pigeonhole), so only places of such runs are embedded.
+Windows that can't be near an item aren't embedded: an item within e edits of some
+passage has, cut into e + 1 runs of words, at least one run there unchanged (pigeonhole),
+so only windows about such runs go to the embedding.  Which item a window is near, if
+any, is found by the embedding's tables.  Items of many words are embedded in pieces, of
+which at least one has no more than its share of the edits.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,18 +27,16 @@ from pyspark.sql import functions as F
 
 #: A-Z lower-cased, other ASCII but letters and digits to spaces.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-_PAD = np.int64(0)
+#: Numbers of words: 0 is the padding, 1 any word that no item has, 2 ... the items' words.
+_PAD, _OTHER = 0, 1
+#: Symbols that a task embeds at a time.
+_ROOM = 1 << 21
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def word_id(word: bytes) -> int:
-    """A 63-bit id, never 0."""
-    return ((zlib.crc32(word) << 31) ^ zlib.crc32(word, 0x9E3779B9) ^ len(word)) & 0x7FFFFFFFFFFFFFFF | 1
-
-
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     x = (x.astype(np.uint64) ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
@@ -45,16 +44,23 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def cgk(windows: np.ndarray, lengths: np.ndarray, steps: int, seed: int) -> np.ndarray:
-    """The walk's output, (rows, steps), of rows of word ids padded with 0."""
-    at, rows = np.zeros(len(windows), np.int64), np.arange(len(windows))
-    wide = np.concatenate((windows, np.zeros((len(windows), 1), np.int64)), axis=1)
-    out = np.empty((len(windows), steps), np.int64)
+def step_bits(words: int, steps: int, seed: int) -> np.ndarray:
+    """(words, steps / 64 up): 64 random bits in each, the moves of the walk by word and step; padding never moves."""
+    blocks = np.arange((steps + 63) // 64, dtype=np.int64)
+    bits = _mix(np.arange(words, dtype=np.int64)[:, None] * 0x10001 + blocks[None, :], seed * 1_000_003 + 7)
+    bits[_PAD] = 0
+    return bits
+
+
+def cgk(windows: np.ndarray, steps: int, bits: np.ndarray) -> np.ndarray:
+    """The walk's output, (rows, steps), of rows of word numbers that end with padding."""
+    flat, at = windows.ravel(), np.arange(len(windows)) * windows.shape[1]
+    out = np.empty((steps, len(windows)), windows.dtype)
     for j in range(steps):
-        now = np.where(at < lengths, wide[rows, np.minimum(at, wide.shape[1] - 1)], _PAD)
-        out[:, j] = now
-        at += (_mix(now, seed * 1_000_003 + j) & np.uint64(1)).astype(np.int64)
-    return out
+        now = flat.take(at)
+        out[j] = now
+        at += (bits[:, j >> 6].take(now) >> np.uint64(j & 63)).astype(np.int64) & 1
+    return out.T
 
 
 def repetitions(recall: float, hit: float, bits: int) -> int:
@@ -62,95 +68,118 @@ def repetitions(recall: float, hit: float, bits: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - hit**bits))
 
 
-def edit_within(item: list[int], passage: list[int], most: int) -> tuple[int, int, int] | None:
+def edit_within(item: np.ndarray, passage: np.ndarray, most: int) -> tuple[int, int, int] | None:
     """(distance, start, end) of the stretch of ``passage`` nearest to ``item`` by word edits, if within ``most``.
 
     Of equal distances the shortest, then the first stretch.  Exact dynamic programming,
-    free at both ends of the passage.
+    free at both ends of the passage; a cell is cost * unit - start, so that the least
+    cell has the least cost and, of those, the latest start.
     """
-    m = len(item)
-    prev = [(i, 0) for i in range(m + 1)]  # (cost, start) of item[:i] against a stretch that ends here
+    m, unit = len(item), len(passage) + 1
+    ramp = np.arange(m + 1, dtype=np.int64) * unit
+    prev = ramp.copy()  # item[:i] against an empty stretch at 0
     best = (m, 0, 0) if m <= most else None
-    for j, w in enumerate(passage, 1):
-        now = [(0, j)]
-        for i in range(1, m + 1):
-            a = prev[i - 1]
-            up = (a[0] + (item[i - 1] != w), a[1])
-            b, c = prev[i], now[i - 1]
-            for x in ((b[0] + 1, b[1]), (c[0] + 1, c[1])):
-                if x[0] < up[0] or x[0] == up[0] and x[1] > up[1]:
-                    up = x
-            now.append(up)
-        cost, start = now[m]
-        if cost <= most and (best is None or (cost, j - start, start) < (best[0], best[2] - best[1], best[1])):
-            best = (cost, start, j)
-        prev = now
+    tmp = np.empty(m + 1, np.int64)
+    for j, w in enumerate(passage.tolist(), 1):
+        tmp[0] = -j
+        np.minimum(prev[:-1] + (item != w) * unit, prev[1:] + unit, out=tmp[1:])
+        prev = np.minimum.accumulate(tmp - ramp) + ramp
+        cost = int(-(-prev[m] // unit))
+        if cost <= most:
+            start = int(cost * unit - prev[m])
+            if best is None or (cost, j - start, start) < (best[0], best[2] - best[1], best[1]):
+                best = (cost, start, j)
     return best
 
 
 @dataclass
 class Index:
-    """Benchmark items: runs of words that open a window, and hash tables of sampled embeddings."""
+    """Benchmark items: runs of words that open a window, and hash tables of sampled embeddings.
+
+    ``units`` are what is embedded: (place of the item, offset, words), an item as a whole
+    up to 1.5 times ``piece`` words, else pieces of that many.
+    """
 
-    items: list[tuple[int, list[int]]]
+    items: list[tuple[int, np.ndarray]]
+    vocabulary: dict[bytes, int]
     ratio: float
     recall: float
     bits: int
     seed: int
+    walks: int = 5
+    piece: int = 64
     reps: int = field(init=False)
-    vocabulary: dict[bytes, int] = field(init=False, default_factory=dict)
 
     def __post_init__(self):
-        self.edits = [int(self.ratio * len(w)) for _, w in self.items]
-        # An edit moves the walk for a while: about three of three steps a word disagree for each.
-        self.reps = repetitions(self.recall, max(0.5, 1 - 2 * self.ratio), self.bits)
-        self.lengths = np.array([len(w) for _, w in self.items], np.int64)
-        self.longest = int(self.lengths.max(initial=1))
-        runs: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        self.edits = [int(self.ratio * len(w) + 1e-9) for _, w in self.items]
+        self.units = []
         for k, (_, w) in enumerate(self.items):
-            parts = self.edits[k] + 1
-            size = max(1, len(w) // parts)
-            for p in range(parts):
-                a = p * size
-                runs.setdefault(tuple(w[a : a + size]), []).append((k, a))
-        self.sizes = sorted({len(r) for r in runs})
-        self.runs = {}
+            step = len(w) if 2 * len(w) <= 3 * self.piece else self.piece
+            self.units += [(k, a, w[a : a + step]) for a in range(0, len(w) - step + 1, step)]
+        self.lengths = np.array([len(w) for *_, w in self.units], np.int64)
+        self.unit_edits = (self.ratio * self.lengths + 1e-9).astype(np.int64)
+        # Starts about a place are tried at this distance from each other.
+        self.stride = np.maximum(1, self.unit_edits // 8)
+        # An edit moves the walk for a while: about two of three steps a word disagree for each.
+        self.reps = repetitions(self.recall, max(0.5, 1 - 2 * self.ratio), self.bits)
+        self._index_runs()
+        self.moves: dict[tuple[int, int], np.ndarray] = {}
+        self.draws = np.random.default_rng(self.seed).random((self.reps, self.bits))
+        self.tables: list[dict[int, list[int]]] = [{} for _ in range(self.reps)]
+        for rows, keys in self.keys(np.concatenate([w for *_, w in self.units] or [np.empty(0, np.int32)]), np.cumsum(self.lengths) - self.lengths, self.lengths):
+            for table, key in zip(self.tables, keys, strict=True):
+                for k, x in zip(rows.tolist(), key.tolist(), strict=True):
+                    table.setdefault(x, []).append(k)
+
+    def _index_runs(self) -> None:
+        runs: dict[tuple[int, ...], set[tuple[int, int]]] = {}
+        for k, (*_, w) in enumerate(self.units):
+            parts, words = int(self.unit_edits[k]) + 1, w.tolist()
+            size = max(1, len(words) // parts)
+            for a in range(0, parts * size, size):
+                runs.setdefault(tuple(words[a : a + size]), set()).add((k, a))
+        self.sizes, self.runs = sorted({len(r) for r in runs}), {}
         for size in self.sizes:
             keys = [r for r in runs if len(r) == size]
             codes = _roll(np.array(keys, np.int64).ravel(), size)[::size]
             order = np.argsort(codes, kind="stable")
-            self.runs[size] = (codes[order], [runs[keys[i]] for i in order])
-        rng = np.random.default_rng(self.seed)
-        self.draws = rng.random((self.reps, self.bits))
-        windows = np.zeros((len(self.items), self.longest), np.int64)
-        for k, (_, w) in enumerate(self.items):
-            windows[k, : len(w)] = w
-        self.tables: list[dict[int, list[int]]] = []
-        for keys in self.keys(windows, self.lengths):
-            table: dict[int, list[int]] = {}
-            for k, key in enumerate(keys.tolist()):
-                table.setdefault(key, []).append(k)
-            self.tables.append(table)
-
-    def keys(self, windows: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
-        """A key of each row for each repetition: its embedding at that repetition's sampled steps, and its length."""
-        for r in range(self.reps):
-            if r % 4 == 0:  # a new walk for every four samples
-                out = cgk(windows, lengths, 3 * self.longest, self.seed + r)
-            at = (self.draws[r][None, :] * (3 * lengths)[:, None]).astype(np.int64)
-            picked = np.take_along_axis(out, at, axis=1)
-            key = _mix(lengths, r)
-            for b in range(self.bits):
-                key = _mix(picked[:, b] ^ key.astype(np.int64), b + 1)
-            yield key.astype(np.int64)
-
-    def matches(self, words: list[bytes]) -> list[tuple[int, int, int, int, int]]:
-        """(item, distance, start, end, found) in words, the nearest for each item, of one document."""
-        ids = np.array([self.vocabulary.get(w, 0) for w in words], np.int64)
-        if not len(ids):
-            return []
-        places: set[tuple[int, int]] = set()
-        known = ids != 0
+            self.runs[size] = (codes[order], [sorted(runs[keys[i]]) for i in order])
+
+    def keys(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        """Blocks of rows and their keys for each repetition: the embedding of the row's stretch of ``ids`` at sampled steps, and its length.
+
+        Rows of a block have lengths within a factor of two, and a block has a bounded
+        number of symbols, so neither a long item nor many windows take much memory.
+        """
+        padded = np.concatenate((ids, np.full(int(lengths.max(initial=0)) + 1, _OTHER))).astype(np.int32)
+        classes = np.ceil(np.log2(np.maximum(lengths, 1))).astype(int)
+        for c in np.unique(classes).tolist():
+            every, width = np.flatnonzero(classes == c), (1 << c) + 1
+            for rows in np.array_split(every, -(-len(every) * 3 * width // _ROOM)):
+                n, offsets = lengths[rows], np.arange(width)
+                at = np.minimum(starts[rows][:, None] + offsets, len(padded) - 1)
+                windows = np.where(offsets < n[:, None], padded[at], _PAD)
+                made, steps = [], 3 * int(n.max())
+                for r in range(self.reps):
+                    if r % -(-self.reps // self.walks) == 0:
+                        out = cgk(windows, steps, self._moves(r, 3 * (1 << c)))
+                    sampled = (self.draws[r][None, :] * (3 * n)[:, None]).astype(np.int64)
+                    picked = np.take_along_axis(out, sampled, axis=1).astype(np.int64)
+                    key = _mix(n, r)
+                    for b in range(self.bits):
+                        key = _mix(picked[:, b] ^ key.astype(np.int64), b + 1)
+                    made.append(key)
+                yield rows, made
+
+    def _moves(self, walk: int, steps: int) -> np.ndarray:
+        if (walk, steps) not in self.moves:
+            self.moves[walk, steps] = step_bits(len(self.vocabulary) + 2, steps, self.seed + walk)
+        return self.moves[walk, steps]
+
+    def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and lengths, distinct, of the windows to embed: those about an unchanged run of an item."""
+        found: set[tuple[int, int]] = set()
+        known = ids != _OTHER
         for size in self.sizes:
             if len(ids) < size:
                 continue
@@ -164,38 +193,46 @@ class Index:
             codes, owners = self.runs[size]
             i = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
             for s, j in zip(starts[codes[i] == code].tolist(), i[codes[i] == code].tolist(), strict=True):
-                places.update((s - a, k) for k, a in owners[j])
-        if not places:
+                found.update(((s - a) // int(self.stride[k]) * int(self.stride[k]), k) for k, a in owners[j])
+        last, rows = len(ids) - 1, set()
+        for s, k in found:
+            e, step, n = int(self.unit_edits[k]), int(self.stride[k]), int(self.lengths[k])
+            rows.update((min(max(0, s + d), last), n) for d in range(-e, e + 1, step))
+        got = np.array(sorted(rows), np.int64).reshape(-1, 2)
+        return got[:, 0], got[:, 1]
+
+    def matches(self, words: list[bytes], first: bool = False) -> list[tuple[int, int, int, int, int]]:
+        """(item, distance, start, end, found) in words, the nearest for each item, of one document; ``first``: one item is enough."""
+        ids = np.array([self.vocabulary.get(w, _OTHER) for w in words], np.int32)
+        if not len(ids) or not self.items:
             return []
-        # Windows of the item's size about each place: edits before the run shift it.
-        rows = sorted({(max(0, s + d), k) for s, k in places for d in range(-self.edits[k], self.edits[k] + 1) if s + d < len(ids)})
-        got: dict[int, set[int]] = {}
-        for a in range(0, len(rows), 4096):
-            part = rows[a : a + 4096]
-            lengths = np.array([self.lengths[k] for _, k in part])
-            windows = np.zeros((len(part), self.longest), np.int64)
-            for i, (s, k) in enumerate(part):
-                w = ids[s : s + self.lengths[k]]
-                windows[i, : len(w)] = w
-            for table, keys in zip(self.tables, self.keys(windows, lengths), strict=True):
-                for i, key in enumerate(keys.tolist()):
-                    for k in table.get(key, ()):
-                        got.setdefault(k, set()).add(part[i][0])
+        starts, lengths = self.places(ids)
+        near: dict[int, set[int]] = {}  # starts that the items would have
+        for rows, keys in self.keys(ids, starts, lengths):
+            at = starts[rows].tolist()
+            for table, key in zip(self.tables, keys, strict=True):
+                for i, x in enumerate(key.tolist()):
+                    for u in table.get(x, ()):
+                        k, offset, _ = self.units[u]
+                        near.setdefault(k, set()).add(at[i] - offset)
         out = []
-        for k, starts in got.items():
-            n, e = int(self.lengths[k]), self.edits[k]
+        for k, places in sorted(near.items()):
+            n, e = len(self.items[k][1]), self.edits[k]
+            slack = e + 1 + n // 512
             best, count, reach = None, 0, -1
-            for s in sorted(starts):
-                if s + e < reach:
+            for s in sorted(places):
+                if s + slack < reach:
                     continue
-                lo, hi = max(0, s - e), min(len(ids), s + n + 2 * e)
-                hit = edit_within(self.items[k][1], ids[lo:hi].tolist(), e)
+                lo, hi = max(0, s - slack), min(len(ids), s + n + e + slack)
+                hit = edit_within(self.items[k][1], ids[lo:hi], e)
                 if hit:
                     count, reach = count + 1, lo + hit[2]
                     if best is None or (hit[0], lo + hit[1]) < best[:2]:
                         best = (hit[0], lo + hit[1], lo + hit[2])
             if best:
                 out.append((self.items[k][0], *best, count))
+                if first:
+                    break
         return sorted(out)
 
 
@@ -208,23 +245,29 @@ def _roll(ids: np.ndarray, size: int) -> np.ndarray:
     return code
 
 
-def build(items: list[tuple[int, str | None]], ratio: float = 0.15, recall: float = 0.99, bits: int = 4, seed: int = 11, least: int = 5) -> Index:
-    """An index of (item id, text); items of fewer than ``least`` words aren't searched, nor are null texts or ids."""
-    rows = [(i, [(w, word_id(w)) for w in words_of((t or "").encode())]) for i, t in items if i is not None]
-    rows = [r for r in rows if len(r[1]) >= least]
-    index = Index([(i, [x for _, x in ws]) for i, ws in rows], ratio, recall, bits, seed)
-    index.vocabulary = {w: x for _, ws in rows for w, x in ws}
-    return index
-
+def build(items: list[tuple[int, str | None]], ratio: float = 0.15, recall: float = 0.99, bits: int = 4, seed: int = 11) -> Index:
+    """An index of (item id, text); items without a word, null texts and null ids can't be found.
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block: int):
-    """Lists of at most ``block`` items, so that neither the driver nor a task holds more at once."""
-    held = []
+    Words are numbered, so different words never count as equal.
+    """
+    number: dict[bytes, int] = {}
+    rows = []
+    for i, t in items:
+        words = words_of((t or "").encode())
+        if i is not None and words:
+            rows.append((i, np.array([number.setdefault(w, len(number) + 2) for w in words], np.int32)))
+    return Index(rows, number, ratio, recall, bits, seed)
+
+
+def _blocks(items: DataFrame, id_col: str, text_col: str, block: int, words: int = 2_000_000):
+    """Lists of at most ``block`` items and about ``words`` words, so that neither the driver nor a task holds more at once."""
+    held, size = [], 0
     for r in items.select(id_col, text_col).toLocalIterator():
         held.append((r[0], r[1]))
-        if len(held) == block:
+        size += len(r[1] or "") // 4
+        if len(held) == block or size >= words:
             yield held
-            held = []
+            held, size = [], 0
     if held:
         yield held
 
@@ -235,7 +278,9 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     distance: word edits, at most ``ratio`` of the item's words; start and end count the
     document's words; found: how many separate passages.  Documents without any have no
     row.  Null texts hold nothing.  Ids may be null or repeat; an item id that repeats has
-    a row for each.  Items go to the tasks in blocks of ``block``: one pass for each.
+    a row for each.  Items of any number of words, one or thousands, are searched; those
+    shorter than 1 / ``ratio`` words must stand there unchanged.  Items go to the tasks in
+    blocks of ``block``: one pass for each.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -270,7 +315,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_c
         def run(batches, sent=sent):
             index = sent.value
             for b in batches:
-                yield b.filter(pa.array([not index.matches(words_of(t.as_py() or b"")) for t in b.column(at).cast(pa.binary())], pa.bool_()))
+                yield b.filter(pa.array([not index.matches(words_of(t.as_py() or b""), first=True) for t in b.column(at).cast(pa.binary())], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
