@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,16 +71,29 @@ def threshold_lookup(scores: DataFrame, thresholds: DataFrame, roles: Roles = Ro
 
 
 def candidate_grid(spark: SparkSession, grid: Grid) -> DataFrame:
-    """(candidate_id, candidate_rank, detector_id, context, rule_id, ewma_id, ewma_alpha, persistence) in grid order."""
-    axis = lambda name, kind, values: spark.createDataFrame([(k, v) for k, v in enumerate(values)], f"__{name} int, {name} {kind}")
-    out = axis("detector_id", "string", grid.detectors)
-    for name, kind, values in (("context", "string", grid.contexts), ("rule_id", "string", [r.rule_id for r in grid.rules]), ("ewma_alpha", "double", grid.ewma), ("persistence", "int", grid.persistence)):
-        out = out.crossJoin(axis(name, kind, values))
-    ewma = F.when(F.col("ewma_alpha").isNull(), "off").otherwise(F.format_string("alpha_%.2f", "ewma_alpha"))
-    sizes = {"__detector_id": len(grid.contexts) * len(grid.rules) * len(grid.ewma) * len(grid.persistence), "__context": len(grid.rules) * len(grid.ewma) * len(grid.persistence), "__rule_id": len(grid.ewma) * len(grid.persistence), "__ewma_alpha": len(grid.persistence), "__persistence": 1}
-    rank = sum((F.col(k) * v for k, v in sizes.items()), F.lit(0))
-    out = out.withColumn("ewma_id", ewma).withColumn("candidate_rank", rank)
-    return out.select(F.concat_ws("__", "detector_id", "context", "rule_id", F.concat(F.lit("ewma_"), "ewma_id"), F.format_string("persistence_%d", "persistence")).alias("candidate_id"), "candidate_rank", "detector_id", "context", "rule_id", "ewma_id", "ewma_alpha", "persistence")
+    """(candidate_id, candidate_rank, detector_id, context, rule_id, ewma_id, ewma_alpha, persistence) in grid order.
+
+    The axes are parameters, so their product is made here and becomes one local table
+    of known size in one partition: no plan multiplies partitions over it.
+    """
+    rules = [r.rule_id for r in grid.rules]
+    axes = list(itertools.product(grid.detectors, grid.contexts, rules, grid.ewma, grid.persistence))
+    smooth = ["off" if a is None else f"alpha_{a:.2f}" for *_, a, _ in axes]
+    ids = [f"{d}__{c}__{r}__ewma_{e}__persistence_{m}" for (d, c, r, _, m), e in zip(axes, smooth, strict=True)]
+    column = lambda i, kind: pa.array([x[i] for x in axes], kind)
+    table = pa.table(
+        {
+            "candidate_id": pa.array(ids, pa.string()),
+            "candidate_rank": pa.array(range(len(axes)), pa.int32()),
+            "detector_id": column(0, pa.string()),
+            "context": column(1, pa.string()),
+            "rule_id": column(2, pa.string()),
+            "ewma_id": pa.array(smooth, pa.string()),
+            "ewma_alpha": column(3, pa.float64()),
+            "persistence": column(4, pa.int32()),
+        }
+    )
+    return spark.createDataFrame(table)
 
 
 def detector_grid(spark: SparkSession) -> DataFrame:

@@ -14,8 +14,8 @@ def scratch(spark: SparkSession, tag: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tidewatch-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-"))
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/tidewatch/{tag}-{uuid.uuid4().hex}"
 
 
