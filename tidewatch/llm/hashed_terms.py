@@ -173,33 +173,32 @@ def select_pairs(features: DataFrame, n: np.ndarray, totals: list[int], most: in
     """(a, b, n0, n1) of two-grade pairs of terms whose joint gain exceeds that of either alone by ``least_gain``.
 
     ``features``: texts as positions of candidate terms (``sample_features``); ``n``: the
-    candidates' counts.  Tasks count joint texts as matrix products and pass on a row for
-    each term; rows of a term meet in one small group.  At most ``most`` pairs are returned.
+    candidates' counts.  Tasks count joint texts and pass on a row for each term and
+    grade, which meet in one small group a term.  At most ``most`` pairs are returned.
     """
     size, alone = len(n), term_gains(n, totals)
 
     def joint(batches):
-        total = np.zeros((2, size, size), np.float32)
+        total = np.zeros((2, size * size), np.int32)
         for b in batches:
-            for a in range(0, b.num_rows, 1024):
-                part = b.slice(a, 1024)
-                x, y = np.zeros((part.num_rows, size), np.float32), part.column(0).to_numpy()
-                for i, ids in enumerate(part.column(1)):
-                    x[i, np.frombuffer(ids.as_buffer(), "<i4")] = 1
-                for g in (0, 1):
-                    total[g] += x[y == g].T @ x[y == g]
-        rows = total.astype("<i4").transpose(1, 0, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["a", "joint"])
+            for grade, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                x = np.frombuffer(ids.as_buffer(), "<i4").astype(np.int64)
+                total[grade][(x[:, None] * size + x[None, :])[np.triu_indices(len(x), 1)]] += 1
+        for first in range(0, size, 128):
+            rows = [(a, g, total[g, a * size + a : (a + 1) * size]) for a in range(first, min(first + 128, size)) for g in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2].astype("<i4").tobytes() for r in rows], pa.binary())], ["a", "grade", "joint"])
 
     def gains(table: pa.Table) -> pa.Table:
         a = table.column("a")[0].as_py()
-        both = sum(np.frombuffer(x.as_py(), "<i4").reshape(2, size) for x in table.column("joint")).T.astype(float)
-        more = term_gains(both, totals) - np.maximum(alone[a], alone)
-        more[: a + 1] = 0
+        both = np.zeros((size - a, 2))
+        for g, x in zip(table.column("grade").to_pylist(), table.column("joint").to_pylist(), strict=True):
+            both[:, g] += np.frombuffer(x, "<i4")
+        more = term_gains(both, totals) - np.maximum(alone[a], alone[a:])
         b = np.flatnonzero(more >= least_gain)
-        return pa.table({"a": pa.array([a] * len(b), pa.int32()), "b": pa.array(b, pa.int32()), "n0": both[b, 0], "n1": both[b, 1], "more": more[b]})
+        b = b[b > 0]
+        return pa.table({"a": pa.array([a] * len(b), pa.int32()), "b": pa.array(a + b, pa.int32()), "n0": both[b, 0], "n1": both[b, 1], "more": more[b]})
 
-    found = features.select("grade", "ids").mapInArrow(joint, "a int, joint binary").groupBy("a").applyInArrow(_named(gains), "a int, b int, n0 double, n1 double, more double")
+    found = features.select("grade", "ids").mapInArrow(joint, "a int, grade int, joint binary").groupBy("a").applyInArrow(_named(gains), "a int, b int, n0 double, n1 double, more double")
     return [tuple(r)[:4] for r in found.orderBy(F.desc("more"), "a", "b").limit(most).collect()]
 
 

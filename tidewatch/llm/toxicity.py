@@ -67,7 +67,7 @@ def _pass(w0, w, v, docs, y, rate, decay, rng, batch=128):
     return w0, w, v
 
 
-def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 15_000, most_terms: int = 20_000, least_gain: float = 15.0, frequent: int = 1_024, most_pairs: int = 1_000, pair_gain: float = 30.0, factors: int = 8, rounds: int = 6, passes: int = 2, rate: float = 0.15, decay: float = 1e-4, parts: int = 6, seed: int = 7) -> FactorizationMachine:
+def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 15_000, most_terms: int = 20_000, least_gain: float = 15.0, frequent: int = 600, most_pairs: int = 1_000, pair_gain: float = 30.0, factors: int = 8, rounds: int = 6, passes: int = 2, rate: float = 0.15, decay: float = 1e-4, parts: int = 6, seed: int = 7) -> FactorizationMachine:
     """Fit on at most ``per_class`` labelled rows of each class (those of the least id hash).
 
     Terms are those that lean to a class alone, by ``least_gain``, and those of pairs that
