@@ -236,7 +236,10 @@ def test_class_model_is_a_distribution_and_base_is_exact(spark):
     texts = [prose(rng, rng.randrange(5, 60)) for _ in range(120)] + ["", None, "unseen-word never", "A a A"]
     docs = table(spark, texts)
     train = docs.where(~held_out(F.col("doc_id"), 10))
-    got = {r.doc_id: r for r in brown.score(docs, train, exchange_words=20, known_words=30, classes=4, rare=3, rounds=2).collect()}
+    few = {"exchange_words": 20, "known_words": 30, "classes": 4, "rare": 3, "rounds": 6}
+    got = {r.doc_id: r for r in brown.score(docs.withColumn("row", F.lit(1)), ~held_out(F.col("doc_id"), 10), **few).collect()}
+    apart = {r.doc_id: r for r in brown.score(docs.withColumn("doc_id", F.col("doc_id").cast("smallint")), train, **few).collect()}
+    assert all(apart[i].score == pytest.approx(r.score) and apart[i].n_known == r.n_known for i, r in got.items())
     counts, n = {}, 0
     tokens = lambda t: [*(t or "").encode().lower().split(), b""]
     for i, t in enumerate(texts):
@@ -249,23 +252,78 @@ def test_class_model_is_a_distribution_and_base_is_exact(spark):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens(t)), sum(w in counts for w in tokens(t)), n)
         assert r.base_score == pytest.approx(sum(math.log10((counts.get(w, 0) + 0.1) / (n + 0.1 * (len(counts) + 1))) for w in tokens(t)))
         assert r.score < 0
-    # All one-word texts over the known words, and one unseen word for each rare class, share a first step of mass 1.
-    model, table_ = brown.fit(train, Workspace(spark, "b"), exchange_words=20, known_words=30, classes=4, rare=3, rounds=2)
-    step, last = 10 ** model.step, len(model.step) - 1
-    assert np.allclose(step.sum(axis=1), 1)
-    mass = np.zeros(len(step))
-    seen = {bytes(r[0]): r[1] for r in table_.collect() if r[0]}
-    for w, c in seen.items():
-        i = model.words.get(w)
-        if i is not None:
-            mass[model.klass[i]] += 10 ** model.emit[i]
-        else:
+        assert r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens))
+    # Every class is a distribution over its words, seen and unseen, and every row of steps over classes.
+    work = Workspace(spark, "b")
+    words = brown.vocabulary(train, work, known_words=30)
+    coded = work.save(brown.encode(train, "doc_id", "text", 10, F.lit(True), *words.lookup(), 3), "coded").where("word is null")
+    model = brown.fit(coded, words, exchange_words=20, classes=4, rare=3, rounds=6)
+    step, last = 10**model.step, len(model.step) - 1
+    assert np.allclose(step.sum(axis=1), 1) and len(model.klass) == len(words.hashes) <= 30
+    mass, rank = np.zeros(len(step)), {h: i for i, h in enumerate(words.hashes.tolist())}
+    place = {}
+    for w, c in counts.items():
+        i = rank.get(xxhash.xxh64_intdigest(w, 42) - (1 << 64) * (xxhash.xxh64_intdigest(w, 42) >> 63))
+        if w and i is not None:
+            assert words.count[i] == c
+            place[w] = model.klass[i], model.emit[i]
+        elif w:
             k = brown.rare_class(w, 3)
-            mass[4 + k] += c * (1 - 10 ** model.unseen[k]) / model.rare_total[k]
+            place[w] = 4 + k, math.log10((c - model.discount) / model.rare_total[k])
+        if w:
+            mass[place[w][0]] += 10 ** place[w][1]
     for k in range(3):
         mass[4 + k] += 10 ** model.unseen[k]
-    used = np.bincount(model.klass[: model.exchange], minlength=last)[:4] > 0
-    assert np.allclose(mass[:4][used], 1) and np.allclose(mass[4:last][model.rare_total > 0], 1)
+    used = np.bincount(model.klass, minlength=4) > 0
+    assert np.allclose(mass[:4][used], 1) and np.allclose(mass[4:last], 1)
+    # The score of every text, word by word.
+    for i, t in enumerate(texts):
+        before, total = last, 0.0
+        for w in tokens(t):
+            k, e = (last, 0.0) if not w else place.get(w) or (4 + brown.rare_class(w, 3), model.unseen[brown.rare_class(w, 3)])
+            total, before = total + model.step[before, k] + e, k
+        assert got[i].score == pytest.approx(total)
+    assert brown.score(docs.limit(0), ~held_out(F.col("doc_id"), 10)).count() == 0
+    bare = brown.score(docs, docs.limit(0)).collect()
+    assert len(bare) == len(texts) and all(r.train_tokens == 0 and r.n_known == 0 for r in bare)
+
+
+def test_exchange_never_lowers_the_likelihood_and_finds_hidden_classes(spark):
+    rng = random.Random(17)
+    kinds = [[f"{k}w{i}" for i in range(12)] for k in "abc"]
+    texts = [" ".join(rng.choice(kinds[i % 3]) for i in range(rng.randrange(6, 30))) for _ in range(300)]
+    docs = table(spark, texts)
+    work = Workspace(spark, "b")
+    words = brown.vocabulary(docs, work)
+    coded = work.save(brown.encode(docs, "doc_id", "text", 10, F.lit(True), *words.lookup(), 3), "coded").where("word is null")
+    n = len(words.hashes)
+    pairs = work.save(brown.bigrams(coded, lambda ids: ids, n + 2), "pairs")
+    klass, table_, history = brown.exchange_classes(pairs, n, 3, 30)
+    assert all(b >= a for a, b in zip(history, history[1:], strict=False)) and history[-1] > history[0]
+    name = {h: w for k in kinds for w in k for h in [xxhash.xxh64_intdigest(w, 42) - (1 << 64) * (xxhash.xxh64_intdigest(w, 42) >> 63)]}
+    kind = [name[h][0] for h in words.hashes.tolist()]
+    assert np.mean([max(np.bincount(klass[:n][[x == k for x in kind]])) / kind.count(k) for k in "abc"]) > 0.9
+    # Words that join later go where those of their kind are.
+    fitted = brown.fit(coded, words, exchange_words=24, classes=3, rare=3, rounds=30)
+    assert np.mean([max(np.bincount(fitted.klass[[x == k for x in kind]])) / kind.count(k) for k in "abc"]) > 0.9
+
+
+def test_joining_gain_is_exact():
+    rng = np.random.default_rng(3)
+    table_ = rng.integers(1, 30, (5, 5)).astype(float)
+    table_[3], table_[:, 3] = 200.0, 200.0  # other words, of which the word is one
+    for _ in range(40):
+        codes = rng.choice(10, 4, replace=False)
+        n = rng.integers(1, 5, 4)
+        scores = []
+        for c in range(3):
+            moved = table_.copy()
+            for code, x in zip(codes, n, strict=True):
+                old, new = ((3, code), (c, code)) if code < 5 else ((code - 5, 3), (code - 5, c))
+                moved[old] -= x
+                moved[new] += x
+            scores.append(brown.likelihood(moved))
+        assert brown.joining_classes([(codes, n)], table_, 3)[0] == int(np.argmax(scores))
 
 
 def test_exchange_gain_is_exact():

@@ -24,7 +24,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return brown.score(docs, docs.where(~held_out(F.col("doc_id"), 10)), folds=10)
+    return brown.score(docs, ~held_out(F.col("doc_id"), 10), folds=10)
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
