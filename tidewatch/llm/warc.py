@@ -41,29 +41,29 @@ def plan_revisits(digests: DataFrame, least: int = 1000) -> DataFrame:
     return joined.where(F.col("first").isNotNull() & (F.col("first") != F.col("record_id"))).select("record_id", "sha1", F.col("first").alias("refers_to")).distinct()
 
 
-def _header(record_id: int, url: str, length: int, sha1: bytes, refers_to: int | None) -> bytes:
+def _header(record_id: int, url: str, length: int, sha1: str, refers_to: int | None) -> bytes:
     uid = lambda n: f"<urn:x-record:{n}>"
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {uid(record_id)}", f"WARC-Target-URI: {' '.join(url.split())}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{base64.b32encode(sha1).decode()}", f"X-Payload-Length: {length}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {uid(record_id)}", f"WARC-Target-URI: {' '.join(url.split())}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha1)).decode()}", f"X-Payload-Length: {length}"]
     if refers_to is not None:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {uid(refers_to)}"]
     lines += ["Content-Type: application/octet-stream", f"Content-Length: {0 if refers_to is not None else length}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
-def record_chunks(record_id: int, url: str | None, body: memoryview, refers_to: int | None, size: int, key: int = 0):
-    """The rows of one record: its header, slices of its payload, and the closing line ends with the last."""
-    full = hashlib.sha1()
-    for a in range(0, len(body), size):
-        full.update(body[a : a + size])
-    head, end = _header(record_id, url or "", len(body), full.digest(), refers_to), b"\r\n\r\n"
-    body = body[:0] if refers_to is not None else body
+def record_rows(rows):
+    """Chunk rows of records, from rows (record_id, url, bytes, sha1, refers_to, key, chunk, last, part) in order of chunk.
+
+    Chunk 0 becomes the header and the last gets the closing line ends; the digest runs
+    from chunk to chunk, and no more than a chunk is held.
+    """
     running = hashlib.sha1()
-    yield record_id, 0, head + (end if not len(body) else b""), running.hexdigest(), not len(body), key
-    for k, a in enumerate(range(0, len(body), size), 1):
-        part = body[a : a + size]
-        running.update(part)
-        last = a + size >= len(body)
-        yield record_id, k, bytes(part) + (end if last else b""), running.hexdigest(), last, key
+    for record_id, url, length, sha1, refers_to, key, chunk, last, part in rows:
+        if chunk == 0:
+            running, data = hashlib.sha1(), _header(record_id, url or "", length, sha1, refers_to)
+        else:
+            data = part.as_buffer().to_pybytes()
+            running.update(data)
+        yield record_id, chunk, data + (b"\r\n\r\n" if last else b""), running.hexdigest(), last, key
 
 
 def _emit(rows, most: int = 4 << 20):
@@ -84,7 +84,7 @@ def _batch(rows):
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["record_id", "chunk", "data", "prefix_sha1", "last", "record_key"])
 
 
-def write_chunks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = 1000, chunk: int = CHUNK) -> DataFrame:
+def write_chunks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = 1000, chunk: int = CHUNK, most_broadcast: int = 200_000) -> DataFrame:
     """The chunk rows of one record for each row of ``pages`` whose id isn't null.
 
     Null payloads are empty and null URLs blank.  Rows with a null id have no record.  Rows
@@ -95,18 +95,25 @@ def write_chunks(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     named = pages.where(F.col(id_col).isNotNull())
     plan = work.save(plan_revisits(payload_digests(named, id_col, body_col), least), "revisits")
     rows = named.select(F.col(id_col).cast("long").alias("record_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(body_col).cast("binary"), F.lit(b"")).alias("body"))
-    # The plan is unique on both keys, so a repeated row stays one row.
-    rows = rows.withColumn("sha1", F.sha1("body")).join(plan, ["record_id", "sha1"], "left")
-    rows = rows.select("record_id", "url", "body", "refers_to", F.monotonically_increasing_id().alias("record_key"))
+    rows = rows.withColumns({"sha1": F.sha1("body"), "bytes": F.octet_length("body").cast("long")})
+    # The plan is unique on both keys, so a repeated row stays one row.  While it is of a
+    # counted, small size it is broadcast, and no payload is exchanged.
+    rows = rows.join(F.broadcast(plan) if plan.limit(most_broadcast + 1).count() <= most_broadcast else plan, ["record_id", "sha1"], "left")
+    # Payloads are cut before they reach Python: an empty chunk for the header, then slices of what the record holds.
+    held = F.when(F.col("refers_to").isNull(), F.col("body")).otherwise(F.lit(b""))
+    rows = rows.select("record_id", "url", "bytes", "sha1", "refers_to", F.monotonically_increasing_id().alias("record_key"), held.alias("body"))
+    many = F.ceil(F.octet_length("body") / F.lit(chunk)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), many), lambda i: F.when(i == 0, F.lit(b"")).otherwise(F.substring(F.col("body"), (i - 1) * chunk + 1, F.lit(chunk))))
+    rows = rows.select("record_id", "url", "bytes", "sha1", "refers_to", "record_key", many.alias("many"), F.posexplode(cut).alias("chunk", "part"))
+    rows = rows.select("record_id", F.when(F.col("chunk") == 0, F.col("url")).alias("url"), "bytes", "sha1", "refers_to", "record_key", "chunk", (F.col("chunk") == F.col("many")).alias("last"), "part")
 
     def run(batches):
         def each():
             for b in batches:
-                for i in range(b.num_rows):
-                    at = b.column(3)[i].as_py()
-                    yield from record_chunks(b.column(0)[i].as_py(), b.column(1)[i].as_py(), memoryview(b.column(2)[i].as_buffer()), at, chunk, b.column(4)[i].as_py())
+                head = [b.column(i).to_pylist() for i in range(8)]
+                yield from zip(*head, b.column(8), strict=True)
 
-        yield from _emit(each())
+        yield from _emit(record_rows(each()))
 
     return rows.mapInArrow(run, CHUNK_SCHEMA)
 
