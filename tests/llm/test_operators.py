@@ -359,6 +359,25 @@ def test_licences_by_variant(spark):
     text = licences._MIT
     variant = "Copyright (c) 2019 Some Body\nAll rights reserved.\n\n" + text.replace("Software", "SOFTWARE").replace(",", " , ")
     got = licences.scan(table(spark, [variant, text + " more", "intro\nLicensed under CC BY 4.0.\nend", None, "", text.replace("sublicense", "sublicence")]).withColumn("notices", F.lit(1)), licences.known_table(spark)).orderBy("doc_id").collect()
+    text_of = dict(licences.KNOWN_TEXTS[::-1])
+    gate = licences.gate_words(licences.KNOWN_TEXTS)
+    assert gate and all(any(g in t.lower() for g in gate) for _, t in licences.KNOWN_TEXTS)
+    more = [
+        "// Copyright (c) Jane Doe\n" + text,  # no year, behind a comment mark
+        text.replace('"', "\u201c").replace("-", "\u2014"),
+        text.replace("sublicense", "sublicence").replace("license", "licence"),
+        "before\n" + " ".join(text.split()) + "\nafter",  # the whole licence on a line, far over 400 characters
+        "x\n" + " ".join(licences._ZLIB.split()).upper() + "\n",
+        "Licence licence licence",
+        "license license license",
+        "z " * 60_000,
+    ]
+    both = [licences.scan(table(spark, more), licences.known_table(spark), gate=g).orderBy("doc_id").collect() for g in (gate, ())]
+    assert both[0] == both[1]
+    assert [(r.license_id, r.notices) for r in both[0]] == [("MIT", None)] * 3 + [(None, "MIT"), (None, "Zlib"), (None, None), (None, None), (None, None)]
+    assert both[0][5].digest == both[0][6].digest
+    assert licences.scan(table(spark, more).limit(0), licences.known_table(spark)).count() == 0
+    assert licences.scan(table(spark, [text_of["BSL-1.0"], text_of["MPL-2.0"]]), licences.known_table(spark)).where("license_id is null").count() == 0
     assert mit and [r.license_id for r in got] == ["MIT", None, None, None, None, "MIT"]
     assert got[2].notices == "CC-BY-4.0" and got[3].digest == got[4].digest
 
@@ -481,6 +500,41 @@ def test_outliers_reject_far_texts_of_their_group(spark):
     got = {r.doc_id: r for r in outliers.verdicts(table(spark, texts)).collect()}
     assert sum(got[i].kept for i in range(300)) >= 298 and not any(got[i].kept for i in range(300, 308))
     assert outliers.verdicts(table(spark, texts).limit(0)).count() == 0
+    # Small groups are judged too, by their language or by all texts.
+    small = spark.createDataFrame([(i, t, "en" if i % 20 else "fr", f"s{i % 30}") for i, t in enumerate(texts)] + [(900, None, None, None)], DOCS)
+    kept = {r.doc_id: r.kept for r in outliers.verdicts(small.withColumn("d2", F.lit(1)).withColumn("group", F.lit("g"))).collect()}
+    assert sum(kept[i] for i in range(300)) >= 297 and not any(kept[i] for i in [*range(300, 308), 900])
+    few = outliers.verdicts(small.where("doc_id < 5 or doc_id > 305")).collect()
+    assert all(r.base_failed or r.d2 is not None for r in few)
+
+
+def test_estimates_have_the_determinant_of_brute_force(spark):
+    rng = np.random.default_rng(4)
+    mix = rng.normal(0, 1, (5, 5)) + 3 * np.eye(5)
+    rows = []
+    for g, n in (("a", 400), ("b", 60)):
+        x = rng.normal(0, 1, (n, 5)) @ mix
+        x[: n // 6] = rng.normal(0, 0.3, (n // 6, 5)) + 40  # a tight cluster far away
+        rows += [(g, i, *map(float, v)) for i, v in enumerate(x)]
+    fit = spark.createDataFrame(rows, "group string, doc_id long, x0 double, x1 double, x2 double, x3 double, x4 double")
+    got = {r["group"]: r for r in outliers.estimates(fit, Workspace(spark, "o")).collect()}
+    for g in ("a", "b"):
+        x = np.array([r[2:] for r in rows if r[0] == g])
+        best = None
+        for _ in range(60):  # concentration from random starts, exact subsets
+            at = rng.choice(len(x), 8, replace=False)
+            for _ in range(30):
+                c, m = np.cov(x[at].T, bias=True) + 1e-9 * np.eye(5), x[at].mean(axis=0)
+                at = np.argsort(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m))[: -(-3 * len(x) // 4)]
+            det = np.linalg.det(np.cov(x[at].T, bias=True) * outliers.consistency(0.75, 5))
+            if best is None or det < best[0]:
+                best = det, x[at].mean(axis=0)
+        assert got[g].det == pytest.approx(best[0], rel=0.25)
+        assert np.allclose([got[g][f"m{i}"] for i in range(5)], best[1], atol=1.0)
+    # Closest shares of normal vectors, corrected, have the variance of all.
+    x = rng.normal(0, 1, (200_000, 5))
+    near = x[np.argsort((x * x).sum(axis=1))[:150_000]]
+    assert outliers.consistency(0.75, 5) * near.var() == pytest.approx(1, rel=0.01)
 
 
 def test_edit_distance_of_stretches():

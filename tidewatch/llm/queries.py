@@ -28,7 +28,7 @@ def op2_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(_table(spark, sf_dir, "documents"), licences.known_table(spark))
+    return licences.scan(_table(spark, sf_dir, "documents"), licences.known_table(spark), gate=licences.gate_words(licences.KNOWN_TEXTS))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
