@@ -98,7 +98,8 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", id_col: str =
     places = np.concatenate((top, often[fresh]))
     order = np.argsort(places)
     asked, n_asked = places[order], np.concatenate((n_top, n_often[fresh]))[order]
-    pairs = select_pairs(sample_features(sample, WORDS, asked), n_asked, totals, most_pairs, pair_gain) if len(asked) else []
+    # Written first: two Python steps in one task would hold twice the workers.
+    pairs = select_pairs(work.save(sample_features(sample, WORDS, asked), "asked"), n_asked, totals, most_pairs, pair_gain) if len(asked) else []
     chosen = np.union1d(leaning, np.array([asked[i] for p in pairs for i in p[:2]], np.int64))
     n = np.array(counts.where(F.col("term").isin([int(t) for t in chosen])).orderBy("term").collect(), float).reshape(-1, 3)[:, 1:]
     lean = np.log((n[:, 1] + 0.5) / (totals[1] + 1)) - np.log((n[:, 0] + 0.5) / (totals[0] + 1))
