@@ -1,107 +1,227 @@
-"""Alert state, events, thresholds, calibration, selection: small cases with literal results."""
+"""Alert state, events, thresholds, calibration, labels, selection and splits: random tables against brute force."""
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import alerts, calibration, metrics, proxies, selection, thresholds, windows
+from tidewatch.functions.order import quantiles
+from tidewatch.operators import alerts, calibration, compare, detectors, metrics, proxies, selection, thresholds, windows
 from tidewatch.operators.checks import Violation, assert_empty, check_cycles
 from tidewatch.operators.splits import stratified_split
 from tidewatch.plans import study
-from tidewatch.schema import Grid, Roles, Rule
+from tidewatch.schema import POLICIES, Grid, Roles, Rule
 
 R = Roles()
 SCORES = "detector_id string, window_id string, engine int, start_cycle int, end_cycle int, max_cycle int, op_mode int, split string, alert_score double"
 
 
-def frame(spark, rows):
-    return spark.createDataFrame([("d", f"w{i}", e, c - 9, c, 100, m, "train", x) for i, (e, c, m, x) in enumerate(rows)], SCORES)
+def histories(seed, engines=7, length=40, skip=0.1):
+    """{engine: [(cycle, mode, score)]} with gaps, runs of equal scores and engines of one row."""
+    rng = random.Random(seed)
+    out = {}
+    for e in range(engines):
+        n = 1 if e == 3 else rng.randrange(length // 2, length)
+        rows, x = [], 0.5
+        for c in range(1, n + 1):
+            x = x if rng.random() < 0.3 else round(rng.random(), 2)
+            if c == 1 or rng.random() >= skip:
+                rows.append((c, rng.randrange(3), x))
+        out[e * 11 + 2] = rows
+    return out
 
 
-def test_ewma_starts_at_first_score_and_resets_at_gap_and_entity(spark):
-    got = alerts.segments(alerts.ewma(frame(spark, [(1, 1, 0, 0.2), (1, 2, 1, 0.6), (1, 4, 0, 0.8), (2, 1, 0, 0.4)]), [0.5]))
-    got = alerts.state_segment_id(got).orderBy("engine", "end_cycle").collect()
-    assert [round(r.smoothed_score, 12) for r in got] == [0.2, 0.4, 0.8, 0.4]
-    assert [r.state_segment_id for r in got] == [0, 0, 1, 2]
+def frame(spark, held):
+    rows = [("d", f"{e}/{c}", e, c - 9, c, 60, m, "train", x) for e, cycles in held.items() for c, m, x in cycles]
+    random.Random(0).shuffle(rows)
+    return spark.createDataFrame(rows, SCORES)
 
 
-def test_violations_are_strict_and_counted(spark):
-    t = spark.createDataFrame([("d", "global", "r", None, 0.7, 4)], "detector_id string, context string, rule_id string, op_mode int, threshold double, reference_count long")
-    got = alerts.apply_policy(frame(spark, [(1, 1, 0, 0.8), (1, 2, 1, 0.8), (1, 3, 0, 0.7), (1, 4, 0, 0.9)]), t, None, 1, "global", "r").orderBy("end_cycle").collect()
-    assert [r.threshold_violation for r in got] == [True, True, False, True]
-    assert [r.persistence_count for r in got] == [1, 2, 0, 1]
+def segments_of(cycles):
+    """Lists of rows without a gap between cycles."""
+    out = []
+    for r in cycles:
+        if out and r[0] == out[-1][-1][0] + 1:
+            out[-1].append(r)
+        else:
+            out.append([r])
+    return out
 
 
-def test_missing_mode_is_an_error(spark):
-    t = spark.createDataFrame([("d", "per_mode", "r", 0, 0.7, 4)], "detector_id string, context string, rule_id string, op_mode int, threshold double, reference_count long")
-    with pytest.raises(Exception, match="no threshold for mode"):
-        alerts.apply_policy(frame(spark, [(1, 1, 3, 0.8)]), t, None, 1, "per_mode", "r").collect()
+def trace_of(cycles, alpha, m, threshold):
+    """{cycle: (segment, smoothed, run, active)} row by row."""
+    out = {}
+    for k, segment in enumerate(segments_of(cycles)):
+        s, run = None, 0
+        for c, mode, x in segment:
+            s = x if s is None or alpha is None else alpha * x + (1 - alpha) * s
+            run = run + 1 if s > threshold(mode) else 0
+            out[c] = k, s, run, run >= m
+    return out
+
+
+def test_smoothing_is_the_recurrence():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 50, 700):
+        x, starts, a = rng.random(n), rng.random(n) < 0.05, np.array([1.0, 0.2, 0.7])
+        for state in (None, np.array([0.4, 0.5, 0.6])):
+            want, s = [], state
+            for i, v in enumerate(x):
+                s = np.full(3, v) if starts[i] or s is None else a * v + (1 - a) * s
+                want.append(s)
+            assert np.array_equal(alerts.smooth(x, starts, a, state), np.array(want))
 
 
-def test_events_are_runs_of_consecutive_active_rows(spark):
-    rows = [(1, 1, False), (1, 2, True), (1, 3, True), (1, 5, True), (1, 6, False), (2, 1, True), (2, 2, True)]
-    trace = spark.createDataFrame([("d", e, c, a) for e, c, a in rows], "detector_id string, engine int, end_cycle int, alert_active boolean")
-    got = alerts.alert_events(trace).orderBy("engine", "event_start_cycle").collect()
-    assert [(r.engine, r.event_start_cycle, r.event_end_cycle, r.event_duration_endpoints) for r in got] == [(1, 2, 3, 2), (1, 5, 5, 1), (2, 1, 2, 2)]
-    assert got[0].event_id == "engine_1_event_001"
+@pytest.mark.parametrize(("alpha", "m", "context"), [(0.35, 2, "per_mode"), (None, 3, "global"), (0.8, 1, "global")])
+def test_policy_trace_and_events_equal_row_by_row(spark, alpha, m, context):
+    held = histories(5)
+    limit = {0: 0.45, 1: 0.5, 2: 0.62, None: 0.55}
+    modes = [0, 1, 2] if context == "per_mode" else [None]
+    t = spark.createDataFrame([("d", context, "r", k, limit[k], 9) for k in modes], "detector_id string, context string, rule_id string, op_mode int, threshold double, reference_count long")
+    trace = alerts.apply_policy(frame(spark, held), t, alpha, m, context, "r").cache()
+    want = {e: trace_of(c, alpha, m, lambda k: limit[k if context == "per_mode" else None]) for e, c in held.items()}
+    first, before = {}, 0
+    for e in sorted(held):
+        first[e], before = before, before + 1 + max(v[0] for v in want[e].values())
+    rows = trace.collect()
+    assert len(rows) == sum(map(len, held.values()))
+    for r in rows:
+        k, s, run, active = want[r.engine][r.end_cycle]
+        assert (r.smoothed_score, r.persistence_count, r.alert_active, r.state_segment_id) == (pytest.approx(s, abs=1e-12), run, active, first[r.engine] + k)
+    events = set()
+    for e, at in want.items():
+        live = [c for c in sorted(at) if at[c][3]]
+        for k, run in enumerate(segments_of([(c,) for c in live]), 1):
+            events.add((e, k, run[0][0], run[-1][0], len(run), f"engine_{e}_event_{k:03d}"))
+    got = alerts.alert_events(trace)
+    assert {(r.engine, r.event_number, r.event_start_cycle, r.event_end_cycle, r.event_duration_endpoints, r.event_id) for r in got.collect()} == events
+    for r in alerts.event_flags(trace, got).collect():
+        name = next((x[5] for x in events if (x[0], x[2]) == (r.engine, r.end_cycle)), None)
+        assert (r.event_start, r.event_status) == (name is not None, name or ("active" if r.alert_active else "none"))
+
+
+def test_a_policy_refuses_what_it_cannot_judge(spark):
+    held = histories(6)
+    t = spark.createDataFrame([("d", "per_mode", "r", 0, 0.7, 4)], "detector_id string, context string, rule_id string, op_mode int, threshold double, reference_count long")
+    with pytest.raises(Exception, match="no threshold for mode"):
+        alerts.apply_policy(frame(spark, held), t, None, 1, "per_mode", "r").collect()
+    with pytest.raises(Violation, match="duplicate_key"):
+        alerts.apply_policy(frame(spark, held).unionByName(frame(spark, held)), t, None, 1, "per_mode", "r")
+    with pytest.raises(Violation, match="duplicate_cycle"):
+        alerts.apply_policy(frame(spark, held).withColumn("end_cycle", F.lit(5)), t, None, 1, "per_mode", "r")
+    with pytest.raises(Violation, match="score"):
+        alerts.apply_policy(frame(spark, held).withColumn("alert_score", F.lit(1.5)), t, None, 1, "per_mode", "r")
+    for alpha, m in ((0.0, 1), (1.2, 1), (0.5, 0)):
+        with pytest.raises(Violation):
+            alerts.apply_policy(frame(spark, held), t, alpha, m, "per_mode", "r")
 
 
-def test_crossing_event_is_false_and_no_detection(spark):
-    active = [False, True, True, False, True, True, False, True, True, False]
-    trace = spark.createDataFrame([("d", 1, i + 1, a) for i, a in enumerate(active)], "detector_id string, engine int, end_cycle int, alert_active boolean")
-    events = alerts.alert_events(trace)
-    onsets = spark.createDataFrame([("d", "p", 1, 6, 10)], "detector_id string, policy_id string, engine int, onset_cycle int, max_cycle int")
-    r = metrics.entity_outcomes(events, onsets, ["detector_id"]).first()
-    assert (r.false_events, r.crossing_events, r.first_detection, r.detection_delay, r.lead_time) == (2, 1, 8, 2, 2)
+def test_outcomes_of_events_against_onsets(spark):
+    rng = random.Random(8)
+    events, onsets, want = [], [], {}
+    for e in range(40):
+        onset, last = rng.randrange(5, 25), 30
+        at, mine = 1, []
+        while at < last - 4 and rng.random() < 0.7:
+            start = at + rng.randrange(1, 5)
+            end = min(last, start + rng.randrange(0, 6))
+            mine.append((start, end))
+            at = end + 2
+        events += [("d", e, s, t) for s, t in mine]
+        onsets.append(("d", "p", e, onset, last))
+        hits = [s for s, _ in mine if s >= onset]
+        first = min(hits, default=None)
+        want[e] = (first, sum(s < onset for s, _ in mine), sum(s < onset <= t for s, t in mine), len(hits), first and first - onset, first and last - first)
+    ev = spark.createDataFrame(events, "detector_id string, engine int, event_start_cycle int, event_end_cycle int")
+    on = spark.createDataFrame(onsets, "detector_id string, policy_id string, engine int, onset_cycle int, max_cycle int")
+    got = metrics.entity_outcomes(ev, on, ["detector_id"]).collect()
+    assert {r.engine: (r.first_detection, r.false_events, r.crossing_events, r.detection_events, r.detection_delay, r.lead_time) for r in got} == want
+    assert any(w[2] for w in want.values()) and any(w[0] is None for w in want.values())
 
 
-def test_higher_quantile_and_modes(spark):
-    s = frame(spark, [(1, 1, 0, 0.1), (1, 2, 0, 0.2), (1, 3, 1, 0.8), (1, 4, 1, 0.9)])
-    got = {(r.context, r.op_mode): (r.threshold, r.reference_count) for r in thresholds.fit_thresholds(s, [Rule("m", "quantile", 0.5)]).collect()}
-    assert got == {("global", None): (0.8, 4), ("per_mode", 0): (0.2, 2), ("per_mode", 1): (0.9, 2)}
-    with pytest.raises(Violation):
-        thresholds.fit_thresholds(s.withColumn("split", F.lit("validation")))
+def test_thresholds_are_order_statistics_and_moments(spark):
+    held = histories(9)
+    s = frame(spark, held)
+    values = {None: [], 0: [], 1: [], 2: []}
+    for c in held.values():
+        for _, m, x in c:
+            values[None].append(x)
+            values[m].append(x)
+    rules = [Rule("a", "quantile", 0.37), Rule("b", "quantile", 1.0), Rule("c", "mean_plus_std", 1.3)]
+    got = {(r.rule_id, r.op_mode): (r.threshold, r.reference_count) for r in thresholds.fit_thresholds(s, rules).collect()}
+    assert len(got) == 12
+    for rule in rules:
+        for mode, xs in values.items():
+            xs = sorted(xs)
+            want = xs[int(np.ceil((len(xs) - 1) * rule.value))] if rule.kind == "quantile" else np.mean(xs) + rule.value * np.std(xs)
+            assert got[rule.rule_id, mode] == (pytest.approx(want), len(xs))
+    with pytest.raises(Violation, match="split_not_allowed"):
+        thresholds.fit_thresholds(s.withColumn("split", F.lit("test")))
 
 
-def test_ecdf_is_right_sided(spark):
-    ref = spark.createDataFrame([(3.0,), (1.0,), (2.0,)], "x double")
-    q = spark.createDataFrame([(0.0,), (1.0,), (1.5,), (3.0,), (4.0,)], "x double")
-    got = calibration.ecdf(ref, q, "x", [], "p").orderBy("x").collect()
-    assert [round(r.p, 9) for r in got] == [0, round(1 / 3, 9), round(1 / 3, 9), 1, 1]
+def test_distribution_and_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(10)
+    ref, q = np.round(rng.normal(size=300), 1), np.round(rng.normal(0, 2, 200), 1)
+    a, b = (spark.createDataFrame([(float(v),) for v in x], "x double") for x in (ref, q))
+    for r in calibration.ecdf(a, b, "x", [], "p").collect():
+        assert r.p == pytest.approx((ref <= r.x).mean())
+    rows = [(k, float(v)) for k, n in ((1, 1), (2, 2), (3, 150)) for v in rng.normal(size=n)] + [(3, None)]
+    points = [0.0, 0.25, 0.5, 0.9, 1.0]
+    for r in quantiles(spark.createDataFrame(rows, "g int, v double"), ["g"], "v", points).collect():
+        assert np.allclose(r[1:], np.quantile([v for g, v in rows if g == r.g and v is not None], points))
 
 
-def test_policies_label_windows(spark):
-    w = spark.createDataFrame([("a", 1, 30, 100), ("b", 52, 81, 100), ("c", 71, 100, 100)], "window_id string, start_cycle int, end_cycle int, max_cycle int")
-    got = proxies.apply_policies(w, proxies.policy_table(spark))
-    pick = lambda p: [(r.onset_cycle, r.label_state) for r in got.where(F.col("policy_id") == p).orderBy("window_id").collect()]
-    assert pick("normalized_life_last_20pct_endpoint") == [(81, "healthy"), (81, "anomalous"), (81, "anomalous")]
-    assert pick("normalized_life_last_30pct_full_window") == [(71, "healthy"), (71, "ambiguous"), (71, "anomalous")]
+def test_labels_of_every_policy(spark):
+    rng = random.Random(11)
+    rows = [(f"w{i}", (end := rng.randrange(10, last + 1)) - 9, end, last) for i in range(200) for last in [rng.randrange(10, 130)]]
+    got = proxies.apply_policies(spark.createDataFrame(rows, "window_id string, start_cycle int, end_cycle int, max_cycle int"), proxies.policy_table(spark)).collect()
+    assert len(got) == len(rows) * len(POLICIES)
+    for r in got:
+        onset = int(np.floor(r.max_cycle * (1.0 - r.onset_fraction))) + 1
+        late = r.end_cycle >= onset
+        state = "healthy" if not late else "ambiguous" if r.policy_semantics == "full_window" and r.start_cycle < onset else "anomalous"
+        assert (r.onset_cycle, r.label_state, r.proxy_label) == (onset, state, {"healthy": 0, "anomalous": 1}.get(state))
 
 
-def test_selection_needs_feasibility_and_breaks_ties_by_id(spark):
-    rows = [(c, "d", 50.0, 60.0, fp, 1.0, 1.0, 2.0, 3.0, fp <= 60) for c, fp in (("candidate_b", 10.0), ("candidate_a", 10.0))] + [("candidate_c", "d", 90.0, 90.0, 61.0, 1.0, 1.0, 2.0, 3.0, False)]
-    table = spark.createDataFrame(rows, "candidate_id string, detector_id string, min_coverage double, mean_coverage double, worst_fp_per_1000 double, worst_false_events double, worst_false_engines double, median_delay double, median_lead double, feasible boolean")
+def test_selection_is_the_lexicographic_best(spark):
+    rng = random.Random(12)
+    pick = lambda *xs: rng.choice(xs)
+    rows = [(f"k{i:02d}", pick("u", "v"), pick(40.0, 70.0), pick(60.0, 80.0), pick(10.0, 75.0), pick(1.0, 2.0), pick(1.0, 2.0), pick(None, 4.0, 6.0), pick(None, 3.0, 9.0)) for i in range(80)]
+    table = spark.createDataFrame([(*r, r[4] <= 60) for r in rows], "candidate_id string, detector_id string, min_coverage double, mean_coverage double, worst_fp_per_1000 double, worst_false_events double, worst_false_engines double, median_delay double, median_lead double, feasible boolean")
+    last = float("inf")
+    order = lambda r: (-r[2], -r[3], r[5], r[6], last if r[7] is None else r[7], last if r[8] is None else -r[8], r[0])
+    want = {d: min((r for r in rows if r[1] == d and r[4] <= 60), key=order) for d in "uv"}
     per, best = selection.select_best_candidates(table)
-    assert [r.candidate_id for r in per.collect()] == ["candidate_a"] == [r.candidate_id for r in best.collect()]
+    assert {r.detector_id: r.candidate_id for r in per.collect()} == {d: r[0] for d, r in want.items()}
+    assert [r.candidate_id for r in best.collect()] == [min(want.values(), key=order)[0]]
     assert selection.select_best_candidates(table.where("not feasible"))[1].count() == 0
 
 
-def test_split_is_complete_disjoint_and_stratified(spark):
-    summary = spark.createDataFrame([(e, 39 + e, 39 + e) for e in range(1, 51)], "engine int, cycle_count int, max_cycle int")
-    got = stratified_split(summary).collect()
-    assert sorted(r.engine for r in got) == list(range(1, 51))
-    assert [sum(r.split == s for r in got) for s in ("train", "validation", "test")] == [30, 10, 10]
-    assert {sum(r.stratum == k for r in got) for k in range(5)} == {10}
+def test_split_deals_whole_entities_by_stratum(spark):
+    rng = random.Random(13)
+    lives = [(e, n, n) for e, n in zip(rng.sample(range(1000), 83), [rng.randrange(20, 60) for _ in range(83)], strict=True)]
+    summary = spark.createDataFrame(lives, "engine int, cycle_count int, max_cycle int")
+    got = {r.engine: r for r in stratified_split(summary, seed=5).collect()}
+    ranked = sorted(lives, key=lambda x: (x[2], x[0]))
+    strata = {e: max(int(np.ceil(i * 5 / (len(lives) - 1))) - 1, 0) for i, (e, _, _) in enumerate(ranked)}
+    assert {e: r.stratum for e, r in got.items()} == strata
+    for k in range(5):
+        mine = [got[e].split for e in strata if strata[e] == k]
+        for split, share in (("train", 0.6), ("validation", 0.2), ("test", 0.2)):
+            assert abs(mine.count(split) - share * len(mine)) < 1
+    assert got != {r.engine: r for r in stratified_split(summary, seed=6).collect()}
 
 
-def test_windows_and_gaps(spark):
-    roles = Roles(window=30)
-    cycles = spark.createDataFrame([(e, c, "train", 0, float(c)) for e, n in ((11, 31), (22, 30)) for c in range(1, n + 1)], "engine int, cycle int, split string, op_mode int, s1 double")
-    got = windows.window_metadata(cycles, roles).orderBy("engine", "end_cycle").collect()
-    assert [(r.start_cycle, r.end_cycle, r.midpoint_cycle) for r in got] == [(1, 30, 16), (2, 31, 17), (1, 30, 16)]
+def test_windows_of_every_length_and_gaps(spark):
+    lengths = {4: 9, 5: 10, 9: 23, 13: 1}
+    cycles = spark.createDataFrame([(e, c, "train", 0, float(c)) for e, n in lengths.items() for c in range(1, n + 1)], "engine int, cycle int, split string, op_mode int, s1 double")
+    for w in (1, 10, 12):
+        got = windows.window_metadata(cycles, Roles(window=w)).collect()
+        want = {(e, c - w + 1, c, c - w + 1 + w // 2, n) for e, n in lengths.items() for c in range(w, n + 1)}
+        assert {(r.engine, r.start_cycle, r.end_cycle, r.midpoint_cycle, r.max_cycle) for r in got} == want and len(got) == len(want)
     with pytest.raises(Violation, match="gap"):
-        assert_empty(check_cycles(spark.createDataFrame([(1, 1), (1, 2), (1, 4)], "engine int, cycle int")))
+        assert_empty(check_cycles(cycles.where("cycle <> 7")))
 
 
 def test_factored_grid_equals_row_wise_evaluation(spark):
@@ -118,3 +238,45 @@ def test_factored_grid_equals_row_wise_evaluation(spark):
             g = got[context, "off" if alpha is None else "alpha_0.50", m, r.policy_id]
             for c in ("tp", "fp", "tn", "fn", "false_events", "crossing_events", "detected_engines", "median_delay", "median_lead", "event_count", "median_event_duration", "fragmentation"):
                 assert getattr(g, c) == getattr(r, c), (context, m, r.policy_id, c)
+
+
+def test_candidate_grid_is_one_local_table(spark):
+    grid = Grid(("a", "b"))
+    table = thresholds.candidate_grid(spark, grid)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in plan and "CartesianProduct" not in plan
+    rows = table.orderBy("candidate_rank").collect()
+    assert [r.candidate_rank for r in rows] == list(range(2 * 2 * 8 * 4 * 4)) and len({r.candidate_id for r in rows}) == len(rows)
+
+
+def test_outlier_factors_equal_brute_force(spark):
+    rng = np.random.default_rng(14)
+    ref = rng.normal(size=(90, 3))
+    ref[:5] = ref[5:10]  # repeated rows
+    q = np.concatenate((ref[:20], rng.normal(0, 3, (15, 3))))
+    frame_of = lambda x: spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "key int, a double, b double, c double")
+    cols, k = ["a", "b", "c"], 7
+    d = np.sqrt(((ref[:, None] - ref[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    kd = np.sort(d, axis=1)[:, k - 1]
+    near = np.argsort(d, axis=1, kind="stable")[:, :k]
+    lrd = 1 / (np.maximum(np.take_along_axis(d, near, axis=1), kd[near]).mean(axis=1) + 1e-10)
+    far = np.sqrt(((q[:, None] - ref[None]) ** 2).sum(axis=2))
+    at = np.argsort(far, axis=1, kind="stable")[:, :k]
+    want = lrd[at].mean(axis=1) * (np.maximum(np.take_along_axis(far, at, axis=1), kd[at]).mean(axis=1) + 1e-10)
+    state = detectors.fit_lof(frame_of(ref).coalesce(1), cols, k)
+    got = {r.key: r.raw_score for r in detectors.score_lof(frame_of(q), cols, state).collect()}
+    assert np.allclose([got[i] for i in range(len(q))], want)
+    # The same neighbours whatever the blocks.
+    points = frame_of(ref).select(F.col("key").cast("long").alias("id"), F.array(*cols).alias("x"))
+    one, many = ({r.id: [round(v, 12) for v in r.dist] for r in detectors.nearest(points, points, k, True, b).collect()} for b in (4096, 16))
+    assert one == many
+    with pytest.raises(Violation, match="too few"):
+        detectors.fit_lof(frame_of(ref[:2]), cols, k)
+
+
+def test_digests_tell_sets_not_orders(spark):
+    a = spark.createDataFrame([(i,) for i in range(50)], "engine int")
+    digest = lambda df: tuple(compare.id_digest(df, "engine").first())
+    assert digest(a) == digest(a.orderBy(F.desc("engine")).unionByName(a)) and digest(a)[0] == 50
+    assert digest(a) != digest(a.where("engine <> 7")) and digest(a.limit(0))[0] == 0

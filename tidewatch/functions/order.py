@@ -34,6 +34,19 @@ def running(df: DataFrame, groups: Sequence[str], value: str, sums: dict[str, st
     return out.select(*groups, value, *sums, *[(F.col(f"__i_{k}") + F.col(f"__b_{k}")).alias(f"{k}_upto") for k in sums])
 
 
+def quantiles(df: DataFrame, groups: Sequence[str], value: str, points: Sequence[float]) -> DataFrame:
+    """(groups, q0, q1, ...): exact quantiles with linear interpolation, from running counts; no group's values in one buffer."""
+    groups = list(groups)
+    at = running(df, groups, value, {"__n": "1"})
+    total = df.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.count("*").alias("__all"))
+    joined = at.join(total, groups) if groups else at.crossJoin(F.broadcast(total))
+    place = lambda p: (F.col("__all") - 1) * F.lit(float(p))
+    edges = [F.min(F.when(F.col("__n_upto") > f(place(p)), F.col(value))).alias(f"{n}{i}") for i, p in enumerate(points) for n, f in (("__low", F.floor), ("__high", F.ceil))]
+    got = joined.groupBy(*groups).agg(F.first("__all").alias("__all"), *edges)
+    part = lambda p: place(p) - F.floor(place(p))
+    return got.select(*groups, *[((1 - part(p)) * F.col(f"__low{i}") + part(p) * F.col(f"__high{i}")).alias(f"q{i}") for i, p in enumerate(points)])
+
+
 def rank_by_hash(df: DataFrame, groups: Sequence[str], digest: str, ties: Sequence[str], name: str) -> DataFrame:
     """With ``name``: the row's number from 1 in its group in the order of a hex digest column.
 

@@ -9,14 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import event_id
 from ..schema import Roles
 from ..sources.scratch import cut
-from .checks import Violation
+from .checks import Violation, assert_empty, check_scores
 from .thresholds import threshold_lookup
 
 
@@ -37,40 +38,69 @@ def state_segment_id(with_segments: DataFrame, keys: Sequence[str] = ("detector_
     return with_segments.join(first, [*keys, roles.entity]).withColumn("state_segment_id", (F.col("__first") + F.col("segment")).cast("long")).drop("__first")
 
 
+def smooth(x: np.ndarray, starts: np.ndarray, alphas: np.ndarray, state: np.ndarray | None = None) -> np.ndarray:
+    """(rows, alphas): s = alpha x + (1 - alpha) s before, anew at every row that ``starts``.
+
+    ``state``: what the first row follows, where it doesn't start.  Step by step within
+    segments, all segments and alphas at a time.
+    """
+    at = np.flatnonzero(starts | (np.arange(len(x)) == 0))
+    length = np.diff(np.append(at, len(x)))
+    order = np.argsort(-length, kind="stable")
+    first, length = at[order], length[order]
+    out = np.empty((len(x), len(alphas)))
+    now = np.repeat(x[first][:, None], len(alphas), axis=1)
+    if state is not None and not starts[0]:
+        now[first == 0] = alphas * x[0] + (1 - alphas) * state
+    out[first] = now
+    for t in range(1, int(length[0]) if len(length) else 0):
+        live = int(np.searchsorted(-length, -t, side="left"))
+        rows = first[:live] + t
+        now = alphas * x[rows][:, None] + (1 - alphas) * now[:live]
+        out[rows] = now
+    return out
+
+
 def ewma(scores: DataFrame, alphas: Sequence[float | None], score: str = "alert_score", keys: Sequence[str] = ("detector_id",), roles: Roles = Roles()) -> DataFrame:
     """``scores`` by alphas with ewma_id, ewma_alpha and smoothed_score, s = alpha x + (1 - alpha) s before.
 
     s starts at the first score of an entity and again after a gap; a null alpha leaves
-    scores as they are.  One exchange by entity serves all alphas; each task reads its
-    sorted rows as a stream, holding one smoothed value for each alpha and nothing else.
+    scores as they are; after a null score s is null to the end of the segment.  One
+    exchange by entity serves all alphas; each task reads its sorted rows as a stream,
+    holding a batch and one smoothed value for each alpha, and adds one array to each row.
     """
     names = [*keys, roles.entity, "end_cycle"]
     rest = [c for c in scores.columns if c not in (*names, score)]
     out = scores.select(*names, score, *rest)
-    factors = list(alphas)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = None, np.zeros(len(factors))
-        a = np.array([1.0 if x is None else x for x in factors])
-        for frame in batches:
-            made = np.empty((len(frame), len(factors)))
-            marks = list(zip(*[frame[c].tolist() for c in names], strict=True))
-            for i, (mark, x) in enumerate(zip(marks, frame[score].tolist(), strict=True)):
-                follows = last is not None and mark[:-1] == last[:-1] and mark[-1] == last[-1] + 1
-                state = a * x + (1 - a) * state if follows else np.full(len(a), x)
-                made[i], last = state, mark
-            for k, alpha in enumerate(factors):
-                yield frame.assign(ewma_id="off" if alpha is None else f"alpha_{alpha:.2f}", ewma_alpha=alpha, smoothed_score=frame[score].to_numpy() if alpha is None else made[:, k]).astype({"ewma_alpha": "float64"})
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + ", ewma_id string, ewma_alpha double, smoothed_score double"
-    dealt = out.repartition(*keys, roles.entity).sortWithinPartitions(*names)
-    return dealt.mapInPandas(run, schema)
-
-
-def ewma_expression(score: Column, alpha: float, window) -> Column:
-    """The same by expressions, for short histories: a reduction of the list of scores so far."""
-    xs = F.collect_list(score).over(window)
-    return F.reduce(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), F.element_at(xs, 1), lambda s, x: F.lit(alpha) * x + F.lit(1 - alpha) * s)
+    factors = np.array([1.0 if x is None else x for x in alphas])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        mark = lambda b, i: tuple(b.column(c)[i].as_py() for c in range(len(names)))
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            same = np.diff(b.column(len(names) - 1).to_numpy(zero_copy_only=False)) == 1
+            for c in range(len(names) - 1):
+                same &= pc.fill_null(pc.equal(b.column(c).slice(1), b.column(c).slice(0, n - 1)), False).to_numpy(zero_copy_only=False)
+            head = mark(b, 0)
+            follows = last is not None and head[:-1] == last[:-1] and head[-1] == last[-1] + 1
+            x = b.column(len(names)).to_numpy(zero_copy_only=False).astype(float)
+            made = smooth(x, np.concatenate(([not follows], ~same)), factors, state)
+            last, state = mark(b, n - 1), made[-1]
+            flat = pa.array(made.ravel(), pa.float64(), from_pandas=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(factors), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "__s"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + ", __s array<double>"
+    dealt = out.repartition(*keys, roles.entity).sortWithinPartitions(*names).mapInArrow(run, schema)
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("__k") + 1)
+    every = dealt.select(*out.columns, F.posexplode("__s").alias("__k", "__v"))
+    alpha = pick([None if a is None else float(a) for a in alphas]).cast("double")
+    ids = pick(["off" if a is None else f"alpha_{a:.2f}" for a in alphas])
+    every = every.withColumns({"ewma_id": ids, "ewma_alpha": alpha, "smoothed_score": F.when(alpha.isNull(), F.col(score)).otherwise(F.col("__v"))})
+    return every.drop("__k", "__v")
 
 
 def persistence(trace: DataFrame, keys: Sequence[str], m: Column, roles: Roles = Roles()) -> DataFrame:
@@ -87,10 +117,14 @@ def apply_policy(scores: DataFrame, thresholds: DataFrame, alpha: float | None,
     """The alert trace of one policy: smoothing, strict violation, run length, activity and global segments.
 
     Violations look at the mode of the row for their threshold, and smoothing runs on
-    over a change of mode.
+    over a change of mode.  Repeated windows, repeated end cycles of an entity and scores
+    outside 0 to 1 raise Violation.
     """
     if m < 1 or alpha is not None and not 0 < alpha <= 1:
         raise Violation("persistence must be at least 1 and alpha in (0, 1]")
+    # Each window once, each entity's end cycle once, and calibrated scores alone.
+    cycles = scores.groupBy("detector_id", roles.entity, "end_cycle").count().where("count > 1")
+    assert_empty(check_scores(scores).unionByName(cycles.select(F.lit("duplicate_cycle").alias("check"), F.concat_ws(":", "detector_id", F.col(roles.entity).cast("string"), F.col("end_cycle").cast("string")).alias("detail"))))
     wanted = thresholds.where((F.col("context") == context) & (F.col("rule_id") == rule_id))
     smooth = cut(segments(ewma(scores, [alpha], roles=roles), roles=roles), "smoothed")
     seen = threshold_lookup(smooth, wanted, roles)

@@ -28,15 +28,20 @@ def compare_frames(left: DataFrame, right: DataFrame, keys: Sequence[str], exact
     return out.select("rows", "only_left", "only_right", F.inline("c"))
 
 
+def _sums(h: Column) -> Column:
+    """A digest of a column of SHA-256 hex digests that no order of rows changes: of their count and the sums of their eight words."""
+    half = lambda a: F.conv(F.substring(h, a, 8), 16, 10).cast("decimal(38,0)")
+    sums = [F.coalesce(F.sum(half(1 + 8 * k)), F.lit(0)).cast("string") for k in range(8)]
+    return F.sha2(F.concat_ws(",", F.count("*").cast("string"), *sums), 256)
+
+
 def frame_fingerprint(df: DataFrame) -> DataFrame:
     """One row (rows, digest): a digest of a table that no order of rows changes."""
     row = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256)
-    half = lambda a: F.conv(F.substring("h", a, 8), 16, 10).cast("decimal(38,0)")
-    sums = [F.sum(half(1 + 8 * k)).cast("string") for k in range(8)]
-    return df.select(row.alias("h")).agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(",", F.count("*").cast("string"), *sums), 256).alias("digest"))
+    return df.select(row.alias("h")).agg(F.count("*").alias("rows"), _sums(F.col("h")).alias("digest"))
 
 
 def id_digest(df: DataFrame, column: str) -> DataFrame:
-    """One row (ids, digest) of the distinct ids, sorted as numbers."""
-    ids = F.array_sort(F.collect_set(column))
-    return df.agg(F.count_distinct(column).alias("ids"), F.sha2(F.array_join(F.transform(ids, lambda x: x.cast("string")), ","), 256).alias("digest"))
+    """One row (ids, digest) of the distinct ids: sums with map-side combine, no list of all ids."""
+    ids = df.where(F.col(column).isNotNull()).select(F.sha2(F.col(column).cast("string"), 256).alias("h")).distinct()
+    return ids.agg(F.count("*").alias("ids"), _sums(F.col("h")).alias("digest"))

@@ -132,14 +132,14 @@ def fit_forest(rows: DataFrame, cols: Sequence[str], trees: int = 100, most: int
     """
     n = max(1, rows.count())
     share = min(1.0, (most + 4 * np.sqrt(most)) / n)
-    key = F.xxhash64(*cols)
-    dealt = rows.select(*cols).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("__h", F.xxhash64(key, "tree", F.lit(seed)))
-    picked = dealt.where(F.pmod(F.col("__h"), F.lit(1_000_003)) < share * 1_000_003)
-    d = len(cols)
-
+    # Which trees a row enters is drawn before it is repeated; all columns tell rows apart.
+    marks = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.col("__key"), t, F.lit(seed)).alias("h")))
+    drawn = F.filter(marks, lambda m: F.pmod(m["h"], F.lit(1_000_003)) < share * 1_000_003)
+    keyed = rows.select(*cols, F.xxhash64(*rows.columns).alias("__key"))
+    picked = keyed.select(*cols, F.explode(drawn).alias("m")).select(*cols, F.col("m.tree").alias("tree"), F.col("m.h").alias("__h"))
     def grow(frame: pd.DataFrame) -> pd.DataFrame:
         tree = int(frame["tree"].iloc[0])
-        x = frame.sort_values("__h")[list(cols)].to_numpy(float)[:most]
+        x = frame.sort_values(["__h", *cols])[list(cols)].to_numpy(float)[:most]
         rng, limit, nodes = np.random.default_rng((seed, tree)), int(np.ceil(np.log2(max(2, len(x))))), []
         todo = [(0, np.arange(len(x)), 0)]
         while todo:
@@ -154,7 +154,6 @@ def fit_forest(rows: DataFrame, cols: Sequence[str], trees: int = 100, most: int
             todo += [(2 * node + 1, at[x[at, f] <= cut], depth + 1), (2 * node + 2, at[x[at, f] > cut], depth + 1)]
         return pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "size", "depth"])
 
-    assert d
     return picked.groupBy("tree").applyInPandas(grow, "tree long, node long, feature long, cut double, size long, depth long")
 
 
@@ -190,33 +189,83 @@ def _schema(rows: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", raw_score double"
 
 
-def fit_lof(rows: DataFrame, cols: Sequence[str], neighbors: int = 20, most: int = 20_000, seed: int = 42) -> dict:
-    """Reference points with their k-distances and local reachability densities.
+def nearest(reference: DataFrame, queries: DataFrame, k: int, other: bool, block: int = 2048) -> DataFrame:
+    """(id, near array<long>, dist array<double>): the exact ``k`` nearest reference rows of every query, least id on ties.
 
-    At most ``most`` training rows, those of the least hash, are the reference: a bound of
-    the detector's state.  Distances are computed in blocks by tasks over the reference.
+    Both have columns (id long, x array<double>).  ``other``: a row isn't its own
+    neighbour.  Both sides are cut by hash into blocks of about ``block`` rows; the task of
+    a query block takes the reference blocks one after another and keeps k rows a query.
     """
-    spark = rows.sparkSession
-    ref = rows.select(*cols).orderBy(F.xxhash64(*cols, F.lit(seed)), *cols).limit(most).toPandas().to_numpy(float)
-    k = max(1, min(neighbors, len(ref) - 1))
-    sent = spark.sparkContext.broadcast(ref)
+    cut_in = lambda df: max(1, -(-df.count() // block))
+    many, few = cut_in(reference), cut_in(queries)
+
+    def blocks(df: DataFrame, n: int) -> DataFrame:
+        dealt = df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("b"))
+        return dealt.agg(F.sort_array(F.collect_list(F.struct("id", "x"))).alias("rows")).select("b", F.col("rows.id").alias("ids"), F.flatten("rows.x").alias("xs"))
+
+    asks = blocks(queries, few).select(F.col("b").alias("q"), F.lit(-1).alias("b"), "ids", "xs")
+    gives = blocks(reference, many).select(F.explode(F.sequence(F.lit(0), F.lit(few - 1))).alias("q"), "b", "ids", "xs")
+    dealt = asks.unionByName(gives).repartition("q").sortWithinPartitions("q", "b")
+
+    def run(batches):
+        ids = x = near = dist = None
+
+        def done():
+            finite = [np.isfinite(d) for d in dist]
+            return pd.DataFrame({"id": ids, "near": [j[f] for j, f in zip(near, finite, strict=True)], "dist": [d[f] for d, f in zip(dist, finite, strict=True)]})
 
-    def near(batches):
-        r = sent.value
         for f in batches:
-            at = f["id"].to_numpy()
-            for a in range(0, len(at), 256):
-                i = at[a : a + 256]
-                d = np.sqrt(np.maximum(((r[i][:, None, :] - r[None, :, :]) ** 2).sum(axis=2), 0))
-                d[np.arange(len(i)), i] = np.inf
-                j = np.argsort(d, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"id": i, "near": j.tolist(), "dist": np.take_along_axis(d, j, axis=1).tolist()})
+            for b, got, flat in zip(f["b"], f["ids"], f["xs"], strict=True):
+                got, y = np.asarray(got, np.int64), np.asarray(flat, float).reshape(len(got), -1)
+                if b < 0:
+                    if ids is not None:
+                        yield done()
+                    ids, x = got, y
+                    near, dist = np.full((len(x), k), np.iinfo(np.int64).max), np.full((len(x), k), np.inf)
+                    continue
+                for a in range(0, len(x), 512):
+                    part = slice(a, a + 512)
+                    far = (x[part] ** 2).sum(axis=1)[:, None] - 2 * x[part] @ y.T + (y**2).sum(axis=1)[None, :]
+                    if other:
+                        far[ids[part][:, None] == got[None, :]] = np.inf
+                    # A few more than k by the quick product, then exact differences.
+                    most = min(len(y), k + 8)
+                    j = np.argpartition(far, most - 1, axis=1)[:, :most]
+                    d = np.sqrt(((x[part][:, None, :] - y[j]) ** 2).sum(axis=2))
+                    d[~np.isfinite(np.take_along_axis(far, j, axis=1))] = np.inf
+                    d, n = np.concatenate((dist[part], d), axis=1), np.concatenate((near[part], got[j]), axis=1)
+                    order = np.lexsort((n, d), axis=1)[:, :k]
+                    dist[part], near[part] = np.take_along_axis(d, order, axis=1), np.take_along_axis(n, order, axis=1)
+        if ids is not None:
+            yield done()
+
+    return dealt.select("b", "ids", "xs").mapInPandas(run, "id long, near array<long>, dist array<double>")
+
+
+def _reach(near: DataFrame, stats: DataFrame, *more) -> DataFrame:
+    """By query id: the mean reachability distance to its neighbours, and ``more`` aggregates over them."""
+    one = near.select("id", F.inline(F.arrays_zip(F.col("near").alias("other"), F.col("dist").alias("d"))))
+    joined = one.join(stats.withColumnRenamed("id", "other"), "other")
+    return joined.groupBy("id").agg(F.avg(F.greatest("d", "kd")).alias("reach"), *more)
+
+
+def fit_lof(rows: DataFrame, cols: Sequence[str], neighbors: int = 20) -> dict:
+    """All training rows with their k-distances and local reachability densities, as tables.
+
+    Fewer than three rows raise Violation; with fewer than ``neighbors`` others, all are neighbours.
+    """
+    from ..sources.scratch import cut
+    from .checks import Violation
 
-    got = spark.range(len(ref)).mapInPandas(near, "id long, near array<long>, dist array<double>").toPandas().sort_values("id")
-    j, d = np.array(got["near"].tolist(), int).reshape(len(ref), -1), np.array(got["dist"].tolist(), float).reshape(len(ref), -1)
-    kd = d[:, -1] if len(ref) > 1 else np.zeros(len(ref))
-    reach = np.maximum(d, kd[j]) if len(ref) > 1 else np.ones((len(ref), 1))
-    return {"points": ref, "k": k, "kd": kd, "lrd": 1.0 / (reach.mean(axis=1) + 1e-10)}
+    points = cut(rows.select(F.monotonically_increasing_id().alias("id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x")), "lof_points")
+    n = points.count()
+    if n < 3:
+        raise Violation(f"{n} rows are too few for neighbours")
+    k = min(neighbors, n - 1)
+    near = cut(nearest(points, points, k, True), "lof_near")
+    kd = near.select("id", F.array_max("dist").alias("kd"))
+    density = _reach(near, kd).select("id", (1 / (F.col("reach") + 1e-10)).alias("lrd"))
+    return {"points": points, "k": k, "stats": cut(kd.join(density, "id"), "lof_stats")}
 
 
 def score_lof(rows: DataFrame, cols: Sequence[str], state: dict) -> DataFrame:
@@ -224,21 +273,12 @@ def score_lof(rows: DataFrame, cols: Sequence[str], state: dict) -> DataFrame:
 
     Rows are queries, training rows too: such a row counts itself among its neighbours.
     """
-    sent, names = rows.sparkSession.sparkContext.broadcast(state), list(rows.columns)
-
-    def run(batches):
-        s = sent.value
-        ref, k = s["points"], s["k"]
-        for f in batches:
-            x, out = f[list(cols)].to_numpy(float), np.empty(len(f))
-            for a in range(0, len(x), 256):
-                d = np.sqrt(np.maximum(((x[a : a + 256, None, :] - ref[None, :, :]) ** 2).sum(axis=2), 0))
-                j = np.argsort(d, axis=1, kind="stable")[:, :k]
-                reach = np.maximum(np.take_along_axis(d, j, axis=1), s["kd"][j])
-                out[a : a + 256] = s["lrd"][j].mean(axis=1) * (reach.mean(axis=1) + 1e-10)
-            yield f[names].assign(raw_score=out)
+    from ..sources.scratch import cut
 
-    return rows.mapInPandas(run, _schema(rows))
+    keyed = cut(rows.withColumn("__id", F.monotonically_increasing_id()), "lof_queries")
+    asked = keyed.select(F.col("__id").alias("id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    got = _reach(nearest(state["points"], asked, state["k"], False), state["stats"], F.avg("lrd").alias("lrd"))
+    return keyed.join(got.select(F.col("id").alias("__id"), (F.col("lrd") * (F.col("reach") + 1e-10)).alias("raw_score")), "__id").drop("__id")
 
 
 def fit_one_class(rows: DataFrame, cols: Sequence[str], nu: float = 0.1, maps: int = 128, rounds: int = 60, rate: float = 0.5, seed: int = 42) -> dict:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.order import running
+from ..functions.order import quantiles, running
 from ..schema import DELAY_ASPIRATION, FEASIBLE_PER_1000, Roles
 
 
@@ -149,11 +149,12 @@ def complementarity(outcomes: DataFrame, left: str, right: str, roles: Roles = R
 
 def run_robustness(values: DataFrame, group: str, value: str) -> DataFrame:
     """count, median, mean, sample deviation, least and greatest by group."""
-    return values.groupBy(group).agg(F.count(value).alias("runs"), F.percentile(value, F.lit(0.5)).alias("median"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("greatest"))
+    rest = values.groupBy(group).agg(F.count(value).alias("runs"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("greatest"))
+    return rest.join(quantiles(values, [group], value, [0.5]).withColumnRenamed("q0", "median"), group, "left")
 
 
 def score_reference_summary(scores: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """Count, mean, population deviation and range of training scores by detector, and by detector and mode, in one pass."""
-    one = scores.groupingSets([["detector_id"], ["detector_id", roles.mode]], "detector_id", roles.mode) if hasattr(scores, "groupingSets") else scores.rollup("detector_id", roles.mode)
+    one = scores.groupingSets([["detector_id"], ["detector_id", roles.mode]], "detector_id", roles.mode)
     out = one.agg(F.grouping(roles.mode).alias("__g"), F.count("*").alias("reference_count"), F.avg("alert_score").alias("mean"), F.stddev_pop("alert_score").alias("std"), F.min("alert_score").alias("least"), F.max("alert_score").alias("greatest"))
     return out.where("detector_id is not null").withColumn("context", F.when(F.col("__g") == 1, "global").otherwise("per_mode")).drop("__g")

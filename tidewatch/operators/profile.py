@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.order import quantiles
 from ..functions.scalars import undefined
 from ..schema import Roles
 
@@ -54,5 +55,6 @@ def histogram(cycles: DataFrame, bins: int = 20, by: Sequence[str] = (), roles:
 def boxplot_stats(cycles: DataFrame, by: Sequence[str], roles: Roles = Roles()) -> DataFrame:
     """Quartiles and range of each sensor by group."""
     long = unpivot(cycles, roles, by)
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return long.groupBy(*by, "sensor").agg(F.min("value").alias("least"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max("value").alias("greatest"))
+    ends = long.groupBy(*by, "sensor").agg(F.min("value").alias("least"), F.max("value").alias("greatest"))
+    quarters = quantiles(long, [*by, "sensor"], "value", [0.25, 0.5, 0.75]).toDF(*by, "sensor", "q1", "median", "q3")
+    return ends.join(quarters, [*by, "sensor"], "left")

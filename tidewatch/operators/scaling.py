@@ -58,7 +58,9 @@ def transform_modes(cycles: DataFrame, scalers: DataFrame, cols: Sequence[str],
 
 def fit_metadata(rows: DataFrame, scalers: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """One row about a fit: rows, healthy rows, rows by mode, fallback modes and a digest of the entities."""
-    ids = F.sha2(F.array_join(F.array_sort(F.collect_set(F.col(roles.entity).cast("string"))), ","), 256)
-    head = rows.agg(F.count("*").alias("fit_rows"), F.count_if("healthy").alias("healthy_rows"), ids.alias("entity_digest"))
+    from .compare import id_digest
+
+    ids = id_digest(rows, roles.entity).select(F.col("digest").alias("entity_digest"))
+    head = rows.agg(F.count("*").alias("fit_rows"), F.count_if("healthy").alias("healthy_rows")).crossJoin(F.broadcast(ids))
     per = scalers.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(roles.mode).cast("string"), "fit_rows"))))).alias("rows_by_mode"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("fallback"), F.col(roles.mode).cast("string")))), ",").alias("fallback_modes"))
     return head.crossJoin(F.broadcast(per))
