@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import Roles
+from ..sources.scratch import cut
 
 
 def fit_regimes(rows: DataFrame, cols: Sequence[str], k: int, restarts: int = 5, seed: int = 42) -> np.ndarray:
@@ -81,16 +83,36 @@ def adjusted_rand(rows: DataFrame, a: str, b: str) -> DataFrame:
 def silhouette(rows: DataFrame, cols: Sequence[str], label: str, key: str, most: int = 5_000, seed: int = 42) -> DataFrame:
     """One row (rows, silhouette): mean Euclidean silhouette of a seeded sample of at most ``most`` rows.
 
-    The sample is bounded by definition of the statistic; null with fewer than two labels.
+    The sample is part of the statistic: the rows of least MD5 of seed and key, which bounds
+    what is broadcast.  Rows without a label are left out; null with fewer than two labels.
     """
-    s = rows.select(key, label, *cols).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(most)
-    other = s.select(F.col(key).alias("__k"), F.col(label).alias("__l"), *[F.col(c).alias(f"__{c}") for c in cols])
-    d = F.sqrt(sum((F.pow(F.col(c) - F.col(f"__{c}"), F.lit(2.0)) for c in cols), F.lit(0.0)))
-    per = s.crossJoin(F.broadcast(other)).groupBy(key, label, "__l").agg(F.sum(d).alias("sum"), F.count("*").alias("n"))
-    own = F.col(label) == F.col("__l")
-    one = per.groupBy(key, label).agg(F.max(F.when(own, F.try_divide(F.col("sum"), F.col("n") - 1))).alias("a"), F.max(F.when(own, F.col("n"))).alias("size"), F.min(F.when(~own, F.col("sum") / F.col("n"))).alias("b"))
-    value = F.when(F.col("size") == 1, 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
-    return one.agg(F.count("*").alias("rows"), F.avg(value).alias("silhouette"))
+    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    point = F.array(*[F.col(c).cast("double") for c in cols])
+    drawn = rows.where(F.col(label).isNotNull()).select(key, label, point.alias("__x")).orderBy(mark, key).limit(most)
+    sample = cut(drawn, "silhouette")
+    held = sample.select(label, "__x").toPandas().sort_values(label, kind="stable")
+    names, starts, sizes = np.unique(held[label].to_numpy(), return_index=True, return_counts=True)
+    points = np.stack(held["__x"]) if len(held) else np.empty((0, len(cols)))
+    sent = rows.sparkSession.sparkContext.broadcast((points, names, starts, sizes))
+
+    def run(batches):
+        x, names, starts, sizes = sent.value
+        for f in batches:
+            mine, own = np.stack(f["__x"]) if len(f) else np.empty((0, x.shape[1])), np.searchsorted(names, f[label].to_numpy())
+            for a in range(0, len(f), 16):
+                part, at = own[a : a + 16], np.arange(len(own[a : a + 16]))
+                away = np.sqrt(((mine[a : a + 16, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+                total = np.add.reduceat(away, starts, axis=1)
+                near = total[at, part] / np.maximum(sizes[part] - 1, 1)
+                mean = total / sizes
+                mean[at, part] = np.inf
+                far = mean.min(axis=1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    value = np.where(sizes[part] == 1, 0.0, (far - near) / np.maximum(near, far))
+                yield pd.DataFrame({"value": np.where(np.isfinite(far), value, np.nan)})
+
+    each = sample.repartition(32).mapInPandas(run, "value double")
+    return each.agg(F.count("*").alias("rows"), F.avg(F.when(~F.isnan("value"), F.col("value"))).alias("silhouette"))
 
 
 def cluster_quality(rows: DataFrame, cols: Sequence[str], centers: np.ndarray, roles: Roles = Roles()) -> DataFrame:

@@ -54,6 +54,7 @@ def stage(f):
 def forget() -> None:
     """Drop the shared stage tables, so that the next query computes its own."""
     _STAGES.clear()
+    _PREPROCESSING.clear()
 
 
 def r9(*names: str):
@@ -183,7 +184,7 @@ def src10_write_report_tables(s, d):
 @query()
 def src11_write_timeline(s, d):
     c, path = _split(s, d), scratch(s, "timeline")
-    timeline, _ = study.infer(c.where("split = 'validation'"), study.fit_inference(c, MODES, m=3, rule_id="quantile_0.950"))
+    timeline, _ = study.infer(_new_cycles(s, d), study.fit_inference(c, MODES, m=3, rule_id="quantile_0.950"))
     tables.write_timeline(timeline.select("window_id", "engine", "end_cycle", "alert_score", "alert_active", "event_status", "top_three"), path)
     return s.read.json(path)
 
@@ -558,23 +559,22 @@ def a19_mean_ranking(s, d):
     return metrics.mean_ranking(metrics.ranking_metrics(both)).select("detector_id", F.round("mean_pr_auc", 6).alias("mean_pr_auc"), F.round("mean_roc_auc", 6).alias("mean_roc_auc"))
 
 
-def _embedding(s, d, n: int | None = None):
+def _embedding(s, d):
     e = s.read.parquet(f"{d}/embeddings.parquet")
-    size = n or 64
-    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(size)])
+    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
 
 
 SIL_SQL = """
-with e as (select vec_id, label, embedding from embeddings),
-p as (select a.vec_id, a.label as la, b.label as lb, count(*) as n, sum(sqrt(list_sum(list_transform(range(1, 9), lambda i: (a.embedding[i]::double - b.embedding[i]::double) ^ 2)))) as s from e a cross join e b group by 1, 2, 3),
+with e as (select vec_id, label, embedding from embeddings where label is not null order by md5('42:' || vec_id::varchar), vec_id limit 5000),
+p as (select a.vec_id, a.label as la, b.label as lb, count(*) as n, sum(sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::double - b.embedding[i]::double) ^ 2)))) as s from e a cross join e b group by 1, 2, 3),
 q as (select vec_id, la, max(case when la = lb then n end) as size, max(case when la = lb then s / nullif(n - 1, 0) end) as a, min(case when la <> lb then s / n end) as b from p group by 1, 2)
 select count(*) as rows, round(avg(case when size = 1 then 0 else (b - a) / greatest(a, b) end), 6) as silhouette from q"""
 
 
 @query(SIL_SQL, on_chain=False)
 def a20_silhouette(s, d):
-    cols = [f"e{i}" for i in range(8)]
-    return regimes.silhouette(_embedding(s, d, 8), cols, "label", "vec_id").withColumn("silhouette", F.round("silhouette", 6))
+    cols = [f"e{i}" for i in range(64)]
+    return regimes.silhouette(_embedding(s, d), cols, "label", "vec_id").withColumn("silhouette", F.round("silhouette", 6))
 
 
 @query("""with t as (select op_mode as a, (cycle % 3)::int as b, count(*)::double as n from (select (list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1)::int as op_mode, row_number() over (partition by user_id order by ts, event_id) as cycle from events) group by 1, 2),
@@ -894,16 +894,29 @@ def ml7_regime_stability(s, d):
     return regimes.regime_stability(c.where("split = 'train'"), c.where("split = 'validation'"), R.settings, 4, (1, 2, 3))
 
 
+_PREPROCESSING: dict[tuple[str, str], study.PreprocessingStudy] = {}
+
+
+def _preprocessing(s, d):
+    key = (s.sparkContext.applicationId, d)
+    if key not in _PREPROCESSING:
+        _PREPROCESSING[key] = study.preprocessing_study(_split(s, d).drop("op_mode"), (4, 6, 8), restarts=2, seeds=(1, 2, 3))
+    return _PREPROCESSING[key]
+
+
 @query()
 def ml8_preprocessing_study(s, d):
-    c, out = _split(s, d), None
-    train = c.where("split = 'train'")
-    for k in (4, 6, 8):
-        centers = regimes.fit_regimes(train, R.settings, k, 2)
-        rows = regimes.assign_regime(c.where("split = 'validation'").drop("op_mode"), R.settings, centers).withColumn("row", F.concat_ws(":", "engine", "cycle"))
-        one = regimes.cluster_quality(rows, R.settings, centers).crossJoin(regimes.silhouette(rows, R.settings, "op_mode", "row", 500).select("silhouette")).withColumn("k", F.lit(k))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _preprocessing(s, d).selection
+
+
+@query()
+def ml8_mode_occupancy(s, d):
+    return _preprocessing(s, d).occupancy
+
+
+@query()
+def ml8_mode_centroids(s, d):
+    return _preprocessing(s, d).centroids
 
 
 @query("select window_id, round(mean_s1, 6) as mean_s1, round(std_s2, 6) as std_s2, round(slope_s3, 6) as slope_s3 from zf")
@@ -911,10 +924,12 @@ def ml9_feature_scaler(s, d):
     return study.standardized_features(_features(s, d)).select("window_id", *[F.round(c, 6).alias(c) for c in ("mean_s1", "std_s2", "slope_s3")])
 
 
+WINDOW_COLUMNS = ["window_id", "engine", "split", "start_cycle", "end_cycle", "max_cycle", "op_mode"]
+
+
 def _detector(s, d, name, **params):
-    f = _features(s, d)
-    keep = [*R.features, "window_id", "engine", "split", "start_cycle", "end_cycle", "max_cycle", "op_mode"]
-    out = detectors.fit_score(study.eligible_training(f).select(*keep), f.select(*keep), R.features, name, **params)
+    f = _features(s, d).select(*R.features, *WINDOW_COLUMNS)
+    out = detectors.fit_score(study.eligible_training(f), f, R.features, name, **params)
     return out.select("window_id", "detector_id", "raw_score", "alert_score")
 
 
@@ -951,14 +966,9 @@ def ml14_fit_score_detector(s, d):
 
 @query()
 def ml15_detector_study(s, d):
-    f, out = _features(s, d), None
-    train, valid = study.eligible_training(f), f.where("split = 'validation'")
-    for k, v in enumerate((0.9, 0.95, 0.99)):
-        one = detectors.fit_score(train, valid, R.features, "pca", variance=v).withColumn("parameter_set", F.lit(f"pca_{k}"))
-        out = one if out is None else out.unionByName(one)
-    both = proxies.apply_policies(out, proxies.policy_table(s))
-    ranked = metrics.mean_ranking(metrics.ranking_metrics(both, ["detector_id", "parameter_set"]), ["detector_id", "parameter_set"])
-    return selection.select_best(ranked, ["detector_id"], [F.desc("mean_pr_auc"), F.desc("mean_roc_auc"), F.asc("parameter_set")])
+    c = _split(s, d)
+    prepared = {"global": windows.summary_features(study.transformed_global(c), R), "per_mode": _features(s, d)}
+    return study.detector_study(prepared).best
 
 
 @query(CONTRIB + " select window_id, sensor, round(c, 6) as contribution, round(case when raw > 0 then c / raw else 0 end, 6) as share, true as complete from lc")
@@ -986,29 +996,51 @@ def ml19_evaluate_detector(s, d):
     return e["metrics"].join(e["ranking"].select("detector_id", "policy_id", "average_precision"), ["detector_id", "policy_id"]).select("detector_id", "policy_id", *r9("coverage_percent"), "tp", "fp", "tn", "fn", F.round("average_precision", 6).alias("average_precision"))
 
 
+def _new_cycles(s, d):
+    """Validation cycles of the entities that are long enough for a window, which scoring asks for."""
+    c = _split(s, d).where("split = 'validation'")
+    return c.join(c.groupBy("engine").count().where(F.col("count") >= R.window).select("engine"), "engine", "left_semi")
+
+
 @query()
 def ml20_infer(s, d):
-    c = _split(s, d)
-    timeline, _ = study.infer(c.where("split = 'validation'"), study.fit_inference(c, MODES, m=3, rule_id="quantile_0.950"))
-    return timeline.select("window_id", "engine", "start_cycle", "end_cycle", "op_mode", "raw_score", "alert_score", "smoothed_score", "threshold", "threshold_violation", "persistence_count", "alert_active", "event_start", "event_status", F.to_json("top_three").alias("top_three"))
+    rows, _ = study.infer(_new_cycles(s, d), study.fit_inference(_split(s, d), MODES, m=3, rule_id="quantile_0.950"))
+    top = "top_three_sensor_contributions"
+    return study.timeline(rows).withColumn(top, F.to_json(top))
 
 
-@query()
+REPRODUCED = """select * from (select 'scores' as "table", (select count(*) from meta) as rows, unnest(['raw_score', 'alert_score']) as "column"
+union all select 'ranking', (select count(*) from pol), unnest(['positives', 'negatives', 'ambiguous', 'average_precision', 'roc_auc'])), (select 0::bigint as only_left, 0::bigint as only_right, 0::bigint as mismatches)"""
+
+
+@query(REPRODUCED)
 def ml21_reproduce_scores(s, d):
-    a, b = _detector(s, d, "pca", variance=0.9), _detector(s, d, "pca", variance=0.9)
-    return compare.compare_frames(a, b, ["window_id"], ["detector_id"], ["raw_score", "alert_score"], 1e-6, 1e-6)
+    path = scratch(s, "registered")
+    f = _features(s, d).select(*R.features, *WINDOW_COLUMNS)
+    scores, ranking = study.scored_and_ranked(f, "pca", {"variance": 0.9})
+    scores.write.parquet(f"{path}/scores")
+    ranking.write.parquet(f"{path}/ranking")
+    # Another dealing of the rows, so that scores that depend on it don't come out the same.
+    dealt = f.repartition(5, "end_cycle")
+    found = study.reproduce_scores(s.read.parquet(f"{path}/scores"), s.read.parquet(f"{path}/ranking"), dealt, "pca", {"variance": 0.9})
+    return found.select("table", "column", "rows", "only_left", "only_right", "mismatches")
 
 
-VERIFIED = """select * from (values ('detector_id', null::double), ('feasible', null), ('min_coverage', 0), ('worst_fp_per_1000', 0)) v("column", max_abs_difference), (select 0::bigint as only_left, 0::bigint as only_right, 0::bigint as mismatches),
-(select count(*) as rows from (select distinct detector_id, context from lists) c cross join rules cross join (values (1), (2), (3), (4)) a(e) cross join (values (1), (3), (5), (8)) m(m))"""
+VERIFIED = """select * from (values ('aggregated', 1, 'detector_id'), ('aggregated', 1, 'feasible'), ('aggregated', 1, 'min_coverage'), ('aggregated', 1, 'worst_fp_per_1000'),
+('metrics', 5, 'tp'), ('metrics', 5, 'fp'), ('metrics', 5, 'tn'), ('metrics', 5, 'fn'), ('metrics', 5, 'detected_engines'), ('metrics', 5, 'coverage_percent'), ('metrics', 5, 'fp_per_1000_healthy')) v("table", each, "column"), (select 0::bigint as only_left, 0::bigint as only_right, 0::bigint as mismatches),
+(select count(*) as n from (select distinct detector_id, context from lists) c cross join rules cross join (values (1), (2), (3), (4)) a(e) cross join (values (1), (3), (5), (8)) m(m))"""
+VERIFIED = VERIFIED.replace("select *", 'select "table", "column", each * n as rows, only_left, only_right, mismatches', 1)
 
 
 @query(VERIFIED)
 def ml22_verify_study(s, d):
-    path = scratch(s, "study")
-    one = _study(s, d).aggregated
-    one.write.parquet(path)
-    return compare.compare_frames(one, s.read.parquet(path), ["candidate_id"], ["detector_id", "feasible"], ["min_coverage", "worst_fp_per_1000"])
+    path, saved = scratch(s, "study"), _scores(s, d)
+    made = study.alert_policy_study(saved, GRID)
+    for name in ("aggregated", "metrics"):
+        getattr(made, name).write.parquet(f"{path}/{name}")
+    stored = {name: s.read.parquet(f"{path}/{name}") for name in ("aggregated", "metrics")}
+    found = study.verify_study(saved.repartition(5, "end_cycle"), GRID, stored)
+    return found.select("table", "column", "rows", "only_left", "only_right", "mismatches")
 
 
 @query()

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import alerts, calibration, metrics, proxies, scaling, selection, splits, thresholds, windows
+from ..operators import alerts, calibration, checks, compare, detectors, metrics, proxies, regimes, scaling, selection, splits, thresholds, windows
 from ..operators.detectors import PCA, attribute_pca, score_pca
-from ..schema import RULES, Grid, Roles
+from ..schema import DETECTOR_GRID, EXPLANATION, RULES, Grid, Roles
 from ..sources.scratch import cut
 
 
@@ -29,6 +30,13 @@ def transformed(cycles: DataFrame, modes: int, roles: Roles = Roles(), least: in
     return scaling.transform_modes(cycles, scalers, roles.sensors, roles)
 
 
+def transformed_global(cycles: DataFrame, roles: Roles = Roles()) -> DataFrame:
+    """Cycles of all splits, scaled by one set of parameters of healthy training rows."""
+    fit = scaling.healthy_mask(cycles, roles).where(f"{roles.split} = 'train' and healthy")
+    scaler = cut(scaling.fit_global_scaler(fit, roles.sensors), "scaler")
+    return scaling.transform_global(cycles, scaler, roles.sensors, roles)
+
+
 def eligible_training(features: DataFrame, roles: Roles = Roles()) -> DataFrame:
     return features.where((F.col(roles.split) == "train") & proxies.eligible(roles))
 
@@ -136,6 +144,111 @@ def grid_metrics(scores: DataFrame, fitted: DataFrame, grid: Grid, roles: Roles
     }).drop("__d", "__l", "healthy_windows", "anomalous_windows")
 
 
+@dataclass
+class PreprocessingStudy:
+    """Tables of a preprocessing study: a row for each candidate, and its modes by split and by centre."""
+
+    selection: DataFrame
+    occupancy: DataFrame
+    centroids: DataFrame
+
+
+def _union(parts: Sequence[DataFrame], missing: bool = False) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=missing)
+    return out
+
+
+def preprocessing_study(cycles: DataFrame, clusters: Sequence[int] = (4, 6, 8), roles: Roles = Roles(), least: int = 30, restarts: int = 5, seeds: Sequence[int] = (1, 2, 3, 4, 5), seed: int = 42, most: int = 5_000) -> PreprocessingStudy:
+    """Scaling by one set of parameters (``p0_global``) against scaling by modes of k clusters (``p1_k<k>``).
+
+    Clusters are of standardized settings of training rows.  A candidate's row has the fit
+    rows and fallbacks of its scalers and, with clusters, the silhouette of both splits (a
+    sample of at most ``most`` rows, see ``regimes.silhouette``), the least mode of both,
+    inertia, distance of centres, and agreement of fits on shares of the entities.
+    """
+    names, key = list(roles.settings), F.concat_ws(":", roles.entity, roles.order)
+    both = scaling.healthy_mask(cycles, roles).where(F.col(roles.split).isin("train", "validation"))
+    fit = cut(scaling.fit_global_scaler(both.where(f"{roles.split} = 'train'"), names), "setting_scaler")
+    original = both.withColumns({f"original_{c}": F.col(c) for c in names})
+    z = cut(scaling._scaled(original.crossJoin(F.broadcast(fit)), names).withColumn("__row", key), "settings")
+    train, valid = z.where(f"{roles.split} = 'train'"), z.where(f"{roles.split} = 'validation'")
+    whole = train.agg(F.count_if("healthy").alias("sensor_scaler_min_fit_rows")).select(F.lit("p0_global").alias("candidate"), "sensor_scaler_min_fit_rows")
+    rows, occupied, centres = [whole], [], []
+    for k in clusters:
+        centers = regimes.fit_regimes(train, names, k, restarts, seed)
+        by_split = {n: cut(regimes.assign_regime(part, names, centers, roles.mode), "modes") for n, part in (("train", train), ("validation", valid))}
+        scalers = scaling.fit_mode_scalers(by_split["train"].where("healthy"), roles.sensors, k, least, roles).select(roles.mode, "fit_rows", "fallback")
+        scalers = cut(scalers, "mode_fits")
+        one = scalers.agg(F.min("fit_rows").alias("sensor_scaler_min_fit_rows"), F.count_if("fallback").alias("fallback_mode_count"))
+        for n, part in by_split.items():
+            in_modes = cut(regimes.mode_occupancy(part, k, roles).withColumns({"k": F.lit(k), roles.split: F.lit(n)}).join(F.broadcast(scalers), roles.mode), "occupancy")
+            occupied.append(in_modes)
+            shape = regimes.silhouette(part, names, roles.mode, "__row", most, seed).select(F.col("silhouette").alias(f"{n}_silhouette"))
+            least_mode = in_modes.agg(F.min("rows").alias(f"{n}_min_mode_rows"), F.min("row_share").alias(f"{n}_min_mode_fraction"))
+            one = one.crossJoin(F.broadcast(shape)).crossJoin(F.broadcast(least_mode))
+        quality = regimes.cluster_quality(by_split["train"], names, centers, roles).select("inertia_per_row", "min_centroid_distance")
+        agreement = cut(regimes.regime_stability(train, valid, names, k, seeds, roles=roles), "stability")
+        stable = agreement.agg(F.avg("adjusted_rand").alias("mean_adjusted_rand"), F.min("adjusted_rand").alias("min_adjusted_rand"))
+        one = one.crossJoin(F.broadcast(quality)).crossJoin(F.broadcast(stable))
+        rows.append(cut(one.select(F.lit(f"p1_k{k}").alias("candidate"), F.lit(k).alias("k"), "*"), "candidate"))
+        centre = regimes.mode_centroids(by_split["train"], [f"original_{c}" for c in names], roles)
+        renamed = centre.withColumnsRenamed({f"{w}_original_{c}": f"{w}_{c}" for c in names for w in ("center", "spread")})
+        centres.append(renamed.withColumn("k", F.lit(k)))
+    return PreprocessingStudy(_union(rows, missing=True), _union(occupied), _union(centres))
+
+
+@dataclass
+class DetectorStudy:
+    """Tables of a detector study: the ranking of every candidate, and the best of each detector."""
+
+    ranking: DataFrame
+    best: DataFrame
+
+
+def detector_study(prepared: Mapping[str, DataFrame], grid: Sequence[tuple[str, dict]] = DETECTOR_GRID, roles: Roles = Roles(), evaluate: str = "validation", at_once: int = 4) -> DetectorStudy:
+    """Every detector and setting of ``grid`` on every preprocessing: fitted on eligible training windows, ranked on another split.
+
+    ``prepared``: name to features of windows.  Candidates are independent jobs, of which
+    ``at_once`` run at a time.  Best: mean average precision, then mean ROC area, then
+    the names of preprocessing and setting.
+    """
+    keep, jobs = [*roles.features, "window_id", roles.entity, roles.split, "start_cycle", "end_cycle", "max_cycle", roles.mode], []
+    for name, features in prepared.items():
+        every = cut(features.select(*keep), "study_features")
+        jobs += [(name, every, detector, params) for detector, params in grid]
+
+    def ranked(job) -> DataFrame:
+        name, every, detector, params = job
+        scores = detectors.fit_score(eligible_training(every, roles), every.where(F.col(roles.split) == evaluate), roles.features, detector, **params)
+        labelled = proxies.apply_policies(scores.drop(*roles.features), proxies.policy_table(every.sparkSession))
+        mean = metrics.mean_ranking(metrics.ranking_metrics(labelled))
+        setting = ",".join(f"{k}={v}" for k, v in sorted(params.items()))
+        return cut(mean.select(F.lit(name).alias("preprocessing"), "detector_id", F.lit(setting).alias("parameter_set"), "mean_pr_auc", "mean_roc_auc"), "ranked")
+
+    with ThreadPoolExecutor(at_once) as pool:
+        table = _union(list(pool.map(ranked, jobs)))
+    order = [F.desc("mean_pr_auc"), F.desc("mean_roc_auc"), F.asc("preprocessing"), F.asc("parameter_set")]
+    return DetectorStudy(table, selection.select_best(table, ["detector_id"], order))
+
+
+def scored_and_ranked(features: DataFrame, detector: str, params: dict, roles: Roles = Roles()) -> tuple[DataFrame, DataFrame]:
+    """(scores of all windows, their ranking metrics by policy) of one detector, fitted on eligible training windows."""
+    made = cut(detectors.fit_score(eligible_training(features, roles), features, roles.features, detector, **params), "made")
+    ranking = metrics.ranking_metrics(proxies.apply_policies(made.drop(*roles.features), proxies.policy_table(features.sparkSession)))
+    return made.select("window_id", "detector_id", "raw_score", "alert_score"), ranking
+
+
+def reproduce_scores(scores: DataFrame, ranking: DataFrame, features: DataFrame, detector: str, params: dict, roles: Roles = Roles(), tolerance: float = 1e-6) -> DataFrame:
+    """Refit a detector and compare with stored ``scores`` and ``ranking``: a row for each table and column, see ``compare_frames``."""
+    again, ranked = scored_and_ranked(features, detector, params, roles)
+    one = compare.compare_frames(scores, again, ["detector_id", "window_id"], [], ["raw_score", "alert_score"], tolerance, tolerance)
+    exact, close = ["positives", "negatives", "ambiguous"], ["average_precision", "roc_auc"]
+    two = compare.compare_frames(ranking, ranked, ["detector_id", "policy_id"], exact, close, tolerance, tolerance)
+    return one.withColumn("table", F.lit("scores")).unionByName(two.withColumn("table", F.lit("ranking")))
+
+
 @dataclass
 class Study:
     """Tables of an alert-policy study."""
@@ -157,6 +270,15 @@ def alert_policy_study(scores: DataFrame, grid: Grid, roles: Roles = Roles(), ev
     return Study(fitted, thresholds.candidate_grid(scores.sparkSession, grid), rows, aggregated, per, best)
 
 
+def verify_study(scores: DataFrame, grid: Grid, stored: Mapping[str, DataFrame], roles: Roles = Roles(), evaluate: str = "validation") -> DataFrame:
+    """Recompute a study from saved scores and compare with its ``stored`` metric and aggregated tables, see ``compare_frames``."""
+    again = alert_policy_study(scores, grid, roles, evaluate)
+    counts = ["tp", "fp", "tn", "fn", "detected_engines"]
+    one = compare.compare_frames(stored["aggregated"], again.aggregated, ["candidate_id"], ["detector_id", "feasible"], ["min_coverage", "worst_fp_per_1000"])
+    two = compare.compare_frames(stored["metrics"], again.metrics, ["candidate_id", "policy_id"], counts, ["coverage_percent", "fp_per_1000_healthy"])
+    return one.withColumn("table", F.lit("aggregated")).unionByName(two.withColumn("table", F.lit("metrics")))
+
+
 def evaluate_policy(trace: DataFrame, policies: DataFrame, roles: Roles = Roles()) -> dict[str, DataFrame]:
     """One policy's evaluation, row by row: metrics, outcomes, events and ranking."""
     labelled = proxies.apply_policies(trace, policies)
@@ -202,7 +324,12 @@ def fit_inference(cycles: DataFrame, modes: int, roles: Roles = Roles(), varianc
 
 
 def infer(cycles: DataFrame, state: InferenceState, roles: Roles = Roles()) -> tuple[DataFrame, DataFrame]:
-    """(timeline, events) of new cycles: one row for each window with score, state, event and top three sensors."""
+    """(windows, events) of new cycles: one row for each window with score, state, event and top three sensors.
+
+    Values that aren't finite, keys that aren't whole, and entities shorter than a window
+    raise Violation, as do repeated cycles.
+    """
+    checks.assert_empty(checks.check_inference_input(cycles.select(*roles.keys, *roles.settings, *roles.sensors), roles))
     features = windows.summary_features(scaling.transform_modes(cycles, state.scalers, roles.sensors, roles), roles)
     z = scaling._scaled(features.crossJoin(F.broadcast(state.feature_scaler)), roles.features)
     explained = attribute_pca(z, roles.features, roles.sensors, state.pca).withColumn("detector_id", F.lit("pca")).withColumn("raw_score", F.round("raw_score", 9))
@@ -212,3 +339,15 @@ def infer(cycles: DataFrame, state: InferenceState, roles: Roles = Roles()) -> t
     return alerts.event_flags(trace, events, roles=roles), events
 
 
+def timeline(rows: DataFrame, roles: Roles = Roles()) -> DataFrame:
+    """The 21 columns of the inference timeline from the windows of ``infer``."""
+    renamed = {
+        "calibrated_score": F.col("alert_score"),
+        "alert": F.col("alert_active"),
+        "top_three_sensor_contributions": F.col("top_three"),
+        "attribution_completeness_abs_difference": F.col("completeness_error"),
+        **{k: F.lit(v) for k, v in EXPLANATION.items()},
+    }
+    first = ["window_id", roles.entity, "start_cycle", "end_cycle", roles.mode, "raw_score", "calibrated_score", "threshold", "smoothed_score", "threshold_violation", "persistence_count"]
+    last = ["alert", "event_start", "event_status", "top_three_sensor_contributions", *EXPLANATION, "attribution_completeness_abs_difference"]
+    return rows.withColumns(renamed).select(*first, *last)

@@ -58,6 +58,21 @@ POLICIES = (
     ("normalized_life_last_30pct_full_window", 0.30, "full_window", False),
 )
 FEASIBLE_PER_1000 = 60.0
+# What an explanation is and isn't, as every row of an inference timeline says.
+EXPLANATION = {
+    "explanation_type": "pca_reconstruction_error_contribution",
+    "scope": "local_model_fidelity_explanation",
+    "feature_space": "normalized_feature_space",
+    "causality": "non_causal",
+    "shap": "not_shap",
+}
+#: Detectors and settings of a detector study.
+DETECTOR_GRID = (
+    *[("pca", {"variance": v}) for v in (0.90, 0.95, 0.99)],
+    *[("one_class", {"nu": v, "rounds": 20}) for v in (0.01, 0.05, 0.10)],
+    *[("isolation_forest", {"trees": 100, "most": v}) for v in (256, 512, 1024)],
+    *[("lof", {"neighbors": v}) for v in (20, 35, 50)],
+)
 DELAY_ASPIRATION = 12.0
 
 

@@ -2,7 +2,8 @@
 
 State of an entity: its last window of scaled rows, the last smoothed score, the run of
 violations, the number of events and the last cycle.  A cycle that isn't after the last
-one is late: it is dropped and counted.  A gap between cycles starts the state anew.
+one is late, and one without finite values or of a mode that the fit doesn't know is bad:
+both are dropped and counted.  A gap between cycles starts the state anew.
 """
 
 from __future__ import annotations
@@ -15,34 +16,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.order import running
 from ..plans.study import InferenceState
 from ..schema import Roles
 from ..sources.scratch import scratch
 
-OUTPUT = "engine long, end_cycle int, op_mode int, raw_score double, alert_score double, smoothed_score double, threshold double, persistence_count int, alert_active boolean, event_number int, late_rows int"
+OUTPUT = "engine long, end_cycle int, op_mode int, raw_score double, alert_score double, smoothed_score double, threshold double, persistence_count int, alert_active boolean, event_number int, late_rows int, bad_rows int"
 STATE = "last_cycle int, smoothed double, run int, events int, active boolean, buffer array<double>"
 
 
+def reference_steps(reference: DataFrame, most: int) -> DataFrame:
+    """(raw_score, share): the distinct scores at which the share of scores up to them passes a multiple of 1 / ``most``."""
+    at = running(reference, [], "raw_score", {"__n": "1"}).crossJoin(F.broadcast(reference.agg(F.count("raw_score").alias("__all"))))
+    step = lambda n: F.floor(n * F.lit(most) / F.col("__all"))
+    return at.where(step(F.col("__n_upto")) > step(F.col("__n_upto") - F.col("__n"))).select("raw_score", (F.col("__n_upto") / F.col("__all")).alias("share"))
+
+
 class Scorer:
     """Numbers of an InferenceState: scaled rows to scores and thresholds.
 
-    The reference is kept as its distinct scores and running shares, which a fit bounds
-    by the number of eligible training windows.
+    The reference is kept as at most ``most`` of its distinct scores with their running
+    shares, those at which the share passes a multiple of 1 / most: exact for up to
+    ``most`` reference rows, and beyond them at most 1 / most too low.
     """
 
-    def __init__(self, state: InferenceState, roles: Roles):
+    def __init__(self, state: InferenceState, roles: Roles, most: int = 1_000_000):
         self.roles, self.alpha, self.m = roles, state.alpha, state.m
         self.scalers = {r[roles.mode]: (np.array([r[f"mean_{s}"] for s in roles.sensors]), np.array([r[f"scale_{s}"] for s in roles.sensors])) for r in state.scalers.collect()}
         f = state.feature_scaler.first()
         self.center, self.scale = np.array([f[f"mean_{c}"] for c in roles.features]), np.array([f[f"scale_{c}"] for c in roles.features])
         self.mean, self.left = state.pca.mean, np.eye(len(roles.features)) - state.pca.components.T @ state.pca.components
-        ref = state.reference.groupBy("raw_score").count().orderBy("raw_score").toPandas()
-        self.values, self.share = ref["raw_score"].to_numpy(), ref["count"].cumsum().to_numpy() / max(1, ref["count"].sum())
+        ref = reference_steps(state.reference, most).toPandas().sort_values("raw_score")
+        self.values, self.share = ref["raw_score"].to_numpy(), ref["share"].to_numpy()
         wanted = state.thresholds.where((F.col("context") == state.context) & (F.col("rule_id") == state.rule_id)).collect()
         self.thresholds = {r[roles.mode]: r["threshold"] for r in wanted}
 
-    def threshold(self, mode: int) -> float:
-        return self.thresholds[mode] if mode in self.thresholds else self.thresholds[None]
+    def threshold(self, mode: int) -> float | None:
+        return self.thresholds.get(mode, self.thresholds.get(None))
+
+    def usable(self, row: dict) -> bool:
+        numbers = [row[c] for c in (self.roles.order, self.roles.mode, *self.roles.sensors)]
+        if not np.isfinite(np.array(numbers, float)).all():
+            return False
+        return int(row[self.roles.mode]) in self.scalers and self.threshold(int(row[self.roles.mode])) is not None
 
     def score(self, window: np.ndarray) -> tuple[float, float]:
         features = np.round(np.concatenate((window.mean(axis=0), window.std(axis=0), window[-1] - window[0])), 9)
@@ -54,9 +70,12 @@ class Scorer:
 
 def advance(scorer: Scorer, state: dict, rows: pd.DataFrame) -> list[tuple]:
     """Move an entity's state over rows in order of cycle; one output for each full window."""
-    roles, out, late = scorer.roles, [], 0
+    roles, out, late, bad = scorer.roles, [], 0, 0
     w, s = roles.window, len(roles.sensors)
     for r in rows.sort_values(roles.order, kind="stable").to_dict("records"):
+        if not scorer.usable(r):
+            bad += 1
+            continue
         cycle, mode = int(r[roles.order]), int(r[roles.mode])
         if state["last_cycle"] is not None and cycle <= state["last_cycle"]:
             late += 1
@@ -75,7 +94,7 @@ def advance(scorer: Scorer, state: dict, rows: pd.DataFrame) -> list[tuple]:
         active = state["run"] >= scorer.m
         state["events"] += active and not state["active"]
         state["active"] = bool(active)
-        out.append((int(r[roles.entity]), cycle, mode, raw, x, state["smoothed"], scorer.threshold(mode), state["run"], bool(active), state["events"] if active else None, late))
+        out.append((int(r[roles.entity]), cycle, mode, raw, x, state["smoothed"], scorer.threshold(mode), state["run"], bool(active), state["events"] if active else None, late, bad))
     return out
 
 
