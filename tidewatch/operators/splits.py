@@ -69,5 +69,5 @@ def sample_entities(summary: DataFrame, fraction: float, seed: int, roles: Roles
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, key: list[str]) -> DataFrame:
-    """``n`` rows, those of the least seeded hash of their key."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    """``n`` rows, those of the least MD5 of seed and key."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])), *key).limit(n)

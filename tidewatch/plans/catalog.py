@@ -858,7 +858,14 @@ def ml1_stratified_entity_split(s, d):
     return _assigned(s, d)
 
 
-@query()
+MONITOR = """, ms as (select engine, any_value(max_cycle) as max_cycle from meta where split = 'train' and end_cycle <= floor(max_cycle::double * 0.3::double) group by 1),
+mst as (select engine, greatest(ceil(((r - 1) * 5)::double / greatest(t - 1, 1)) - 1, 0)::int as stratum from (select *, row_number() over (order by max_cycle, engine) as r, count(*) over () as t from ms)),
+mq as (select stratum, floor(e1) as f1, e1 - floor(e1) as r1, e2 - floor(e2) as r2, n - floor(e1) - floor(e2) as rest from (select stratum, count(*) as n, round(count(*) * 0.8::double, 9) as e1, round(count(*) * 0.2::double, 9) as e2 from mst group by 1)),
+mr as (select engine, case when i <= f1 + ((r2 > r1)::int < rest)::int then 'development' else 'monitor' end as role from (select *, row_number() over (partition by stratum order by md5(engine::varchar || ':43'), engine) as i from mst) join mq using (stratum))
+select window_id, role from meta join mr using (engine) where split = 'train' and end_cycle <= floor(max_cycle::double * 0.3::double)"""
+
+
+@query(MONITOR)
 def ml2_monitor_split(s, d):
     m = _meta(s, d)
     return splits.monitor_split(m.where((F.col("split") == "train") & proxies.eligible())).select("window_id", "role")
@@ -1043,7 +1050,7 @@ def ml22_verify_study(s, d):
     return found.select("table", "column", "rows", "only_left", "only_right", "mismatches")
 
 
-@query()
+@query("select engine, cycle, s1 from cyc order by md5('7:' || engine::varchar || ':' || cycle::varchar), engine, cycle limit 500")
 def ml23_sample_rows(s, d):
     return splits.sample_rows(_cycles(s, d), 500, 7, ["engine", "cycle"]).select("engine", "cycle", "s1")
 
