@@ -52,7 +52,12 @@ class Workspace:
 
 
 def salted_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Sequence[str], salts: int = 16) -> DataFrame:
-    """``left`` left-joined to ``right``, unique on ``keys``, with every key dealt to ``salts`` tasks.
+    """``salted_join`` that keeps the rows of ``left`` without a partner."""
+    return salted_join(left, right, keys, spread, salts, "left")
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Sequence[str], salts: int = 16, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right``, unique on ``keys``, with every key dealt to ``salts`` tasks.
 
     ``spread``: columns of ``left`` whose hash picks the salt.  ``right`` is repeated
     ``salts`` times, so pre-aggregate it.  No key, however frequent, stays in one task.
@@ -61,7 +66,7 @@ def salted_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spr
     salt = "__salt"
     dealt = left.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies.hint("merge"), [*keys, salt], "left").drop(salt)
+    return dealt.join(copies.hint("merge"), [*keys, salt], how).drop(salt)
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Sequence[str], most: int = 20_000) -> DataFrame:
