@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +76,17 @@ def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: Seque
 def held_out(doc_id: Column, folds: int) -> Column:
     """True where crc32 of the id's decimal text is a multiple of ``folds`` (null id: crc32 of '')."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
+
+
+def texts_by_bytes(batches: Iterable[pa.RecordBatch], text: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices of at most ``most`` bytes of column ``text``, or of one longer row."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        column = b.column(text)
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        at = 0
+        while at < b.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+            yield b.slice(at, stop - at)
+            at = stop

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, decontaminate, licences, outliers, packing, quality, simhash, toxicity, urls, warc
+from . import brown, decontaminate, infilling, licences, outliers, packing, periodic, quality, simhash, token_planes, toxicity, urls, warc
 from ._shared import Workspace, held_out
 
 
@@ -78,8 +80,32 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def repeated_stretches(keys: list[str], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first repeated word, period, 0 for none) of texts of ``n`` words, by CRC-32 of their ids."""
+    h = np.array([zlib.crc32(k.encode()) for k in keys], np.int64)
+    g = h // 10
+    a = g % np.maximum(n, 1)
+    return a, np.where((h % 10 == 0) & (n > 0), 1 + (n - a) // (3 + g % 8), 0)
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(_table(spark, sf_dir, "documents"), times=4, least=6, rewrite=repeated_stretches)
+    best = periodic.longest()
+    most = [best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"), F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli")]
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *most, F.sha2(periodic.as_lines(), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infilling.restore(infilling.fill_in_middle(_table(spark, sf_dir, "documents"), rate=90, turned=20, salt="1"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_planes.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_brown": op2_brown, "op3_licenses": op3_licenses, "op4_quality": op4_quality, "op5_urls": op5_urls, "op6_warc": op6_warc, "op7_packing": op7_packing, "op8_outliers": op8_outliers, "op9_simhash": op9_simhash, "op10_decontaminate": op10_decontaminate}
+    return {"op1_toxicity": op1_toxicity, "op2_brown": op2_brown, "op3_licenses": op3_licenses, "op4_quality": op4_quality, "op5_urls": op5_urls, "op6_warc": op6_warc, "op7_packing": op7_packing, "op8_outliers": op8_outliers, "op9_simhash": op9_simhash, "op10_decontaminate": op10_decontaminate, "op11_periodic": op11_periodic, "op12_infilling": op12_infilling, "op13_token_planes": op13_token_planes}
 
 
 WARC_SQL = """
@@ -90,5 +116,16 @@ case when first <> page_id then first end as refers_to
 from p left join g on p.payload_digest = g.d and p.payload_bytes >= 1000"""
 
 
+INFILLING_SQL = """
+with t as (select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(doc_id::varchar, '')) as d from documents),
+u as (select *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') as units, ('0x' || d[1:8])::bigint as h1, ('0x' || d[9:16])::bigint as h2, ('0x' || d[17:24])::bigint as h3, ('0x' || d[25:32])::bigint as h4 from t),
+c as (select *, len(units) as n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) as one, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) as two,
+case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from u),
+p as (select *, array_to_string(units[1:one], '') as prefix, array_to_string(units[one + 1:two], '') as middle, array_to_string(units[two + 1:], '') as suffix from c)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(prefix) end::bigint as prefix_chars, case when form <> 'plain' then length(middle) end::bigint as middle_chars,
+sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+sha256(text) as restored_sha256 from p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": licences.scan_sql(), "op6_warc": WARC_SQL}
+    return {"op3_licenses": licences.scan_sql(), "op6_warc": WARC_SQL, "op12_infilling": INFILLING_SQL}
