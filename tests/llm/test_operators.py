@@ -598,3 +598,58 @@ def test_decontamination_recall_on_edited_passages(spark):
     kept = {r.doc_id for r in decontaminate.keep_clean(docs.withColumn("item_id", F.lit(1)), bench).collect()}
     assert kept == set(range(len(rows) + len(clean) + len(ODD))) - {i for i, _ in got}
     assert decontaminate.find(docs, bench.limit(0)).count() == 0
+
+
+def changed(rng, w, edits, bunched):
+    """``w`` with so many changes of one word each, spread over it or within its first 64 words."""
+    w, places = list(w), range(min(64, len(w))) if bunched else range(len(w))
+    for at in sorted(rng.sample(places, edits), reverse=True):
+        w[at : at + 1] = [[b"zzz"], [], [w[at], b"yyy"]][rng.randrange(3)]
+    return w
+
+
+@pytest.mark.parametrize("bunched", [False, True], ids=["spread", "bunched"])
+@pytest.mark.parametrize("n", [20, 64, 96, 97, 100, 127, 128, 191, 500, 3000])
+def test_items_of_any_length_are_found_at_the_limit_of_edits(n, bunched):
+    rng = random.Random(n + bunched)
+    tries, hit = (120 if n < 200 else 40 if n == 500 else 10), 0
+    for _ in range(tries):
+        item = [f"w{rng.randrange(4000)}".encode() for _ in range(n)]
+        index = decontaminate.build([(7, b" ".join(item).decode())])
+        edits = min(index.edits[0], 60)
+        around = [[f"w{rng.randrange(4000)}".encode() for _ in range(rng.randrange(0, 90))] for _ in range(2)]
+        hit += [m[0] for m in index.matches(around[0] + changed(rng, item, edits, bunched) + around[1])] == [7]
+    assert hit >= 0.98 * tries, (n, hit, tries)
+
+
+def test_pieces_cover_their_item_and_share_its_edits():
+    rng = random.Random(5)
+    for n in (*range(1, 140), 191, 500, 3000):
+        index = decontaminate.build([(1, " ".join(f"w{k}" for k in range(n)))])
+        assert np.concatenate([w for *_, w in index.units]).tolist() == index.items[0][1].tolist()
+        assert max(index.lengths) - min(index.lengths) <= 1 and max(index.lengths) <= 96
+        # However the edits fall, one piece has no more than its limit.
+        ends, e = np.cumsum(index.lengths), index.edits[0]
+        for _ in range(5):
+            fell = np.bincount(np.searchsorted(ends, rng.choices(range(n), k=e), side="right"), minlength=len(ends)) if e else np.zeros(len(ends))
+            assert (fell <= index.unit_edits).any()
+
+
+def test_groups_of_few_good_texts_are_judged_by_a_wider_one(spark):
+    rng = random.Random(14)
+    usual = [(i, prose(rng, rng.randrange(40, 90)), "en", "web") for i in range(200)]
+    short = [(1000 + i, "too short", "en", "rare") for i in range(60)]
+    odd = [(2000, " ".join(w + "$#$" for w in prose(rng, 60).split()), "en", "rare"), (2001, prose(rng, 60), "en", "rare")]
+    got = {r.doc_id: r for r in outliers.verdicts(spark.createDataFrame(usual + short + odd, DOCS)).collect()}
+    assert not got[2000].kept and got[2000].d2 > 36 and got[2001].kept
+    assert not any(got[1000 + i].kept for i in range(60))
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(12,2)", "date", "double", "binary"])
+def test_packing_takes_ids_of_any_type(spark, kind):
+    rng = random.Random(15)
+    column = F.date_add(F.lit("2020-01-01").cast("date"), F.col("doc_id").cast("int")) if kind == "date" else F.col("doc_id").cast("string").cast("binary") if kind == "binary" else F.col("doc_id").cast(kind)
+    docs = table(spark, [prose(rng, 30) for _ in range(20)] + [None, "same", "same"]).withColumn("doc_id", column)
+    pieces = packing.pack(docs, tokenizer_path())
+    assert pieces.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert pieces.select("doc_id").distinct().exceptAll(docs.select("doc_id")).count() == 0 and pieces.select("doc_id").distinct().count() == 23

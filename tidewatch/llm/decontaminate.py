@@ -10,8 +10,9 @@ verified by exact edit distance over words.
 Windows that can't be near an item aren't embedded: an item within e edits of some
 passage has, cut into e + 1 runs of words, at least one run there unchanged (pigeonhole),
 so only windows about such runs go to the embedding.  Which item a window is near, if
-any, is found by the embedding's tables.  Items of many words are embedded in pieces, of
-which at least one has no more than its share of the edits.
+any, is found by the embedding's tables.  Items of many words are embedded in pieces of
+nearly equal length that leave no word out: edits within the item's limit are at most
+floor(limit / pieces) in one piece at least, which is that piece's own limit.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ class Index:
     """Benchmark items: runs of words that open a window, and hash tables of sampled embeddings.
 
     ``units`` are what is embedded: (place of the item, offset, words), an item as a whole
-    up to 1.5 times ``piece`` words, else pieces of that many.
+    up to 1.5 times ``piece`` words, else pieces of about that many that cover it.
     """
 
     items: list[tuple[int, np.ndarray]]
@@ -106,18 +107,20 @@ class Index:
     recall: float
     bits: int
     seed: int
-    walks: int = 5
+    walks: int = 8
     piece: int = 64
     reps: int = field(init=False)
 
     def __post_init__(self):
         self.edits = [int(self.ratio * len(w) + 1e-9) for _, w in self.items]
-        self.units = []
+        self.units, limits = [], []
         for k, (_, w) in enumerate(self.items):
-            step = len(w) if 2 * len(w) <= 3 * self.piece else self.piece
-            self.units += [(k, a, w[a : a + step]) for a in range(0, len(w) - step + 1, step)]
+            many = 1 if 2 * len(w) <= 3 * self.piece else -(-len(w) // self.piece)
+            ends = np.arange(many + 1) * len(w) // many
+            self.units += [(k, int(a), w[a:z]) for a, z in zip(ends[:-1], ends[1:], strict=True)]
+            limits += [self.edits[k] // many] * many
         self.lengths = np.array([len(w) for *_, w in self.units], np.int64)
-        self.unit_edits = (self.ratio * self.lengths + 1e-9).astype(np.int64)
+        self.unit_edits = np.array(limits, np.int64)
         # Starts about a place are tried at this distance from each other.
         self.stride = np.maximum(1, self.unit_edits // 8)
         # An edit moves the walk for a while: about two of three steps a word disagree for each.
@@ -208,6 +211,7 @@ class Index:
             return []
         starts, lengths = self.places(ids)
         near: dict[int, set[int]] = {}  # starts that the items would have
+        around: dict[int, int] = {}  # how far a window may stand from where its piece does
         for rows, keys in self.keys(ids, starts, lengths):
             at = starts[rows].tolist()
             for table, key in zip(self.tables, keys, strict=True):
@@ -215,10 +219,11 @@ class Index:
                     for u in table.get(x, ()):
                         k, offset, _ = self.units[u]
                         near.setdefault(k, set()).add(at[i] - offset)
+                        around[k] = max(around.get(k, 0), int(self.unit_edits[u] + self.stride[u]))
         out = []
         for k, places in sorted(near.items()):
             n, e = len(self.items[k][1]), self.edits[k]
-            slack = e + 1 + n // 512
+            slack = e + 1 + n // 512 + around[k]
             best, count, reach = None, 0, -1
             for s in sorted(places):
                 if s + slack < reach:
@@ -245,7 +250,7 @@ def _roll(ids: np.ndarray, size: int) -> np.ndarray:
     return code
 
 
-def build(items: list[tuple[int, str | None]], ratio: float = 0.15, recall: float = 0.99, bits: int = 4, seed: int = 11) -> Index:
+def build(items: list[tuple[int, str | None]], ratio: float = 0.15, recall: float = 0.999, bits: int = 4, seed: int = 11) -> Index:
     """An index of (item id, text); items without a word, null texts and null ids can't be found.
 
     Words are numbered, so different words never count as equal.

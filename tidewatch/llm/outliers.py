@@ -67,12 +67,13 @@ def _vector() -> list[Column]:
 def _groups(stats: DataFrame, work: Workspace, least: int) -> DataFrame:
     """``stats`` with ``group``, whose estimate judges a text, and ``fits``, the groups that it helps to fit.
 
-    The group is the text's language and source or, where that has fewer than ``least``
-    texts, all texts of the language or, where those are too few as well, all texts.
+    The group is the text's language and source or, where fewer than ``least`` of its texts
+    pass the base rules and so can be fitted to, all texts of the language or, where those
+    are too few as well, all texts.
     """
     lang, source = (F.coalesce(c, F.lit("\x00")) for c in ("lang", "source"))
     keyed = stats.withColumns({"g1": F.concat_ws("\x01", lang, source), "g2": F.concat(lang, F.lit("\x01\x02"))})
-    one = keyed.groupBy("g1", "g2").agg(F.count("*").alias("n1"))
+    one = keyed.groupBy("g1", "g2").agg(F.count_if(~F.col("base_failed")).alias("n1"))
     two = one.groupBy("g2").agg(F.sum("n1").alias("n2"), F.min("n1").alias("least1"))
     three = two.agg(F.min(F.when(F.col("least1") < least, F.col("n2"))).alias("least2"))
     named = one.join(two, "g2").crossJoin(F.broadcast(three))
@@ -194,9 +195,10 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     kept is false for texts that fail the base rules (fewer than 20 words, or over 30 % of
     the words in repeated 8-word windows) and for those with d2 > ``cutoff`` (for 36, one
     clean normal text in a million).  Estimates are fitted to texts that pass the base
-    rules; ``share`` of a group's texts, at least, are in its covariance.  Groups of fewer
-    than ``least`` texts are judged by all texts of their language, and languages of fewer
-    by all texts.  Every text has a verdict; d2 is null only where no text passes the
+    rules; ``share`` of a group's texts, at least, are in its covariance (subsets end at a
+    bin of distance, not at the exact share).  Groups of which fewer than ``least`` texts pass
+    the base rules are judged by all texts of their language, and languages of fewer by all
+    texts.  Every text has a verdict; d2 is null only where no text passes the
     base rules, and such texts fail.  Null language or source is a group value of its own.
     Ids may be null or repeat.  An empty table gives none.
     """

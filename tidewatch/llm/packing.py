@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ._shared import Workspace
 
@@ -170,14 +171,14 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """(doc_id, start, length, ids binary of little-endian 32-bit ids, doc_tokens, sequence_id, offset).
 
     Every document is its ids and then the id 1.  Null texts are empty (the id 1 alone).
-    Ids may be null or repeat; each row of ``docs`` is a document.  Sequences are padded
+    Ids may be null, repeat, or be of any type; each row of ``docs`` is a document.  Sequences are padded
     to ``size``, but for those whose length is a power of two.  Pieces are written once,
     to the shared folder, so that what is emitted and what is merged always agree.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "packing")
     kind = docs.schema[id_col].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow = to_arrow_type(docs.schema[id_col].dataType)
     schema = PIECES.format(kind=kind)
     end = np.array([END_ID], "<u4").tobytes()
 
