@@ -653,3 +653,18 @@ def test_packing_takes_ids_of_any_type(spark, kind):
     pieces = packing.pack(docs, tokenizer_path())
     assert pieces.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
     assert pieces.select("doc_id").distinct().exceptAll(docs.select("doc_id")).count() == 0 and pieces.select("doc_id").distinct().count() == 23
+
+
+def test_url_model_on_hosts_that_it_has_not_seen(spark):
+    model = urls.fit(urls.labelled_table(spark))
+    hosts = {urls.split_url(u)[0].split(".example")[0].split(".")[-1] for u, _ in urls.LABELLED_URLS}
+    bad = "casino-royal bets-online cheap-viagra-pills win-money-fast ads-server click-ads spam-site pills-shop adult-cams poker-bonus free-slots loans-payday seo-links-farm jackpot-casino tracker-pixel".split()
+    good = "orchid harp notebook lighthouse physics astronomy beekeeping carpentry juniper marble pelican sonnet walnut zephyr brook thicket drizzle parchment quill saddle zorblat qwuvip plimnek vastorin".split()
+    assert not hosts & {*bad, *good}
+    tail = ["/en/12", "/fr/7.html", "/de/3"]
+    got = {h: model.score(f"{pre}{h}.example.{end}", tail[k % 3]) >= 0.5 for k, h in enumerate(bad + good) for pre, end in (("", "org"),)}
+    assert sum(got[h] for h in bad) >= 0.85 * len(bad) and sum(got[h] for h in good) <= 0.05 * len(good), got
+    # Far more hosts of invented syllables, none of which means anything.
+    rng = random.Random(3)
+    made = ["".join(rng.choice("bdfklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randrange(2, 5))) for _ in range(400)]
+    assert sum(model.score(f"www.{h}.example.net", "/en/5") >= 0.5 for h in made) <= 0.03 * len(made)

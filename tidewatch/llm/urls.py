@@ -14,32 +14,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A small labelled table of invented URLs, 1 to block and 0 to allow.
+# A small labelled table of invented URLs, 1 to block and 0 to allow.  Hosts to
+# allow are common English words, some of which share letters with words to block, and invented names.
 LABELLED_URLS = [
-    ("https://spam-farm.example.org/en/12", 1),
+    ("https://link-farm.example.org/en/12", 1),
     ("http://www.spam-links.example.net/a/1.html", 1),
-    ("https://seo-farm.example.com/de/8", 1),
-    ("http://cheap-pills.example.com/en/450?page=2", 1),
-    ("https://www.buy-pills.example.org/order", 1),
-    ("http://discount-pharma.example.net/pills/3", 1),
-    ("https://www.casino-win.example.org/en/14", 1),
-    ("http://online-casino.example.com/play", 1),
-    ("https://slots-win.example.net/jackpot/9", 1),
-    ("http://m.free-bets.example.com/en/27#top", 1),
-    ("https://best-bets.example.org/odds", 1),
-    ("http://poker-bets.example.net/free/2", 1),
-    ("https://ads-track.example.org/en/584", 1),
-    ("http://ad-track.example.com/click?id=3", 1),
-    ("https://tracker-ads.example.net/pixel/1.gif", 1),
-    ("http://win-prize.example.org/claim", 1),
-    ("https://free-money.example.com/now", 1),
-    ("http://xxx-cams.example.net/live/7", 1),
-    ("https://adult-videos.example.org/en/61", 1),
-    ("http://payday-loans.example.com/apply", 1),
-    ("https://replica-watches.example.net/sale", 1),
-    ("http://hot-deals-spam.example.org/buy/5", 1),
+    ("https://seo-spam.example.com/de/8", 1),
+    ("http://discount-pills.example.com/en/450?page=2", 1),
+    ("https://www.buy-meds-cheap.example.org/order", 1),
+    ("http://no-prescription-pills.example.net/pills/3", 1),
+    ("https://www.lucky-casino.example.org/en/14", 1),
+    ("http://online-casino-bonus.example.com/play", 1),
+    ("https://slots-jackpot-win.example.net/jackpot/9", 1),
+    ("http://m.sports-bets.example.com/en/27#top", 1),
+    ("https://best-free-bets-tips.example.org/odds", 1),
+    ("http://poker-win.example.net/free/2", 1),
+    ("https://ads-network.example.org/en/584", 1),
+    ("http://ad-click-track.example.com/click?id=3", 1),
+    ("https://track-pixel-ads.example.net/pixel/1.gif", 1),
+    ("http://win-free-prize.example.org/claim", 1),
+    ("https://free-money-now.example.com/now", 1),
+    ("http://xxx-tube.example.net/live/7", 1),
+    ("https://adult-chat.example.org/en/61", 1),
+    ("http://payday-loans-fast.example.com/apply", 1),
+    ("https://replica-watches-sale.example.net/sale", 1),
+    ("http://hot-deals-farm.example.org/buy/5", 1),
+    ("https://casino-online.example.net/en/5", 1),
+    ("http://royal-casino-bonus.example.org/fr/77", 1),
+    ("https://m.bets-live.example.com/de/31", 1),
+    ("http://cheap-loans.example.net/es/8.html", 1),
+    ("https://www.pills-direct.example.com/fr/12", 1),
+    ("http://adult-dating.example.net/en/330", 1),
+    ("https://ads-click.example.org/de/9", 1),
+    ("http://www.track-ads.example.com/en/44#top", 1),
+    ("https://spam-seo.example.net/fr/2", 1),
+    ("http://free-spins-casino.example.com/de/260", 1),
+    ("https://m.win-cash-fast.example.org/en/6", 1),
+    ("http://blog.cheap-viagra.example.com/en/18", 1),
+    ("https://adult-xxx.example.com/es/41", 1),
+    ("http://poker-bets-online.example.org/en/90?page=2", 1),
+    ("https://www.content-farm.example.net/de/5/", 1),
+    ("http://jackpot-free-win.example.com/fr/63", 1),
+    ("http://m.pills-outlet.example.net/en/7", 1),
+    ("https://loans-today.example.com/fr/16", 1),
+    ("http://www.tracker-beacon.example.org/de/303.html", 1),
+    ("https://m.ads-exchange.example.net/es/4", 1),
+    ("http://payday-cash.example.com/en/52/", 1),
+    ("https://www.shop-replica.example.org/en/7", 1),
+    ("http://m.pixel-ads.example.net/fr/16", 1),
+    ("https://casino-slots.example.com/de/303.html", 1),
+    ("http://www.bets-tips.example.org/es/4", 1),
+    ("https://m.adult-live.example.net/en/52/", 1),
+    ("http://spam-blast.example.com/en/7", 1),
+    ("https://www.click-bonus.example.org/fr/16", 1),
+    ("http://m.viagra-shop.example.net/de/303.html", 1),
+    ("https://loans-cheap.example.com/es/4", 1),
+    ("http://www.tracker-click.example.org/en/52/", 1),
+    ("https://m.cams-adult.example.net/en/7", 1),
     ("https://blog.winter.example.com/en/853/", 0),
-    ("http://theory.example.org/en/676", 0),
+    ("http://lantern.example.org/en/676", 0),
     ("https://news.harbor.example.net/fr/825", 0),
     ("http://www.garden.example.org/de/320.html", 0),
     ("https://m.weather.example.com/es/25#top", 0),
@@ -52,14 +85,67 @@ LABELLED_URLS = [
     ("https://school.example.org/en/929/", 0),
     ("http://recipes.kitchen.example.com/es/575", 0),
     ("https://history.example.net/en/667?page=2", 0),
-    ("https://blog.northern.example.org/en/519", 0),
+    ("https://blog.orchestra.example.org/en/519", 0),
     ("http://wiki.orchard.example.org/en/14", 0),
-    ("https://therein.example.net/en/311", 0),
-    ("https://blog.thereon.example.org/fr/10", 0),
-    ("http://other.example.org/en/217", 0),
-    ("https://www.then.example.net/de/148.html", 0),
-    ("http://station.example.org/en/453", 0),
-    ("https://nation.example.net/en/384", 0),
+    ("https://meadow.example.net/en/311", 0),
+    ("https://blog.pottery.example.org/fr/10", 0),
+    ("http://almanac.example.org/en/217", 0),
+    ("https://www.cedar.example.net/de/148.html", 0),
+    ("http://compass.example.org/en/453", 0),
+    ("https://violin.example.net/en/384", 0),
+    ("http://bridge.example.com/de/71?utm_source=feed", 0),
+    ("https://m.village.example.com/fr/9", 0),
+    ("https://blog.harvest.example.net/es/231.html", 0),
+    ("http://chapel.example.org/en/88/", 0),
+    ("https://www.thunder.example.com/en/402#top", 0),
+    ("http://m.quarry.example.net/de/17", 0),
+    ("https://saffron.example.org/fr/640?page=2&ref=x", 0),
+    ("http://blog.copper.example.com/en/59", 0),
+    ("https://timber.example.net/es/12.html", 0),
+    ("http://www.falcon.example.org/en/301", 0),
+    ("https://m.glacier.example.com/de/204/", 0),
+    ("http://blog.maple.example.net/fr/33?utm_source=feed", 0),
+    ("https://observatory.example.org/en/9", 0),
+    ("http://www.linen.example.com/es/87", 0),
+    ("https://tailor.example.net/en/150#top", 0),
+    ("http://m.basalt.example.org/fr/2", 0),
+    ("https://blog.heron.example.com/de/466", 0),
+    ("http://windmill.example.net/en/73?page=2", 0),
+    ("https://www.ferry.example.org/es/518", 0),
+    ("http://grammar.example.com/en/26.html", 0),
+    ("https://m.tundra.example.net/fr/190", 0),
+    ("http://blog.bakery.example.org/de/5", 0),
+    ("http://velmora.example.org/en/5", 0),
+    ("https://www.tanquil.example.net/fr/20", 0),
+    ("http://m.borexa.example.com/de/113.html", 0),
+    ("https://quintaro.example.org/es/8", 0),
+    ("http://www.lumedo.example.net/en/340/", 0),
+    ("https://m.sarvani.example.com/en/5", 0),
+    ("http://fendolin.example.org/fr/20", 0),
+    ("https://www.mirakot.example.net/de/113.html", 0),
+    ("http://m.oskelun.example.com/es/8", 0),
+    ("https://pravidi.example.org/en/340/", 0),
+    ("http://www.nalemu.example.net/en/5", 0),
+    ("https://m.gisoter.example.com/fr/20", 0),
+    ("http://bekanu.example.org/de/113.html", 0),
+    ("https://www.torilade.example.net/es/8", 0),
+    ("http://m.vapumo.example.com/en/340/", 0),
+    ("https://kedisa.example.org/en/5", 0),
+    ("http://www.notary.example.net/fr/20", 0),
+    ("https://m.bookbinder.example.com/de/113.html", 0),
+    ("http://keeper.example.org/es/8", 0),
+    ("https://www.bookshop.example.net/en/340/", 0),
+    ("http://m.networks.example.com/en/5", 0),
+    ("https://cookery.example.org/fr/20", 0),
+    ("http://www.pinewood.example.net/de/113.html", 0),
+    ("https://m.website.example.com/es/8", 0),
+    ("http://server.example.org/en/340/", 0),
+    ("https://www.advent.example.net/en/5", 0),
+    ("http://m.pillar.example.com/fr/20", 0),
+    ("https://winery.example.org/de/113.html", 0),
+    ("http://www.farmland.example.net/es/8", 0),
+    ("https://m.tracks.example.com/en/340/", 0),
+    ("http://linked.example.org/en/5", 0),
 ]
 
 
