@@ -240,6 +240,47 @@ def test_factored_grid_equals_row_wise_evaluation(spark):
                 assert getattr(g, c) == getattr(r, c), (context, m, r.policy_id, c)
 
 
+def test_winners_tables_equal_the_grid_and_one_policy_at_a_time(spark):
+    rng = random.Random(4)
+    rows = [(k, f"{split}:{e}:{c}", e, c - 9, c, 60, rng.randrange(2), split, min(1.0, rng.random() * (1.6 if c > 44 else 0.9))) for k in ("a", "b", "c") for split, es in (("train", range(4)), ("validation", range(4, 9))) for e in es for c in range(10, 61) if c != 30 + e]
+    scores = spark.createDataFrame(rows, SCORES)
+    grid = Grid(("a", "b", "c"), ("global", "per_mode"), (Rule("q", "quantile", 0.9), Rule("m", "mean_plus_std", 1.5)), (None, 0.5), (1, 3))
+    made = study.alert_policy_study(scores, grid)
+    won = study.winners(scores, made, grid)
+    best = made.best_per_detector.collect()
+    assert len(best) == 3
+    shown = scores.where("split = 'validation'")
+    cells = ("tp", "fp", "tn", "fn", "false_events", "crossing_events", "detected_engines", "median_delay", "median_lead", "event_count", "fragmentation", "coverage_percent")
+    by_grid = {(r.candidate_id, r.policy_id): [getattr(r, c) for c in cells] for r in made.metrics.collect()}
+    for r in won.metrics.collect():
+        assert [getattr(r, c) for c in cells] == by_grid[r.candidate_id, r.policy_id]
+    cols = ["window_id", "segment", "state_segment_id", "smoothed_score", "threshold", "threshold_violation", "persistence_count", "alert_active"]
+    traces, events = won.traces.collect(), won.events.collect()
+    for b in best:
+        alone = alerts.apply_policy(shown.where(F.col("detector_id") == b.detector_id), made.thresholds, None if b.ewma_id == "off" else 0.5, b.persistence, b.context, b.rule_id)
+        assert sorted(tuple(r[c] for c in cols) for r in traces if r.candidate_id == b.candidate_id) == sorted(tuple(r[c] for c in cols) for r in alone.select(*cols).collect())
+        want = sorted((r.engine, r.event_start_cycle, r.event_end_cycle, r.event_number) for r in alerts.alert_events(alone).collect())
+        assert sorted((r.engine, r.event_start_cycle, r.event_end_cycle, r.event_number) for r in events if r.candidate_id == b.candidate_id) == want
+    assert {r.candidate_id for r in traces if r.overall} == {made.best.first().candidate_id}
+    # Each two winners, against sets of entities.
+    seen = {}
+    for r in won.entities.collect():
+        seen.setdefault((r.policy_id, r.detector_id), {})[r.engine] = (r.first_detection is not None, r.false_events > 0)
+    both = won.complementarity.collect()
+    assert len(both) == 3 * 3 and {(r.detector_a, r.detector_b) for r in both} == {("a", "b"), ("a", "c"), ("b", "c")}
+    for r in both:
+        x, y = seen[r.policy_id, r.detector_a], seen[r.policy_id, r.detector_b]
+        for k, name in ((0, "detected"), (1, "false_alert")):
+            pairs = [(x[e][k], y[e][k]) for e in x]
+            assert [getattr(r, f"{name}_{c}") for c in ("both", "only_a", "only_b", "neither")] == [pairs.count(p) for p in ((True, True), (True, False), (False, True), (False, False))]
+    targets = won.targets.collect()
+    assert len(targets) == 3 and {t.status for t in targets} == {"feasible"} and all(t.meets_fp_limit for t in targets)
+    # Nothing feasible: no rows of winners, and one row that says so.
+    none = study.winners(scores, study.Study(made.thresholds, made.candidates, made.metrics, made.aggregated, made.best_per_detector.limit(0), made.best.limit(0)), grid)
+    assert [tuple(t) for t in none.targets.collect()] == [(None, None, None, False, None, False, "no_feasible_candidate")]
+    assert none.traces.count() == none.complementarity.count() == 0
+
+
 def test_candidate_grid_is_one_local_table(spark):
     grid = Grid(("a", "b"))
     table = thresholds.candidate_grid(spark, grid)

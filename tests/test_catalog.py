@@ -5,7 +5,7 @@ import os
 import pytest
 
 D = "/root/testdata/sf0.001"
-NAMES = ["flagship_alerts", "a7_ecdf", "a17_average_precision", "w6_segments", "ml18_alert_policy_study"]
+NAMES = ["flagship_alerts", "a7_ecdf", "a17_average_precision", "w6_segments", "ml18_alert_policy_study", "ml18_winner_traces", "ml18_winner_events", "ml18_winner_engines", "ml18_complementarity", "ml18_targets"]
 
 
 @pytest.mark.skipif(not os.path.isdir(D), reason="tables aren't here")
@@ -24,14 +24,3 @@ def test_query_equals_sql(spark, name):
     assert sorted(map(key, (tuple(r) for r in got.select(*cols).collect()))) == sorted(map(key, want.fetchall()))
 
 
-@pytest.mark.skipif(not os.path.isdir(D), reason="tables aren't here")
-def test_stream_equals_batch(spark):
-    from tidewatch.plans import catalog, study
-    from tidewatch.streaming.alerts import stream_to_table
-
-    c = catalog._split(spark, D)
-    state, rows = study.fit_inference(c, 5, m=3, rule_id="quantile_0.950"), c.where("split = 'validation'")
-    timeline, _ = study.infer(rows, state)
-    batch = {(r.engine, r.end_cycle): (r.alert_active, r.persistence_count, round(r.smoothed_score, 6)) for r in timeline.collect()}
-    stream = {(r.engine, r.end_cycle): (r.alert_active, r.persistence_count, round(r.smoothed_score, 6)) for r in stream_to_table(rows, state).collect()}
-    assert batch and stream == batch

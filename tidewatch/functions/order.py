@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+
 
 def running(df: DataFrame, groups: Sequence[str], value: str, sums: dict[str, str], ranges: int = 64, descending: bool = False) -> DataFrame:
     """(groups, value, each sum, each ``<sum>_upto``): sums of the rows up to and with each distinct value.
@@ -61,8 +63,21 @@ def rank_by_hash(df: DataFrame, groups: Sequence[str], digest: str, ties: Sequen
     return dealt.withColumn("__in", place).join(offsets, [*groups, "__range"]).withColumn(name, (F.col("__in") + F.col("__before")).cast("int")).drop("__in", "__before", "__range")
 
 
-def row_rank(df: DataFrame, value: str, ties: Sequence[str], name: str) -> DataFrame:
-    """With ``name``: the row's number from 1 among all rows by value and then ``ties``."""
-    counts = running(df, [], value, {"__c": "1"}).select(value, (F.col("__c_upto") - F.col("__c")).alias("__before"))
-    place = F.row_number().over(Window.partitionBy(value).orderBy(*ties))
-    return df.withColumn("__in", place).join(counts, value).withColumn(name, (F.col("__in") + F.col("__before")).cast("long")).drop("__in", "__before")
+def in_ranges(df: DataFrame, order: Sequence[str], ranges: int = 64) -> DataFrame:
+    """``df`` written with ``__range``: rows of a lesser range come first in ``order``.
+
+    Ranges are of all columns of the order together, so a value that most rows share is
+    many ranges as long as its ties differ.  They are drawn from a sample, which decides
+    only who works where, and are kept, since another draw would deal rows anew.
+    """
+    return cut(df.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+
+
+def row_rank(df: DataFrame, value: str, ties: Sequence[str], name: str, ranges: int = 64) -> DataFrame:
+    """With ``name``: the row's number from 1 among all rows by value and then ``ties``; rows without a value are left out."""
+    dealt = in_ranges(df.where(F.col(value).isNotNull()), [value, *ties], ranges)
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n"))  # a row for each range
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(value, *ties))
+    joined = dealt.withColumn("__in", place).join(F.broadcast(sizes.select("__range", before.alias("__before"))), "__range")
+    return joined.withColumn(name, (F.col("__in") + F.col("__before")).cast("long")).drop("__in", "__before", "__range")

@@ -133,6 +133,30 @@ def apply_policy(scores: DataFrame, thresholds: DataFrame, alpha: float | None,
     return state_segment_id(cut(persistence(marked, ["detector_id"], F.lit(m), roles), "persistence"), roles=roles)
 
 
+def trace_policies(scores: DataFrame, thresholds: DataFrame, policies: DataFrame, alphas: Sequence[float | None], roles: Roles = Roles()) -> DataFrame:
+    """The alert traces of many policies in one pass: the rows of ``apply_policy`` for each, with ``candidate_id``.
+
+    ``policies``: (candidate_id, detector_id, context, rule_id, ewma_id, persistence), a table
+    of parameters; several may be of one detector.  Scores are smoothed once for every one of
+    ``alphas`` that a policy may ask for, and meet their policies by (detector, smoothing)
+    and their thresholds by (policy, mode).  Segments and runs are by policy and entity, so
+    all policies share one exchange.  A mode without a threshold is an error.
+    """
+    wanted = policies.select("candidate_id", "detector_id", "context", "rule_id", "ewma_id", "persistence")
+    limits = wanted.join(F.broadcast(thresholds.drop("reference_count")), ["detector_id", "context", "rule_id"])
+    smooth = ewma(scores.join(F.broadcast(wanted.select("detector_id").distinct()), "detector_id"), alphas, roles=roles)
+    rows = smooth.join(F.broadcast(wanted), ["detector_id", "ewma_id"])
+    whole = limits.where("context = 'global'").select("candidate_id", "threshold")
+    per = limits.where("context = 'per_mode'").select("candidate_id", roles.mode, "threshold")
+    by_mode = rows.where("context = 'per_mode'").join(F.broadcast(per), ["candidate_id", roles.mode], "left")
+    seen = rows.where("context = 'global'").join(F.broadcast(whole), ["candidate_id"], "left").unionByName(by_mode)
+    lacking = F.raise_error(F.concat(F.lit("no threshold for mode "), F.coalesce(F.col(roles.mode).cast("string"), F.lit("null"))))
+    checked = seen.withColumn("threshold", F.when(F.col("threshold").isNull(), lacking).otherwise(F.col("threshold")))
+    keys = ["candidate_id", "detector_id"]
+    marked = segments(checked.withColumn("threshold_violation", F.col("smoothed_score") > F.col("threshold")), keys, roles)
+    return state_segment_id(cut(persistence(marked, keys, F.col("persistence"), roles), "traces"), keys, roles)
+
+
 def alert_events(trace: DataFrame, keys: Sequence[str] = ("detector_id",), roles: Roles = Roles()) -> DataFrame:
     """(keys, entity, event_id, event_number, start, end, duration): runs of active rows with consecutive end cycles."""
     w = Window.partitionBy(*keys, roles.entity).orderBy("end_cycle")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import undefined
 from ..schema import Roles
+from ..sources.scratch import cut
 
 
 class Violation(ValueError):
@@ -76,6 +79,61 @@ def check_inference_input(cycles: DataFrame, roles: Roles = Roles(), sequence: s
     return _all(parts)
 
 
+def check_physical_order(files: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(check, detail): rows of a file scan that don't ascend by ``keys``, of numbers, within their file, as they lie there.
+
+    A task reads the rows of its block of a file in their order, and tells the first and
+    last key and what doesn't ascend in between; blocks are then held against the one
+    before them, so a step back across two blocks is found too.  Null keys come first.
+    Detail: the file's name and the key of the row that is out of order.
+    """
+    names = list(keys)
+    scan = files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), *[F.col(k).cast("double").alias(f"k{i}") for i, k in enumerate(names)])
+    cols = [f"k{i}" for i in range(len(names))]
+
+    def after(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether rows of ``b`` stand after those of ``a``: greater at the first key that differs."""
+        out, open_ = np.zeros(len(a), bool), np.ones(len(a), bool)
+        for x, y in zip(a.T, b.T, strict=True):
+            out |= open_ & (y > x)
+            open_ &= x == y
+        return out
+
+    def run(batches):
+        held, last = None, None
+        for f in batches:
+            place = list(zip(f["file"], f["block"], strict=True))
+            x = np.where(np.isnan(v := f[cols].to_numpy(float)), -np.inf, v)
+            edges = [0, *(i for i in range(1, len(f)) if place[i] != place[i - 1]), len(f)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if lo == hi:
+                    continue
+                rows = x[lo:hi]
+                if place[lo] != held:
+                    if held is not None:
+                        yield row(held, 1, last)
+                    yield row(place[lo], 0, rows[0])
+                    held = place[lo]
+                else:
+                    rows = np.concatenate((last[None], rows))
+                back = np.flatnonzero(~after(rows[:-1], rows[1:])) + 1
+                for i in back.tolist():
+                    yield row(held, 2, rows[i])
+                last = rows[-1]
+        if held is not None:
+            yield row(held, 1, last)
+
+    def row(place, what, key):
+        return pd.DataFrame([(place[0], int(place[1]), what, key.tolist())], columns=["file", "block", "what", "key"])
+
+    seen = cut(scan.mapInPandas(run, "file string, block long, what int, key array<double>"), "blocks")
+    ends = seen.where("what < 2").groupBy("file", "block").agg(F.max(F.when(F.col("what") == 0, F.col("key"))).alias("first"), F.max(F.when(F.col("what") == 1, F.col("key"))).alias("last"))
+    across = ends.withColumn("before", F.lag("last").over(Window.partitionBy("file").orderBy("block"))).where(F.col("first") <= F.col("before"))
+    wrong = seen.where("what = 2").select("file", "key").unionByName(across.select("file", F.col("first").alias("key")))
+    shown = F.concat_ws(":", F.element_at(F.split("file", "/"), -1), F.array_join(F.transform("key", lambda v: F.when(v == float("-inf"), "null").when(v == F.floor(v), v.cast("long").cast("string")).otherwise(v.cast("string"))), ":"))
+    return wrong.select(F.lit("not_ascending").alias("check"), shown.alias("detail"))
+
+
 def _any(tests: Sequence[Column]) -> Column:
     out = tests[0]
     for t in tests[1:]:

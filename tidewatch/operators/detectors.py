@@ -11,9 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import mixed
 from ..functions.scalars import mean_square
 
 Z = "__z"
@@ -124,63 +125,109 @@ def _path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649015329) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
+def _trees_of(h: np.ndarray, trees: int, share: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, tree) of the trees that each row enters: gaps between them are geometric draws by the row's hash.
+
+    A row costs as many draws as it enters trees, and one more; which trees it enters
+    depends on the row alone, not on the task that reads it.
+    """
+    if share >= 1:
+        return np.repeat(np.arange(len(h)), trees), np.tile(np.arange(trees), len(h))
+    live, at, rows, found, step = np.arange(len(h)), np.full(len(h), -1), [], [], 0
+    while len(live):
+        u = 1.0 - mixed(h[live], seed, step)
+        at = at + 1 + np.floor(np.log(u) / np.log1p(-share)).astype(np.int64)
+        inside = at < trees
+        live, at, step = live[inside], at[inside], step + 1
+        rows.append(live)
+        found.append(at)
+    return np.concatenate(rows), np.concatenate(found)
+
+
+def _grow(x: np.ndarray, limit: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+    """(feature, cut, left, path) of a tree's nodes, level by level: all nodes of a level are split at once.
+
+    feature is -1 at leaves, where path is the depth and the expected rest; the right child
+    stands after the left one.
+    """
+    at, local, count, base, depth, levels = np.arange(len(x)), np.zeros(len(x), np.int64), 1, 0, 0, []
+    while count:
+        at = at[np.argsort(local[at], kind="stable")]
+        mine = local[at]
+        starts = np.searchsorted(mine, np.arange(count))
+        sizes = np.diff(np.append(starts, len(at)))
+        low, high = np.minimum.reduceat(x[at], starts, axis=0), np.maximum.reduceat(x[at], starts, axis=0)
+        wide = high > low
+        split = wide.any(axis=1) & (depth < limit)
+        f = np.where(wide, rng.random(wide.shape), -1.0).argmax(axis=1)
+        node = np.arange(count)
+        cut = low[node, f] + rng.random(count) * (high[node, f] - low[node, f])
+        cut = np.minimum(cut, np.nextafter(high[node, f], -np.inf))  # both sides hold a row
+        place = np.cumsum(split) - 1
+        levels.append((np.where(split, f, -1), np.where(split, cut, 0.0), np.where(split, base + count + 2 * place, 0), np.where(split, 0.0, depth + _path(sizes))))
+        local[at] = 2 * place[mine] + (x[at, f[mine]] > cut[mine])
+        at = at[split[mine]]
+        base, count, depth = base + count, 2 * int(split.sum()), depth + 1
+    return tuple(np.concatenate(c) for c in zip(*levels, strict=True))
+
+
 def fit_forest(rows: DataFrame, cols: Sequence[str], trees: int = 100, most: int = 256, seed: int = 42) -> DataFrame:
-    """Isolation trees as a table of nodes (tree, node, feature, cut, size, depth).
+    """Isolation trees, a row for each: (tree, rows, feature, cut, left, path), arrays over its nodes by level.
 
-    A row enters a tree with a probability that gives about ``most`` rows, and the ``most``
-    of the least hash grow the tree, so a tree's task holds a bounded sample.
+    A row enters a tree with a chance that gives somewhat more than ``most`` rows, and the
+    ``most`` of the least hash grow the tree, so a tree's task holds a bounded sample.
     """
-    n = max(1, rows.count())
+    n, names = max(1, rows.count()), list(cols)
     share = min(1.0, (most + 4 * np.sqrt(most)) / n)
-    # Which trees a row enters is drawn before it is repeated; all columns tell rows apart.
-    marks = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(F.col("__key"), t, F.lit(seed)).alias("h")))
-    drawn = F.filter(marks, lambda m: F.pmod(m["h"], F.lit(1_000_003)) < share * 1_000_003)
-    keyed = rows.select(*cols, F.xxhash64(*rows.columns).alias("__key"))
-    picked = keyed.select(*cols, F.explode(drawn).alias("m")).select(*cols, F.col("m.tree").alias("tree"), F.col("m.h").alias("__h"))
+    keyed = rows.select(*cols, F.xxhash64(*rows.columns).alias("__key"))  # all columns tell rows apart
+
+    def draw(batches):
+        for f in batches:
+            h = f["__key"].to_numpy()
+            row, tree = _trees_of(h, trees, share, seed)
+            yield f[names].iloc[row].assign(tree=tree, h=mixed(h[row] + tree * 0x5851F42D, seed, 1 << 20))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*cols).schema)
+
     def grow(frame: pd.DataFrame) -> pd.DataFrame:
         tree = int(frame["tree"].iloc[0])
-        x = frame.sort_values(["__h", *cols])[list(cols)].to_numpy(float)[:most]
-        rng, limit, nodes = np.random.default_rng((seed, tree)), int(np.ceil(np.log2(max(2, len(x))))), []
-        todo = [(0, np.arange(len(x)), 0)]
-        while todo:
-            node, at, depth = todo.pop()
-            wide = np.flatnonzero(np.ptp(x[at], axis=0) > 0) if len(at) > 1 else np.empty(0, int)
-            if depth >= limit or not len(wide):
-                nodes.append((tree, node, -1, 0.0, len(at), depth))
-                continue
-            f = int(rng.choice(wide))
-            cut = float(rng.uniform(x[at, f].min(), x[at, f].max()))
-            nodes.append((tree, node, f, cut, len(at), depth))
-            todo += [(2 * node + 1, at[x[at, f] <= cut], depth + 1), (2 * node + 2, at[x[at, f] > cut], depth + 1)]
-        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "size", "depth"])
+        x = frame.sort_values(["h", *names])[names].to_numpy(float)[:most]
+        made = _grow(x, int(np.ceil(np.log2(max(2, len(x))))), np.random.default_rng((seed, tree)))
+        return pd.DataFrame([(tree, len(x), *made)], columns=["tree", "rows", "feature", "cut", "left", "path"])
 
-    return picked.groupBy("tree").applyInPandas(grow, "tree long, node long, feature long, cut double, size long, depth long")
+    picked = keyed.mapInPandas(draw, f"{schema}, tree long, h double")
+    return picked.groupBy("tree").applyInPandas(grow, "tree long, rows long, feature array<int>, cut array<double>, left array<int>, path array<double>")
 
 
-def score_forest(rows: DataFrame, cols: Sequence[str], nodes: DataFrame) -> DataFrame:
-    """raw_score: 2 ** (-mean path / expected path).  The nodes are bounded by trees and sample size."""
-    spark, table = rows.sparkSession, nodes.toPandas()
-    trees = {t: {int(r.node): (int(r.feature), r.cut, int(r.size), int(r.depth)) for r in g.itertuples()} for t, g in table.groupby("tree")}
-    root = max([g[0][2] for g in trees.values()], default=2)
-    sent = spark.sparkContext.broadcast((trees, float(_path(np.array([max(root, 2)]))[0])))
+def score_forest(rows: DataFrame, cols: Sequence[str], forest: DataFrame) -> DataFrame:
+    """raw_score: 2 ** (-mean path / expected path).
+
+    The trees, whose size is bounded by their number and sample, become arrays by tree and
+    node; all trees take a step for a block of rows at once.
+    """
+    made = forest.orderBy("tree").toPandas()
+    width = max([len(f) for f in made["feature"]], default=1)
+    packed = [np.stack([np.pad(v, (0, width - len(v))) for v in made[c]]) if len(made) else np.zeros((0, width)) for c in ("feature", "cut", "left", "path")]
+    feature, cut, left, path = (a.astype(t) for a, t in zip(packed, (np.int16, float, np.int32, float), strict=True))
+    root = max(made["rows"], default=2)
+    sent = rows.sparkSession.sparkContext.broadcast((feature, cut, left, path, float(_path(np.array([max(root, 2)]))[0])))
     names = list(rows.columns)
 
     def run(batches):
-        forest, norm = sent.value
+        feature, cut, left, path, norm = sent.value
+        tree = np.arange(len(feature))[None, :]
         for f in batches:
-            x = f[list(cols)].to_numpy(float)
-            total = np.zeros(len(x))
-            for tree in forest.values():
-                todo = [(0, np.arange(len(x)))]
-                while todo:
-                    node, at = todo.pop()
-                    feature, cut, size, depth = tree[node]
-                    if feature < 0 or not len(at):
-                        total[at] += depth + _path(np.array([size]))[0]
-                        continue
-                    left = x[at, feature] <= cut
-                    todo += [(2 * node + 1, at[left]), (2 * node + 2, at[~left])]
-            yield f[names].assign(raw_score=2.0 ** (-total / max(1, len(forest)) / norm))
+            x, score = f[list(cols)].to_numpy(float), np.ones(len(f))
+            for a in range(0, len(x) if len(feature) else 0, 256):
+                part = x[a : a + 256]
+                row, node = np.arange(len(part))[:, None], np.zeros((len(part), len(feature)), np.int32)
+                while True:
+                    at = feature[tree, node]
+                    if (at < 0).all():
+                        break
+                    node = np.where(at < 0, node, left[tree, node] + (part[row, np.maximum(at, 0)] > cut[tree, node]))
+                score[a : a + 256] = 2.0 ** (-path[tree, node].mean(axis=1) / norm)
+            yield f[names].assign(raw_score=score)
 
     return rows.mapInPandas(run, _schema(rows))
 
@@ -189,57 +236,149 @@ def _schema(rows: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", raw_score double"
 
 
-def nearest(reference: DataFrame, queries: DataFrame, k: int, other: bool, block: int = 2048) -> DataFrame:
-    """(id, near array<long>, dist array<double>): the exact ``k`` nearest reference rows of every query, least id on ties.
+def _in_cells(rows: DataFrame, points: np.ndarray) -> DataFrame:
+    """``rows`` (..., x) with ``cell``, the number of the nearest pivot, and ``r``, its distance."""
+    sent, names = rows.sparkSession.sparkContext.broadcast(points), list(rows.columns)
 
-    Both have columns (id long, x array<double>).  ``other``: a row isn't its own
-    neighbour.  Both sides are cut by hash into blocks of about ``block`` rows; the task of
-    a query block takes the reference blocks one after another and keeps k rows a query.
+    def run(batches):
+        p = sent.value
+        for f in batches:
+            x = np.stack(f["x"]).astype(float) if len(f) else np.empty((0, p.shape[1]))
+            cell, r = np.empty(len(x), np.int64), np.empty(len(x))
+            for a in range(0, len(x), 256):
+                part = slice(a, a + 256)
+                d = np.sqrt(((x[part, None, :] - p[None, :, :]) ** 2).sum(axis=2))
+                cell[part] = d.argmin(axis=1)
+                r[part] = d[np.arange(len(d)), cell[part]]
+            yield f[names].assign(cell=cell, r=r)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(run, f"{schema}, cell long, r double")
+
+
+def _shells(points: np.ndarray, given: DataFrame, asked: DataFrame, k: int, block: int) -> pd.DataFrame:
+    """(cell, asked, blocks, least, gap): rows of reference ``cell`` at least ``least`` from its pivot meet the queries of cell ``asked``.
+
+    No neighbour is lost: the k-th neighbour of any query of a cell is within ``bound``, the
+    k-th least of (radius of the cell's queries + distance of pivots + a row's own radius),
+    and by the triangle inequality a row nearer to its pivot than ``least`` is beyond it.
+    All tables here have a row for each cell, or k, or a pair of cells: their sizes are parameters.
     """
-    cut_in = lambda df: max(1, -(-df.count() // block))
-    many, few = cut_in(reference), cut_in(queries)
+    order = F.row_number().over(Window.partitionBy("cell").orderBy("r"))
+    inner = given.select("cell", "r").withColumn("__r", order).where(F.col("__r") <= k).select("cell", "r").toPandas()
+    radius = given.groupBy("cell").agg(F.max("r").alias("radius")).toPandas().set_index("cell")["radius"]
+    wanted = asked.groupBy("cell").agg(F.max("r").alias("radius"), F.ceil(F.count("*") / F.lit(block)).alias("blocks")).toPandas().sort_values("cell")
+    gaps = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
+    cells, ends = radius.index.to_numpy(), radius.to_numpy()
+    out = []
+    for i, far, blocks in wanted.itertuples(index=False):
+        reach = far + gaps[i, inner["cell"].to_numpy()] + inner["r"].to_numpy()
+        bound = np.partition(reach, k - 1)[k - 1] if len(reach) > k else reach.max(initial=0.0)
+        # Sums and roots are rounded: a margin keeps rows at the very edge.
+        least = gaps[i, cells] - far - bound - 1e-9 * (1 + gaps[i, cells] + far + bound)
+        meets = least <= ends
+        out.append(pd.DataFrame({"cell": cells[meets], "asked": i, "blocks": blocks, "least": least[meets], "gap": gaps[i, cells][meets]}))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"cell": [], "asked": [], "blocks": [], "least": [], "gap": []})
+
+
+def _merge(k: int, best: tuple, x: np.ndarray, ids: np.ndarray, y: np.ndarray) -> tuple:
+    """The k nearest, by (distance, id), of each query so far and of rows ``y``: arrays (distances, ids) of infinities and largest ids where there are fewer."""
+    dist, near = best
+    margin = 1e-11 * ((x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None, :])
+    far = (x**2).sum(axis=1)[:, None] - 2 * x @ y.T + (y**2).sum(axis=1)[None, :]
+    # All that may be at or below the k-th distance, ties and rounding included.
+    limit = dist[:, -1] ** 2
+    if len(y) > k:
+        limit = np.minimum(limit, np.partition(far + margin, k - 1, axis=1)[:, k - 1])
+    q, j = np.nonzero(far - margin <= (limit * (1 + 1e-12))[:, None])
+    d = np.sqrt(((x[q] - y[j]) ** 2).sum(axis=1))
+    q, d, n = np.concatenate((np.repeat(np.arange(len(x)), k), q)), np.concatenate((dist.ravel(), d)), np.concatenate((near.ravel(), ids[j]))
+    order = np.lexsort((n, d, q))
+    q = q[order]
+    first = np.searchsorted(q, np.arange(len(x)))
+    pick = order[(first[:, None] + np.arange(k)).ravel()]
+    return d[pick].reshape(-1, k), n[pick].reshape(-1, k)
+
+
+def _far_apart(x: np.ndarray, many: int) -> np.ndarray:
+    """At most ``many`` rows: the first, and then always the one farthest from those taken, so that every cluster has some."""
+    taken, away = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(taken) < many and away.max() > 0:
+        taken.append(int(away.argmax()))
+        away = np.minimum(away, ((x - x[taken[-1]]) ** 2).sum(axis=1))
+    return x[taken]
+
+
+def nearest(reference: DataFrame, queries: DataFrame, k: int, other: bool, block: int = 1024, most_pivots: int = 512, seed: int = 42) -> DataFrame:
+    """(id, near array<long>, dist array<double>, met): the exact ``k`` nearest reference rows of every query, least id on ties.
+
+    Both have columns (id long, x array<double>).  ``other``: a row isn't its own
+    neighbour.  ``met``: how many reference rows the query was compared with.
 
-    def blocks(df: DataFrame, n: int) -> DataFrame:
-        dealt = df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("b"))
-        return dealt.agg(F.sort_array(F.collect_list(F.struct("id", "x"))).alias("rows")).select("b", F.col("rows.id").alias("ids"), F.flatten("rows.x").alias("xs"))
+    Of equal reference rows only the k (or k + 1) of least id can be neighbours, and equal
+    queries have equal neighbours, so both are reduced to distinct vectors first.  Cells
+    about at most ``most_pivots`` pivots, the square root of the rows otherwise, then tell
+    which reference rows a cell's queries can need (see ``_shells``); those alone are sent
+    to its blocks of about ``block`` queries, nearest cells first, and merged as a stream.
+    """
+    from ..sources.scratch import cut
 
-    asks = blocks(queries, few).select(F.col("b").alias("q"), F.lit(-1).alias("b"), "ids", "xs")
-    gives = blocks(reference, many).select(F.explode(F.sequence(F.lit(0), F.lit(few - 1))).alias("q"), "b", "ids", "xs")
-    dealt = asks.unionByName(gives).repartition("q").sortWithinPartitions("q", "b")
+    spark, want = reference.sparkSession, k + 1 if other else k
+    order = F.row_number().over(Window.partitionBy("x").orderBy("id"))
+    points = cut(reference.select("id", "x").withColumn("__r", order).where(F.col("__r") <= want).drop("__r"), "near_points")
+    n = points.count()
+    if not n:
+        none = queries.select("id", F.array().cast("array<long>").alias("near"), F.array().cast("array<double>").alias("dist"), F.lit(0).cast("long").alias("met"))
+        return none
+    many = min(most_pivots, int(np.ceil(np.sqrt(n))))
+    # A bounded sample by hash, of which each next pivot is the farthest from those before it.
+    drawn = points.groupBy("x").agg(F.min("id").alias("id")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(8 * many)
+    pivots = _far_apart(np.array([r[0] for r in drawn.select("x").collect()], float), many)
+    given, asked = cut(_in_cells(points, pivots), "near_reference"), cut(_in_cells(queries.select("x").distinct(), pivots), "near_queries")
+    shells = spark.createDataFrame(_shells(pivots, given, asked, want, block).astype({"cell": "int64", "asked": "int64", "blocks": "int64", "least": "float64", "gap": "float64"}), "cell long, asked long, blocks long, least double, gap double")
+    sizes = F.broadcast(shells.select("asked", "blocks").distinct().withColumnRenamed("asked", "cell"))
+    asks = asked.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("x"), F.col("blocks")).alias("b"), F.lit(-1.0).alias("gap"), F.lit(0).cast("long").alias("id"), "x")
+    gives = given.join(F.broadcast(shells), "cell").where(F.col("r") >= F.col("least"))
+    gives = gives.select(F.col("asked").alias("cell"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"), "gap", "id", "x")
+    dealt = asks.unionByName(gives).repartition("cell", "b").sortWithinPartitions("cell", "b", "gap", "id")
 
     def run(batches):
-        ids = x = near = dist = None
+        key, held, best, met = None, [], None, 0
 
         def done():
-            finite = [np.isfinite(d) for d in dist]
-            return pd.DataFrame({"id": ids, "near": [j[f] for j, f in zip(near, finite, strict=True)], "dist": [d[f] for d, f in zip(dist, finite, strict=True)]})
+            dist, near = best
+            whole = [np.isfinite(d) for d in dist]
+            return pd.DataFrame({"x": list(held), "near": [i[f] for i, f in zip(near, whole, strict=True)], "dist": [d[f] for d, f in zip(dist, whole, strict=True)], "met": met})
 
         for f in batches:
-            for b, got, flat in zip(f["b"], f["ids"], f["xs"], strict=True):
-                got, y = np.asarray(got, np.int64), np.asarray(flat, float).reshape(len(got), -1)
-                if b < 0:
-                    if ids is not None:
+            if not len(f):
+                continue
+            x, cell, b, gap, ids = np.stack(f["x"]).astype(float), *[f[c].to_numpy() for c in ("cell", "b", "gap", "id")]
+            edges = np.flatnonzero((np.diff(cell) != 0) | (np.diff(b) != 0) | ((gap[1:] < 0) != (gap[:-1] < 0))) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(f)], strict=True):
+                if (cell[lo], b[lo]) != key:
+                    if key is not None:
                         yield done()
-                    ids, x = got, y
-                    near, dist = np.full((len(x), k), np.iinfo(np.int64).max), np.full((len(x), k), np.inf)
+                    key, held, best, met = (cell[lo], b[lo]), np.empty((0, x.shape[1])), None, 0
+                if gap[lo] < 0:
+                    held = np.concatenate((held, x[lo:hi]))
+                    best = np.full((len(held), want), np.inf), np.full((len(held), want), np.iinfo(np.int64).max)
                     continue
-                for a in range(0, len(x), 512):
-                    part = slice(a, a + 512)
-                    far = (x[part] ** 2).sum(axis=1)[:, None] - 2 * x[part] @ y.T + (y**2).sum(axis=1)[None, :]
-                    if other:
-                        far[ids[part][:, None] == got[None, :]] = np.inf
-                    # A few more than k by the quick product, then exact differences.
-                    most = min(len(y), k + 8)
-                    j = np.argpartition(far, most - 1, axis=1)[:, :most]
-                    d = np.sqrt(((x[part][:, None, :] - y[j]) ** 2).sum(axis=2))
-                    d[~np.isfinite(np.take_along_axis(far, j, axis=1))] = np.inf
-                    d, n = np.concatenate((dist[part], d), axis=1), np.concatenate((near[part], got[j]), axis=1)
-                    order = np.lexsort((n, d), axis=1)[:, :k]
-                    dist[part], near[part] = np.take_along_axis(d, order, axis=1), np.take_along_axis(n, order, axis=1)
-        if ids is not None:
+                for a in range(lo, hi, 1024):
+                    part = slice(a, min(a + 1024, hi))
+                    for c in range(0, len(held), 256):
+                        at = slice(c, c + 256)
+                        best[0][at], best[1][at] = _merge(want, (best[0][at], best[1][at]), held[at], ids[part], x[part])
+                met += hi - lo
+        if key is not None:
             yield done()
 
-    return dealt.select("b", "ids", "xs").mapInPandas(run, "id long, near array<long>, dist array<double>")
+    found = cut(dealt.mapInPandas(run, "x array<double>, near array<long>, dist array<double>, met long"), "near_found")
+    joined = queries.select("id", "x").join(found, "x")
+    if not other:
+        return joined.select("id", "near", "dist", "met")
+    rest = F.slice(F.filter(F.arrays_zip(F.col("near"), F.col("dist")), lambda z: z["near"] != F.col("id")), 1, k)
+    return joined.select("id", rest.alias("z"), "met").select("id", F.col("z.near").alias("near"), F.col("z.dist").alias("dist"), "met")
 
 
 def _reach(near: DataFrame, stats: DataFrame, *more) -> DataFrame:
@@ -281,45 +420,117 @@ def score_lof(rows: DataFrame, cols: Sequence[str], state: dict) -> DataFrame:
     return keyed.join(got.select(F.col("id").alias("__id"), (F.col("lrd") * (F.col("reach") + 1e-10)).alias("raw_score")), "__id").drop("__id")
 
 
-def fit_one_class(rows: DataFrame, cols: Sequence[str], nu: float = 0.1, maps: int = 128, rounds: int = 60, rate: float = 0.5, seed: int = 42) -> dict:
-    """A linear one-class boundary on random Fourier features of an RBF kernel.
+def _rbf(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
+    d = (x**2).sum(axis=1)[:, None] - 2 * x @ y.T + (y**2).sum(axis=1)[None, :]
+    return np.exp(-gamma * np.maximum(d, 0))
+
+
+def _landmarks(x: np.ndarray, gamma: float, many: int, seed: int) -> np.ndarray:
+    """At most ``many`` rows, drawn with a chance by their ridge leverage: how much of the kernel others don't tell."""
+    x = np.unique(x, axis=0)
+    if len(x) <= many:
+        return x
+    k = _rbf(x, x, gamma)
+    leverage = np.clip(np.diagonal(np.linalg.solve(k + 1e-2 * np.eye(len(x)), k)), 1e-12, 1)
+    keys = np.log(np.random.default_rng(seed).random(len(x))) / leverage
+    return x[np.argsort(-keys, kind="stable")[:many]]
+
 
-    gamma is 1 / (features * variance).  Minimizes |w|^2 / 2 - rho + mean(max(0, rho - w.f)) / nu
-    by gradients that tasks sum; a round returns one row for each of a few partitions.
+def _one_class_sums(rows: DataFrame, cols: Sequence[str], maps: tuple, w: np.ndarray, rho: float, width: float) -> tuple[float, np.ndarray, np.ndarray, float, float]:
+    """(loss, gradient, Hessian, rows, lost) over all rows, of margins rho - w.z whose corner is rounded over ``width``.
+
+    The last coordinate is rho's.  lost: the sum of 1 - |z|^2, what the features miss of the kernel's diagonal.
+    """
+    sent, m = rows.sparkSession.sparkContext.broadcast((*maps, w, rho)), len(w) + 1
+    i, j = np.triu_indices(m)
+
+    def run(batches):
+        points, turn, gamma, w, rho = sent.value
+        n, loss, lost, g, h = 0, 0.0, 0.0, np.zeros(m), np.zeros((m, m))
+        for f in batches:
+            z = _rbf(f.to_numpy(float), points, gamma) @ turn
+            t = rho - z @ w
+            inside = np.abs(t) < width
+            slope = np.where(t >= width, 1.0, np.where(inside, (t + width) / (2 * width), 0.0))
+            # A margin is rho - w.z: its derivative is -z for w and 1 for rho.
+            e = np.column_stack((-z, np.ones(len(z))))
+            n, lost = n + len(z), lost + float((1 - (z * z).sum(axis=1)).sum())
+            loss += float(np.where(t >= width, t, np.where(inside, (t + width) ** 2 / (4 * width), 0.0)).sum())
+            g += slope @ e
+            h += e[inside].T @ e[inside] / (2 * width)
+        yield pd.DataFrame({"i": np.concatenate(([-1, -2, -3], np.full(m, -4), i)), "j": np.concatenate(([0, 0, 0], np.arange(m), j)), "v": np.concatenate(([n, loss, lost], g, h[i, j]))})
+
+    # A row for each entry: landmarks squared.
+    got = rows.select(*cols).mapInPandas(run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
+    sent.unpersist()
+    one = {int(a): v for a, _, v in got[got["i"].between(-3, -1)].itertuples(index=False)}
+    g, h = np.zeros(m), np.zeros((m, m))
+    part = got[got["i"] == -4]
+    g[part["j"]] = part["v"]
+    part = got[got["i"] >= 0]
+    h[part["i"], part["j"]] = h[part["j"], part["i"]] = part["v"]
+    return one[-2], g, h, one[-1], one[-3]
+
+
+def fit_one_class(rows: DataFrame, cols: Sequence[str], nu: float = 0.1, landmarks: int = 256, rounds: int = 40, seed: int = 42) -> dict:
+    """A one-class boundary of an RBF kernel on Nyström features of landmark rows.
+
+    gamma is 1 / (features * variance).  Landmarks come from a bounded sample, the
+    8 ``landmarks`` rows of least hash, by ridge leverage; all rows are fitted to.
+    Minimizes |w|^2 / 2 - rho + mean(max(0, rho - w.z)) / nu by Newton steps over a corner
+    that is rounded less and less; each round is one aggregation, for at most ``rounds``.
+    ``error``: the mean share of the kernel's diagonal that the features miss.
     """
     d = len(cols)
     var = rows.agg(*[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)], *[F.sum(F.col(c) * F.col(c)).alias(f"q{i}") for i, c in enumerate(cols)], F.count("*").alias("n")).first()
     n = max(1, var["n"])
     total, square = sum(var[f"s{i}"] or 0.0 for i in range(d)) / (n * d), sum(var[f"q{i}"] or 0.0 for i in range(d)) / (n * d)
     gamma = 1.0 / (d * max(square - total * total, 1e-12))
-    rng = np.random.default_rng(seed)
-    omega, phase = rng.normal(0, np.sqrt(2 * gamma), (d, maps)), rng.uniform(0, 2 * np.pi, maps)
-    w, rho = np.zeros(maps), 0.0
-    for k in range(rounds):
-
-        def gradient(batches, w=w, rho=rho):
-            g, below, m = np.zeros(maps), 0, 0
-            for f in batches:
-                z = np.sqrt(2.0 / maps) * np.cos(f.to_numpy(float) @ omega + phase)
-                low = z @ w < rho
-                g, below, m = g + z[low].sum(axis=0), below + int(low.sum()), m + len(z)
-            yield pd.DataFrame({"i": np.arange(-2, maps), "v": np.concatenate(([m, below], g))})
-
-        got = {r[0]: r[1] for r in rows.select(*cols).mapInPandas(gradient, "i long, v double").groupBy("i").agg(F.sum("v")).collect()}
-        g = np.array([got.get(i, 0.0) for i in range(maps)]) / n
-        step = rate / np.sqrt(1 + k)
-        w, rho = w - step * (w - g / nu), rho - step * (-1.0 + got.get(-1, 0.0) / n / nu)
-    return {"omega": omega, "phase": phase, "w": w, "rho": rho}
+    sample = rows.select(*cols).orderBy(F.xxhash64(*cols, F.lit(seed)), *cols).limit(8 * landmarks).toPandas().to_numpy(float)
+    points = _landmarks(sample, gamma, landmarks, seed) if len(sample) else np.zeros((1, d))
+    values, vectors = np.linalg.eigh(_rbf(points, points, gamma))
+    keep = values > 1e-9
+    maps = (points, vectors[:, keep] / np.sqrt(values[keep]), gamma)
+    m = int(keep.sum())
+    # Start from the mean of the sample, which most rows are near.
+    z = _rbf(sample, points, gamma) @ maps[1] if len(sample) else np.zeros((1, m))
+    w = z.mean(axis=0)
+    rho = float(np.quantile(z @ w, nu))
+    scale = max(float(np.std(z @ w)), 1e-6)
+    width, ahead, best, lost = scale, None, np.inf, 0.0
+    for _ in range(rounds if var["n"] else 0):
+        loss, g, h, count, lost = _one_class_sums(rows, cols, maps, w, rho, width)
+        value = 0.5 * float(w @ w) - rho + loss / (nu * n)
+        if ahead is not None and value > best + 1e-12 * abs(best):
+            # Too far: half of the last step.
+            ahead = (ahead[0] / 2, ahead[1] / 2)
+            if max(np.abs(ahead[0]).max(initial=0.0), abs(ahead[1])) < 1e-9 * scale:
+                break
+            w, rho = start[0] + ahead[0], start[1] + ahead[1]
+            continue
+        grad = np.append(w, -1.0) + g / (nu * n)
+        hess = np.diag(np.append(np.ones(m), 1e-9)) + h / (nu * n)
+        if np.abs(grad).max() < 1e-3 and width > 2e-3 * scale:
+            # Nearly at rest: a sharper corner from here on.
+            width, ahead, best = width / 4, None, np.inf
+            continue
+        if np.abs(grad).max() < 1e-6:
+            break
+        step = -np.linalg.solve(hess, grad)
+        step *= min(1.0, 10 * scale / max(abs(step[-1]), 1e-12))
+        start, best, ahead = (w, rho), value, (step[:m], float(step[-1]))
+        w, rho = w + ahead[0], rho + ahead[1]
+    return {"points": points, "turn": maps[1], "gamma": gamma, "w": w, "rho": rho, "error": lost / n}
 
 
 def score_one_class(rows: DataFrame, cols: Sequence[str], state: dict) -> DataFrame:
-    """raw_score: rho - w.f, positive outside the boundary."""
+    """raw_score: rho - w.z, positive outside the boundary."""
     sent, names = rows.sparkSession.sparkContext.broadcast(state), list(rows.columns)
 
     def run(batches):
         s = sent.value
         for f in batches:
-            z = np.sqrt(2.0 / len(s["w"])) * np.cos(f[list(cols)].to_numpy(float) @ s["omega"] + s["phase"])
+            z = _rbf(f[list(cols)].to_numpy(float), s["points"], s["gamma"]) @ s["turn"]
             yield f[names].assign(raw_score=s["rho"] - z @ s["w"])
 
     return rows.mapInPandas(run, _schema(rows))

@@ -24,15 +24,6 @@ def align_policy(trace: DataFrame, labelled: DataFrame, roles: Roles = Roles())
     return trace.join(labelled.select(*cols), "window_id")
 
 
-def misaligned(trace: DataFrame, labelled: DataFrame, roles: Roles = Roles()) -> DataFrame:
-    """(window_id, problem): windows that one side lacks, or whose entities differ."""
-    a = trace.select("window_id", F.col(roles.entity).alias("__a")).distinct()
-    b = labelled.select("window_id", F.col(roles.entity).alias("__b")).distinct()
-    both = a.join(b, "window_id", "full_outer")
-    problem = F.when(F.col("__a").isNull(), "not_in_trace").when(F.col("__b").isNull(), "not_in_policy").when(F.col("__a") != F.col("__b"), "entity_differs")
-    return both.select("window_id", problem.alias("problem")).where("problem is not null")
-
-
 def endpoint_confusion(aligned: DataFrame, keys: Sequence[str]) -> DataFrame:
     """tp, fp, tn, fn over labelled windows and their quotients."""
     on, bad = F.col("alert_active"), F.col("proxy_label") == 1
@@ -147,6 +138,21 @@ def complementarity(outcomes: DataFrame, left: str, right: str, roles: Roles = R
     return both.groupBy("policy_id").agg(*cells).select(F.lit(left).alias("detector_a"), F.lit(right).alias("detector_b"), "*")
 
 
+def complementarity_of_all(outcomes: DataFrame, roles: Roles = Roles()) -> DataFrame:
+    """``complementarity`` of every two detectors of ``outcomes``, the lesser name first, in one aggregation.
+
+    Each entity's detectors of a policy are joined with one another: a few rows each.
+    """
+    one = outcomes.select("policy_id", roles.entity, F.col("detector_id").alias("detector_a"), F.col("detected").alias("a_d"), (F.col("false_events") > 0).alias("a_f"))
+    other = one.withColumnsRenamed({"detector_a": "detector_b", "a_d": "b_d", "a_f": "b_f"})
+    both = one.join(other, ["policy_id", roles.entity]).where("detector_a < detector_b")
+    cells = [F.count("*").alias("engine_count")]
+    for k, name in (("d", "detected"), ("f", "false_alert")):
+        a, b = F.col(f"a_{k}"), F.col(f"b_{k}")
+        cells += [F.count_if(a & b).alias(f"{name}_both"), F.count_if(a & ~b).alias(f"{name}_only_a"), F.count_if(~a & b).alias(f"{name}_only_b"), F.count_if(~a & ~b).alias(f"{name}_neither")]
+    return both.groupBy("policy_id", "detector_a", "detector_b").agg(*cells)
+
+
 def run_robustness(values: DataFrame, group: str, value: str) -> DataFrame:
     """count, median, mean, sample deviation, least and greatest by group."""
     rest = values.groupBy(group).agg(F.count(value).alias("runs"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("greatest"))

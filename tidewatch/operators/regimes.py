@@ -2,26 +2,167 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import mixed
 from ..schema import Roles
 from ..sources.scratch import cut
 
 
+@dataclass(frozen=True)
+class Fit:
+    """One clustering to fit: ``k`` centres from seeded starts, on all rows or on a seeded share of the entities."""
+
+    name: str
+    k: int
+    seed: int
+    share: float = 1.0
+    share_seed: int = 0
+
+
+def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the nearest centre, the least on ties, and the squared distance to it."""
+    d = ((x[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
+    at = d.argmin(axis=1)
+    return at, d[np.arange(len(x)), at]
+
+
+def _batches(frames):
+    for f in frames:
+        if len(f):
+            yield np.stack(f["x"]).astype(float), f["h"].to_numpy(), np.stack(f["m"]).astype(bool)
+
+
+def _sums(data: DataFrame, centers: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """(rows of each centre, their sums, cost) of every set of centres: one aggregation for all of them."""
+    sent = data.sparkSession.sparkContext.broadcast(centers)
+
+    def run(frames):
+        held: dict[tuple[int, int, int], float] = {}
+        for x, _, m in _batches(frames):
+            for f, c in enumerate(sent.value):
+                part = x[m[:, f]]
+                if not len(part):
+                    continue
+                at, d = _nearest(part, c)
+                held[f, 0, -1] = held.get((f, 0, -1), 0.0) + float(d.sum())
+                for dim, v in [(-2, None), *enumerate(part.T)]:
+                    for i, total in enumerate(np.bincount(at, v, len(c)).tolist()):
+                        held[f, i, dim] = held.get((f, i, dim), 0.0) + total
+        yield pd.DataFrame([(*k, v) for k, v in held.items()], columns=["f", "c", "dim", "v"])
+
+    # A row for each set, centre and dimension: a size that parameters bound.
+    got = {(r[0], r[1], r[2]): r[3] for r in data.mapInPandas(run, "f long, c long, dim long, v double").groupBy("f", "c", "dim").agg(F.sum("v")).collect()}
+    sent.unpersist()
+    return [(np.array([got.get((f, i, -2), 0.0) for i in range(len(c))]), np.array([[got.get((f, i, d), 0.0) for d in range(c.shape[1])] for i in range(len(c))]), got.get((f, 0, -1), 0.0)) for f, c in enumerate(centers)]
+
+
+def _drawn(data: DataFrame, fits: Sequence[Fit], centers: list[np.ndarray], costs: Sequence[float], step: int, most: int) -> list[np.ndarray]:
+    """Rows drawn for each fit with a chance of 2 k times their share of its cost, at most ``most``: those of least draw."""
+    sent = data.sparkSession.sparkContext.broadcast((centers, list(costs)))
+
+    def run(frames):
+        sets, total = sent.value
+        for x, h, m in _batches(frames):
+            for f, fit in enumerate(fits):
+                if total[f] > 0 and m[:, f].any():
+                    part, u = x[m[:, f]], mixed(h[m[:, f]], fit.seed, step)
+                    chance = 2 * fit.k * _nearest(part, sets[f])[1] / total[f]
+                    hit = u < chance
+                    if not hit.any():
+                        continue
+                    yield pd.DataFrame({"f": np.full(int(hit.sum()), f), "u": (u[hit] / chance[hit]), "x": list(part[hit])})
+
+    first = F.row_number().over(Window.partitionBy("f").orderBy("u", "x"))
+    rows = data.mapInPandas(run, "f long, u double, x array<double>").withColumn("__r", first).where(F.col("__r") <= most).collect()
+    sent.unpersist()
+    return [np.array([r["x"] for r in rows if r["f"] == f], float).reshape(-1, centers[f].shape[1]) for f in range(len(fits))]
+
+
+def _weighted_start(points: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """At most ``k`` distinct points: seeded draws by weight and squared distance, then weighted means until they rest."""
+    points, inverse = np.unique(points, axis=0, return_inverse=True)
+    weights = np.bincount(inverse.ravel(), weights, len(points))
+    rng, chosen = np.random.default_rng(seed), []
+    away = np.ones(len(points))
+    while len(chosen) < min(k, len(points)):
+        p = np.maximum(weights, 1e-12) * away
+        if not p.sum() > 0:
+            break
+        chosen.append(int(rng.choice(len(points), p=p / p.sum())))
+        away = _nearest(points, points[chosen])[1]
+    c = points[chosen]
+    for _ in range(30):
+        at = _nearest(points, c)[0]
+        n = np.bincount(at, weights, len(c))
+        new = np.where(n[:, None] > 0, np.stack([np.bincount(at, weights * v, len(c)) for v in points.T], axis=1) / np.maximum(n, 1e-300)[:, None], c)
+        if np.allclose(new, c, rtol=0, atol=1e-12):
+            break
+        c = new
+    return c
+
+
+def fit_many(rows: DataFrame, cols: Sequence[str], fits: Sequence[Fit], entity: str | None = None, rounds: int = 4, iterations: int = 50, tol: float = 1e-6) -> dict[str, tuple[np.ndarray, float]]:
+    """Centres in lexicographic order and inertia of every fit, by name; all fits move in the same jobs.
+
+    Starts are k-means||: one row of least hash, ``rounds`` seeded draws of about 2 k rows
+    in proportion to their squared distance, and a weighted clustering of what was drawn.
+    Then every iteration is one aggregation over all sets of centres, until no centre of a
+    fit moves by more than ``tol``; fits that rest go on without being computed.  With fewer
+    distinct rows than ``k`` there are fewer centres; without rows none.
+    """
+    share = lambda f: F.pmod(F.xxhash64(entity, F.lit(f.share_seed)), F.lit(1_000_000)) / 1e6 < f.share if f.share < 1 else F.lit(True)
+    hashed = F.xxhash64(*([entity] if entity else []), *cols)
+    data = cut(rows.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("x"), hashed.alias("h"), F.array(*[share(f) for f in fits]).alias("m")), "clustering")
+    d = len(cols)
+    first = data.select("x", "m", F.posexplode(F.array(*[F.xxhash64("h", F.lit(f.seed)) for f in fits])).alias("f", "u")).where(F.get("m", F.col("f")))
+    starts = {r["f"]: np.array([r["b"]["x"]], float) for r in first.groupBy("f").agg(F.min(F.struct("u", "x")).alias("b")).collect()}
+    live = [i for i in range(len(fits)) if i in starts]
+    data = data.select("x", "h", F.array(*[F.get("m", F.lit(i)) for i in live]).alias("m")) if live else data
+    chosen, sets = [fits[i] for i in live], [starts[i] for i in live]
+    for step in range(rounds if live else 0):
+        costs = [cost for *_, cost in _sums(data, sets)]
+        more = _drawn(data, chosen, sets, costs, step, 8 * max(f.k for f in chosen))
+        sets = [np.concatenate((a, b)) for a, b in zip(sets, more, strict=True)]
+    if live:
+        sets = [_weighted_start(c, n, f.k, f.seed) for f, c, (n, *_) in zip(chosen, sets, _sums(data, sets), strict=True)]
+    moving, inertia = list(range(len(live))), [0.0] * len(live)
+    for step in range(iterations + 1):
+        if not moving:
+            break
+        part = data.select("x", "h", F.array(*[F.get("m", F.lit(i)) for i in moving]).alias("m"))
+        rest = []
+        for i, (n, total, cost) in zip(moving, _sums(part, [sets[i] for i in moving]), strict=True):
+            inertia[i] = cost
+            new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], sets[i])
+            if step < iterations and np.abs(new - sets[i]).max() > tol:
+                rest.append(i)
+                sets[i] = new
+        moving = rest
+    ordered = [c[np.lexsort(np.round(c, 9).T[::-1])] for c in sets]
+    out = {f.name: (np.empty((0, d)), 0.0) for f in fits}
+    return out | {f.name: (c, cost) for f, c, cost in zip(chosen, ordered, inertia, strict=True)}
+
+
+def restarts_of(name: str, k: int, restarts: int, seed: int, share: float = 1.0) -> list[Fit]:
+    """Fits of one clustering from several starts; those of a share are of the same entities, drawn by ``seed``."""
+    return [Fit(f"{name}/{i}", k, seed + i, share, seed) for i in range(restarts)]
+
+
+def cheapest(made: dict[str, tuple[np.ndarray, float]], name: str) -> np.ndarray:
+    """The centres of least inertia among the restarts of ``name``; of equal ones the first."""
+    return min((v for k, v in made.items() if k.rpartition("/")[0] == name), key=lambda v: v[1])[0]
+
+
 def fit_regimes(rows: DataFrame, cols: Sequence[str], k: int, restarts: int = 5, seed: int = 42) -> np.ndarray:
     """Centroids (k, columns), the cheapest of ``restarts`` seeded fits, in lexicographic order: label = place."""
-    data = VectorAssembler(inputCols=list(cols), outputCol="features").transform(rows.select(*cols)).select("features")
-    models = [KMeans(k=k, seed=seed + i, maxIter=50, tol=1e-6).fit(data) for i in range(restarts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    centers = np.array([np.asarray(c) for c in best.clusterCenters()])
-    return centers[np.lexsort(np.round(centers, 9).T[::-1])]
+    return cheapest(fit_many(rows, cols, restarts_of("regimes", k, restarts, seed)), "regimes")
 
 
 def squared_distance(cols: Sequence[str], center: Sequence[float]) -> Column:
@@ -34,13 +175,6 @@ def assign_regime(rows: DataFrame, cols: Sequence[str], centers: np.ndarray, out
     return rows.withColumn(out, F.array_min(options)["i"].cast("int"))
 
 
-def assign_array_regime(rows: DataFrame, vector: str, centers: np.ndarray, out: str = "op_mode") -> DataFrame:
-    """The same for an array column."""
-    away = lambda c: F.aggregate(F.zip_with(F.col(vector), F.array(*[F.lit(float(v)) for v in c]), lambda a, b: F.pow(a.cast("double") - b, F.lit(2.0))), F.lit(0.0).cast("double"), lambda s, x: s + x)
-    options = F.array(*[F.struct(away(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centers)])
-    return rows.withColumn(out, F.array_min(options)["i"].cast("int"))
-
-
 def canonical_mapping(rows: DataFrame, raw: str, canonical: str) -> DataFrame:
     """(raw, canonical, problem): each raw label's canonical one; problem tells where that is no bijection."""
     pairs = rows.groupBy(raw, canonical).agg(F.count("*").alias("n"))
@@ -67,17 +201,18 @@ def mode_centroids(rows: DataFrame, cols: Sequence[str], roles: Roles = Roles())
     return rows.groupBy(roles.mode).agg(*[x for c in cols for x in (F.avg(c).alias(f"center_{c}"), F.stddev_pop(c).alias(f"spread_{c}"))])
 
 
-def adjusted_rand(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """One row (n, adjusted_rand): agreement of two labelings, from their contingency counts; 1 if both are trivial."""
-    pairs = rows.groupBy(a, b).agg(F.count("*").cast("double").alias("n"))
+def adjusted_rand(rows: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n, adjusted_rand): agreement of two labelings, from their contingency counts; 1 if both are trivial."""
+    by = list(by)
+    pairs = rows.groupBy(*by, a, b).agg(F.count("*").cast("double").alias("n"))
     two = lambda n: n * (n - 1) / 2
-    ij = pairs.agg(F.sum(two(F.col("n"))).alias("ij"), F.sum("n").alias("n"))
-    sa = pairs.groupBy(a).agg(F.sum("n").alias("m")).agg(F.sum(two(F.col("m"))).alias("sa"))
-    sb = pairs.groupBy(b).agg(F.sum("n").alias("m")).agg(F.sum(two(F.col("m"))).alias("sb"))
-    out = ij.crossJoin(sa).crossJoin(sb)
+    ij = pairs.groupBy(*by).agg(F.sum(two(F.col("n"))).alias("ij"), F.sum("n").alias("n"))
+    sa = pairs.groupBy(*by, a).agg(F.sum("n").alias("m")).groupBy(*by).agg(F.sum(two(F.col("m"))).alias("sa"))
+    sb = pairs.groupBy(*by, b).agg(F.sum("n").alias("m")).groupBy(*by).agg(F.sum(two(F.col("m"))).alias("sb"))
+    out = ij.join(sa, by).join(sb, by) if by else ij.crossJoin(sa).crossJoin(sb)
     expected = F.try_divide(F.col("sa") * F.col("sb"), two(F.col("n")))
     index = F.try_divide(F.col("ij") - expected, (F.col("sa") + F.col("sb")) / 2 - expected)
-    return out.select(F.col("n").cast("long").alias("n"), F.coalesce(index, F.lit(1.0)).alias("adjusted_rand"))
+    return out.select(*by, F.col("n").cast("long").alias("n"), F.coalesce(index, F.lit(1.0)).alias("adjusted_rand"))
 
 
 def silhouette(rows: DataFrame, cols: Sequence[str], label: str, key: str, most: int = 5_000, seed: int = 42) -> DataFrame:
@@ -128,15 +263,21 @@ def cluster_quality(rows: DataFrame, cols: Sequence[str], centers: np.ndarray, r
     return inertia.crossJoin(least).crossJoin(share)
 
 
-def regime_stability(train: DataFrame, validation: DataFrame, cols: Sequence[str], k: int, seeds: Sequence[int] = (1, 2, 3, 4, 5), fraction: float = 0.8, roles: Roles = Roles()) -> DataFrame:
-    """(seed_a, seed_b, adjusted_rand) of labels of ``validation`` by fits on seeded shares of the entities."""
-    labelled = validation
+def stability_fits(k: int, seeds: Sequence[int] = (1, 2, 3, 4, 5), fraction: float = 0.8, restarts: int = 5) -> list[Fit]:
+    """The fits that ``agreement`` of ``k`` clusters compares: several starts for each seeded share of the entities."""
+    return [f for s in seeds for f in restarts_of(f"share {k} {s}", k, restarts, s, fraction)]
+
+
+def agreement(rows: DataFrame, cols: Sequence[str], made: Mapping[str, tuple[np.ndarray, float]], k: int, seeds: Sequence[int] = (1, 2, 3, 4, 5)) -> DataFrame:
+    """(seed_a, seed_b, adjusted_rand) of the labels of ``rows`` by the fits of every two seeds: one pass over the rows."""
+    labelled = rows.select(*cols)
     for s in seeds:
-        u = F.pmod(F.xxhash64(roles.entity, F.lit(s)), F.lit(1_000_000)) / 1e6
-        labelled = assign_regime(labelled, cols, fit_regimes(train.where(u < fraction), cols, k, 2, s), f"__m{s}")
-    out = None
-    for i, a in enumerate(seeds):
-        for b in seeds[i + 1 :]:
-            one = adjusted_rand(labelled, f"__m{a}", f"__m{b}").select(F.lit(a).alias("seed_a"), F.lit(b).alias("seed_b"), "adjusted_rand")
-            out = one if out is None else out.unionByName(one)
-    return out
+        labelled = assign_regime(labelled, cols, cheapest(made, f"share {k} {s}"), f"__m{s}")
+    pairs = [F.struct(F.lit(a).alias("seed_a"), F.lit(b).alias("seed_b"), F.col(f"__m{a}").alias("label_a"), F.col(f"__m{b}").alias("label_b")) for i, a in enumerate(seeds) for b in seeds[i + 1 :]]
+    every = labelled.select(F.inline(F.array(*pairs)))
+    return adjusted_rand(every, "label_a", "label_b", ["seed_a", "seed_b"]).select("seed_a", "seed_b", "adjusted_rand")
+
+
+def regime_stability(train: DataFrame, validation: DataFrame, cols: Sequence[str], k: int, seeds: Sequence[int] = (1, 2, 3, 4, 5), fraction: float = 0.8, roles: Roles = Roles(), restarts: int = 5) -> DataFrame:
+    """(seed_a, seed_b, adjusted_rand) of labels of ``validation`` by fits on seeded shares of the entities, all fitted at once."""
+    return agreement(validation, cols, fit_many(train, cols, stability_fits(k, seeds, fraction, restarts), roles.entity), k, seeds)

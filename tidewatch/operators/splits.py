@@ -62,12 +62,6 @@ def monitor_split(windows: DataFrame, fraction: float = 0.2, seed: int = 43, k:
     return windows.join(roles_of.select(roles.entity, F.col(roles.split).alias("role")), roles.entity)
 
 
-def sample_entities(summary: DataFrame, fraction: float, seed: int, roles: Roles = Roles()) -> DataFrame:
-    """Entities whose seeded hash falls below ``fraction``."""
-    u = F.pmod(F.xxhash64(roles.entity, F.lit(seed)), F.lit(1_000_000)) / 1e6
-    return summary.where(u < fraction)
-
-
 def sample_rows(df: DataFrame, n: int, seed: int, key: list[str]) -> DataFrame:
     """``n`` rows, those of the least MD5 of seed and key."""
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key])), *key).limit(n)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.order import running
-from ..schema import RULES, Grid, Rule, Roles
+from ..schema import DETECTOR_SETS, RULES, Grid, Rule, Roles
 from .checks import assert_empty, guard_splits
 
 
@@ -97,8 +97,6 @@ def candidate_grid(spark: SparkSession, grid: Grid) -> DataFrame:
 
 
 def detector_grid(spark: SparkSession) -> DataFrame:
-    """(detector_id, parameter_set, params map): three sets for each detector."""
-    # The registered parameter sets.
-    sets = {"pca": [{"n_components": v} for v in (0.90, 0.95, 0.99)], "one_class_svm": [{"nu": v} for v in (0.01, 0.05, 0.10)], "isolation_forest": [{"max_samples": v, "n_estimators": 300.0} for v in (256.0, 1024.0, 5000.0)], "lof": [{"n_neighbors": v} for v in (20.0, 35.0, 50.0)]}
-    rows = [(d, f"{d}_{k}", p) for d, ps in sets.items() for k, p in enumerate(ps)]
+    """(detector_id, parameter_set, params map): the registered sets, which a detector study runs."""
+    rows = [(d, f"{d}_{k}", p) for d, sets in DETECTOR_SETS.items() for k, p in enumerate(sets)]
     return spark.createDataFrame(rows, "detector_id string, parameter_set string, params map<string,double>")

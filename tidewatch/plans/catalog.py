@@ -16,6 +16,7 @@ from ..operators import alerts, calibration, checks, compare, detectors, metrics
 from ..schema import EWMA, RULES, Grid, Roles
 from ..sources import datasets, tables
 from ..sources.scratch import cut, scratch
+from ..sources.store import Store, table_key
 from . import study
 from .sqltext import chain
 
@@ -25,11 +26,11 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, on_chain: bool = True):
+def query(sql: str | None = None, on_chain: bool = True, sources: tuple[str, ...] = ("energy", "peak")):
     def add(f):
         _QUERIES[f.__name__] = f
         if sql is not None:
-            _SQL[f.__name__] = chain(sql) if on_chain else sql
+            _SQL[f.__name__] = chain(sql, sources) if on_chain else sql
         return f
 
     return add
@@ -55,6 +56,7 @@ def forget() -> None:
     """Drop the shared stage tables, so that the next query computes its own."""
     _STAGES.clear()
     _PREPROCESSING.clear()
+    _WHOLE_STUDY.clear()
 
 
 def r9(*names: str):
@@ -169,9 +171,10 @@ def src8_sequences(s, d):
     return s.read.parquet(path).select("engine", "end_cycle", F.size("sequence").alias("steps"), F.round(total, 6).alias("total"))
 
 
-@query()
+@query("select count(*) as rows, true as same from meta")
 def src9_materialize_endpoint_context(s, d):
-    return tables.materialize_endpoint_context(_meta(s, d), _cycles(s, d), scratch(s, "context"))
+    made = tables.materialize_endpoint_context(_meta(s, d), _cycles(s, d), scratch(s, "context"))
+    return made.join(compare.frame_fingerprint(windows.assign_endpoint_mode(_meta(s, d), _cycles(s, d))).withColumnsRenamed({"rows": "__n", "digest": "__d"})).select("rows", (F.col("digest") == F.col("__d")).alias("same"))
 
 
 @query("select policy_id, count(*) filter (label_state = 'healthy') as healthy_windows, count(*) filter (label_state = 'ambiguous') as ambiguous_windows, count(*) filter (label_state = 'anomalous') as anomalous_windows from lab group by 1")
@@ -181,12 +184,13 @@ def src10_write_report_tables(s, d):
     return s.read.parquet(f"{path}/policy_counts")
 
 
-@query()
+@query("select engine, count(*) as windows, min(end_cycle)::bigint as first_cycle, max(end_cycle)::bigint as last_cycle, true as in_range from meta where split = 'validation' group by 1")
 def src11_write_timeline(s, d):
     c, path = _split(s, d), scratch(s, "timeline")
     timeline, _ = study.infer(_new_cycles(s, d), study.fit_inference(c, MODES, m=3, rule_id="quantile_0.950"))
     tables.write_timeline(timeline.select("window_id", "engine", "end_cycle", "alert_score", "alert_active", "event_status", "top_three"), path)
-    return s.read.json(path)
+    back = s.read.json(path)
+    return back.groupBy("engine").agg(F.count("*").alias("windows"), F.min("end_cycle").alias("first_cycle"), F.max("end_cycle").alias("last_cycle"), F.min(F.col("alert_score").between(0, 1)).alias("in_range"))
 
 
 @query("select distinct 'user' || user_id as run_id, event_type as model from events")
@@ -208,12 +212,30 @@ def src13_fitted_state(s, d):
     return tables.load_state(s, path, ["scalers"], split_manifest_id="seed42")["scalers"].select("op_mode", "fit_rows", "fallback", *r9("mean_s1", "scale_s1"))
 
 
-@query()
+@query("select event_type as run_id, (count(*))::varchar as notes from events group by 1", on_chain=False)
+def src12_append_ledger(s, d):
+    path = scratch(s, "ledger")
+    nested = {"parameters", "evidence_boundary", "provenance"}
+    for r in s.read.parquet(f"{d}/events.parquet").groupBy("event_type").count().collect():  # a run for each of a few types
+        record = {f: {"n": "1"} if f in nested else "x" for f in tables.LEDGER_FIELDS} | {"run_id": r["event_type"], "notes": str(r["count"])}
+        tables.append_ledger(s, path, record)
+        try:
+            tables.append_ledger(s, path, record | {"notes": "again"})
+        except checks.Violation:
+            continue
+        raise checks.Violation("a run was appended twice")
+    return tables.read_ledger(s, path).select("run_id", "notes")
+
+
+@query("""select event_type, sum(strlen(line) + 1)::bigint as size, sha256(string_agg(line || chr(10), '' order by event_id)) as sha256, null::varchar as problem
+from (select event_type, event_id, event_id || ':' || user_id as line from events) group by 1""", on_chain=False)
 def src14_artifact_manifest(s, d):
     path = scratch(s, "artifacts")
-    splits.summarize_entities(_cycles(s, d)).write.parquet(path)
-    found = tables.artifact_manifest(s, path, "*.parquet")
-    return tables.verify_artifacts(found, found).unionByName(found.select("path", F.lit("verified").alias("problem")))
+    lines = s.read.parquet(f"{d}/events.parquet").select("event_type", "event_id", F.concat_ws(":", "event_id", "user_id").alias("value"))
+    lines.repartition("event_type").sortWithinPartitions("event_type", "event_id").select("event_type", "value").write.partitionBy("event_type").text(path)
+    found = tables.artifact_manifest(s, path, "part-*")
+    kind = F.regexp_extract("path", "event_type=([^/]*)", 1).alias("event_type")
+    return found.join(tables.verify_artifacts(found, found), "path", "left").select(kind, "size", "sha256", "problem")
 
 
 # ---- integrity -----------------------------------------------------------------------
@@ -261,6 +283,12 @@ def val8_mode_coverage(s, d):
     return checks.mode_coverage(windows.assign_endpoint_mode(_meta(s, d), _cycles(s, d)), MODES)
 
 
+@query("""select 'too_few_eligible' as "check", op_mode::varchar as detail from (select op_mode, count(*) filter (split = 'train' and end_cycle <= floor(max_cycle::double * 0.3::double)) as n from meta group by 1) where n < 300
+union all select 'mode_absent', op_mode::varchar from meta group by op_mode having count(*) filter (split = 'train') = 0 or count(*) filter (split = 'validation') = 0""")
+def val8_check_mode_coverage(s, d):
+    return checks.check_mode_coverage(windows.assign_endpoint_mode(_meta(s, d), _cycles(s, d)), MODES, 300)
+
+
 @query("select 'score' as \"check\", detector_id || ':' || window_id as detail from sc where alert_score > 0.95")
 def val9_check_scores(s, d):
     return checks.check_scores(_scores(s, d).withColumn("alert_score", F.when(F.col("alert_score") > 0.95, F.lit(2.0)).otherwise(F.col("alert_score"))))
@@ -874,7 +902,7 @@ def ml2_monitor_split(s, d):
 @query()
 def ml3_fit_regimes(s, d):
     c = _split(s, d)
-    return regimes.assign_regime(c.drop("op_mode"), R.settings, regimes.fit_regimes(c.where("split = 'train'"), R.settings, 4, 3)).select("engine", "cycle", "op_mode")
+    return regimes.assign_regime(c.drop("op_mode"), R.settings, regimes.fit_regimes(c.where("split = 'train'"), R.settings, 4)).select("engine", "cycle", "op_mode")
 
 
 @query(f"select engine, cycle, (list_position([(op1 - 2) ^ 2, (op1 - 7) ^ 2, (op1 - 12) ^ 2, (op1 - 17) ^ 2, (op1 - 22) ^ 2], {NEAREST}) - 1)::int as op_mode from cyc")
@@ -898,7 +926,7 @@ def ml6_transform_regime(s, d):
 @query()
 def ml7_regime_stability(s, d):
     c = _split(s, d)
-    return regimes.regime_stability(c.where("split = 'train'"), c.where("split = 'validation'"), R.settings, 4, (1, 2, 3))
+    return regimes.regime_stability(c.where("split = 'train'"), c.where("split = 'validation'"), R.settings, 4)
 
 
 _PREPROCESSING: dict[tuple[str, str], study.PreprocessingStudy] = {}
@@ -907,7 +935,7 @@ _PREPROCESSING: dict[tuple[str, str], study.PreprocessingStudy] = {}
 def _preprocessing(s, d):
     key = (s.sparkContext.applicationId, d)
     if key not in _PREPROCESSING:
-        _PREPROCESSING[key] = study.preprocessing_study(_split(s, d).drop("op_mode"), (4, 6, 8), restarts=2, seeds=(1, 2, 3))
+        _PREPROCESSING[key] = study.preprocessing_study(_split(s, d).drop("op_mode"), (4, 6, 8))
     return _PREPROCESSING[key]
 
 
@@ -953,7 +981,7 @@ def ml10_pca_embeddings(s, d):
 
 @query()
 def ml11_isolation_forest(s, d):
-    return _detector(s, d, "isolation_forest", trees=50, most=256)
+    return _detector(s, d, "isolation_forest")
 
 
 @query()
@@ -963,7 +991,7 @@ def ml12_lof_novelty(s, d):
 
 @query()
 def ml13_one_class_kernel(s, d):
-    return _detector(s, d, "one_class", nu=0.1, rounds=20)
+    return _detector(s, d, "one_class")
 
 
 @query()
@@ -991,10 +1019,80 @@ def ml17_score_windows_with(s, d):
     return out.select("engine", "end_cycle", F.round("raw_score", 6).alias("raw_score"))
 
 
-@query(GRID_SQL + " select candidate_id, policy_id, engine_count, detected_engines, false_events, false_alert_engines, median_delay, median_lead, tp, fp, tn, fn, round(coverage_percent, 6) as coverage_percent, round(fp_per_1000_healthy, 6) as fp_per_1000_healthy from gm")
+_WHOLE_STUDY: dict[tuple[str, str], tuple[study.Study, study.Winners]] = {}
+WHOLE_GRID = Grid(detectors=study.SOURCES)
+
+
+@stage
+def _whole_scores(s, d):
+    return study.score_frame(_split(s, d), MODES, sources=study.SOURCES)
+
+
+def _whole_study(s, d):
+    """The study of all five sources; its winners' tables are made once one of them is asked for."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _WHOLE_STUDY:
+        _WHOLE_STUDY[key] = study.alert_policy_study(_whole_scores(s, d), WHOLE_GRID)
+    return _WHOLE_STUDY[key]
+
+
+def _winners(s, d):
+    key = (s.sparkContext.applicationId, d, "winners")
+    if key not in _WHOLE_STUDY:
+        _WHOLE_STUDY[key] = study.winners(_whole_scores(s, d), _whole_study(s, d), WHOLE_GRID)
+    return _WHOLE_STUDY[key]
+
+
+WINNERS_SQL = GRID_SQL + """, win as (select k.*, candidate_id, row_number() over (order by min_coverage desc, round(mean_coverage, 9) desc, worst_fe, worst_en, delay nulls last, lead desc nulls last, candidate_id) = 1 as overall
+  from gb join gk k on candidate_id = k.detector_id || '__' || context || '__' || rule_id || '__ewma_' || ewma_id || '__persistence_' || persistence where r = 1),
+wt as (select w.candidate_id, w.overall, w.persistence, s.*, t.threshold, smoothed_score > t.threshold as v from vsc s join win w on w.detector_id = s.detector_id and w.ewma_id = s.ewma_id join thr t on t.detector_id = w.detector_id and t.context = w.context and t.rule_id = w.rule_id and (t.op_mode is null or t.op_mode = s.op_mode)),
+wa as (select *, persistence_count >= persistence as alert_active from (select *, case when v then row_number() over (partition by candidate_id, engine, isl, v order by end_cycle) else 0 end::int as persistence_count
+  from (select *, sum((not v)::int) over (partition by candidate_id, engine order by end_cycle) as isl from wt))),
+we as (select *, row_number() over (partition by candidate_id, engine order by event_start_cycle)::int as event_number from (select candidate_id, overall, detector_id, engine, min(end_cycle) as event_start_cycle, max(end_cycle) as event_end_cycle, count(*) as event_duration_endpoints
+  from (select *, end_cycle - row_number() over (partition by candidate_id, engine order by end_cycle) as g from wa where alert_active) group by 1, 2, 3, 4, g)),
+wo as (select w.candidate_id, w.overall, w.detector_id, o.policy_id, o.engine, any_value(onset_cycle) as onset_cycle, any_value(max_cycle) as max_cycle, min(case when event_start_cycle >= onset_cycle then event_start_cycle end) as first_detection,
+  count(*) filter (event_start_cycle < onset_cycle) as false_events, count(*) filter (event_start_cycle < onset_cycle and event_end_cycle >= onset_cycle) as crossing_events, count(*) filter (event_start_cycle >= onset_cycle) as detection_events
+  from win w cross join (select ons.* from ons join spl using (engine) where split = 'validation') o left join we e on e.candidate_id = w.candidate_id and e.engine = o.engine group by 1, 2, 3, 4, 5)"""
+CELLS = {"both": "{a} and {b}", "only_a": "{a} and not {b}", "only_b": "not {a} and {b}", "neither": "not {a} and not {b}"}
+CELLS_SQL = ", ".join(f"count(*) filter ({c.format(a='(a.' + x + ')', b='(b.' + x + ')')}) as {n}_{k}" for n, x in (("detected", "detected"), ("false_alert", "false_alert")) for k, c in CELLS.items())
+
+
+@query(GRID_SQL + """ select candidate_id, policy_id, engine_count, detected_engines, false_events, false_alert_engines, median_delay, median_lead, tp, fp, tn, fn,
+round(coverage_percent, 6) as coverage_percent, round(fp_per_1000_healthy, 6) as fp_per_1000_healthy from gm""", sources=study.SOURCES)
 def ml18_alert_policy_study(s, d):
     cols = ["candidate_id", "policy_id", "engine_count", "detected_engines", "false_events", "false_alert_engines", "median_delay", "median_lead", "tp", "fp", "tn", "fn"]
-    return _study(s, d).metrics.select(*cols, F.round("coverage_percent", 6).alias("coverage_percent"), F.round("fp_per_1000_healthy", 6).alias("fp_per_1000_healthy"))
+    return _whole_study(s, d).metrics.select(*cols, F.round("coverage_percent", 6).alias("coverage_percent"), F.round("fp_per_1000_healthy", 6).alias("fp_per_1000_healthy"))
+
+
+@query(WINNERS_SQL + """ select candidate_id, overall, window_id, round(smoothed_score, 6) as smoothed_score, round(threshold, 6) as threshold, v as threshold_violation, persistence_count, alert_active,
+dense_rank() over (partition by candidate_id order by engine) - 1 as state_segment_id from wa""", sources=study.SOURCES)
+def ml18_winner_traces(s, d):
+    t = _winners(s, d).traces
+    return t.select("candidate_id", "overall", "window_id", F.round("smoothed_score", 6).alias("smoothed_score"), F.round("threshold", 6).alias("threshold"), "threshold_violation", "persistence_count", "alert_active", "state_segment_id")
+
+
+@query(WINNERS_SQL + " select candidate_id, overall, engine, event_number, event_start_cycle, event_end_cycle, event_duration_endpoints from we", sources=study.SOURCES)
+def ml18_winner_events(s, d):
+    return _winners(s, d).events.select("candidate_id", "overall", "engine", "event_number", "event_start_cycle", "event_end_cycle", "event_duration_endpoints")
+
+
+@query(WINNERS_SQL + """ select candidate_id, overall, policy_id, engine, onset_cycle, max_cycle, first_detection, false_events, crossing_events, detection_events,
+first_detection - onset_cycle as detection_delay, max_cycle - first_detection as lead_time from wo""", sources=study.SOURCES)
+def ml18_winner_engines(s, d):
+    return _winners(s, d).entities.drop("detected", "detector_id")
+
+
+@query(WINNERS_SQL + f""", wd as (select *, first_detection is not null as detected, false_events > 0 as false_alert from wo join pol using (policy_id) where selection_policy)
+select policy_id, a.detector_id as detector_a, b.detector_id as detector_b, count(*) as engine_count, {CELLS_SQL} from wd a join wd b using (policy_id, engine) where a.detector_id < b.detector_id group by 1, 2, 3""", sources=study.SOURCES)
+def ml18_complementarity(s, d):
+    return _winners(s, d).complementarity
+
+
+@query(WINNERS_SQL + """ select candidate_id, policy_id, round(fp_per_1000_healthy, 6) as fp_per_1000_healthy, coalesce(fp_per_1000_healthy <= 60, false) as meets_fp_limit, median_delay, coalesce(median_delay <= 12, false) as meets_delay, 'feasible' as status
+from gm join (select candidate_id from win where overall) using (candidate_id) join pol using (policy_id) where selection_policy
+union all select null, null, null, false, null, false, 'no_feasible_candidate' where not exists (select * from win)""", sources=study.SOURCES)
+def ml18_targets(s, d):
+    return _winners(s, d).targets.withColumn("fp_per_1000_healthy", F.round("fp_per_1000_healthy", 6))
 
 
 @query(METRICS + RANK_SQL + " select pmc.detector_id, pmc.policy_id, coverage_percent, tp, fp, tn, fn, round(average_precision, 6) as average_precision from pmc join rk using (detector_id, policy_id)")
@@ -1016,37 +1114,43 @@ def ml20_infer(s, d):
     return study.timeline(rows).withColumn(top, F.to_json(top))
 
 
-REPRODUCED = """select * from (select 'scores' as "table", (select count(*) from meta) as rows, unnest(['raw_score', 'alert_score']) as "column"
-union all select 'ranking', (select count(*) from pol), unnest(['positives', 'negatives', 'ambiguous', 'average_precision', 'roc_auc'])), (select 0::bigint as only_left, 0::bigint as only_right, 0::bigint as mismatches)"""
+# Stored tables in which some cells were altered: each must be found, and nothing else.
+REPRODUCED = """select * from (select 'scores' as "table", (select count(*) from meta) as rows, "column", 0::bigint as only_left, 0::bigint as only_right, case when "column" = 'raw_score' then (select count(*) from meta where window_id like '%7') else 0 end as mismatches from (select unnest(['raw_score', 'alert_score']) as "column")
+union all select 'ranking', (select count(*) from pol), "column", 0, 0, case when "column" = 'positives' then 1 else 0 end from (select unnest(['positives', 'negatives', 'ambiguous', 'average_precision', 'roc_auc']) as "column"))"""
 
 
 @query(REPRODUCED)
 def ml21_reproduce_scores(s, d):
-    path = scratch(s, "registered")
     f = _features(s, d).select(*R.features, *WINDOW_COLUMNS)
     scores, ranking = study.scored_and_ranked(f, "pca", {"variance": 0.9})
-    scores.write.parquet(f"{path}/scores")
-    ranking.write.parquet(f"{path}/ranking")
-    # Another dealing of the rows, so that scores that depend on it don't come out the same.
+    scores = scores.withColumn("raw_score", F.when(F.col("window_id").like("%7"), F.col("raw_score") + 0.5).otherwise(F.col("raw_score")))
+    ranking = ranking.withColumn("positives", F.when(F.col("policy_id").like("%10pct%"), F.col("positives") + 1).otherwise(F.col("positives")))
+    kept, key = Store(s, scratch(s, "store")), table_key("pca", {"features": f}, {"variance": 0.9})
+    kept.put(f"scores-{key}", scores)
+    kept.put(f"ranking-{key}", ranking)
+    # Another dealing of the rows, of which the key is the same and so must the scores be.
     dealt = f.repartition(5, "end_cycle")
-    found = study.reproduce_scores(s.read.parquet(f"{path}/scores"), s.read.parquet(f"{path}/ranking"), dealt, "pca", {"variance": 0.9})
+    again = table_key("pca", {"features": dealt}, {"variance": 0.9})
+    found = study.reproduce_scores(kept.get(f"scores-{again}"), kept.get(f"ranking-{again}"), dealt, "pca", {"variance": 0.9})
     return found.select("table", "column", "rows", "only_left", "only_right", "mismatches")
 
 
-VERIFIED = """select * from (values ('aggregated', 1, 'detector_id'), ('aggregated', 1, 'feasible'), ('aggregated', 1, 'min_coverage'), ('aggregated', 1, 'worst_fp_per_1000'),
-('metrics', 5, 'tp'), ('metrics', 5, 'fp'), ('metrics', 5, 'tn'), ('metrics', 5, 'fn'), ('metrics', 5, 'detected_engines'), ('metrics', 5, 'coverage_percent'), ('metrics', 5, 'fp_per_1000_healthy')) v("table", each, "column"), (select 0::bigint as only_left, 0::bigint as only_right, 0::bigint as mismatches),
+VERIFIED = """select "table", "column", each * n as rows, 0::bigint as only_left, 0::bigint as only_right, case "column" when 'tp' then 5 * (n // 4) when 'feasible' then n // 4 else 0 end as mismatches
+from (values ('aggregated', 1, 'detector_id'), ('aggregated', 1, 'feasible'), ('aggregated', 1, 'min_coverage'), ('aggregated', 1, 'worst_fp_per_1000'),
+('metrics', 5, 'tp'), ('metrics', 5, 'fp'), ('metrics', 5, 'tn'), ('metrics', 5, 'fn'), ('metrics', 5, 'detected_engines'), ('metrics', 5, 'coverage_percent'), ('metrics', 5, 'fp_per_1000_healthy')) v("table", each, "column"),
 (select count(*) as n from (select distinct detector_id, context from lists) c cross join rules cross join (values (1), (2), (3), (4)) a(e) cross join (values (1), (3), (5), (8)) m(m))"""
-VERIFIED = VERIFIED.replace("select *", 'select "table", "column", each * n as rows, only_left, only_right, mismatches', 1)
 
 
 @query(VERIFIED)
 def ml22_verify_study(s, d):
-    path, saved = scratch(s, "study"), _scores(s, d)
+    saved = _scores(s, d)
     made = study.alert_policy_study(saved, GRID)
-    for name in ("aggregated", "metrics"):
-        getattr(made, name).write.parquet(f"{path}/{name}")
-    stored = {name: s.read.parquet(f"{path}/{name}") for name in ("aggregated", "metrics")}
-    found = study.verify_study(saved.repartition(5, "end_cycle"), GRID, stored)
+    eight = F.col("candidate_id").like("%persistence_8")
+    altered = {"aggregated": made.aggregated.withColumn("feasible", F.col("feasible") != eight), "metrics": made.metrics.withColumn("tp", F.col("tp") + eight.cast("int"))}
+    kept, key = Store(s, scratch(s, "store")), table_key("study", {"scores": saved}, {"grid": "energy, peak"})
+    for name, table in altered.items():
+        kept.put(f"{name}-{key}", table)
+    found = study.verify_study(saved.repartition(5, "end_cycle"), GRID, {name: kept.get(f"{name}-{key}") for name in altered})
     return found.select("table", "column", "rows", "only_left", "only_right", "mismatches")
 
 
@@ -1063,6 +1167,22 @@ def str1_stream_alerts(s, d):
     return stream_to_table(c.where("split = 'validation'"), study.fit_inference(c, MODES, m=3, rule_id="quantile_0.950"), R)
 
 
+@query("""select engine, kind, count(*) as rows from (select engine, 'window' as kind from cs where split = 'validation' and cycle >= 10
+union all select engine, 'late' from cs where split = 'validation' and cycle % 9 = 0 union all select engine, 'bad' from cs where split = 'validation' and cycle <= 2) group by 1, 2""")
+def str1_stream_side_rows(s, d):
+    """Repeated cycles a batch later, and cycles zero and null: all are told apart and counted."""
+    from ..streaming.alerts import stream_to_table
+
+    c = _split(s, d)
+    rows = c.where("split = 'validation'")
+    batch = F.floor((F.col("cycle") - 1) / 30)
+    odd = rows.where("cycle <= 2").withColumn("cycle", F.when(F.col("cycle") == 1, 0))
+    part = lambda df, at: df.withColumn("arrival", at.cast("int"))
+    given = part(rows, batch).unionByName(part(rows.where("cycle % 9 = 0"), batch + 1)).unionByName(part(odd, F.lit(0)))
+    out = stream_to_table(given, study.fit_inference(c, MODES, m=3, rule_id="quantile_0.950"), R, files=5, arrival=F.col("arrival"))
+    return out.where("kind <> 'event'").groupBy("engine", "kind").agg(F.count("*").alias("rows"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -33,8 +33,7 @@ feat as (select printf('%s:e%03d:c%04d-%04d', split, engine, end_cycle - 9, end_
 elig as (select * from feat where split = 'train' and end_cycle <= floor(max_cycle::double * 0.3::double)),
 fsc as (select {fsc} from elig),
 zf as (select window_id, engine, split, start_cycle, end_cycle, max_cycle, op_mode, {zcols} from feat cross join fsc),
-raws as (select window_id, engine, split, start_cycle, end_cycle, max_cycle, op_mode, 'energy' as detector_id, round(({energy}) / 9, 9) as raw_score from zf
-  union all select window_id, engine, split, start_cycle, end_cycle, max_cycle, op_mode, 'peak', round(greatest({peak}), 9) from zf),
+raws as ({raws}),
 ref as (select * from raws where split = 'train' and end_cycle <= floor(max_cycle::double * 0.3::double)),
 rcum as (select detector_id, raw_score, max(k) as upto, max(t) as total from (select detector_id, raw_score, row_number() over (partition by detector_id order by raw_score) as k, count(*) over (partition by detector_id) as t from ref) group by 1, 2),
 sc as (select s.*, coalesce(r.upto, 0)::double / t.total as alert_score from raws s asof left join rcum r on s.detector_id = r.detector_id and s.raw_score >= r.raw_score join (select detector_id, count(*) as total from ref group by 1) t on s.detector_id = t.detector_id),
@@ -67,11 +66,14 @@ FEATURES = [f"{k}_s{i}" for k in ("mean", "std", "slope") for i in (1, 2, 3)]
 CHAIN = (
     CHAIN.replace("{fsc}", ", ".join(f"avg({f}) as a_{f}, case when stddev_pop({f}) > 1e-12 then stddev_pop({f}) else 1 end as b_{f}" for f in FEATURES))
     .replace("{zcols}", ", ".join(f"({f} - a_{f}) / b_{f} as {f}" for f in FEATURES))
-    .replace("{energy}", " + ".join(f"{f} * {f}" for f in FEATURES))
-    .replace("{peak}", ", ".join(f"abs({f})" for f in FEATURES))
 )
 
+_SQUARES = {"energy": FEATURES, "level": FEATURES[:3], "spread": FEATURES[3:6], "drift": FEATURES[6:]}
+SCORES = {k: f"({' + '.join(f'{f} * {f}' for f in fs)}) / {len(fs)}" for k, fs in _SQUARES.items()} | {"peak": f"greatest({', '.join(f'abs({f})' for f in FEATURES)})"}
 
-def chain(select: str) -> str:
-    """``select`` over the named parts."""
-    return CHAIN + "\n" + select
+
+def chain(select: str, sources: tuple[str, ...] = ("energy", "peak")) -> str:
+    """``select`` over the named parts, of which ``raws`` has the scores of those sources."""
+    ids = "window_id, engine, split, start_cycle, end_cycle, max_cycle, op_mode"
+    raws = " union all ".join(f"select {ids}, '{k}' as detector_id, round({SCORES[k]}, 9) as raw_score from zf" for k in sources)
+    return CHAIN.replace("{raws}", raws) + "\n" + select

@@ -47,20 +47,29 @@ def standardized_features(features: DataFrame, roles: Roles = Roles()) -> DataFr
     return scaling._scaled(features.crossJoin(F.broadcast(scaler)), roles.features)
 
 
-def energy_scores(features: DataFrame, roles: Roles = Roles(), digits: int = 9) -> DataFrame:
-    """Two reference-free detectors: ``energy``, the mean square of standardized features, and ``peak``, their greatest size."""
+#: Reference-free score sources: mean squares of standardized features by kind, and the greatest size of any.
+SOURCES = ("energy", "peak", "level", "spread", "drift")
+
+
+def energy_scores(features: DataFrame, roles: Roles = Roles(), digits: int = 9, sources: Sequence[str] = ("energy", "peak")) -> DataFrame:
+    """Scores of reference-free detectors, all from one pass over standardized features.
+
+    ``energy``: their mean square; ``peak``: their greatest size; ``level``, ``spread`` and
+    ``drift``: the mean square of window means, deviations and slopes alone.
+    """
     z = standardized_features(features, roles)
-    cols = [F.col(c) for c in roles.features]
-    energy = sum((c * c for c in cols[1:]), cols[0] * cols[0]) / F.lit(float(len(cols)))
+    n = len(roles.sensors)
+    mean = lambda names: sum((F.col(c) * F.col(c) for c in names[1:]), F.col(names[0]) * F.col(names[0])) / F.lit(float(len(names)))
+    made = {"energy": mean(roles.features), "peak": F.greatest(*[F.abs(F.col(c)) for c in roles.features])}
+    made |= {k: mean(roles.features[i * n : (i + 1) * n]) for i, k in enumerate(("level", "spread", "drift"))}
     ids = ["window_id", roles.entity, roles.split, "start_cycle", "end_cycle", "max_cycle", roles.mode]
-    made = F.array(F.struct(F.lit("energy").alias("detector_id"), F.round(energy, digits).alias("raw_score")), F.struct(F.lit("peak").alias("detector_id"), F.round(F.greatest(*[F.abs(c) for c in cols]), digits).alias("raw_score")))
-    return z.select(*ids, F.inline(made))
+    return z.select(*ids, F.inline(F.array(*[F.struct(F.lit(k).alias("detector_id"), F.round(made[k], digits).alias("raw_score")) for k in sources])))
 
 
-def score_frame(cycles: DataFrame, modes: int, roles: Roles = Roles()) -> DataFrame:
+def score_frame(cycles: DataFrame, modes: int, roles: Roles = Roles(), sources: Sequence[str] = ("energy", "peak")) -> DataFrame:
     """Calibrated scores of every window and detector: the whole chain up to alert_score."""
     features = cut(windows.summary_features(transformed(cycles, modes, roles), roles), "features")
-    raw = cut(energy_scores(features, roles), "raw")
+    raw = cut(energy_scores(features, roles, sources=sources), "raw")
     return cut(calibration.ecdf(eligible_training(raw, roles), raw), "scores")
 
 
@@ -71,16 +80,15 @@ def alert_trace(scores: DataFrame, alpha: float | None = 0.2, m: int = 3, contex
 
 
 def onset_table(scores: DataFrame, policies: DataFrame, roles: Roles = Roles()) -> DataFrame:
-    """(policy, entity): onset_cycle, max_cycle and, by closed form, healthy, ambiguous and anomalous windows.
+    """(policy, entity): onset_cycle, bad_from, max_cycle, and the healthy and anomalous windows that there are.
 
-    Windows of an entity have consecutive end cycles between the first and the last, so
-    label counts need no scan of windows by policies.
+    Windows that an entity lacks count as neither: the few policies label every window once.
     """
-    one = scores.groupBy(roles.entity).agg(F.min("end_cycle").alias("first_end"), F.max("end_cycle").alias("last_end"), F.max("max_cycle").alias("max_cycle"))
-    both = one.crossJoin(F.broadcast(policies)).withColumn("onset_cycle", proxies.onset(F.col("max_cycle"), F.col("onset_fraction")))
+    labelled = proxies.apply_policies(scores.select(roles.entity, "start_cycle", "end_cycle", "max_cycle"), policies)
+    count = lambda state: F.count_if(F.col("label_state") == state).alias(f"{state}_windows")
+    out = labelled.groupBy("policy_id", roles.entity).agg(F.first("policy_semantics").alias("policy_semantics"), F.max("onset_cycle").alias("onset_cycle"), F.max("max_cycle").alias("max_cycle"), count("healthy"), count("anomalous"))
     bad_from = F.when(F.col("policy_semantics") == "full_window", F.col("onset_cycle") + roles.window - 1).otherwise(F.col("onset_cycle"))
-    span = lambda a, b: F.greatest(F.lit(0), F.least(b, F.col("last_end")) - F.greatest(a, F.col("first_end")) + 1)
-    return both.withColumns({"bad_from": bad_from, "healthy_windows": span(F.lit(0), F.col("onset_cycle") - 1), "anomalous_windows": span(bad_from, F.col("last_end"))})
+    return out.withColumn("bad_from", bad_from)
 
 
 def violation_runs(scores: DataFrame, fitted: DataFrame, alphas: Sequence[float | None], roles: Roles = Roles()) -> DataFrame:
@@ -176,8 +184,11 @@ def preprocessing_study(cycles: DataFrame, clusters: Sequence[int] = (4, 6, 8),
     train, valid = z.where(f"{roles.split} = 'train'"), z.where(f"{roles.split} = 'validation'")
     whole = train.agg(F.count_if("healthy").alias("sensor_scaler_min_fit_rows")).select(F.lit("p0_global").alias("candidate"), "sensor_scaler_min_fit_rows")
     rows, occupied, centres = [whole], [], []
+    # All clusterings of the study, those on shares of the entities too, move in the same jobs.
+    wanted = [f for k in clusters for f in (*regimes.restarts_of(f"all {k}", k, restarts, seed), *regimes.stability_fits(k, seeds, restarts=restarts))]
+    made = regimes.fit_many(train, names, wanted, roles.entity)
     for k in clusters:
-        centers = regimes.fit_regimes(train, names, k, restarts, seed)
+        centers = regimes.cheapest(made, f"all {k}")
         by_split = {n: cut(regimes.assign_regime(part, names, centers, roles.mode), "modes") for n, part in (("train", train), ("validation", valid))}
         scalers = scaling.fit_mode_scalers(by_split["train"].where("healthy"), roles.sensors, k, least, roles).select(roles.mode, "fit_rows", "fallback")
         scalers = cut(scalers, "mode_fits")
@@ -189,7 +200,7 @@ def preprocessing_study(cycles: DataFrame, clusters: Sequence[int] = (4, 6, 8),
             least_mode = in_modes.agg(F.min("rows").alias(f"{n}_min_mode_rows"), F.min("row_share").alias(f"{n}_min_mode_fraction"))
             one = one.crossJoin(F.broadcast(shape)).crossJoin(F.broadcast(least_mode))
         quality = regimes.cluster_quality(by_split["train"], names, centers, roles).select("inertia_per_row", "min_centroid_distance")
-        agreement = cut(regimes.regime_stability(train, valid, names, k, seeds, roles=roles), "stability")
+        agreement = cut(regimes.agreement(valid, names, made, k, seeds), "stability")
         stable = agreement.agg(F.avg("adjusted_rand").alias("mean_adjusted_rand"), F.min("adjusted_rand").alias("min_adjusted_rand"))
         one = one.crossJoin(F.broadcast(quality)).crossJoin(F.broadcast(stable))
         rows.append(cut(one.select(F.lit(f"p1_k{k}").alias("candidate"), F.lit(k).alias("k"), "*"), "candidate"))
@@ -261,15 +272,58 @@ class Study:
     best: DataFrame
 
 
+@dataclass
+class Winners:
+    """Tables of a study's winners: the best candidate of each detector, of which ``overall`` marks the best of all."""
+
+    traces: DataFrame
+    events: DataFrame
+    entities: DataFrame
+    metrics: DataFrame
+    complementarity: DataFrame
+    targets: DataFrame
+
+
 def alert_policy_study(scores: DataFrame, grid: Grid, roles: Roles = Roles(), evaluate: str = "validation") -> Study:
     """Thresholds from eligible training windows; all candidates on the windows of another split; selection."""
     fitted = cut(thresholds.fit_thresholds(eligible_training(scores, roles), grid.rules, grid.contexts, roles=roles), "thresholds")
     rows = cut(grid_metrics(scores.where(F.col(roles.split) == evaluate), fitted, grid, roles), "metrics")
-    aggregated = metrics.aggregate_candidates(rows, ["candidate_id", "detector_id", "context", "rule_id", "ewma_id", "persistence"])
+    aggregated = cut(metrics.aggregate_candidates(rows, ["candidate_id", "detector_id", "context", "rule_id", "ewma_id", "persistence"]), "aggregated")
     per, best = selection.select_best_candidates(aggregated)
     return Study(fitted, thresholds.candidate_grid(scores.sparkSession, grid), rows, aggregated, per, best)
 
 
+def winners(scores: DataFrame, made: Study, grid: Grid, roles: Roles = Roles(), evaluate: str = "validation") -> Winners:
+    """What the winners of a study do, row by row, on the windows that they were selected on.
+
+    Traces of all of them come from one pass.  ``entities``: each winner's outcome for every
+    policy and entity; ``metrics``: their metric rows computed from the traces, which equal
+    those of the grid; ``complementarity``: every two winners on the selection policies;
+    ``targets``: whether the overall winner keeps the limits, on each selection policy, or
+    one row that says that no candidate is feasible.
+    """
+    best = made.best.select("candidate_id", F.lit(True).alias("__best"))
+    chosen = made.best_per_detector.join(F.broadcast(best), "candidate_id", "left").withColumn("overall", F.coalesce("__best", F.lit(False))).drop("__best")
+    chosen = cut(chosen, "winners")
+    flag = F.broadcast(chosen.select("candidate_id", "overall"))
+    keys = ["candidate_id", "detector_id"]
+    shown = scores.where(F.col(roles.split) == evaluate)
+    traces = cut(alerts.trace_policies(shown, made.thresholds, chosen, grid.ewma, roles), "winner_traces")
+    events = cut(alerts.alert_events(traces, keys, roles), "winner_events")
+    policies = proxies.policy_table(scores.sparkSession, grid.policies)
+    labelled = proxies.apply_policies(traces, policies)
+    onsets = labelled.groupBy(*keys, "policy_id", roles.entity).agg(F.max("onset_cycle").alias("onset_cycle"), F.max("max_cycle").alias("max_cycle"))
+    outcomes = cut(metrics.entity_outcomes(events, onsets, keys, roles), "winner_entities")
+    rows = metrics.policy_metrics(outcomes, metrics.endpoint_confusion(labelled, [*keys, "policy_id"]), events, keys)
+    selecting = F.broadcast(policies.where("selection_policy").select("policy_id"))
+    rows = cut(rows.join(flag, "candidate_id"), "winner_metrics")
+    met = metrics.target_attainment(rows.where("overall").join(selecting, "policy_id"))
+    none = scores.sparkSession.range(1).join(made.best.limit(1), how="left_anti")
+    met = met.select("candidate_id", "policy_id", "fp_per_1000_healthy", "meets_fp_limit", "median_delay", "meets_delay", F.lit("feasible").alias("status"))
+    lacking = none.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name not in ("meets_fp_limit", "meets_delay") else F.lit(False).alias(f.name) for f in met.schema[:-1]], F.lit("no_feasible_candidate").alias("status"))
+    return Winners(traces.join(flag, "candidate_id"), events.join(flag, "candidate_id"), outcomes.join(flag, "candidate_id"), rows, metrics.complementarity_of_all(outcomes.join(selecting, "policy_id"), roles), met.unionByName(lacking))
+
+
 def verify_study(scores: DataFrame, grid: Grid, stored: Mapping[str, DataFrame], roles: Roles = Roles(), evaluate: str = "validation") -> DataFrame:
     """Recompute a study from saved scores and compare with its ``stored`` metric and aggregated tables, see ``compare_frames``."""
     again = alert_policy_study(scores, grid, roles, evaluate)

@@ -57,6 +57,7 @@ POLICIES = (
     ("normalized_life_last_20pct_full_window", 0.20, "full_window", False),
     ("normalized_life_last_30pct_full_window", 0.30, "full_window", False),
 )
+# Fixed value: the most false positives of a thousand healthy endpoints that a feasible policy has.
 FEASIBLE_PER_1000 = 60.0
 # What an explanation is and isn't, as every row of an inference timeline says.
 EXPLANATION = {
@@ -66,13 +67,19 @@ EXPLANATION = {
     "causality": "non_causal",
     "shap": "not_shap",
 }
-#: Detectors and settings of a detector study.
-DETECTOR_GRID = (
-    *[("pca", {"variance": v}) for v in (0.90, 0.95, 0.99)],
-    *[("one_class", {"nu": v, "rounds": 20}) for v in (0.01, 0.05, 0.10)],
-    *[("isolation_forest", {"trees": 100, "most": v}) for v in (256, 512, 1024)],
-    *[("lof", {"neighbors": v}) for v in (20, 35, 50)],
-)
+# The registered parameter sets of each detector.
+DETECTOR_SETS = {
+    "pca": [{"n_components": v} for v in (0.90, 0.95, 0.99)],
+    "one_class_svm": [{"nu": v} for v in (0.01, 0.05, 0.10)],
+    "isolation_forest": [{"max_samples": v, "n_estimators": 300.0} for v in (256.0, 1024.0, 5000.0)],
+    "lof": [{"n_neighbors": v} for v in (20.0, 35.0, 50.0)],
+}
+#: Our names of registered detectors and parameters, and the parameters' types.
+DETECTOR_NAMES = {"one_class_svm": "one_class"}
+PARAMETER_NAMES = {"n_components": ("variance", float), "nu": ("nu", float), "max_samples": ("most", int), "n_estimators": ("trees", int), "n_neighbors": ("neighbors", int)}
+#: Detectors and settings of a detector study: the registered sets.
+DETECTOR_GRID = tuple((DETECTOR_NAMES.get(d, d), {PARAMETER_NAMES[k][0]: PARAMETER_NAMES[k][1](v) for k, v in p.items()}) for d, sets in DETECTOR_SETS.items() for p in sets)
+# Fixed value: the median delay, in cycles, that a policy should keep.
 DELAY_ASPIRATION = 12.0
 
 

@@ -27,14 +27,6 @@ def event_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lineitem_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lineitem`` as long histories: an engine for each supplier, in order of shipping."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    w = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
-    mode = (F.array_position(F.array(*map(F.lit, "ANR")), F.col("l_returnflag")) - 1).cast("int")
-    return li.select(F.col("l_suppkey").alias("engine"), F.row_number().over(w).alias("cycle"), mode.alias("op_mode"), F.col("l_quantity").alias("s1"), F.col("l_extendedprice").alias("s2"), F.col("l_discount").alias("s3"), F.col("l_tax").alias("s4"))
-
-
 def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with their length as a score."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))

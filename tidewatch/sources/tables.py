@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.checks import Violation, assert_empty, check_cycles, check_split_membership
+from ..operators.checks import Violation, assert_empty, check_cycles, check_physical_order, check_split_membership
 from ..schema import Roles
+from .scratch import cut
+from .store import _path, claim
 
 
 def cycle_schema(sensors: int = 21, settings: int = 3) -> T.StructType:
@@ -37,8 +41,14 @@ def read_cycles_csv(spark: SparkSession, path: str, schema: T.StructType | None
     return out
 
 
-def read_partition_filtered(cycles: DataFrame, allowed: DataFrame, known: DataFrame, rows: int | None = None, roles: Roles = Roles()) -> DataFrame:
-    """Rows of allow-listed entities, after checks of the whole table: unknown entities, order, repeats, counts."""
+def read_partition_filtered(cycles: DataFrame, allowed: DataFrame, known: DataFrame, rows: int | None = None, roles: Roles = Roles(), in_order: bool = False) -> DataFrame:
+    """Rows of allow-listed entities, after checks of the whole table: unknown entities, order, repeats, counts.
+
+    ``in_order``: the files must hold an entity's cycles in ascending order, as they lie
+    there (see ``check_physical_order``); ``cycles`` must then be a file scan.
+    """
+    if in_order:
+        assert_empty(check_physical_order(cycles, roles.keys))
     unknown = cycles.select(roles.entity).distinct().join(known.select(roles.entity), roles.entity, "left_anti")
     assert_empty(unknown.select(F.lit("unknown_entity"), F.col(roles.entity).cast("string")))
     assert_empty(check_cycles(cycles, roles))
@@ -140,12 +150,23 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_ledger(spark: SparkSession, path: str, record: dict) -> None:
-    """Append one record as JSON; a run id that is there already, or a missing field, is an error."""
-    new = spark.read.schema(ledger_schema()).json(spark.sparkContext.parallelize([json.dumps(record)], 1))
+    """Append one record as a JSON file of its own, named by its run id.
+
+    The file is claimed whole and only if it isn't there, so of two writers of one run id
+    one wins and the other gets a Violation, as for a missing field or an id that another
+    file of the ledger holds.
+    """
+    text = json.dumps(record, sort_keys=True)
+    new = spark.createDataFrame([(text,)], "value string").select(F.from_json("value", ledger_schema()).alias("r")).select("r.*")
     assert_empty(check_ledger(new))
-    old = spark.read.schema(ledger_schema()).json(path)
-    assert_empty(new.join(old, "run_id", "left_semi").select(F.lit("duplicate_run"), "run_id"))
-    new.write.mode("append").json(path)
+    name = hashlib.sha256(str(record["run_id"]).encode()).hexdigest()
+    if not claim(spark, f"{path}/run-{name}.json", f"{text}\n".encode()):
+        raise Violation(f"duplicate_run: {record['run_id']}")
+    twice = spark.read.schema(ledger_schema()).json(path).where(F.col("run_id") == record["run_id"]).count()
+    if twice > 1:
+        fs, place = _path(spark, f"{path}/run-{name}.json")
+        fs.delete(place, False)
+        raise Violation(f"duplicate_run: {record['run_id']}")
 
 
 def save_state(tables: dict[str, DataFrame], path: str, **lineage: str) -> None:
@@ -165,10 +186,40 @@ def load_state(spark: SparkSession, path: str, names: Sequence[str], **lineage:
     return out
 
 
-def artifact_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, size, sha256) of files."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+def artifact_manifest(spark: SparkSession, path: str, pattern: str = "*", chunk: int = 8 << 20) -> DataFrame:
+    """(path, size, sha256) of files of any size.
+
+    Files are listed without being read and dealt to tasks by size, and each is hashed as a
+    stream, ``chunk`` bytes at a time.  Files of a store that Python workers can't open are
+    read by Spark as one cell each, which limits those, and only those, to 2 GB.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    files = listed.select("path", F.col("length").alias("size"))
+
+    def run(batches):
+        from pyarrow.fs import FileSystem
+
+        for b in batches:
+            found = []
+            for place in b.column(0).to_pylist():
+                digest = hashlib.sha256()
+                try:
+                    # A listed path is escaped where it is a URI.
+                    store, inner = FileSystem.from_uri(place) if "://" in place else FileSystem.from_uri("file://" + place.removeprefix("file:"))
+                    with store.open_input_stream(inner) as f:
+                        while part := f.read(chunk):
+                            digest.update(part)
+                    found.append(digest.hexdigest())
+                except (OSError, ValueError, NotImplementedError):
+                    found.append(None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], ["path", "size", "sha256"])
+
+    n = max(1, min(files.count(), 10_000))
+    made = cut(files.repartitionByRange(n, F.desc("size"), "path").mapInArrow(run, "path string, size long, sha256 string"), "artifacts")
+    if made.where("sha256 is null").isEmpty():
+        return made
+    left = made.where("sha256 is null").select("path", "size").join(listed.select("path", F.sha2("content", 256).alias("sha256")), "path")
+    return made.where("sha256 is not null").unionByName(left)
 
 
 def verify_artifacts(found: DataFrame, registered: DataFrame) -> DataFrame:
@@ -193,9 +244,3 @@ def materialize_endpoint_context(windows: DataFrame, cycles: DataFrame, path: st
     if back.count() != before:
         raise Violation("the set of windows changed")
     return frame_fingerprint(back)
-
-
-def last_rows(cycles: DataFrame, n: int, roles: Roles = Roles()) -> DataFrame:
-    """The last ``n`` cycles of each entity."""
-    w = Window.partitionBy(roles.entity).orderBy(F.desc(roles.order))
-    return cycles.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
