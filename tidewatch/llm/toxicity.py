@@ -38,7 +38,11 @@ class FactorizationMachine:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.raw(ids), -40, 40))))
 
 
-def _pass(w0, w, v, docs, y, rate, decay, rng, batch=128):
+#: Rows of a gradient step.
+BATCH = 128
+
+
+def _pass(w0, w, v, docs, y, rate, decay, rng, batch=BATCH):
     """One AdaGrad pass over docs (lists of positions) from (w0, w, v); the moved weights."""
     w, v = w.copy(), v.copy()
     g0, gw, gv = 1e-3, np.full_like(w, 1e-3), np.full_like(v, 1e-3)
@@ -67,16 +71,19 @@ def _pass(w0, w, v, docs, y, rate, decay, rng, batch=128):
     return w0, w, v
 
 
-def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 15_000, most_terms: int = 20_000, least_gain: float = 15.0, frequent: int = 600, most_pairs: int = 1_000, pair_gain: float = 30.0, factors: int = 8, rounds: int = 6, passes: int = 2, rate: float = 0.15, decay: float = 1e-4, parts: int = 6, seed: int = 7) -> FactorizationMachine:
+def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 15_000, most_terms: int = 20_000, least_gain: float | None = None, frequent: int = 600, most_pairs: int = 1_000, pair_gain: float | None = None, factors: int = 8, rounds: int = 6, passes: int = 2, least_steps: int = 300, rate: float = 0.15, decay: float = 1e-4, parts: int = 6, seed: int = 7) -> FactorizationMachine:
     """Fit on at most ``per_class`` labelled rows of each class (those of the least id hash).
 
     Terms are those that lean to a class alone, by ``least_gain``, and those of pairs that
     lean together by ``pair_gain`` more than either does alone, wherever one or both are
-    neutral; pairs are counted among the leaning terms of greatest gain and the
+    neutral.  Gains are log likelihood ratios; by default a term needs one more than the
+    logarithm of the terms compared, which a tenth of a term at most reaches by chance, and
+    a pair twice that: few labelled rows of few terms need less than many do.  Pairs are counted among the leaning terms of greatest gain and the
     ``frequent`` most frequent others.  Each round, every one of ``parts`` shards of the
     sample runs ``passes`` AdaGrad passes from the shared weights and the weights are
-    averaged in order of shard, so that the model depends on the rows alone; the intercept
-    is then shifted to the class shares among all given labels.  Rows of ``labels`` with a
+    averaged in order of shard, so that the model depends on the rows alone.  Small shards
+    run more passes, so that each takes ``least_steps`` steps in all: few labelled rows
+    would otherwise end before the weights have moved.  The intercept is then shifted to the class shares among all given labels.  Rows of ``labels`` with a
     null id or grade are ignored; without both classes every score is the share of the one
     there is (0.5 shrunk, without labels 0).
     """
@@ -91,6 +98,9 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", id_col: str =
     sizes = {r[0]: r[1] for r in sample.groupBy("grade").count().collect()}
     totals = [sizes.get(0, 0), sizes.get(1, 0)]
     counts = work.save(term_counts(sample, WORDS, 2), "counts")
+    if least_gain is None:
+        least_gain = float(np.log(max(1, counts.count()))) + 1
+    pair_gain = 2 * least_gain if pair_gain is None else pair_gain
     leaning, _ = select_terms(counts, totals, most_terms, least_gain)
     top, n_top = select_terms(counts, totals, frequent // 2, least_gain)
     often, n_often = frequent_terms(counts, totals, frequent, 0.5)
@@ -120,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", id_col: str =
                 for shard, y, _, rows in shard_rows(batch):
                     a, b, c = sent.value
                     local = np.random.default_rng((seed, k, shard))
-                    for _ in range(passes):
+                    for _ in range(max(passes, -(-least_steps // (rounds * -(-max(1, len(rows)) // BATCH))))):
                         a, b, c = _pass(a, b, c, rows, y.astype(float), rate / (1 + k), decay, local)
                     made = np.concatenate(([a], b, c.ravel())).tobytes()
                     yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(rows)], pa.int64()), pa.array([made], pa.binary())], ["shard", "n", "weights"])
