@@ -23,7 +23,7 @@ def main() -> None:
     queries, took = catalog.queries(), {}
     queries["a1_summarize_engines"](spark, SF).count()  # starts the workers
     for name in NAMES:
-        catalog.forget()  # each query computes all of its stages
+        catalog.forget(spark)  # each query computes all of its stages
         began = time.time()
         queries[name](spark, SF).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)

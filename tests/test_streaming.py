@@ -120,3 +120,17 @@ def test_moving_by_parts_equals_moving_at_once():
     assert [{k: v for k, v in r.items() if k != "smoothed_score"} for r in got] == [{k: v for k, v in r.items() if k != "smoothed_score"} for r in want]
     assert np.allclose([r["smoothed_score"] for r in got if r["kind"] == "window"], [r["smoothed_score"] for r in want if r["kind"] == "window"])
     assert state.row()[:2] == whole.row()[:2] and len(want) == 30 + 36 + sum(r["kind"] == "event" for r in want)
+
+
+def test_inference_tells_what_it_was_made_with(spark, fitted):
+    state, rows = fitted
+    made = study.inference(rows, state)
+    assert len(made.timeline.columns) == 21 and made.timeline.count() == sum(1 for _ in batch_of(rows, state)[0])
+    told = {r.artifact: (r.rows, r.sha256) for r in made.provenance.collect()}
+    assert set(told) == {"scalers", "feature_scaler", "reference", "thresholds", "pca", "policy"}
+    # The same fit of rows that are dealt otherwise; another policy; one number changed.
+    again = study.fit_inference(catalog._split(spark, D).repartition(7, "cycle"), 5, m=3, rule_id="quantile_0.950")
+    assert {r.artifact: (r.rows, r.sha256) for r in study.provenance(again).collect()} == told
+    other = study.InferenceState(**{**state.__dict__, "m": 4, "thresholds": state.thresholds.withColumn("threshold", F.col("threshold") + (F.col("op_mode") == 1).cast("int"))})
+    differs = {r.artifact for r in study.provenance(other).collect() if told[r.artifact] != (r.rows, r.sha256)}
+    assert differs == {"policy", "thresholds"}

@@ -149,23 +149,26 @@ def test_reference_of_the_stream_is_bounded_and_close(spark):
         assert share(whole, v) == pytest.approx(true) and true - 1 / 50 <= share(few, v) <= true + 1e-12
 
 
-def test_the_stream_drops_bad_and_late_rows(spark):
+def test_rows_that_cannot_be_scored_leave_a_gap():
     import pandas as pd
 
-    from tidewatch.streaming.alerts import Scorer, advance
+    from tidewatch.streaming.alerts import Entity, Scorer, advance
 
     roles = Roles(window=2, sensors=("s1",))
     scorer = Scorer.__new__(Scorer)
     scorer.roles, scorer.alpha, scorer.m = roles, 0.5, 1
-    scorer.scalers, scorer.thresholds = {0: (np.zeros(1), np.ones(1)), 3: (np.zeros(1), np.ones(1))}, {0: 0.4}
-    scorer.center, scorer.scale, scorer.mean, scorer.left = np.zeros(3), np.ones(3), np.zeros(3), np.eye(3)
-    scorer.values, scorer.share = np.array([1.0, 50.0]), np.array([0.5, 1.0])
-    state = {"last_cycle": None, "smoothed": None, "run": 0, "events": 0, "active": False, "buffer": []}
-    rows = [(1, 1, 0, 1.0), (1, 2, 0, 2.0), (1, 2, 0, 9.0), (1, 3, 7, 1.0), (1, 4, 0, None), (1, 5, 3, 1.0), (1, 6, 0, 3.0), (1, 7, 0, 30.0)]
-    out = advance(scorer, state, pd.DataFrame(rows, columns=["engine", "cycle", "op_mode", "s1"]))
-    # A cycle that is dropped leaves a gap, so the next window starts after it.
-    assert [(r[1], r[-2], r[-1]) for r in out] == [(2, 0, 0), (7, 1, 3)]
-    assert out[-1][4] == out[-1][5] == 1.0 and state["last_cycle"] == 7
+    scorer.modes, scorer.mean, scorer.scale, scorer.limits = np.array([0]), np.zeros((1, 1)), np.ones((1, 1)), np.array([0.4])
+    scorer.center, scorer.spread, scorer.pca_mean, scorer.left = np.zeros(3), np.ones(3), np.zeros(3), np.eye(3)
+    scorer.values, scorer.share = np.array([1.0, 50.0]), np.array([0.0, 0.5, 1.0])
+    rows = pd.DataFrame([(1, 1, 0, 1.0), (1, 2, 0, 2.0), (1, 3, 7, 1.0), (1, 4, 0, None), (1, 5, 3, 1.0), (1, 6, 0, 3.0), (1, 7, 0, 30.0), (1, 0, 0, 1.0)], columns=["engine", "cycle", "op_mode", "s1"])
+    why = scorer.reasons(rows).tolist()
+    assert why == [None, None, "mode", "values", "mode", None, None, "cycle"]
+    good, state = rows[[w is None for w in why]], Entity()
+    out = advance(scorer, 1, state, good["cycle"].to_numpy(), good["op_mode"].to_numpy(), good[["s1"]].to_numpy())
+    # The next window starts after the rows that were left out.
+    windows = [r for r in out if r["kind"] == "window"]
+    assert [r["end_cycle"] for r in windows] == [2, 7] and state.last_cycle == 7
+    assert windows[-1]["alert_score"] == windows[-1]["smoothed_score"] == 1.0
 
 
 def test_a_timeline_has_its_columns(spark):

@@ -18,7 +18,6 @@ from ..functions.scalars import event_id
 from ..schema import Roles
 from ..sources.scratch import cut
 from .checks import Violation, assert_empty, check_scores
-from .thresholds import threshold_lookup
 
 
 def segments(scores: DataFrame, keys: Sequence[str] = ("detector_id",), roles: Roles = Roles()) -> DataFrame:
@@ -125,14 +124,22 @@ def apply_policy(scores: DataFrame, thresholds: DataFrame, alpha: float | None,
     # Each window once, each entity's end cycle once, and calibrated scores alone.
     cycles = scores.groupBy("detector_id", roles.entity, "end_cycle").count().where("count > 1")
     assert_empty(check_scores(scores).unionByName(cycles.select(F.lit("duplicate_cycle").alias("check"), F.concat_ws(":", "detector_id", F.col(roles.entity).cast("string"), F.col("end_cycle").cast("string")).alias("detail"))))
-    wanted = thresholds.where((F.col("context") == context) & (F.col("rule_id") == rule_id))
-    smooth = cut(segments(ewma(scores, [alpha], roles=roles), roles=roles), "smoothed")
-    seen = threshold_lookup(smooth, wanted, roles)
-    checked = seen.withColumn("threshold", F.when(F.col("threshold").isNull(), F.raise_error(F.concat(F.lit("no threshold for mode "), F.coalesce(F.col(roles.mode).cast("string"), F.lit("null"))))).otherwise(F.col("threshold")))
-    marked = checked.withColumn("threshold_violation", F.col("smoothed_score") > F.col("threshold"))
+    # One context: one join, after which all else is partitioned by entity.
+    wanted = thresholds.where((F.col("context") == context) & (F.col("rule_id") == rule_id)).drop("reference_count")
+    by = ["detector_id", roles.mode] if context == "per_mode" else ["detector_id"]
+    rows = ewma(scores, [alpha], roles=roles).join(F.broadcast(wanted if context == "per_mode" else wanted.drop(roles.mode)), by, "left")
+    rows = rows.withColumns({"context": F.lit(context), "rule_id": F.lit(rule_id)})
+    marked = segments(_violations(rows, roles), roles=roles)
     return state_segment_id(cut(persistence(marked, ["detector_id"], F.lit(m), roles), "persistence"), roles=roles)
 
 
+def _violations(rows: DataFrame, roles: Roles) -> DataFrame:
+    """``rows`` with threshold_violation; a row whose mode has no threshold is an error."""
+    lacking = F.raise_error(F.concat(F.lit("no threshold for mode "), F.coalesce(F.col(roles.mode).cast("string"), F.lit("null"))))
+    checked = rows.withColumn("threshold", F.when(F.col("threshold").isNull(), lacking).otherwise(F.col("threshold")))
+    return checked.withColumn("threshold_violation", F.col("smoothed_score") > F.col("threshold"))
+
+
 def trace_policies(scores: DataFrame, thresholds: DataFrame, policies: DataFrame, alphas: Sequence[float | None], roles: Roles = Roles()) -> DataFrame:
     """The alert traces of many policies in one pass: the rows of ``apply_policy`` for each, with ``candidate_id``.
 
@@ -146,14 +153,13 @@ def trace_policies(scores: DataFrame, thresholds: DataFrame, policies: DataFrame
     limits = wanted.join(F.broadcast(thresholds.drop("reference_count")), ["detector_id", "context", "rule_id"])
     smooth = ewma(scores.join(F.broadcast(wanted.select("detector_id").distinct()), "detector_id"), alphas, roles=roles)
     rows = smooth.join(F.broadcast(wanted), ["detector_id", "ewma_id"])
-    whole = limits.where("context = 'global'").select("candidate_id", "threshold")
-    per = limits.where("context = 'per_mode'").select("candidate_id", roles.mode, "threshold")
-    by_mode = rows.where("context = 'per_mode'").join(F.broadcast(per), ["candidate_id", roles.mode], "left")
-    seen = rows.where("context = 'global'").join(F.broadcast(whole), ["candidate_id"], "left").unionByName(by_mode)
-    lacking = F.raise_error(F.concat(F.lit("no threshold for mode "), F.coalesce(F.col(roles.mode).cast("string"), F.lit("null"))))
-    checked = seen.withColumn("threshold", F.when(F.col("threshold").isNull(), lacking).otherwise(F.col("threshold")))
+    # A policy has a threshold of its own or one for each mode: two small joins, and no second pass.
+    whole = limits.where("context = 'global'").select("candidate_id", F.col("threshold").alias("__whole"))
+    per = limits.where("context = 'per_mode'").select("candidate_id", roles.mode, F.col("threshold").alias("__per"))
+    seen = rows.join(F.broadcast(whole), "candidate_id", "left").join(F.broadcast(per), ["candidate_id", roles.mode], "left")
+    seen = seen.withColumn("threshold", F.coalesce("__whole", "__per")).drop("__whole", "__per")
     keys = ["candidate_id", "detector_id"]
-    marked = segments(checked.withColumn("threshold_violation", F.col("smoothed_score") > F.col("threshold")), keys, roles)
+    marked = segments(_violations(seen, roles), keys, roles)
     return state_segment_id(cut(persistence(marked, keys, F.col("persistence"), roles), "traces"), keys, roles)
 
 

@@ -15,7 +15,7 @@ from ..functions import scalars
 from ..operators import alerts, calibration, checks, compare, detectors, metrics, profile, proxies, regimes, scaling, selection, splits, thresholds, windows
 from ..schema import EWMA, RULES, Grid, Roles
 from ..sources import datasets, tables
-from ..sources.scratch import cut, scratch
+from ..sources.scratch import cut, scratch, sweep
 from ..sources.store import Store, table_key
 from . import study
 from .sqltext import chain
@@ -52,11 +52,13 @@ def stage(f):
     return shared
 
 
-def forget() -> None:
-    """Drop the shared stage tables, so that the next query computes its own."""
+def forget(s: SparkSession | None = None) -> None:
+    """Drop the shared stage tables, so that the next query computes its own; of session ``s`` their files too."""
     _STAGES.clear()
     _PREPROCESSING.clear()
     _WHOLE_STUDY.clear()
+    if s is not None:
+        sweep(s)
 
 
 def r9(*names: str):
@@ -984,9 +986,22 @@ def ml11_isolation_forest(s, d):
     return _detector(s, d, "isolation_forest")
 
 
-@query()
+# Outlier factors by comparing every window with every training window.
+APART = "sqrt(" + " + ".join(f"(a.{f} - b.{f}) ** 2" for f in FEATS) + ")"
+LOF_SQL = f""", lr as (select * from zf where split = 'train' and end_cycle <= floor(max_cycle::double * 0.3::double)),
+ln as (select * from (select *, row_number() over (partition by a order by d, b) as r from (select a.window_id as a, b.window_id as b, {APART} as d from lr a cross join lr b where a.window_id <> b.window_id)) where r <= 20),
+lk as (select a as id, max(d) as kd from ln group by 1),
+ll as (select n.a as id, 1 / (avg(greatest(d, kd)) + 1e-10::double) as lrd from ln n join lk k on k.id = n.b group by 1),
+qn as (select * from (select *, row_number() over (partition by a order by d, b) as r from (select a.window_id as a, b.window_id as b, {APART} as d from zf a cross join lr b)) where r <= 20),
+lof as (select n.a as window_id, round(avg(lrd) * (avg(greatest(d, kd)) + 1e-10::double), 9) as raw from qn n join lk k on k.id = n.b join ll l on l.id = n.b group by 1),
+lc as (select raw, max(k) as upto from (select raw, row_number() over (order by raw) as k from lof semi join lr using (window_id)) group by 1)
+select window_id, 'lof' as detector_id, round(l.raw, 6) as raw_score, round(coalesce(upto, 0)::double / (select count(*) from lr), 6) as alert_score from lof l asof left join lc c on l.raw >= c.raw"""
+
+
+@query(LOF_SQL)
 def ml12_lof_novelty(s, d):
-    return _detector(s, d, "lof", neighbors=20)
+    out = _detector(s, d, "lof", neighbors=20)
+    return out.select("window_id", "detector_id", F.round("raw_score", 6).alias("raw_score"), F.round("alert_score", 6).alias("alert_score"))
 
 
 @query()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -393,6 +396,39 @@ def infer(cycles: DataFrame, state: InferenceState, roles: Roles = Roles()) -> t
     return alerts.event_flags(trace, events, roles=roles), events
 
 
+@dataclass
+class InferenceResult:
+    """What an inference gives: its windows in the 21 columns of the timeline, its events, and what it was made with."""
+
+    timeline: DataFrame
+    events: DataFrame
+    provenance: DataFrame
+
+
+def provenance(state: InferenceState, roles: Roles = Roles(), digits: int = 9) -> DataFrame:
+    """(artifact, rows, sha256) of everything that a state holds: its tables, components and policy.
+
+    Numbers count to ``digits`` places, so that fits of rows that were dealt otherwise are
+    the same artifact; no order of rows matters.
+    """
+    spark, parts = state.scalers.sparkSession, []
+    rounded = lambda df: df.select(*[F.round(f.name, digits).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema])
+    for name in ("scalers", "feature_scaler", "reference", "thresholds"):
+        one = compare.frame_fingerprint(rounded(getattr(state, name)))
+        parts.append(one.select(F.lit(name).alias("artifact"), "rows", F.col("digest").alias("sha256")))
+    pca = np.round(np.vstack((state.pca.mean, state.pca.components)), digits) + 0.0
+    policy = {"alpha": state.alpha, "persistence": state.m, "context": state.context, "rule_id": state.rule_id, "window": roles.window, "features": roles.features}
+    texts = {"pca": json.dumps(pca.tolist()), "policy": json.dumps(policy, sort_keys=True)}
+    made = [(k, len(pca) if k == "pca" else 1, hashlib.sha256(t.encode()).hexdigest()) for k, t in texts.items()]
+    return _union([*parts, spark.createDataFrame(made, "artifact string, rows long, sha256 string")])
+
+
+def inference(cycles: DataFrame, state: InferenceState, roles: Roles = Roles()) -> InferenceResult:
+    """``infer`` with the timeline's columns and the provenance of the state."""
+    windows_, events = infer(cycles, state, roles)
+    return InferenceResult(timeline(windows_, roles), events, provenance(state, roles))
+
+
 def timeline(rows: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """The 21 columns of the inference timeline from the windows of ``infer``."""
     renamed = {
@@ -402,6 +438,7 @@ def timeline(rows: DataFrame, roles: Roles = Roles()) -> DataFrame:
         "attribution_completeness_abs_difference": F.col("completeness_error"),
         **{k: F.lit(v) for k, v in EXPLANATION.items()},
     }
+    # The timeline's columns in their order.
     first = ["window_id", roles.entity, "start_cycle", "end_cycle", roles.mode, "raw_score", "calibrated_score", "threshold", "smoothed_score", "threshold_violation", "persistence_count"]
     last = ["alert", "event_start", "event_status", "top_three_sensor_contributions", *EXPLANATION, "attribution_completeness_abs_difference"]
     return rows.withColumns(renamed).select(*first, *last)

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of the stage tables that a session has written, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path below ``spark.checkpoint.dir``; a local-mode session without it gets a folder of its own."""
@@ -20,11 +23,26 @@ def scratch(spark: SparkSession, tag: str) -> str:
 
 
 def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
-    """``df`` written to the shared scratch folder and read again.
+    """``df`` written to the shared scratch folder and read again; a table that ``cut`` has just made is returned as it is.
 
     What several later steps read is computed once, plans stay small, and a lost executor
     costs a re-read, not the chain before it.
     """
-    path = scratch(df.sparkSession, tag)
+    if getattr(df, "_stage_path", None):
+        return df
+    spark, path = df.sparkSession, scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all stage tables that this session has written, once nothing reads them any more; how many there were."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)

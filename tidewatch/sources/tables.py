@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Sequence
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -186,8 +187,19 @@ def load_state(spark: SparkSession, path: str, names: Sequence[str], **lineage:
     return out
 
 
+def _opened(place: str):
+    """A stream of the bytes of a listed file, whose name isn't escaped."""
+    scheme, colon, rest = place.partition(":")
+    if not colon or "/" in scheme or scheme == "file":
+        return open("/" + (rest if scheme == "file" else place).lstrip("/"), "rb")
+    from pyarrow.fs import FileSystem
+
+    store, inner = FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/:@')}")
+    return store.open_input_stream(inner)
+
+
 def artifact_manifest(spark: SparkSession, path: str, pattern: str = "*", chunk: int = 8 << 20) -> DataFrame:
-    """(path, size, sha256) of files of any size.
+    """(path, size, sha256) of files of any size; empty files, which Spark's listing leaves out, have no row.
 
     Files are listed without being read and dealt to tasks by size, and each is hashed as a
     stream, ``chunk`` bytes at a time.  Files of a store that Python workers can't open are
@@ -197,16 +209,12 @@ def artifact_manifest(spark: SparkSession, path: str, pattern: str = "*", chunk:
     files = listed.select("path", F.col("length").alias("size"))
 
     def run(batches):
-        from pyarrow.fs import FileSystem
-
         for b in batches:
             found = []
             for place in b.column(0).to_pylist():
                 digest = hashlib.sha256()
                 try:
-                    # A listed path is escaped where it is a URI.
-                    store, inner = FileSystem.from_uri(place) if "://" in place else FileSystem.from_uri("file://" + place.removeprefix("file:"))
-                    with store.open_input_stream(inner) as f:
+                    with _opened(place) as f:
                         while part := f.read(chunk):
                             digest.update(part)
                     found.append(digest.hexdigest())
@@ -218,7 +226,9 @@ def artifact_manifest(spark: SparkSession, path: str, pattern: str = "*", chunk:
     made = cut(files.repartitionByRange(n, F.desc("size"), "path").mapInArrow(run, "path string, size long, sha256 string"), "artifacts")
     if made.where("sha256 is null").isEmpty():
         return made
-    left = made.where("sha256 is null").select("path", "size").join(listed.select("path", F.sha2("content", 256).alias("sha256")), "path")
+    cells = listed.where(F.col("length") < (1 << 31) - 1).select("path", F.sha2("content", 256).alias("sha256"))
+    lacking = F.raise_error(F.concat(F.lit("no worker can open "), "path")).cast("string")
+    left = made.where("sha256 is null").select("path", "size").join(cells, "path", "left").withColumn("sha256", F.coalesce("sha256", lacking))
     return made.where("sha256 is not null").unionByName(left)
 
 
