@@ -995,13 +995,13 @@ ll as (select n.a as id, 1 / (avg(greatest(d, kd)) + 1e-10::double) as lrd from
 qn as (select * from (select *, row_number() over (partition by a order by d, b) as r from (select a.window_id as a, b.window_id as b, {APART} as d from zf a cross join lr b)) where r <= 20),
 lof as (select n.a as window_id, round(avg(lrd) * (avg(greatest(d, kd)) + 1e-10::double), 9) as raw from qn n join lk k on k.id = n.b join ll l on l.id = n.b group by 1),
 lc as (select raw, max(k) as upto from (select raw, row_number() over (order by raw) as k from lof semi join lr using (window_id)) group by 1)
-select window_id, 'lof' as detector_id, round(l.raw, 6) as raw_score, round(coalesce(upto, 0)::double / (select count(*) from lr), 6) as alert_score from lof l asof left join lc c on l.raw >= c.raw"""
+select window_id, 'lof' as detector_id, l.raw as raw_score, round(coalesce(upto, 0)::double / (select count(*) from lr), 6) as alert_score from lof l asof left join lc c on l.raw >= c.raw"""
 
 
 @query(LOF_SQL)
 def ml12_lof_novelty(s, d):
     out = _detector(s, d, "lof", neighbors=20)
-    return out.select("window_id", "detector_id", F.round("raw_score", 6).alias("raw_score"), F.round("alert_score", 6).alias("alert_score"))
+    return out.select("window_id", "detector_id", "raw_score", F.round("alert_score", 6).alias("alert_score"))
 
 
 @query()
