@@ -134,3 +134,28 @@ def test_operators_on_odd_and_empty_tables(spark, name):
         assert len(rows) == table.where("doc_id is not null" if name == "warc" else "true").count()
     none = table.limit(0)
     assert run(spark, none, labels, items).count() == 0
+
+
+def test_toxicity_ranks_labels_that_it_has_not_seen(spark):
+    from tidewatch.llm.queries import op1_toxicity
+
+    folder = "/root/testdata/sf0.1"
+    scored = op1_toxicity(spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("toxic is not null").collect()
+    y, s = np.array([r.toxic for r in scored]), np.array([r.score for r in scored])
+    assert len(y) > 400 and 0.02 < y.mean() < 0.5
+    order = np.argsort(-s, kind="stable")
+    precision = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
+    ahead = (s[y == 1][:, None] > s[y == 0][None, :]).mean() + 0.5 * (s[y == 1][:, None] == s[y == 0][None, :]).mean()
+    found = {"average_precision": float((precision * y[order]).sum() / y.sum()), "roc": float(ahead), "caught": float((s[y == 1] >= 0.5).mean()), "clean": float((s[y == 0] < 0.5).mean())}
+    assert found["average_precision"] > 3 * y.mean() and found["roc"] > 0.85 and found["clean"] > 0.97, found
+    print(found)
+
+
+def test_class_model_beats_the_base_on_held_out_texts_of_known_words(spark):
+    from tidewatch.llm.queries import op2_brown
+
+    rows = op2_brown(spark, "/root/testdata/sf0.01").where("held_out and n_known = n_tokens and n_tokens > 1").collect()
+    tokens = sum(r.n_tokens for r in rows)
+    model, base = (10 ** (-sum(r[c] for r in rows) / tokens) for c in ("score", "base_score"))
+    assert len(rows) >= 5 and model < base, (len(rows), model, base)
+    print(len(rows), model, base)
