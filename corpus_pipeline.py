@@ -27,7 +27,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near duplicates (five words, similarity 0.8)."""
+    """One document, that of the least id, of each group of near duplicates (SimHash of five-word shingles, confirmed at similarity 0.8)."""
     return simhash.deduplicate(docs, similarity=0.8)
 
 

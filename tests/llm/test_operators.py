@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -668,3 +669,63 @@ def test_url_model_on_hosts_that_it_has_not_seen(spark):
     rng = random.Random(3)
     made = ["".join(rng.choice("bdfklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randrange(2, 5))) for _ in range(400)]
     assert sum(model.score(f"www.{h}.example.net", "/en/5") >= 0.5 for h in made) <= 0.03 * len(made)
+
+
+def test_fingerprints_find_pairs_right_at_the_similarity_whatever_their_size():
+    rng, like = np.random.default_rng(21), Fraction(4, 5)
+    rate = simhash.flip_rate(like)
+    assert rate == 0.1875  # four hashes against those and a fifth: the four tie, and the fifth decides
+    radius, lead = simhash.radius_within(rate, 1024, near_sets.LOST), simhash.radius_within(rate, 256, near_sets.LOST)
+    for bits, r in ((1024, radius), (256, lead)):
+        tails = [sum(math.comb(bits, k) * Fraction(3, 16) ** k * Fraction(13, 16) ** (bits - k) for k in range(least, bits + 1)) for least in (r + 1, r)]
+        assert tails[0] <= near_sets.LOST < tails[1]
+    for a, b, both in ((4, 5, 4), (8, 10, 8), (9, 9, 8), (12, 15, 12), (20, 25, 20), (40, 41, 36), (200, 250, 200)):
+        assert Fraction(both, a + b - both) == like
+        for _ in range(200):
+            h = rng.integers(0, 2**64, a + b - both, dtype=np.uint64)
+            x, y = (np.frombuffer(simhash.fingerprint(part, near_sets.WORDS), ">u8").astype(np.uint64)[None] for part in (h[:a], h[a - both :]))
+            assert any(len(r) for r, _ in simhash.near_pairs(x, y, radius, (near_sets.LEAD, lead)))
+    assert simhash.flip_rate(Fraction(1)) == 0 and simhash.radius_within(0, 1024, 1e-12) == 0
+
+
+def test_near_copies_are_searched_by_fingerprints_and_confirmed_exactly(spark, monkeypatch):
+    rng, seen = random.Random(22), []
+    a, b = prose(rng, 60).split(), prose(rng, 60).split()
+    texts = [" ".join(a), " ".join([*a[:58], "zz", "yy"]), " ".join([*a[:52], *"klmnopqr"]), " ".join(b), " ".join(a)]
+    docs, links = table(spark, texts), simhash.links
+
+    def spy(classes, work, radius, words, **options):
+        found = links(classes, work, radius, words, **options)
+        seen.append(({r.rep: bytes(r.fp) for r in classes.collect()}, {x for r in found.collect() for x in (r.a, r.b)}))
+        return found
+
+    monkeypatch.setattr(near_sets, "links", spy)
+    assert {r.id: r.component_id for r in near_sets.near_groups(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 0}
+    (prints, candidates), sets = seen[0], [np.unique(simhash.shingle_hashes(t.encode(), 5, 42)) for t in texts]
+    assert prints and all(fp == simhash.fingerprint(sets[i], 16) for i, fp in prints.items())
+    assert 2 in candidates  # of similarity 48 / 64: a link of fingerprints that the sets don't confirm
+    monkeypatch.setattr(near_sets, "links", lambda *x, **y: spark.createDataFrame([], "a long, b long"))
+    assert {r.id: r.component_id for r in near_sets.near_groups(docs).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0}
+
+
+def test_links_of_dense_groups_connect_what_their_pairs_connect(spark):
+    rng = np.random.default_rng(23)
+    base, rows = rng.integers(0, 256, (3, 128), dtype=np.uint8), []
+    for i in range(600):
+        bits = np.unpackbits(base[0 if i < 400 else i % 3])
+        bits[rng.choice(1024, 40, replace=False)] ^= 1
+        rows.append((i, np.packbits(bits).tobytes(), 100 if i % 7 else 200))
+    x, n = np.frombuffer(b"".join(fp for _, fp, _ in rows), ">u8").astype(np.uint64).reshape(-1, 16), np.array([r[2] for r in rows])
+    up = list(range(600))
+    near = (np.bitwise_count(x[:, None] ^ x[None]).sum(axis=2, dtype=np.int64) <= 80) & (n[:, None] == n[None])
+    for i in range(600):
+        for j in np.flatnonzero(near[i, :i]).tolist():
+            if up[i] != up[j]:
+                a, b = sorted((up[i], up[j]))
+                up = [a if t == b else t for t in up]
+    assert len(set(up)) == 6
+    for tile in (4096, 50):
+        work = Workspace(spark, "dense")
+        found = work.save(simhash.links(spark.createDataFrame(rows, "rep long, fp binary, n long"), work, 80, 16, parts=0, ratio=1.25, tile=tile), "links")
+        got = {r.node: r.component for r in components(found, work).collect()}
+        assert [got.get(i, i) for i in range(600)] == up

@@ -1,10 +1,12 @@
-"""Near-duplicate groups by the exact Jaccard similarity of sets of word shingles.
-
-No pair at or above the similarity is missed and none below it is joined (up to equal
-64-bit hashes).  Two sets that similar differ in few shingles, so a set can be passed over
-if more of its shingles than that stand in no other set, and near sets share a shingle
-among the few rarest of each.  Sets that share such a shingle are linked in stars, never
-pair by pair; within what the stars connect, all pairs are compared in tiles.
+"""Near-duplicate groups by SimHash, each pair confirmed by the exact Jaccard similarity of sets of word shingles.
+
+Pairs are searched by 1024-bit SimHash fingerprints of the sets, which ``simhash.links``
+compares by exclusive-or and bit counts in tiles.  The radius is so wide that a pair at or
+above the similarity is beyond it with a chance of at most ``LOST``, for sets of any size.
+Within what those links connect, the sets themselves are compared in tiles, so that no
+pair below the similarity is joined (up to equal 64-bit hashes).  Before the search, sets
+with more shingles that stand in no other set than near sets can differ in are passed
+over, which loses none.
 """
 
 from __future__ import annotations
@@ -19,9 +21,12 @@ from pyspark.sql import functions as F
 
 from ._shared import Workspace, lookup, salted_left_join, texts_by_bytes
 from .components import components
-from .simhash import _forest, shingle_hashes
-
+from .simhash import _forest, fingerprint, flip_rate, links, radius_within, shingle_hashes
 
+#: 64-bit words of a fingerprint, and those by which most pairs are told apart.
+WORDS, LEAD = 16, 4
+#: The chance that a pair right at the similarity is missed by either of the two radii.
+LOST = 1e-12
 #: Bytes of texts whose sets a task holds at once.
 SLICE = 4 << 20
 
@@ -116,7 +121,7 @@ def _across(pairs: DataFrame, similarity: Fraction) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, seed: int = 42, tile_sets: int = 512, tile_hashes: int = 1 << 18) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, seed: int = 42, tile_sets: int = 512, tile_hashes: int = 1 << 18, tile_prints: int = 2048) -> DataFrame:
     """(id, component_id), a row for each row of ``docs`` whose id isn't null.
 
     component_id: the least id reachable over pairs of texts whose sets of distinct
@@ -146,25 +151,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             got = [shingle_set(t.as_py(), k, seed) for t in b.column(2)]
             keep = [i for i, (d, _) in enumerate(got) if d == b.column(0)[i].as_py()]
             picked = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(picked), b.column(1).take(picked), pa.array([got[i][1] for i in keep], pa.list_(pa.int64()))], ["d", "rep", "hashes"])
+            sets = [got[i][1] for i in keep]
+            prints = [fingerprint(h.view(np.uint64), WORDS) for h in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(picked), b.column(1).take(picked), pa.array([len(h) for h in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["d", "rep", "n", "fp", "hashes"])
 
     texts = left.join(rows, left["rep"] == rows["id"]).select("d", "rep", "text")
-    made = texts.mapInArrow(wide, "d long, rep long, hashes array<long>")
+    made = texts.mapInArrow(wide, "d long, rep long, n long, fp binary, hashes array<long>")
     # Only where an id has one text several times does a set stand twice.
     if not named.groupBy("id", "d").count().where("count > 1").isEmpty():
         made = made.dropDuplicates(["d"])
     sets = work.save(made, "wide")
-    tokens = sets.select("d", "rep", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
-    common = work.save(tokens.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "common")
-    # The spare + 1 rarest shingles of a set: two near sets share one of them.
-    ranked = salted_left_join(tokens, common, ["h"], ["d"], 4).groupBy("d", "rep", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "h"))).alias("all"))
-    rare = work.save(ranked.select("d", "rep", F.explode(F.slice("all", F.lit(1), (spare + 1).cast("int"))).alias("x")).where("x.c > 1").select("d", "rep", "x.h"), "rare")
-    heads = work.save(rare.groupBy("h").agg(F.min("rep").alias("head"), F.count("*").alias("c")).where("c > 1").drop("c"), "heads")
-    stars = salted_left_join(rare, heads, ["h"], ["d"], 4).where("head is not null").select(F.col("rep").alias("a"), F.col("head").alias("b"))
-    near = components(stars, Workspace(docs.sparkSession, "near-sets-stars"))
+    rate, search = flip_rate(like), Workspace(docs.sparkSession, "near-sets-search")
+    # Near sets' sizes are within that ratio; a little more, so that rounding loses none.
+    ratio = max(float(1 / like), 1.05) * (1 + 1e-9)
+    found = links(sets.select("rep", "fp", "n"), search, radius_within(rate, 64 * WORDS, LOST), WORDS, parts=0, ratio=ratio, tile=tile_prints, lead=(LEAD, radius_within(rate, 64 * LEAD, LOST)))
+    near = components(search.save(found, "links"), search)
 
     # One row for each set: `near` is unique on its node.
-    members = work.save(sets.join(near, sets["rep"] == near["node"]).select("component", "rep", F.size("hashes").alias("n"), "hashes"), "members")
+    members = work.save(sets.join(near, sets["rep"] == near["node"]).select("component", "rep", "n", "hashes"), "members")
     counts = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / F.lit(tile_sets)), F.ceil(F.sum("n") / F.lit(tile_hashes))).cast("int").alias("tiles")).where("tiles > 1")
     dealt = lookup(members, work.save(counts, "counts"), ["component"], ["rep"]).withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     held = F.collect_list(F.struct("rep", "hashes"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +86,13 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return [(x, t) for x in list(up) if (t := top(x)) != x]
 
 
+def _renamed(tops: np.ndarray, forest: list[tuple[int, int]]) -> np.ndarray:
+    """``tops``, each that has a link in ``forest`` replaced by what it is linked to."""
+    old, new = np.array(sorted(forest), np.int64).T
+    at = np.minimum(np.searchsorted(old, tops), len(old) - 1)
+    return np.where(old[at] == tops, new[at], tops)
+
+
 def near_pairs(x: np.ndarray, y: np.ndarray, radius: int, lead: tuple[int, int] | None = None, block: int = 512):
     """Index arrays of the rows of x and y (n, words of uint64) that differ in at most ``radius`` bits, block by block.
 
@@ -153,16 +161,18 @@ def links(classes: DataFrame, work: Workspace, radius: int, words: int = 1, part
                 rep_a, rep_b = (np.array(b.column(c)[row].as_py(), np.int64) for c in (0, 3))
                 x, y = (np.frombuffer(b"".join(b.column(c)[row].as_py()), ">u8").astype(np.uint64).reshape(-1, words) for c in (1, 4))
                 n_a, n_b = (np.array(b.column(c)[row].as_py(), np.float64) for c in (2, 5))
-                a, c = [], []
+                top_a, top_b = rep_a, rep_b
                 for r, s in near_pairs(x, y, radius, lead):
-                    keep = rep_a[r] != rep_b[s]
                     if ratio:
-                        keep &= np.maximum(n_a[r], n_b[s]) <= ratio * np.minimum(n_a[r], n_b[s])
-                    if keep.any():
-                        f = _forest(rep_a[r[keep]], rep_b[s[keep]])
-                        a += [p for p, _ in f]
-                        c += [q for _, q in f]
-                got += _forest(np.array(a, np.int64), np.array(c, np.int64))
+                        keep = np.maximum(n_a[r], n_b[s]) <= ratio * np.minimum(n_a[r], n_b[s])
+                        r, s = r[keep], s[keep]
+                    # The first pair of each row, then those whose trees these leave apart: few in a dense group.
+                    for part in (np.flatnonzero(np.diff(r, prepend=-1)), slice(None)):
+                        p, q = top_a[r[part]], top_b[s[part]]
+                        if (p != q).any():
+                            f = _forest(p[p != q], q[p != q])
+                            got += f
+                            top_a, top_b = _renamed(top_a, f), _renamed(top_b, f)
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int64()), pa.array([q for _, q in got], pa.int64())], ["a", "b"])
 
     return pairs.select("reps_a", "fps_a", "ns_a", "reps", "fps", "ns").mapInArrow(run, "a long, b long")
@@ -195,11 +205,45 @@ def radius_for(similarity: float, bits: int, slack: float = 1.0) -> int:
     return round(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
+def flip_rate(similarity: Fraction) -> float:
+    """The greatest chance that a bit differs between the fingerprints of two sets of at least that Jaccard similarity.
+
+    Each hash sets a bit by a fair coin.  Sets of few hashes are taken size by size, as
+    they differ from the limit of large ones, of which the arc cosine is the rate.
+    """
+    num, den = similarity.numerator, similarity.denominator
+
+    def chances(m):
+        return np.array([math.comb(m, y) / 2**m for y in range(m + 1)])
+
+    def over(m, shared):
+        tail = np.append(np.cumsum(chances(m - shared)[::-1])[::-1], 0)
+        return tail[np.clip(m // 2 + 1 - np.arange(shared + 1), 0, m - shared + 1)]
+
+    most = math.acos(min(1, 2 * similarity / (1 + similarity))) / math.pi
+    for a in range(1, 8 * math.ceil(1 / (1 - similarity)) + 1 if similarity < 1 else 1):
+        for b in range(a, a * den // num + 1):
+            for shared in range(-(-num * (a + b) // (num + den)), a + 1):
+                p, q = over(a, shared), over(b, shared)
+                most = max(most, float(chances(shared) @ (p * (1 - q) + q * (1 - p))))
+    return most
+
+
+def radius_within(rate: float, bits: int, lost: float) -> int:
+    """The least number of bits that more differ with a chance of at most ``lost``, if each differs with the chance ``rate``."""
+    if rate <= 0:
+        return 0
+    k = np.arange(bits + 1)
+    log = np.array([math.lgamma(bits + 1) - math.lgamma(i + 1) - math.lgamma(bits - i + 1) for i in k.tolist()])
+    beyond = np.cumsum(np.exp(log + k * math.log(rate) + (bits - k) * math.log(1 - rate))[::-1])[::-1]
+    return int(np.argmax(np.append(beyond[1:], 0) <= lost))
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` less all but one document of each near-duplicate group; same columns.
 
-    Groups are those of ``near_sets.near_groups``: exact Jaccard similarity of the distinct
-    five-word shingles, no estimate.  The document with the least id of a group stays.
+    Groups are those of ``near_sets.near_groups``: fingerprints of the distinct five-word
+    shingles find the pairs, whose exact Jaccard similarity then decides.  The document with the least id of a group stays.
     Rows with a null id stay.  Of rows that repeat an id, those of the least id of a group
     stay.
     """
