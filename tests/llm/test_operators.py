@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import os
 import random
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -729,3 +731,66 @@ def test_links_of_dense_groups_connect_what_their_pairs_connect(spark):
         found = work.save(simhash.links(spark.createDataFrame(rows, "rep long, fp binary, n long"), work, 80, 16, parts=0, ratio=1.25, tile=tile), "links")
         got = {r.node: r.component for r in components(found, work).collect()}
         assert [got.get(i, i) for i in range(600)] == up
+
+
+def _rows_out(df, name):
+    """Rows that each node of the plan of that name gave, once ``df`` has run."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == name:
+            found.append(node.metrics().apply("numOutputRows").value())
+        kids = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]
+        todo += kids
+    return found
+
+
+def test_tiles_are_copied_by_the_root_of_their_number(spark):
+    rng = np.random.default_rng(24)
+    rows = [(i, rng.integers(0, 256, 8, dtype=np.uint8).tobytes(), 100) for i in range(640)]
+    work = Workspace(spark, "root")
+    found = simhash.links(spark.createDataFrame(rows, "rep long, fp binary, n long"), work, 2, 1, parts=0, ratio=1.25, tile=10)
+    found.collect()
+    # 64 tiles, each taken two steps of size, of which one has a cell, and to its 8 blocks.
+    assert sorted(_rows_out(found, "Generate")) == [64 * 2, 64 * 8]
+
+
+def test_shared_hashes_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(25)
+    sets = {}
+    for d in range(-40, 40):
+        h = rng.integers(-(2**63), 2**63, 30) if d % 3 else np.concatenate((sets[d - 1][:20], rng.integers(-(2**63), 2**63, 5)))
+        sets[d] = np.unique(np.concatenate((h, [7 << 40])))  # and one that all have
+    sets[99] = np.empty(0, np.int64)
+    owners = Counter(x for h in sets.values() for x in h.tolist())
+    rows = [(d, h.tolist()) for d, h in sets.items()] + [(d, sets[d].tolist()) for d in (-40, 5, 5, 39)]  # copies, in chunks of their own
+    docs = spark.createDataFrame(rows, "d long, some array<long>").repartition(3)
+    for most in (1 << 19, 200, 8):
+        got = {r.d: r.shared for r in near_sets.shared_hashes(docs, sum(owners.values()), most).collect()}
+        assert got == {d: sum(owners[x] > 1 for x in h.tolist()) for d, h in sets.items() if len(h)}
+    assert near_sets.shared_hashes(docs.limit(0), 0).count() == 0
+
+
+def test_the_id_filter_keeps_all_wanted_and_few_others(spark):
+    rows = spark.range(-20_000, 20_000).select("id", F.col("id").cast("string").cast("binary").alias("text"))
+    wanted = spark.range(-20_000, 20_000, 10).select(F.col("id").alias("rep"))
+    got = {r.id: bytes(r.text) for r in near_sets.maybe_among(rows, wanted, "rep").collect()}
+    assert set(range(-20_000, 20_000, 10)) <= set(got) and len(got) < 4_000 + 0.1 * 36_000
+    assert all(v == str(k).encode() for k, v in got.items())
+    assert near_sets.maybe_among(rows, wanted.limit(0), "rep").count() == 0
+
+
+def test_near_groups_shuffle_and_keep_only_what_they_need(spark, monkeypatch):
+    rng, made = random.Random(26), []
+    a = prose(rng, 80)
+    texts = [a, a + " zz", *(prose(rng, 80) for _ in range(60))]
+
+    class Kept(Workspace):
+        def __init__(self, *x):
+            super().__init__(*x)
+            made.append(self.root)
+
+    monkeypatch.setattr(near_sets, "Workspace", Kept)
+    assert {r.id: r.component_id for r in near_sets.near_groups(table(spark, texts)).collect()} == {i: max(0, i - (i == 1)) for i in range(62)}
+    left = {name for root in made if os.path.isdir(root) for name in os.listdir(root)}
+    assert {"named", "classes", "merged"} <= left and not left & {"sets", "wide", "members", "tiles", "rooted"}

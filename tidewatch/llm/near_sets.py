@@ -6,7 +6,8 @@ above the similarity is beyond it with a chance of at most ``LOST``, for sets of
 Within what those links connect, the sets themselves are compared in tiles, so that no
 pair below the similarity is joined (up to equal 64-bit hashes).  Before the search, sets
 with more shingles that stand in no other set than near sets can differ in are passed
-over, which loses none.
+over, which loses none.  Only texts of the sets left are shuffled.  Tables that no later
+step reads are deleted at once.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ WORDS, LEAD = 16, 4
 LOST = 1e-12
 #: Bytes of texts whose sets a task holds at once.
 SLICE = 4 << 20
+#: Sampled hashes that a task deals out at once, and those of a bucket.
+HASHES = 1 << 19
+#: Bits of the filter of wanted ids: for each id, and at most.
+ID_BITS, MOST_BITS = 16, 1 << 26
 
 
 def shingle_set(text: bytes, k: int, seed: int) -> tuple[int, np.ndarray]:
@@ -42,6 +47,99 @@ def _sampled(h: np.ndarray) -> np.ndarray:
     return h[(h & 7) < 3]
 
 
+def _repeated(h: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """For each of the pairs (h, d): whether some pair has the same h and another d."""
+    if not len(h):
+        return np.empty(0, bool)
+    order = np.lexsort((d, h))
+    h, d = h[order], d[order]
+    first = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0)
+    last = np.append(first[1:], len(h)) - 1
+    out = np.empty(len(h), bool)
+    out[order] = np.repeat(d[first] != d[last], last - first + 1)
+    return out
+
+
+def shared_hashes(sets: DataFrame, total: int, most: int = HASHES) -> DataFrame:
+    """(d, shared): how many hashes of each set stand in another set too; empty sets are left out.
+
+    ``sets`` (d, some array<long>): rows of one d have one array.  Hashes go as packed
+    arrays to buckets of about ``most``, ``total`` being their number.  Of a hash that
+    several sets of a task's chunk hold, two stand for all, and the others are counted
+    there, so that no hash, however frequent, fills its bucket.  A set that stands in
+    several chunks is counted in each, and the sum divided by their number.  A bucket tells its hashes
+    apart by 32 bits; two that agree in those count as shared, which passes over fewer sets.
+    """
+    bits = max(1, (max(total, 1) // most).bit_length())
+
+    def cells(held):
+        d = np.concatenate([np.full(len(h), d, np.int64) for d, h in held.items()])
+        h = np.concatenate(list(held.values())).view(np.uint64)
+        order = np.lexsort((d, h))
+        h, d = h[order], d[order]
+        inner = np.zeros(len(h), bool)
+        inner[1:-1] = (h[1:-1] == h[:-2]) & (h[1:-1] == h[2:])
+        known, at = np.unique(d, return_inverse=True)
+        counts = np.bincount(at[inner], minlength=len(known))
+        h, d = h[~inner], d[~inner]
+        # Hashes are in order, so each bucket is a stretch of them; what is counted goes evenly to all.
+        cut = np.searchsorted((h >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
+        of = known & ((1 << bits) - 1)
+        order = np.argsort(of, kind="stable")
+        known, counts, told = known[order], counts[order], np.searchsorted(of[order], np.arange((1 << bits) + 1))
+        low = (h >> np.uint64(3)).astype(np.uint32)  # the last three bits chose the sample
+        keep = np.flatnonzero((np.diff(cut) > 0) | (np.diff(told) > 0)).tolist()
+        columns = [[x[at[b] : at[b + 1]].tobytes() for b in keep] for x, at in ((low, cut), (d, cut), (known, told), (counts.astype(np.int64), told))]
+        return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "hashes", "names", "known", "counts"])
+
+    def deal(batches):
+        held, n = {}, 0
+        for b in batches:
+            ends, flat = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy()
+            for i, d in enumerate(b.column(0).to_pylist()):
+                if d not in held and ends[i] < ends[i + 1]:
+                    held[d] = flat[ends[i] : ends[i + 1]].copy()
+                    n += len(held[d])
+                if n >= most:
+                    yield cells(held)
+                    held, n = {}, 0
+        if held:
+            yield cells(held)
+
+    def count(table: pa.Table) -> pa.Table:
+        h, d, known, counts = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("hashes", np.uint32), ("names", np.int64), ("known", np.int64), ("counts", np.int64)))
+        d = d[_repeated(h, d)]
+        names, at = np.unique(np.concatenate((d, known)), return_inverse=True)
+        shared = np.bincount(at, np.concatenate((np.ones(len(d)), counts)), len(names)).astype(np.int64)
+        chunks = np.bincount(at[len(d) :], minlength=len(names))
+        return pa.table({"d": pa.array(names, pa.int64()), "shared": pa.array(shared, pa.int64()), "chunks": pa.array(chunks, pa.int64())})
+
+    dealt = sets.select("d", "some").mapInArrow(deal, "bucket int, hashes binary, names binary, known binary, counts binary")
+    return dealt.groupBy("bucket").applyInArrow(count, "d long, shared long, chunks long").groupBy("d").agg((F.sum("shared") / F.sum("chunks")).cast("long").alias("shared"))
+
+
+def maybe_among(rows: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` (id, text binary) whose id may be among the ids of ``wanted``: all that are, and few others.
+
+    A bit for each hashed id decides.  The bits, at most 8 MB, are sent to all tasks; with
+    over some ten million wanted ids more and more others stay.
+    """
+    bits = min(MOST_BITS, 1 << max(15, (ID_BITS * wanted.count()).bit_length()))
+    bit = F.pmod(F.xxhash64(id_col), F.lit(bits))
+    parts = wanted.select(F.shiftright(bit, 15).alias("part"), bit.bitwiseAND(32767).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
+    there = np.zeros((bits >> 15, 4096), np.uint8)
+    for r in parts:
+        there[r.part] = np.frombuffer(r.bits, np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast(there.reshape(-1))
+
+    def run(batches):
+        for b in batches:
+            at = b.column(2).to_numpy()
+            yield b.select([0, 1]).filter(pa.array((sent.value[at >> 3] >> (at & 7) & 1).astype(bool)))
+
+    return rows.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("bit")).mapInArrow(run, "id long, text binary")
+
+
 def near_links(sets: list[np.ndarray], first: int, similarity: Fraction, roots: np.ndarray) -> list[tuple[int, int]]:
     """Links between roots that connect what the pairs of a similarity of at least ``similarity`` connect.
 
@@ -140,11 +238,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d for d, _ in got], pa.int64()), pa.array([len(h) for _, h in got], pa.int64()), pa.array([_sampled(h) for _, h in got], pa.list_(pa.int64()))], ["id", "d", "n", "some"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")).where("id is not null")
-    named = work.save(rows.mapInArrow(narrow, "id long, d long, n long, some array<long>"), "sets")
-    classes = work.save(named.groupBy("d").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("members")), "classes")
-    held = named.select("d", F.explode("some").alias("h")).groupBy("h").agg(F.min("d").alias("d"), F.max("d").alias("other"))
-    lone = held.where("d = other").groupBy("d").agg(F.count("*").alias("lone"))
-    left = work.save(classes.where("n > 0").join(lone, "d", "left").where(F.coalesce("lone", F.lit(0)) <= spare).select("d", "rep"), "left")
+    made = work.save(rows.mapInArrow(narrow, "id long, d long, n long, some array<long>"), "sets")
+    named = work.save(made.select("id", "d"), "named")
+    classes = work.save(made.groupBy("d").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max(F.size("some")).alias("sampled"), F.count("*").alias("members")), "classes")
+    total = classes.agg(F.sum("sampled")).first()[0] or 0
+    lone = F.col("sampled") - F.coalesce("shared", F.lit(0))
+    left = work.save(classes.where("n > 0").join(shared_hashes(made, total), "d", "left").where(lone <= spare).select("d", "rep"), "left")
+    work.drop("sets")
 
     def wide(batches):
         for b in texts_by_bytes(batches, 2, SLICE):
@@ -155,7 +255,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             prints = [fingerprint(h.view(np.uint64), WORDS) for h in sets]
             yield pa.RecordBatch.from_arrays([b.column(0).take(picked), b.column(1).take(picked), pa.array([len(h) for h in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["d", "rep", "n", "fp", "hashes"])
 
-    texts = left.join(rows, left["rep"] == rows["id"]).select("d", "rep", "text")
+    near = maybe_among(rows, left, "rep")
+    texts = left.join(near, left["rep"] == near["id"]).select("d", "rep", "text")
     made = texts.mapInArrow(wide, "d long, rep long, n long, fp binary, hashes array<long>")
     # Only where an id has one text several times does a set stand twice.
     if not named.groupBy("id", "d").count().where("count > 1").isEmpty():
@@ -169,17 +270,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # One row for each set: `near` is unique on its node.
     members = work.save(sets.join(near, sets["rep"] == near["node"]).select("component", "rep", "n", "hashes"), "members")
+    search.clear()
+    work.drop("wide")
     counts = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / F.lit(tile_sets)), F.ceil(F.sum("n") / F.lit(tile_hashes))).cast("int").alias("tiles")).where("tiles > 1")
     dealt = lookup(members, work.save(counts, "counts"), ["component"], ["rep"]).withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     held = F.collect_list(F.struct("rep", "hashes"))
     tiles = work.save(dealt.groupBy("component", "tile", "tiles").agg(held.alias("x")).select("component", "tile", "tiles", F.col("x.rep").alias("reps"), F.col("x.hashes").alias("sets")), "tiles")
+    work.drop("members")
     tiles = work.save(_inside(tiles, like), "rooted")
+    work.drop("tiles")
     inner = tiles.select(F.inline(F.arrays_zip(F.col("reps").alias("a"), F.col("roots").alias("b")))).where("a <> b")
     split = tiles.where("tiles > 1").select("component", "tile", "tiles", "sets", "roots")
     ahead = split.where("tile < tiles - 1").select("component", F.col("sets").alias("sets_a"), F.col("roots").alias("roots_a"), F.explode(F.sequence(F.col("tile") + 1, F.col("tiles") - 1)).alias("tile"))
     pairs = ahead.join(split.drop("tiles").hint("merge"), ["component", "tile"])
     cross = _across(pairs.select("sets_a", "roots_a", "sets", "roots"), like)
-    found = components(work.save(inner.unionByName(cross), "links"), work)
+    near = work.save(inner.unionByName(cross), "links")
+    work.drop("rooted")
+    found = components(near, work)
     merged = classes.join(found, classes["rep"] == found["node"], "left").where("members > 1 or component is not null").select("d", F.coalesce("component", "rep").alias("component"))
-    out = salted_left_join(named.select("id", "d"), work.save(merged, "merged"), ["d"], ["id"])
+    out = salted_left_join(named, work.save(merged, "merged"), ["d"], ["id"])
     return out.select("id", F.coalesce("component", "id").alias("component_id"))

@@ -130,8 +130,8 @@ def links(classes: DataFrame, work: Workspace, radius: int, words: int = 1, part
     in the cell; 0 takes none, for a radius that counts cannot prune.  ``ratio``: cells
     also hold the logarithm of n to that base, and sizes further apart than the ratio
     aren't compared.  A cell with more than ``tile`` classes is cut by hash into tiles of
-    about that size (``lead`` as in ``near_pairs``); the tile pairs of one cell pair are dealt to as many tasks as it has
-    tiles, so that no cell stays in one task.
+    about that size (``lead`` as in ``near_pairs``); the tile pairs of one cell pair are dealt to about as many tasks as the
+    root of its tiles, so that no cell stays in one task, and each tile is copied as many times and not to every other tile.
     """
     bits = 64 * words
     cell = []
@@ -150,9 +150,10 @@ def links(classes: DataFrame, work: Workspace, radius: int, words: int = 1, part
     tiles = work.save(dealt.groupBy("cell", "tile", "tiles").agg(F.collect_list("rep").alias("reps"), F.collect_list("fp").alias("fps"), F.collect_list("n").alias("ns")), "tiles")
     left = tiles.select(F.col("cell").alias("home"), F.col("tile").alias("tile_a"), "reps", "fps", "ns", F.explode(F.array(*[F.array(*[F.lit(int(x)) for x in v]) for v in offsets])).alias("step"))
     left = left.select("home", "tile_a", F.col("reps").alias("reps_a"), F.col("fps").alias("fps_a"), F.col("ns").alias("ns_a"), F.zip_with("home", "step", lambda h, s: h + s).alias("cell"))
-    # A left tile meets each right tile of the cell in the task of the right tile's number.
-    left = left.join(F.broadcast(work.spark.read.parquet(f"{work.root}/cells")), "cell").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
-    pairs = left.join(tiles.drop("tiles"), ["cell", "tile"]).where((F.col("home") != F.col("cell")) | (F.col("tile_a") <= F.col("tile")))
+    # A left tile goes once to each block of right tiles, and meets those of the block there.
+    block = lambda tile: F.floor(tile / F.floor(F.sqrt("tiles"))).cast("int")
+    left = left.join(F.broadcast(work.spark.read.parquet(f"{work.root}/cells")), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), block(F.col("tiles") - 1)))).drop("tiles")
+    pairs = left.join(tiles.withColumn("block", block(F.col("tile"))).drop("tiles"), ["cell", "block"]).where((F.col("home") != F.col("cell")) | (F.col("tile_a") <= F.col("tile")))
 
     def run(batches):
         for b in batches:
