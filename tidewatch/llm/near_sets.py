@@ -30,10 +30,10 @@ WORDS, LEAD = 16, 4
 LOST = 1e-12
 #: Bytes of texts whose sets a task holds at once.
 SLICE = 4 << 20
-#: Sampled hashes that a task deals out at once, and those of a bucket.
+#: Sampled hashes of a bucket; a task deals out half as many at once.
 HASHES = 1 << 19
 #: Bits of the filter of wanted ids: for each id, and at most.
-ID_BITS, MOST_BITS = 16, 1 << 26
+ID_BITS, MOST_BITS = 16, 1 << 25
 
 
 def shingle_set(text: bytes, k: int, seed: int) -> tuple[int, np.ndarray]:
@@ -100,7 +100,7 @@ def shared_hashes(sets: DataFrame, total: int, most: int = HASHES) -> DataFrame:
                 if d not in held and ends[i] < ends[i + 1]:
                     held[d] = flat[ends[i] : ends[i + 1]].copy()
                     n += len(held[d])
-                if n >= most:
+                if n >= most // 2:
                     yield cells(held)
                     held, n = {}, 0
         if held:
@@ -119,25 +119,17 @@ def shared_hashes(sets: DataFrame, total: int, most: int = HASHES) -> DataFrame:
 
 
 def maybe_among(rows: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
-    """``rows`` (id, text binary) whose id may be among the ids of ``wanted``: all that are, and few others.
+    """``rows`` (id, text) whose id may be among the ids of ``wanted``: all that are, and few others.
 
-    A bit for each hashed id decides.  The bits, at most 8 MB, are sent to all tasks; with
-    over some ten million wanted ids more and more others stay.
+    A bit for each hashed id decides.  The bits go to all tasks as a table of at most half
+    a million words; with over some ten million wanted ids more and more others stay.
     """
-    bits = min(MOST_BITS, 1 << max(15, (ID_BITS * wanted.count()).bit_length()))
-    bit = F.pmod(F.xxhash64(id_col), F.lit(bits))
-    parts = wanted.select(F.shiftright(bit, 15).alias("part"), bit.bitwiseAND(32767).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
-    there = np.zeros((bits >> 15, 4096), np.uint8)
-    for r in parts:
-        there[r.part] = np.frombuffer(r.bits, np.uint8)
-    sent = rows.sparkSession.sparkContext.broadcast(there.reshape(-1))
-
-    def run(batches):
-        for b in batches:
-            at = b.column(2).to_numpy()
-            yield b.select([0, 1]).filter(pa.array((sent.value[at >> 3] >> (at & 7) & 1).astype(bool)))
-
-    return rows.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(bits)).alias("bit")).mapInArrow(run, "id long, text binary")
+    bits = min(MOST_BITS, 1 << max(6, (ID_BITS * wanted.count()).bit_length()))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    bit = lambda c: F.pmod(at(c), F.lit(64)).cast("int")
+    words = wanted.select(F.shiftright(at(id_col), 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(id_col)).alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    found = rows.withColumn("word", F.shiftright(at("id"), 6)).join(F.broadcast(words), "word")
+    return found.where(F.call_function("shiftleft", F.lit(1).cast("long"), bit("id")).bitwiseAND(F.col("mask")) != 0).select("id", "text")
 
 
 def near_links(sets: list[np.ndarray], first: int, similarity: Fraction, roots: np.ndarray) -> list[tuple[int, int]]:
