@@ -771,6 +771,36 @@ def test_shared_hashes_are_those_of_brute_force(spark):
     assert near_sets.shared_hashes(docs.limit(0), 0).count() == 0
 
 
+def _rows_from_python(df, name):
+    """Rows that the Python functions of all nodes of that name gave, once ``df`` has run."""
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == name:
+            found += node.metrics().apply("pythonNumRowsReceived").value()
+        todo += [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_rows_of_shared_hashes_grow_with_the_sets_and_not_with_the_buckets(spark):
+    rng = np.random.default_rng(27)
+    pool = rng.integers(-(2**63), 2**63, (251, 40))  # each set in two halves, which the sets before and after it hold
+    rows = [(d, sorted({*pool[d // 2, :20].tolist(), *pool[(d + 1) // 2, 20:].tolist()})) for d in range(500)]
+    for n in (100, 500):
+        docs = spark.createDataFrame(rows[:n], "d long, some array<long>").coalesce(1)
+        got = near_sets.shared_hashes(docs, 40 * n, 2000)
+        assert {r.d for r in got.collect()} == set(range(n))
+        assert n <= _rows_from_python(got, "FlatMapGroupsInArrow") <= 2 * n
+
+
+def test_shared_hashes_of_more_sets_than_a_chunk_has_places(spark, monkeypatch):
+    monkeypatch.setattr(near_sets, "PLACES", 7)
+    h = np.random.default_rng(28).integers(-(2**63), 2**63, 100).tolist()
+    rows = [(d, [h[d // 2], h[50 + d]]) for d in range(50)] + [(3, [h[1], h[53]])] * 9
+    got = near_sets.shared_hashes(spark.createDataFrame(rows, "d long, some array<long>"), 100).collect()
+    assert sorted((r.d, r.shared) for r in got) == [(d, 1) for d in range(50)]
+
+
 def test_the_id_filter_keeps_all_wanted_and_few_others(spark):
     rows = spark.range(-20_000, 20_000).select("id", F.col("id").cast("string").cast("binary").alias("text"))
     wanted = spark.range(-20_000, 20_000, 10).select(F.col("id").alias("rep"))

@@ -17,6 +17,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ LOST = 1e-12
 SLICE = 4 << 20
 #: Sampled hashes of a bucket; a task deals out half as many at once.
 HASHES = 1 << 19
+#: Sets that a task deals out at once, at most; a place among them takes two bytes.
+PLACES = 1 << 16
 #: Bits of the filter of wanted ids: for each id, and at most.
 ID_BITS, MOST_BITS = 16, 1 << 25
 
@@ -63,59 +66,75 @@ def _repeated(h: np.ndarray, d: np.ndarray) -> np.ndarray:
 def shared_hashes(sets: DataFrame, total: int, most: int = HASHES) -> DataFrame:
     """(d, shared): how many hashes of each set stand in another set too; empty sets are left out.
 
-    ``sets`` (d, some array<long>): rows of one d have one array.  Hashes go as packed
-    arrays to buckets of about ``most``, ``total`` being their number.  Of a hash that
-    several sets of a task's chunk hold, two stand for all, and the others are counted
-    there, so that no hash, however frequent, fills its bucket.  A set that stands in
-    several chunks is counted in each, and the sum divided by their number.  A bucket tells its hashes
-    apart by 32 bits; two that agree in those count as shared, which passes over fewer sets.
+    ``sets`` (d, some array<long>): rows of one d have one array.  Tasks take them in chunks,
+    whose hashes go as packed arrays to buckets of about ``most``, ``total`` being their number.
+    Of a hash that several sets of a chunk hold, two stand for all, and the others are counted
+    there, so that no hash, however frequent, fills its bucket.  A bucket answers each chunk
+    once, with the packed places of the sets and how many hashes of each it found shared, and
+    the chunk adds them up: a row for each set of a chunk, however many buckets there are.  A bucket tells its
+    hashes apart by 32 bits; two that agree in those count as shared, which passes over fewer sets.
     """
     bits = max(1, (max(total, 1) // most).bit_length())
 
-    def cells(held):
-        d = np.concatenate([np.full(len(h), d, np.int64) for d, h in held.items()])
+    def cells(chunk, held):
+        d, place = np.fromiter(held, np.int64, len(held)), np.repeat(np.arange(len(held)).astype(np.uint16), [len(h) for h in held.values()])
         h = np.concatenate(list(held.values())).view(np.uint64)
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
+        order = np.argsort(h, kind="stable")
+        h, place = h[order], place[order]
         inner = np.zeros(len(h), bool)
         inner[1:-1] = (h[1:-1] == h[:-2]) & (h[1:-1] == h[2:])
-        known, at = np.unique(d, return_inverse=True)
-        counts = np.bincount(at[inner], minlength=len(known))
-        h, d = h[~inner], d[~inner]
-        # Hashes are in order, so each bucket is a stretch of them; what is counted goes evenly to all.
-        cut = np.searchsorted((h >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
-        of = known & ((1 << bits) - 1)
-        order = np.argsort(of, kind="stable")
-        known, counts, told = known[order], counts[order], np.searchsorted(of[order], np.arange((1 << bits) + 1))
+        counts = np.bincount(place[inner], minlength=len(d))
+        h, place = h[~inner], place[~inner]
         low = (h >> np.uint64(3)).astype(np.uint32)  # the last three bits chose the sample
-        keep = np.flatnonzero((np.diff(cut) > 0) | (np.diff(told) > 0)).tolist()
-        columns = [[x[at[b] : at[b + 1]].tobytes() for b in keep] for x, at in ((low, cut), (d, cut), (known, told), (counts.astype(np.int64), told))]
-        return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "hashes", "names", "known", "counts"])
+        bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.lexsort((place, bucket))
+        low, bucket, place = low[order], bucket[order], place[order]
+        # A bucket's hashes of one set stand together, and the set is named once for them.
+        first = np.flatnonzero(np.diff(bucket << 16 | place, prepend=-1))
+        each, place = np.diff(np.append(first, len(low))).astype(np.uint32), place[first]
+        keep = np.unique(bucket)
+        cuts = [np.append(np.searchsorted(b, keep), len(b)) for b in (bucket, bucket[first])]
+        columns = [[x[lo:hi].tobytes() for lo, hi in zip(cut[:-1], cut[1:], strict=True)] for x, cut in ((low, cuts[0]), (d[place], cuts[1]), (place, cuts[1]), (each, cuts[1]))]
+        # What the chunk itself needs goes by one of its buckets, any one.
+        via = int(d[0]) % len(keep)
+        columns += [[x.tobytes() if b == via else b"" for b in range(len(keep))] for x in (d, counts.astype(np.int64))]
+        return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([chunk] * len(keep), pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "chunk", "hashes", "owners", "places", "each", "names", "counts"])
 
     def deal(batches):
-        held, n = {}, 0
+        chunk, held, n = TaskContext.get().partitionId() << 32, {}, 0
         for b in batches:
             ends, flat = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy()
             for i, d in enumerate(b.column(0).to_pylist()):
                 if d not in held and ends[i] < ends[i + 1]:
                     held[d] = flat[ends[i] : ends[i + 1]].copy()
                     n += len(held[d])
-                if n >= most // 2:
-                    yield cells(held)
-                    held, n = {}, 0
+                if n >= most // 2 or len(held) == PLACES:
+                    yield cells(chunk, held)
+                    chunk, held, n = chunk + 1, {}, 0
         if held:
-            yield cells(held)
+            yield cells(chunk, held)
+
+    def unpack(table, **kinds):
+        return [np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in kinds.items()]
 
     def count(table: pa.Table) -> pa.Table:
-        h, d, known, counts = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("hashes", np.uint32), ("names", np.int64), ("known", np.int64), ("counts", np.int64)))
-        d = d[_repeated(h, d)]
-        names, at = np.unique(np.concatenate((d, known)), return_inverse=True)
-        shared = np.bincount(at, np.concatenate((np.ones(len(d)), counts)), len(names)).astype(np.int64)
-        chunks = np.bincount(at[len(d) :], minlength=len(names))
-        return pa.table({"d": pa.array(names, pa.int64()), "shared": pa.array(shared, pa.int64()), "chunks": pa.array(chunks, pa.int64())})
-
-    dealt = sets.select("d", "some").mapInArrow(deal, "bucket int, hashes binary, names binary, known binary, counts binary")
-    return dealt.groupBy("bucket").applyInArrow(count, "d long, shared long, chunks long").groupBy("d").agg((F.sum("shared") / F.sum("chunks")).cast("long").alias("shared"))
+        h, d, place, each = unpack(table, hashes=np.uint32, owners=np.int64, places=np.uint16, each=np.uint32)
+        shared = np.add.reduceat(_repeated(h, np.repeat(d, each)), np.cumsum(each, dtype=np.int64) - each, dtype=np.uint32)
+        ends = np.cumsum([len(x) // 2 for x in table.column("places").to_pylist()])[:-1]
+        rows = [(p[n > 0].tobytes(), n[n > 0].tobytes()) for p, n in zip(np.split(place, ends), np.split(shared, ends), strict=True)]
+        found = table.select(["chunk", "names", "counts"])
+        for i, name in enumerate(("places", "each")):
+            found = found.append_column(name, pa.array([r[i] for r in rows], pa.binary()))
+        return found
+
+    def add(table: pa.Table) -> pa.Table:
+        d, counts, place, each = unpack(table, names=np.int64, counts=np.int64, places=np.uint16, each=np.uint32)
+        return pa.table({"d": d, "shared": counts + np.bincount(place, each, len(d)).astype(np.int64)})
+
+    dealt = sets.select("d", "some").mapInArrow(deal, "bucket int, chunk long, hashes binary, owners binary, places binary, each binary, names binary, counts binary")
+    found = dealt.groupBy("bucket").applyInArrow(count, "chunk long, names binary, counts binary, places binary, each binary")
+    # Every chunk that a set stands in counts the same for it.
+    return found.groupBy("chunk").applyInArrow(add, "d long, shared long").groupBy("d").agg(F.max("shared").alias("shared"))
 
 
 def maybe_among(rows: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
