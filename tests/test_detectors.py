@@ -208,3 +208,28 @@ def test_one_class_signs_are_those_of_the_exact_kernel(spark):
         assert abs(sum(v > 0 for v in got.values()) / len(x) - nu) < 0.02 and 0 <= state["error"] < 0.1
     same = spark.createDataFrame([(1, 2.0)] * 8, "key int, a double")
     assert all(np.isfinite(r.raw_score) for r in detectors.score_one_class(same, ["a"], detectors.fit_one_class(same, ["a"])).collect())
+
+
+def test_fits_are_the_same_bits_however_rows_are_dealt(spark):
+    rng = np.random.default_rng(21)
+    x = np.concatenate((rng.normal(3e4, 0.1, (2000, 1)), rng.lognormal(0, 3, (2000, 1)), rng.normal(size=(2000, 1)) * 1e-7), axis=1)
+    rows = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "key int, a double, b double, c double")
+    cols, fits = ["a", "b", "c"], []
+    for dealt in (rows.coalesce(1), rows.repartition(3), rows.repartition(7, "b"), rows.orderBy(F.desc("c"))):
+        scaler = detectors.fit_feature_scaler(dealt, cols)
+        mean, cov = detectors.covariance(detectors.standardize(dealt, scaler), cols)
+        fits.append((scaler, mean.tolist(), cov.tolist()))
+    assert all(f == fits[0] for f in fits)
+    scaler, mean, cov = fits[0]
+    assert np.allclose([scaler[c][0] for c in cols], x.mean(axis=0)) and np.allclose([scaler[c][1] for c in cols], x.std(axis=0))
+    assert np.allclose(cov, np.cov((x - x.mean(axis=0)) / x.std(axis=0), rowvar=False), atol=1e-9) and np.allclose(mean, 0, atol=1e-9)
+    odd = rows.withColumn("a", F.when(F.col("key") > 5, F.col("a"))).withColumn("b", F.lit(float("nan"))).withColumn("c", F.lit(2.0))
+    made = detectors.fit_feature_scaler(odd, cols)
+    assert made["a"] == (pytest.approx(x[6:, 0].mean()), pytest.approx(x[6:, 0].std())) and made["c"] == (2.0, 1.0) and np.isnan(made["b"][0])
+
+
+def test_cut_points_of_running_counts_are_drawn_once(spark):
+    rows = spark.range(3000).select((F.col("id") % 7).alias("g"), F.rand(1).alias("v"))
+    got = order.running(rows, ["g"], "v", {"n": "1"})
+    assert "percentile_approx" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.groupBy("g").agg(F.max("n_upto").alias("n"), F.count("*").alias("m")).where("n <> m").count() == 0 and got.count() == 3000

@@ -25,7 +25,8 @@ def running(df: DataFrame, groups: Sequence[str], value: str, sums: dict[str, st
     by_value = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(*[F.sum(F.expr(e)).alias(k) for k, e in sums.items()])
     cuts = by_value.groupBy(*groups).agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 2000).alias("__cuts"))
     joined = by_value.join(cuts, groups) if groups else by_value.crossJoin(F.broadcast(cuts))
-    ranged = joined.withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    # Written: cut points drawn a second time are others, and then offsets are of other ranges than the rows.
+    ranged = cut(joined.withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts"), "ranged")
     order = (F.desc if descending else F.asc)
     whole = ranged.groupBy(*groups, "__range").agg(*[F.sum(k).alias(f"__{k}") for k in sums])
     before = Window.partitionBy(*groups).orderBy(order("__range")).rowsBetween(Window.unboundedPreceding, -1)

@@ -20,10 +20,46 @@ from ..functions.scalars import mean_square
 Z = "__z"
 
 
+#: Steps of the two whole numbers that a number becomes in an exact sum, as a power of two.
+STEP = 30
+
+
+def _top(x: float) -> float:
+    """A power of two that isn't below ``x``: numbers are divided by it without rounding."""
+    return 2.0 ** np.ceil(np.log2(x)) if x > 0 else 1.0
+
+
+def _exact(sums: tuple[int, int], n: int) -> float:
+    """A mean from ``n`` and the sums of both whole numbers, rounded once."""
+    return ((int(sums[0]) << STEP) + int(sums[1])) / (n << 2 * STEP) if n else 0.0
+
+
+def _exact_means(rows: DataFrame, values: Sequence[Column]) -> list[float]:
+    """Means of numbers of size 4 at most; no order of rows or tasks changes a bit of them.
+
+    Doubles lose other bits in every order; a number is told in steps of 2 ** -60 by two
+    whole numbers here, whose sums are exact.
+    """
+    aggs, step = [], F.lit(2.0**STEP)
+    for i, v in enumerate(values):
+        high = F.rint(v * step)
+        low = F.rint((v * step - high) * step)
+        aggs += [F.sum(high.cast("long")).alias(f"h{i}"), F.sum(low.cast("long")).alias(f"l{i}"), F.count(v).alias(f"n{i}")]
+    r = rows.agg(*aggs).first()
+    return [_exact((r[f"h{i}"] or 0, r[f"l{i}"] or 0), r[f"n{i}"]) for i in range(len(values))]
+
+
 def fit_feature_scaler(rows: DataFrame, cols: Sequence[str], eps: float = 1e-9) -> dict[str, tuple[float, float]]:
-    """Mean and population deviation of each feature (1 where it hardly varies): one aggregation."""
-    r = rows.agg(*[x for c in cols for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
-    return {c: (r[f"m_{c}"] or 0.0, r[f"s_{c}"] if (r[f"s_{c}"] or 0.0) > eps else 1.0) for c in cols}
+    """Mean and population deviation of each feature (1 where it hardly varies); they are the same bits however rows are dealt."""
+    r = rows.agg(*[F.max(F.abs(c)).alias(c) for c in cols]).first()
+    # Columns that hold undefined numbers have no mean.
+    tops = {c: _top(r[c] or 0.0) for c in cols if np.isfinite(r[c] or 0.0)}
+    small = lambda c: F.col(c).cast("double") / F.lit(tops[c])
+    means = dict(zip(tops, _exact_means(rows, [small(c) for c in tops]), strict=True)) if tops else {}
+    off = [small(c) - F.lit(m) for c, m in means.items()]
+    more = _exact_means(rows, [*[d * d for d in off], *off]) if tops else []
+    scale = {c: tops[c] * float(np.sqrt(max(more[i] - more[i + len(tops)] ** 2, 0.0))) for i, c in enumerate(tops)}
+    return {c: (tops[c] * means[c], scale[c] if scale[c] > eps else 1.0) if c in tops else (float("nan"), 1.0) for c in cols}
 
 
 def standardize(rows: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataFrame:
@@ -39,26 +75,38 @@ class PCA:
 
 
 def covariance(rows: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and sample covariance: each task sums outer products, and sums meet by matrix entry."""
-    d = len(cols)
-
-    def sums(batches):
-        n, s, p = 0, np.zeros(d), np.zeros((d, d))
-        for f in batches:
-            x = f.to_numpy(float)
-            n, s, p = n + len(x), s + x.sum(axis=0), p + x.T @ x
-        i, j = np.triu_indices(d)
-        yield pd.DataFrame({"i": np.concatenate(([-1], np.full(d, -2), i)), "j": np.concatenate(([0], np.arange(d), j)), "v": np.concatenate(([n], s, p[i, j]))})
-
-    total = rows.select(*cols).mapInPandas(sums, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    got = {(r["i"], r["j"]): r["v"] for r in total}
-    n = max(got.get((-1, 0), 0.0), 1.0)
-    mean = np.array([got.get((-2, k), 0.0) for k in range(d)]) / n
+    """Mean and sample covariance: each task sums outer products exactly (see ``_exact_means``), and sums meet by matrix entry."""
+    d, names = len(cols), list(cols)
+    top = lambda c: F.max(F.abs(F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))))
+    sizes = rows.agg(F.count("*").alias("n"), *[top(c).alias(f"t{i}") for i, c in enumerate(names)]).first()
+    n, seen = sizes["n"], np.array([sizes[f"t{i}"] or 0.0 for i in range(d)], float)
+    if not n or not np.isfinite(seen).all():
+        return np.full(d, 0.0 if not n else np.nan), np.full((d, d), 0.0 if not n else np.nan)
+    tops, (i, j) = np.array([_top(t) for t in seen]), np.triu_indices(d)
+
+    def sums(about):
+        def run(batches):
+            total = np.zeros((2, d if about is None else len(i)), np.int64)
+            for f in batches:
+                x = f[names].to_numpy(float) / tops
+                for a in range(0, len(x), 512):
+                    v = x[a : a + 512]
+                    if about is not None:
+                        v = v - about
+                        v = v[:, i] * v[:, j]
+                    v = v * 2.0**STEP
+                    high = np.rint(v)
+                    total += np.stack((high.sum(axis=0), np.rint((v - high) * 2.0**STEP).sum(axis=0))).astype(np.int64)
+            yield pd.DataFrame({"at": np.arange(total.shape[1]), "high": total[0], "low": total[1]})
+
+        got = rows.select(*names).mapInPandas(run, "at long, high long, low long").groupBy("at").agg(F.sum("high").alias("high"), F.sum("low").alias("low")).collect()
+        return np.array([_exact((r["high"], r["low"]), n) for r in sorted(got)])
+
+    mean = sums(None)
     cov = np.empty((d, d))
-    for i in range(d):
-        for j in range(i, d):
-            cov[i, j] = cov[j, i] = (got.get((i, j), 0.0) - n * mean[i] * mean[j]) / max(n - 1, 1)
-    return mean, cov
+    cov[i, j] = sums(mean) * (n / max(n - 1, 1)) * tops[i] * tops[j]
+    cov[j, i] = cov[i, j]
+    return mean * tops, cov
 
 
 def fit_pca(rows: DataFrame, cols: Sequence[str], variance: float = 0.9) -> PCA:
