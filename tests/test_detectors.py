@@ -233,3 +233,29 @@ def test_cut_points_of_running_counts_are_drawn_once(spark):
     got = order.running(rows, ["g"], "v", {"n": "1"})
     assert "percentile_approx" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert got.groupBy("g").agg(F.max("n_upto").alias("n"), F.count("*").alias("m")).where("n <> m").count() == 0 and got.count() == 3000
+
+
+def test_spread_rows_and_copies_meet_few_others(spark):
+    rng = np.random.default_rng(22)
+    x = np.tile(rng.normal(size=(1500, 5)), (4, 1))
+    ref = points(spark, x).repartition(3)
+    rows = detectors.nearest(ref, ref, 10, True).collect()
+    want = by_hand(x, np.arange(len(x)), [x[r.id] for r in rows[:60]], 10, [r.id for r in rows[:60]])
+    assert all(r.near == near and np.allclose(r.dist, dist) for r, (near, dist) in zip(rows, want, strict=False))
+    assert len(rows) == len(x) and sum(r.met for r in rows) < 0.5 * len(x) ** 2
+
+
+def test_outlier_factors_take_ties_by_other_columns(spark):
+    # On a grid many neighbours are equally far; those of the least key count, however rows are dealt.
+    x = np.stack(np.meshgrid(range(9), range(9)), axis=-1).reshape(-1, 2) ** 1.5
+    rows = spark.createDataFrame([(f"w{i:03d}", *map(float, v)) for i, v in enumerate(x)], "key string, a double, b double")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    far = d + np.where(np.eye(len(x)) > 0, np.inf, 0)
+    near, k = np.argsort(far, axis=1, kind="stable")[:, :6], 6
+    kd = np.take_along_axis(far, near, axis=1)[:, -1]
+    lrd = 1 / (np.maximum(np.take_along_axis(far, near, axis=1), kd[near]).mean(axis=1) + 1e-10)
+    at = np.argsort(d, axis=1, kind="stable")[:, :k]
+    want = lrd[at].mean(axis=1) * (np.maximum(np.take_along_axis(d, at, axis=1), kd[at]).mean(axis=1) + 1e-10)
+    for dealt in (rows, rows.orderBy(F.desc("key")).coalesce(1), rows.repartition(5)):
+        got = {r.key: r.raw_score for r in detectors.score_lof(rows, ["a", "b"], detectors.fit_lof(dealt, ["a", "b"], k)).collect()}
+        assert np.allclose([got[f"w{i:03d}"] for i in range(len(x))], want)

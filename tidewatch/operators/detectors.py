@@ -284,175 +284,375 @@ def _schema(rows: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", raw_score double"
 
 
-def _in_cells(rows: DataFrame, points: np.ndarray) -> DataFrame:
-    """``rows`` (..., x) with ``cell``, the number of the nearest pivot, and ``r``, its distance."""
-    sent, names = rows.sparkSession.sparkContext.broadcast(points), list(rows.columns)
+def _middle(v: np.ndarray) -> int:
+    """How many of some sorted numbers go left: up to a wide gap in their middle half, or else half of them."""
+    a, b = max(1, len(v) // 4), max(2, len(v) - len(v) // 4)
+    gaps = v[a:b] - v[a - 1 : b - 1]
+    at = int(gaps.argmax())
+    return a + at if gaps[at] > 0.05 * (v[-1] - v[0]) else len(v) // 2
+
+
+def _groups(x: np.ndarray, most: int) -> list[np.ndarray]:
+    """Numbers of rows in groups of at most ``most``: parted along the widest axis until they fit, neighbours side by side."""
+    out, todo = [], [np.arange(len(x))] if len(x) else []
+    while todo:
+        at = todo.pop()
+        if len(at) <= most:
+            out.append(at)
+            continue
+        axis = np.ptp(x[at], axis=0).argmax()
+        order = np.argsort(x[at, axis], kind="stable")
+        half = _middle(x[at[order], axis])
+        todo += [at[order[half:]], at[order[:half]]]
+    return out
+
+
+def _cells(sample: np.ndarray, many: int) -> tuple[np.ndarray, ...]:
+    """(axis, edge, left, cell) of the nodes of a tree that parts a sample along its widest axis into about ``many`` cells.
+
+    axis is -1 at leaves; the right child, of values above the edge, stands after the left
+    one; cells are numbered from left to right, so that neighbours have near numbers.
+    """
+    axis, edge, left, path, todo = [-1], [0.0], [0], [0.0], [(0, np.arange(len(sample)), 0.0, 0.5)]
+    while todo:
+        node, at, place, step = todo.pop(0)
+        wide = np.ptp(sample[at], axis=0) if len(at) else np.zeros(1)
+        if len(axis) + 2 > 2 * many or not wide.max() > 0:
+            continue
+        a = int(wide.argmax())
+        v = np.sort(sample[at, a])
+        middle = v[_middle(v) - 1]
+        middle = middle if middle < v[-1] else v[v < v[-1]][-1]  # both sides hold a row
+        axis[node], edge[node], left[node] = a, middle, len(axis)
+        for side, rows in enumerate((at[sample[at, a] <= middle], at[sample[at, a] > middle])):
+            todo.append((len(axis), rows, place + side * step, step / 2))
+            axis, edge, left, path = [*axis, -1], [*edge, 0.0], [*left, 0], [*path, place + side * step]
+    axis, cell = np.array(axis), np.full(len(axis), -1)
+    ends = np.flatnonzero(axis < 0)
+    cell[ends[np.argsort(np.array(path)[ends], kind="stable")]] = np.arange(len(ends))
+    return axis, np.array(edge), np.array(left), cell
+
+
+def _cell_of(x: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
+    axis, edge, left, cell = tree
+    node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+    while (axis[node] >= 0).any():
+        at = axis[node]
+        node = np.where(at < 0, node, left[node] + (x[rows, np.maximum(at, 0)] > edge[node]))
+    return cell[node]
+
+
+def _in_cells(rows: DataFrame, tree: tuple[np.ndarray, ...]) -> DataFrame:
+    """``rows`` (..., x) with ``cell``."""
+    sent, names = rows.sparkSession.sparkContext.broadcast(tree), list(rows.columns)
 
     def run(batches):
-        p = sent.value
         for f in batches:
-            x = np.stack(f["x"]).astype(float) if len(f) else np.empty((0, p.shape[1]))
-            cell, r = np.empty(len(x), np.int64), np.empty(len(x))
-            for a in range(0, len(x), 256):
-                part = slice(a, a + 256)
-                d = np.sqrt(((x[part, None, :] - p[None, :, :]) ** 2).sum(axis=2))
-                cell[part] = d.argmin(axis=1)
-                r[part] = d[np.arange(len(d)), cell[part]]
-            yield f[names].assign(cell=cell, r=r)
+            if len(f):
+                yield f[names].assign(cell=_cell_of(np.stack(f["x"]).astype(float), sent.value))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInPandas(run, f"{schema}, cell long, r double")
+    return rows.mapInPandas(run, f"{schema}, cell long")
+
+
+LEAF = "cell long, lo array<double>, hi array<double>, rows long, points binary, counts binary, ids binary, extra binary"
+
+
+def _leaves(points: DataFrame, carry: Sequence[str], most: int) -> DataFrame:
+    """Reference vectors packed by place, a row for at most ``most`` of a cell: their box and, as bytes, vectors, ids and ``carry``."""
+
+    def run(batches):
+        def packed(frames):
+            f = pd.concat(frames, ignore_index=True)
+            x = np.stack(f["x"]).astype(float)
+            for at in _groups(x, most):
+                ids = [np.asarray(v, np.int64) for v in f["ids"].iloc[at]]
+                extra = f[list(carry)].to_numpy(float)[at] if carry else np.empty((len(at), 0))
+                yield f["cell"].iloc[0], x[at].min(axis=0), x[at].max(axis=0), len(at), x[at].tobytes(), np.array([len(v) for v in ids], np.int64).tobytes(), np.concatenate(ids).tobytes(), extra.tobytes()
+
+        names, held = [c.split()[0] for c in LEAF.split(", ")], []
+        for f in batches:
+            for _, part in f.groupby("cell", sort=False):
+                if held and held[-1]["cell"].iloc[0] != part["cell"].iloc[0]:
+                    yield pd.DataFrame(list(packed(held)), columns=names)
+                    held = []
+                held.append(part)
+        if held:
+            yield pd.DataFrame(list(packed(held)), columns=names)
 
+    return points.repartition("cell").sortWithinPartitions("cell").mapInPandas(run, LEAF)
 
-def _shells(points: np.ndarray, given: DataFrame, asked: DataFrame, k: int, block: int) -> pd.DataFrame:
-    """(cell, asked, blocks, least, gap): rows of reference ``cell`` at least ``least`` from its pivot meet the queries of cell ``asked``.
 
-    No neighbour is lost: the k-th neighbour of any query of a cell is within ``bound``, the
-    k-th least of (radius of the cell's queries + distance of pivots + a row's own radius),
-    and by the triangle inequality a row nearer to its pivot than ``least`` is beyond it.
-    All tables here have a row for each cell, or k, or a pair of cells: their sizes are parameters.
+def _boxes(rows: DataFrame, low: str, high: str, count: Column, d: int) -> tuple[np.ndarray, ...]:
+    """(cell, lows, highs, count) of the cells of ``rows``: their number is a parameter."""
+    edges = [f(F.col(c)[i]).alias(f"{n}{i}") for n, c, f in (("l", low, F.min), ("h", high, F.max)) for i in range(d)]
+    got = rows.groupBy("cell").agg(count.alias("n"), *edges).toPandas().sort_values("cell")
+    return got["cell"].to_numpy(), got[[f"l{i}" for i in range(d)]].to_numpy(float), got[[f"h{i}" for i in range(d)]].to_numpy(float), got["n"].to_numpy()
+
+
+def _least_gap(lo: np.ndarray, hi: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+    """Least distance of a box from each of some boxes."""
+    return np.sqrt((np.maximum(0.0, np.maximum(lows - hi, lo - highs)) ** 2).sum(axis=1))
+
+
+def _tiles(given: tuple, asked: tuple, want: int, block: int, most: int, tasks: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(cell, first, blocks) of the cells of queries, and (cell, first, blocks, gap): which cells of the reference a tile's blocks meet.
+
+    A tile is a stretch of cells with about ``block`` queries, more where ``tasks`` tiles
+    would not hold all, but no more than ``most`` in a block of it.  No neighbour is lost:
+    the cells nearest to a tile that hold ``want`` vectors bound, by the greatest distance
+    of boxes, how far a neighbour of any query can be.
     """
-    order = F.row_number().over(Window.partitionBy("cell").orderBy("r"))
-    inner = given.select("cell", "r").withColumn("__r", order).where(F.col("__r") <= k).select("cell", "r").toPandas()
-    radius = given.groupBy("cell").agg(F.max("r").alias("radius")).toPandas().set_index("cell")["radius"]
-    wanted = asked.groupBy("cell").agg(F.max("r").alias("radius"), F.ceil(F.count("*") / F.lit(block)).alias("blocks")).toPandas().sort_values("cell")
-    gaps = np.sqrt(((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2))
-    cells, ends = radius.index.to_numpy(), radius.to_numpy()
-    out = []
-    for i, far, blocks in wanted.itertuples(index=False):
-        reach = far + gaps[i, inner["cell"].to_numpy()] + inner["r"].to_numpy()
-        bound = np.partition(reach, k - 1)[k - 1] if len(reach) > k else reach.max(initial=0.0)
-        # Sums and roots are rounded: a margin keeps rows at the very edge.
-        least = gaps[i, cells] - far - bound - 1e-9 * (1 + gaps[i, cells] + far + bound)
-        meets = least <= ends
-        out.append(pd.DataFrame({"cell": cells[meets], "asked": i, "blocks": blocks, "least": least[meets], "gap": gaps[i, cells][meets]}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"cell": [], "asked": [], "blocks": [], "least": [], "gap": []})
-
-
-def _merge(k: int, best: tuple, x: np.ndarray, ids: np.ndarray, y: np.ndarray) -> tuple:
-    """The k nearest, by (distance, id), of each query so far and of rows ``y``: arrays (distances, ids) of infinities and largest ids where there are fewer."""
-    dist, near = best
-    margin = 1e-11 * ((x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None, :])
-    far = (x**2).sum(axis=1)[:, None] - 2 * x @ y.T + (y**2).sum(axis=1)[None, :]
-    # All that may be at or below the k-th distance, ties and rounding included.
-    limit = dist[:, -1] ** 2
-    if len(y) > k:
-        limit = np.minimum(limit, np.partition(far + margin, k - 1, axis=1)[:, k - 1])
-    q, j = np.nonzero(far - margin <= (limit * (1 + 1e-12))[:, None])
-    d = np.sqrt(((x[q] - y[j]) ** 2).sum(axis=1))
-    q, d, n = np.concatenate((np.repeat(np.arange(len(x)), k), q)), np.concatenate((dist.ravel(), d)), np.concatenate((near.ravel(), ids[j]))
-    order = np.lexsort((n, d, q))
-    q = q[order]
-    first = np.searchsorted(q, np.arange(len(x)))
-    pick = order[(first[:, None] + np.arange(k)).ravel()]
-    return d[pick].reshape(-1, k), n[pick].reshape(-1, k)
-
-
-def _far_apart(x: np.ndarray, many: int) -> np.ndarray:
-    """At most ``many`` rows: the first, and then always the one farthest from those taken, so that every cluster has some."""
-    taken, away = [0], ((x - x[0]) ** 2).sum(axis=1)
-    while len(taken) < many and away.max() > 0:
-        taken.append(int(away.argmax()))
-        away = np.minimum(away, ((x - x[taken[-1]]) ** 2).sum(axis=1))
-    return x[taken]
-
-
-def nearest(reference: DataFrame, queries: DataFrame, k: int, other: bool, block: int = 1024, most_pivots: int = 512, seed: int = 42) -> DataFrame:
-    """(id, near array<long>, dist array<double>, met): the exact ``k`` nearest reference rows of every query, least id on ties.
+    cells, lows, highs, counts = given
+    at, qlo, qhi, many = asked
+    size = min(most, max(block, -(-int(many.sum()) // tasks)))
+    asks, gives, first, start = [], [], 0, 0
+    while start < len(at):
+        stop = start + max(1, int(np.searchsorted(np.cumsum(many[start:]), size, side="right")))
+        blocks = -(-int(many[start:stop].sum()) // most)
+        lo, hi = qlo[start:stop].min(axis=0), qhi[start:stop].max(axis=0)
+        far = np.sqrt((np.maximum(np.abs(hi - lows), np.abs(highs - lo)) ** 2).sum(axis=1))
+        order = np.argsort(far)
+        enough = np.searchsorted(np.cumsum(counts[order]), want)
+        bound = far[order[enough]] if enough < len(order) else np.inf
+        gap = _least_gap(lo, hi, lows, highs)
+        near = gap <= bound * (1 + 1e-9)
+        asks.append(pd.DataFrame({"cell": at[start:stop], "first": first, "blocks": blocks}))
+        gives.append(pd.DataFrame({"cell": cells[near], "first": first, "blocks": blocks, "gap": gap[near]}))
+        first, start = first + blocks, stop
+    return pd.concat(asks, ignore_index=True), pd.concat(gives, ignore_index=True)
 
-    Both have columns (id long, x array<double>).  ``other``: a row isn't its own
-    neighbour.  ``met``: how many reference rows the query was compared with.
 
-    Of equal reference rows only the k (or k + 1) of least id can be neighbours, and equal
-    queries have equal neighbours, so both are reduced to distinct vectors first.  Cells
-    about at most ``most_pivots`` pivots, the square root of the rows otherwise, then tell
-    which reference rows a cell's queries can need (see ``_shells``); those alone are sent
-    to its blocks of about ``block`` queries, nearest cells first, and merged as a stream.
+@dataclass
+class _Slab:
+    """Reference vectors of some leaves: boxes and starts of the leaves, vectors, and the ids and carried values of each."""
+
+    lows: np.ndarray
+    highs: np.ndarray
+    starts: np.ndarray
+    x: np.ndarray
+    counts: np.ndarray
+    place: np.ndarray
+    ids: np.ndarray
+    extra: np.ndarray
+
+
+def _slab(f: pd.DataFrame, d: int) -> _Slab:
+    read = lambda c, t: np.concatenate([np.frombuffer(v, t) for v in f[c]])
+    x, counts = read("points", float).reshape(-1, d), read("counts", np.int64)
+    place = np.concatenate(([0], np.cumsum(counts)))
+    return _Slab(np.stack(f["lo"]).astype(float), np.stack(f["hi"]).astype(float), np.concatenate(([0], np.cumsum(f["rows"].to_numpy(np.int64)))), x, counts, place, read("ids", np.int64), read("extra", float).reshape(len(x), -1))
+
+
+def _hits(x: np.ndarray, y: np.ndarray, limit: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of all pairs within ``limit`` (squared), or within the ``want``-th least where that is less, and some beyond.
+
+    Distances are of single precision and, by more than their error, too low.
+    """
+    middle = x.mean(axis=0)
+    a, b = x - middle, y - middle
+    unit = _top(float(max(np.abs(a).max(), np.abs(b).max())))
+    a, b = a / unit, b / unit
+    less = 1 - (x.shape[1] + 8) * 2.0**-21
+    left = np.column_stack((-2 * a, less * (a * a).sum(axis=1), np.ones(len(a)))).astype(np.float32)
+    right = np.column_stack((b, np.ones(len(b)), less * (b * b).sum(axis=1))).astype(np.float32)
+    far = left @ right.T
+    limit = limit / unit / unit
+    if np.isinf(limit).any() and len(y) > want:
+        at = np.flatnonzero(np.isinf(limit))
+        # What the least can be too low by, twice, as the limit is met with values that are.
+        over = 4 * (1 - less) * ((a[at] * a[at]).sum(axis=1) + (b * b).sum(axis=1).max())
+        limit[at] = np.maximum(np.partition(far[at], want - 1, axis=1)[:, want - 1], 0) + over
+    return np.nonzero(far <= (limit * (1 + 1e-6) + 1e-37).astype(np.float32)[:, None])
+
+
+def _meet(x: np.ndarray, best: list[np.ndarray], met: np.ndarray, slab: _Slab) -> None:
+    """Merge a slab's rows into the nearest of a group of queries: ``best`` has distances, ids and carried values, by (distance, id).
+
+    Leaves come nearest first; a query leaves off where the next leaf is beyond its last neighbour.
+    """
+    want, d = best[0].shape[1], x.shape[1]
+    gap = _least_gap(x.min(axis=0), x.max(axis=0), slab.lows, slab.highs)
+    order = np.argsort(gap, kind="stable")
+    sizes = np.diff(slab.starts)[order]
+    upto, at, many = np.cumsum(sizes), 0, 2 * want
+    while at < len(order):
+        live = np.flatnonzero(best[0][:, -1] * (1 + 1e-9) >= gap[order[at]])
+        if not len(live):
+            break
+        stop = min(len(order), at + max(1, int(np.searchsorted(upto[at:], (upto[at - 1] if at else 0) + many))))
+        # Of the next leaves and the queries, those of which any may hold a neighbour of any.
+        leaves, last = order[at:stop], best[0][live, -1] * (1 + 1e-9)
+        leaves = leaves[gap[leaves] <= last.max()]
+        away = np.zeros((len(live), len(leaves)))
+        for c in range(d):
+            away += np.maximum(0.0, np.maximum(slab.lows[leaves, c] - x[live, c, None], x[live, c, None] - slab.highs[leaves, c])) ** 2
+        needed = away <= (last * last)[:, None]
+        leaves, live = leaves[needed.any(axis=0)], live[needed.any(axis=1)]
+        at, many = stop, min(4 * many, 8192)
+        if not len(live):
+            continue
+        rows = np.concatenate([np.arange(slab.starts[i], slab.starts[i + 1]) for i in leaves])
+        y = slab.x[rows]
+        met[live] += slab.counts[rows].sum()
+        for a in range(0, len(live), 256):
+            part = live[a : a + 256]
+            q, j = _hits(x[part], y, best[0][part, -1] ** 2, want)
+            dist = np.zeros(len(q))
+            for c in range(d):
+                dist += (x[part[q], c] - y[j, c]) ** 2
+            dist = np.sqrt(dist)
+            keep = dist <= best[0][part[q], -1]
+            q, j, dist = q[keep], rows[j[keep]], dist[keep]
+            times = slab.counts[j]
+            each = np.repeat(slab.place[j] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            old = len(part) * want
+            q = np.concatenate((np.repeat(np.arange(len(part)), want), np.repeat(q, times)))
+            dist = np.concatenate((best[0][part].ravel(), np.repeat(dist, times)))
+            ids = np.concatenate((best[1][part].ravel(), slab.ids[each]))
+            sort = np.lexsort((ids, dist, q))
+            pick = sort[(np.searchsorted(q[sort], np.arange(len(part)))[:, None] + np.arange(want)).ravel()]
+            extra = np.where((pick < old)[:, None], best[2][part].reshape(old, -1)[np.minimum(pick, old - 1)], slab.extra[np.repeat(j, times)[np.maximum(pick - old, 0)]] if len(j) else 0.0)
+            best[0][part], best[1][part], best[2][part] = dist[pick].reshape(-1, want), ids[pick].reshape(-1, want), extra.reshape(len(part), want, -1)
+
+
+def _lists(dist: np.ndarray, ids: np.ndarray, extra: np.ndarray) -> dict:
+    whole = np.isfinite(dist)
+    return {"near": [i[f] for i, f in zip(ids, whole, strict=True)], "dist": [v[f] for v, f in zip(dist, whole, strict=True)]}
+
+
+def _neighbours(points: DataFrame, queries: DataFrame, want: int, carry: Sequence[str] = (), finish: Callable = _lists, columns: str = "near array<long>, dist array<double>", block: int = 1024, most_cells: int = 512, seed: int = 42, most: int = 65_536) -> DataFrame:
+    """(x, ``columns``, met) of every distinct vector of ``queries``: what ``finish`` makes of its ``want`` nearest reference rows.
+
+    ``points``: (x, ids, ``carry``), a row for each distinct reference vector with the least
+    ids of its rows, ``want`` at most.  Cells come from a bounded sample; boxes of cells tell
+    which packed leaves of the reference (see ``_leaves``) a tile of queries can need.  A
+    task holds a block of at most ``most`` queries and a slab of the reference at a time;
+    groups of its queries meet leaves, nearest first, until none can hold a neighbour.
+    ``met``: how many reference rows a query was compared with.
     """
     from ..sources.scratch import cut
 
-    spark, want = reference.sparkSession, k + 1 if other else k
-    order = F.row_number().over(Window.partitionBy("x").orderBy("id"))
-    points = cut(reference.select("id", "x").withColumn("__r", order).where(F.col("__r") <= want).drop("__r"), "near_points")
-    n = points.count()
-    if not n:
-        none = queries.select("id", F.array().cast("array<long>").alias("near"), F.array().cast("array<double>").alias("dist"), F.lit(0).cast("long").alias("met"))
-        return none
-    many = min(most_pivots, int(np.ceil(np.sqrt(n))))
-    # A bounded sample by hash, of which each next pivot is the farthest from those before it.
-    drawn = points.groupBy("x").agg(F.min("id").alias("id")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(8 * many)
-    pivots = _far_apart(np.array([r[0] for r in drawn.select("x").collect()], float), many)
-    given, asked = cut(_in_cells(points, pivots), "near_reference"), cut(_in_cells(queries.select("x").distinct(), pivots), "near_queries")
-    shells = spark.createDataFrame(_shells(pivots, given, asked, want, block).astype({"cell": "int64", "asked": "int64", "blocks": "int64", "least": "float64", "gap": "float64"}), "cell long, asked long, blocks long, least double, gap double")
-    sizes = F.broadcast(shells.select("asked", "blocks").distinct().withColumnRenamed("asked", "cell"))
-    asks = asked.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("x"), F.col("blocks")).alias("b"), F.lit(-1.0).alias("gap"), F.lit(0).cast("long").alias("id"), "x")
-    gives = given.join(F.broadcast(shells), "cell").where(F.col("r") >= F.col("least"))
-    gives = gives.select(F.col("asked").alias("cell"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"), "gap", "id", "x")
-    dealt = asks.unionByName(gives).repartition("cell", "b").sortWithinPartitions("cell", "b", "gap", "id")
+    spark, n = points.sparkSession, points.count()
+    many = min(most_cells, int(np.ceil(np.sqrt(n))))
+    drawn = points.orderBy(F.xxhash64(F.col("ids")[0], F.lit(seed)), F.col("ids")[0]).limit(8 * many)
+    sample = np.array([r[0] for r in drawn.select("x").collect()], float)
+    d, tree = sample.shape[1], _cells(sample, many)
+    size = int(np.clip(np.sqrt(n) / 2, 16, 256))
+    leaves = cut(_leaves(_in_cells(points.select("x", "ids", *carry), tree), carry, size), "near_leaves")
+    asked = cut(_in_cells(queries.select("x").distinct(), tree), "near_queries")
+    given, wanted = _boxes(leaves, "lo", "hi", F.sum("rows"), d), _boxes(asked, "x", "x", F.count("*"), d)
+    if not len(wanted[0]):
+        return spark.createDataFrame([], f"x array<double>, {columns}, met long")
+    asks, gives = _tiles(given, wanted, want, block, most, 4 * spark.sparkContext.defaultParallelism)
+    total = int((asks["first"] + asks["blocks"]).max())
+    asks = F.broadcast(spark.createDataFrame(asks.astype("int64"), "cell long, first long, blocks long"))
+    gives = F.broadcast(spark.createDataFrame(gives.astype({"cell": "int64", "first": "int64", "blocks": "int64", "gap": "float64"}), "cell long, first long, blocks long, gap double"))
+    leaf = [c.split()[0] for c in LEAF.split(", ")][1:]
+    left = asked.join(asks, "cell").select((F.col("first") + F.pmod(F.xxhash64("x"), F.col("blocks"))).cast("int").alias("block"), F.lit(-1.0).alias("gap"), "x")
+    right = leaves.join(gives, "cell").select(F.explode(F.sequence(F.col("first").cast("int"), (F.col("first") + F.col("blocks") - 1).cast("int"))).alias("block"), "gap", *leaf)
+    dealt = left.unionByName(right, allowMissingColumns=True).repartitionById(total, "block").sortWithinPartitions("block", "gap")
 
     def run(batches):
-        key, held, best, met = None, [], None, 0
+        key, held, parts, best, met, waiting, rows = None, [], [], None, None, [], 0
+
+        def meet():
+            nonlocal waiting, rows, held, parts, best, met
+            if best is None:
+                held = np.concatenate(held)
+                parts = _groups(held, int(np.clip(np.sqrt(len(held)), 32, 256)))
+                best = [np.full((len(held), want), np.inf), np.full((len(held), want), np.iinfo(np.int64).max), np.zeros((len(held), want, len(carry)))]
+                met = np.zeros(len(held), np.int64)
+            slab = _slab(pd.concat(waiting, ignore_index=True), d)
+            for at in parts:
+                mine, seen = [b[at] for b in best], met[at]
+                _meet(held[at], mine, seen, slab)
+                for b, m in zip(best, mine, strict=True):
+                    b[at] = m
+                met[at] = seen
+            waiting, rows = [], 0
 
         def done():
-            dist, near = best
-            whole = [np.isfinite(d) for d in dist]
-            return pd.DataFrame({"x": list(held), "near": [i[f] for i, f in zip(near, whole, strict=True)], "dist": [d[f] for d, f in zip(dist, whole, strict=True)], "met": met})
+            if waiting:
+                meet()
+            for a in range(0, len(held), 8192):
+                part = slice(a, a + 8192)
+                yield pd.DataFrame({"x": list(held[part]), **finish(*[b[part] for b in best]), "met": met[part]})
 
         for f in batches:
-            if not len(f):
-                continue
-            x, cell, b, gap, ids = np.stack(f["x"]).astype(float), *[f[c].to_numpy() for c in ("cell", "b", "gap", "id")]
-            edges = np.flatnonzero((np.diff(cell) != 0) | (np.diff(b) != 0) | ((gap[1:] < 0) != (gap[:-1] < 0))) + 1
-            for lo, hi in zip([0, *edges], [*edges, len(f)], strict=True):
-                if (cell[lo], b[lo]) != key:
-                    if key is not None:
-                        yield done()
-                    key, held, best, met = (cell[lo], b[lo]), np.empty((0, x.shape[1])), None, 0
-                if gap[lo] < 0:
-                    held = np.concatenate((held, x[lo:hi]))
-                    best = np.full((len(held), want), np.inf), np.full((len(held), want), np.iinfo(np.int64).max)
-                    continue
-                for a in range(lo, hi, 1024):
-                    part = slice(a, min(a + 1024, hi))
-                    for c in range(0, len(held), 256):
-                        at = slice(c, c + 256)
-                        best[0][at], best[1][at] = _merge(want, (best[0][at], best[1][at]), held[at], ids[part], x[part])
-                met += hi - lo
-        if key is not None:
-            yield done()
-
-    found = cut(dealt.mapInPandas(run, "x array<double>, near array<long>, dist array<double>, met long"), "near_found")
-    joined = queries.select("id", "x").join(found, "x")
+            for now, g in f.groupby("block", sort=False):
+                if now != key:
+                    if key is not None and len(held):
+                        yield from done()
+                    key, held, parts, best, met, waiting, rows = now, [], [], None, None, [], 0
+                ask = (g["gap"] < 0).to_numpy()
+                if ask.any():
+                    held.append(np.stack(g["x"][ask]).astype(float))
+                if not ask.all() and len(held):
+                    waiting.append(g[~ask].drop(columns="x"))
+                    rows += int(waiting[-1]["rows"].sum())
+                    if rows > 400_000:
+                        meet()
+        if key is not None and len(held):
+            yield from done()
+
+    return cut(dealt.mapInPandas(run, f"x array<double>, {columns}, met long"), "near_found")
+
+
+def nearest(reference: DataFrame, queries: DataFrame, k: int, other: bool, block: int = 1024, most_cells: int = 512, seed: int = 42) -> DataFrame:
+    """(id, near array<long>, dist array<double>, met): the exact ``k`` nearest reference rows of every query, least id on ties.
+
+    Both have columns (id long, x array<double>).  ``other``: a row isn't its own
+    neighbour.  ``met``: how many reference rows the query was compared with.
+
+    Of equal reference rows only the k (or k + 1) of least id can be neighbours, and equal
+    queries have equal neighbours, so both are reduced to distinct vectors first; see ``_neighbours``.
+    """
+    from ..sources.scratch import cut
+
+    want = k + 1 if other else k
+    order = F.row_number().over(Window.partitionBy("x").orderBy("id"))
+    least = reference.select("id", "x").withColumn("__r", order).where(F.col("__r") <= want)
+    points = cut(least.groupBy("x").agg(F.sort_array(F.collect_list("id")).alias("ids")), "near_points")
+    if points.isEmpty():
+        return queries.select("id", F.array().cast("array<long>").alias("near"), F.array().cast("array<double>").alias("dist"), F.lit(0).cast("long").alias("met"))
+    joined = queries.select("id", "x").join(_neighbours(points, queries, want, block=block, most_cells=most_cells, seed=seed), "x")
     if not other:
         return joined.select("id", "near", "dist", "met")
     rest = F.slice(F.filter(F.arrays_zip(F.col("near"), F.col("dist")), lambda z: z["near"] != F.col("id")), 1, k)
     return joined.select("id", rest.alias("z"), "met").select("id", F.col("z.near").alias("near"), F.col("z.dist").alias("dist"), "met")
 
 
-def _reach(near: DataFrame, stats: DataFrame, *more) -> DataFrame:
-    """By query id: the mean reachability distance to its neighbours, and ``more`` aggregates over them."""
-    one = near.select("id", F.inline(F.arrays_zip(F.col("near").alias("other"), F.col("dist").alias("d"))))
-    joined = one.join(stats.withColumnRenamed("id", "other"), "other")
-    return joined.groupBy("id").agg(F.avg(F.greatest("d", "kd")).alias("reach"), *more)
-
-
 def fit_lof(rows: DataFrame, cols: Sequence[str], neighbors: int = 20) -> dict:
-    """All training rows with their k-distances and local reachability densities, as tables.
+    """All training rows, a row for each distinct vector, with k-distance and local reachability density.
 
-    Fewer than three rows raise Violation; with fewer than ``neighbors`` others, all are neighbours.
+    Equal rows have both in common, so only their number counts.  Vectors at one distance
+    are taken by their rows' other columns, in order.  Fewer than three rows raise
+    Violation; with fewer than ``neighbors`` others, all are neighbours.
     """
     from ..sources.scratch import cut
     from .checks import Violation
 
-    points = cut(rows.select(F.monotonically_increasing_id().alias("id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x")), "lof_points")
-    n = points.count()
+    rest = [c for c in rows.columns if c not in cols]
+    numbered = (rows.orderBy(*rest) if rest else rows).withColumn("id", F.monotonically_increasing_id())
+    vectors = numbered.select("id", F.array(*[F.col(c).cast("double") for c in cols]).alias("x")).groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("c"))
+    vectors = cut(vectors, "lof_points")
+    n = vectors.agg(F.sum("c")).first()[0] or 0
     if n < 3:
         raise Violation(f"{n} rows are too few for neighbours")
     k = min(neighbors, n - 1)
-    near = cut(nearest(points, points, k, True), "lof_near")
-    kd = near.select("id", F.array_max("dist").alias("kd"))
-    density = _reach(near, kd).select("id", (1 / (F.col("reach") + 1e-10)).alias("lrd"))
-    return {"points": points, "k": k, "stats": cut(kd.join(density, "id"), "lof_stats")}
+    copies = lambda want: F.array_repeat("id", F.least(F.col("c"), F.lit(want)).cast("int"))
+    # The nearest of a vector's row is the row itself, and ids are those of vectors.
+    near = _neighbours(vectors.select("x", copies(k + 1).alias("ids")), vectors, k + 1)
+    kd = near.select(F.col("near")[0].alias("id"), F.element_at("dist", -1).alias("kd"))
+    one = near.select(F.col("near")[0].alias("id"), F.posexplode(F.arrays_zip(F.col("near").alias("other"), F.col("dist").alias("d")))).where("pos > 0").select("id", "col.other", "col.d")
+    reach = one.join(kd.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.avg(F.greatest("d", "kd")).alias("reach"))
+    density = kd.join(reach, "id").select("id", "kd", (1 / (F.col("reach") + 1e-10)).alias("lrd"))
+    return {"k": k, "points": cut(vectors.join(density, "id").select("x", copies(k).alias("ids"), "kd", "lrd"), "lof_stats")}
+
+
+def _reached(dist: np.ndarray, ids: np.ndarray, extra: np.ndarray) -> dict:
+    return {"reach": np.maximum(dist, extra[:, :, 0]).mean(axis=1), "lrd": extra[:, :, 1].mean(axis=1)}
 
 
 def score_lof(rows: DataFrame, cols: Sequence[str], state: dict) -> DataFrame:
@@ -460,12 +660,9 @@ def score_lof(rows: DataFrame, cols: Sequence[str], state: dict) -> DataFrame:
 
     Rows are queries, training rows too: such a row counts itself among its neighbours.
     """
-    from ..sources.scratch import cut
-
-    keyed = cut(rows.withColumn("__id", F.monotonically_increasing_id()), "lof_queries")
-    asked = keyed.select(F.col("__id").alias("id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
-    got = _reach(nearest(state["points"], asked, state["k"], False), state["stats"], F.avg("lrd").alias("lrd"))
-    return keyed.join(got.select(F.col("id").alias("__id"), (F.col("lrd") * (F.col("reach") + 1e-10)).alias("raw_score")), "__id").drop("__id")
+    keyed = rows.withColumn("__x", F.array(*[F.col(c).cast("double") for c in cols]))
+    found = _neighbours(state["points"], keyed.select(F.col("__x").alias("x")), state["k"], ("kd", "lrd"), _reached, "reach double, lrd double")
+    return keyed.join(found.select(F.col("x").alias("__x"), (F.col("lrd") * (F.col("reach") + 1e-10)).alias("raw_score")), "__x").drop("__x")
 
 
 def _rbf(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
@@ -601,8 +798,10 @@ def fit_score(train: DataFrame, rows: DataFrame, cols: Sequence[str], detector:
     fit, score = DETECTORS[detector]
     t, r = cut(standardize(train, scaler), "train"), standardize(rows, scaler)
     state = fit(t, cols, **params)
-    mark = lambda x: cut(score(x, cols, state).withColumn("raw_score", F.round("raw_score", digits)).withColumn("detector_id", F.lit(detector)), "scored")
-    return ecdf(mark(t), mark(r))
+    # Training rows and the others are scored in one pass.
+    both = r.withColumn("__t", F.lit(False)).unionByName(t.select(*cols, F.lit(True).alias("__t")), allowMissingColumns=True)
+    scored = cut(score(both, cols, state).withColumn("raw_score", F.round("raw_score", digits)).withColumn("detector_id", F.lit(detector)), "scored")
+    return ecdf(scored.where("__t"), scored.where("not __t").drop("__t"))
 
 
 def ensemble(members: Sequence[DataFrame], score: str = "alert_score") -> DataFrame:
