@@ -178,3 +178,28 @@ def test_a_timeline_has_its_columns(spark):
     assert len(rows.columns) == 21
     one = rows.agg(F.count("*").alias("n"), F.count_distinct("window_id").alias("ids"), F.max("attribution_completeness_abs_difference").alias("gap"), F.count_if(~F.col("calibrated_score").between(0, 1)).alias("out")).first()
     assert one["n"] == one["ids"] > 0 and one["gap"] < 1e-9 and one["out"] == 0
+
+
+def test_a_detector_study_scales_once_and_equals_fits_one_at_a_time(spark):
+    from tidewatch.operators import metrics, proxies
+    from tidewatch.plans import study
+    from tidewatch.sources import scratch
+
+    roles, rng = Roles(), np.random.default_rng(31)
+    rows = [(*map(float, rng.normal(size=9) + (e % 3)), f"{s}:e{e:03d}:c{c:04d}", e, s, c - 9, c, 40, 0) for e in range(8) for s in (("train", "validation")[e % 2],) for c in range(10, 41)]
+    features = spark.createDataFrame(rows, ", ".join(f"{f} double" for f in roles.features) + ", window_id string, engine int, split string, start_cycle int, end_cycle int, max_cycle int, op_mode int")
+    prepared = {"one": features, "two": features.withColumn("mean_s1", F.col("mean_s1") * F.col("std_s2"))}
+    grid = [("pca", {"variance": 0.5}), ("lof", {"neighbors": 2}), ("lof", {"neighbors": 200})]
+    written = scratch._WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    before = len(written)
+    made = study.detector_study(prepared, grid)
+    tables = [p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in written[before:]]
+    # One scaling of each preprocessing, and a search of neighbours for each fit and each scoring of all settings.
+    assert tables.count("train") == 2 and tables.count("near_found") == 4
+    got = {(r.preprocessing, r.detector_id, r.parameter_set): (r.mean_pr_auc, r.mean_roc_auc) for r in made.ranking.collect()}
+    assert len(got) == 6 and {r.detector_id for r in made.best.collect()} == {"pca", "lof"}
+    for name, detector, params in (("one", *grid[0]), ("two", *grid[1]), ("two", *grid[2])):
+        scores = detectors.fit_score(study.eligible_training(prepared[name]), prepared[name].where("split = 'validation'"), roles.features, detector, **params)
+        alone = metrics.mean_ranking(metrics.ranking_metrics(proxies.apply_policies(scores, proxies.policy_table(spark)))).first()
+        setting = ",".join(f"{k}={v}" for k, v in params.items())
+        assert got[name, detector, setting] == pytest.approx((alone.mean_pr_auc, alone.mean_roc_auc))
